@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
-MODULES = (sharding,)
+MODULES = (sharding, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
