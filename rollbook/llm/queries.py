@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licences, quality, sharding
+from . import licences, neardup, quality, sharding
 
-MODULES = (sharding, quality, licences)
+MODULES = (sharding, quality, licences, neardup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
