@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, neardup, quality, sharding
+from . import decontaminate, licences, neardup, quality, sharding, toxicity
 
-MODULES = (sharding, quality, licences, neardup, decontaminate)
+MODULES = (sharding, quality, licences, neardup, decontaminate, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
