@@ -278,6 +278,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """documents, with all their columns, with one row of each component: the one with the least doc_id, of equal ones
+    the first. Texts without words all stay. documents must give the same rows in the same order when read again."""
+    nodes = _Nodes(documents)
+    labels = components(links(nodes))
+    named = _labelled(nodes.classes, labels).select(*nodes.keys, "comp")
+    rows = common.stored(nodes.features.select("doc_id", "row", *nodes.keys).join(named, nodes.keys).select("doc_id", "row", "comp"), "members")
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = rows.join(first, "comp").where("row != first.row").select("row")
+    names = documents.columns
+    kept = documents.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row")).join(gone, "row", "left_anti")
+    return kept.select("doc.*")
+
+
 def op9_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
