@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from .plans import joins, scalars
+
+MODULES = (scalars, joins)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
