@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import joins, scalars
+from .plans import filters, joins, scalars, stats
 
-MODULES = (scalars, joins)
+MODULES = (scalars, joins, filters, stats)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
