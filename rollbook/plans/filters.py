@@ -132,7 +132,7 @@ def e8_unambiguous(spark, sf_dir):
 
 def e9_scoped_links(spark, sf_dir):
     """Each line of a document belongs to the latest line before it that is an entry (ends in a full stop)."""
-    lines = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     entry = F.last(F.when(F.col("line").endswith("."), F.col("place")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("entry", entry).groupBy("doc_id").agg(F.countDistinct("entry").alias("n_entries"), F.count_if(F.col("entry") != F.col("place")).alias("n_attached"))
 
@@ -177,7 +177,7 @@ ORACLES = {
     "e6_rows": """SELECT page_id, unnest(range(0, len(h)))::INT AS place, unnest(h) AS hrefs, unnest(n) AS names FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS n FROM pages)""",
     "e7_first_id": r"SELECT page_id, coalesce(nullif(regexp_extract(html, 'track\((\d+)\)', 1), ''), nullif(regexp_extract(html, '<!-- ad (\d+) -->', 1), '')) AS id FROM pages",
     "e8_unambiguous": r"""SELECT page_id, CASE WHEN len(l) = 1 THEN l[1] END AS lang FROM (SELECT page_id, list_distinct(regexp_extract_all(html, 'lang="(\w+)"', 1) || regexp_extract_all(url, '/(en|fr|de|es)/', 1)) AS l FROM pages)""",
-    "e9_scoped_links": "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en')), e AS (SELECT *, max(CASE WHEN ends_with(line, '.') THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS entry FROM l) SELECT doc_id, count(DISTINCT entry) AS n_entries, count(*) FILTER (entry <> place) AS n_attached FROM e GROUP BY 1",
+    "e9_scoped_links": "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), e AS (SELECT *, max(CASE WHEN ends_with(line, '.') THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS entry FROM l) SELECT doc_id, count(DISTINCT entry) AS n_entries, count(*) FILTER (entry <> place) AS n_attached FROM e GROUP BY 1",
     "e10_profiles": f"SELECT badge, count(*) AS n, count(DISTINCT a) AS n_accounts, max(length(name))::INT AS longest FROM (SELECT regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS name, {_H} || rtrim(regexp_extract(url, '{_P}', 5), '/') AS a, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS badge FROM pages) WHERE name <> '' GROUP BY 1",
     "e11_owner_check": "SELECT o_custkey, count(*) AS n_verified FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linestatus = 'F' AND l_quantity > 0 AND l_shipdate > o_orderdate GROUP BY 1",
 }

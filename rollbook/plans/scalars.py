@@ -22,7 +22,7 @@ def b3_space_key(spark, sf_dir):
 
 
 def b4_casefold_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(t.casefold("text").cast("binary"), 256).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.casefold("text").cast("binary"), 256).alias("key"))
 
 
 def b5_kana_reading(spark, sf_dir):
@@ -129,7 +129,7 @@ ORACLES = {
     "b1_search_key": f"SELECT doc_id, sha256({_KEY.format('text')}) AS key FROM documents",
     "b2_match_key": f"SELECT p_partkey, {_KEY.format('p_name')} AS key FROM part",
     "b3_space_key": r"SELECT c_custkey, regexp_replace(lower(c_name), '\s', '', 'g') AS key, regexp_replace(lower(c_mktsegment), '\s', '', 'g') AS segment_key FROM customer",
-    "b4_casefold_key": f"SELECT doc_id, sha256({_KEY.format("replace(text, 'ß', 'ss')")}) AS key FROM documents WHERE lang = 'en'",
+    "b4_casefold_key": f"SELECT doc_id, sha256({_KEY.format("replace(text, 'ß', 'ss')")}) AS key FROM documents",
     "b5_kana_reading": "SELECT p_partkey, '' AS reading FROM part",
     "b6_safe_url": f"SELECT page_id, CASE WHEN regexp_extract(url, '{_PARTS}', 1) = 'https' AND regexp_extract(url, '{_PARTS}', 2) = '' AND regexp_extract(url, '{_PARTS}', 4) = '' AND regexp_extract(url, '{_PARTS}', 3) <> '' THEN url END AS url FROM pages",
     "b7_host_key": f"SELECT page_id, {HOST_KEY} AS host FROM pages",
