@@ -19,7 +19,7 @@ BUCKETS, DIMENSIONS, LENGTHS = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW, LEAST_NGRAMS = 8, 100
 THRESHOLD = 0.7
 #: Most labelled rows, and most bytes of their texts, that the classifier is fitted on: half of each label.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 6 << 20
 #: Rounds on drawn windows (so many of each text), then on the most toxic ones.
 WARM_UP, DRAWN, EPOCHS = 6, 16, 8
 BATCH, RATE, DECAY = 512, 0.05, 1e-3
@@ -96,8 +96,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+class _Windows:
+    """The training texts' windows: the buckets of their known n-grams, window after window, where each window's begin,
+    the n-grams that its mean is over, and the windows of each text. Built a piece of text at a time."""
+
+    def __init__(self, column: pa.Array):
+        buckets, counts, windows = [], [], []
+        frequency = np.zeros(BUCKETS, np.int64)
+        for start, stop in common.pieces(column, 1 << 18):
+            own, owners, first = ngrams(column.slice(start, stop - start))
+            by = np.argsort(owners, kind="stable")
+            own, owners = own[by], owners[by]
+            text = np.repeat(np.arange(stop - start), np.diff(first))
+            frequency += np.bincount(np.unique(own.astype(np.int64) * (stop - start) + text[owners]) // (stop - start), minlength=BUCKETS)
+            buckets.append(own)
+            counts.append(np.bincount(owners, minlength=int(first[-1])))
+            windows.append(np.diff(first))
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(windows))])
+        self.known = frequency >= max(3, LEAST_SHARE * len(column))
+        self.size = np.maximum(np.concatenate(counts), LEAST_NGRAMS)
+        left = [np.add.reduceat(np.append(self.known[b], False), np.minimum(np.cumsum(c) - c, len(b))) * (c > 0) for b, c in zip(buckets, counts, strict=True)]
+        self.spans = np.concatenate([[0], np.cumsum(np.concatenate(left))])
+        self.buckets = np.concatenate([b[self.known[b]] for b in buckets])
+
+    def values(self, gain: np.ndarray) -> np.ndarray:
+        """Each window's mean of gain."""
+        sums = np.zeros(len(self.size))
+        gain = gain.astype(np.float32)
+        for a in range(0, len(sums), 50_000):
+            spans = self.spans[a : a + 50_001]
+            part = np.append(gain[self.buckets[spans[0] : spans[-1]]], np.float32(0))
+            sums[a : a + 50_000] = np.add.reduceat(part, spans[:-1] - spans[0]) * (np.diff(spans) > 0)
+        return sums / self.size
+
+
 class _Joint:
-    """Embeddings and softmax weights under Adam, trained together on windows (a run of buckets and a label each)."""
+    """Embeddings and softmax weights under Adam, trained together on windows with a label each."""
 
     def __init__(self, rng: np.random.Generator):
         self.embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -106,16 +140,15 @@ class _Joint:
         self.moments = [np.zeros_like(self.embedding), np.zeros_like(self.embedding), np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)]
         self.step = 0
 
-    def learn(self, buckets: np.ndarray, spans: np.ndarray, windows: np.ndarray, labels: np.ndarray, rate: float) -> None:
-        """One step of averaged cross-entropy on these windows (spans: where each window's buckets begin and end)."""
-        lengths = spans[windows + 1] - spans[windows]
-        grams = buckets[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(spans[windows], lengths)]
+    def learn(self, data: _Windows, windows: np.ndarray, labels: np.ndarray, rate: float) -> None:
+        """One step of averaged cross-entropy on these windows."""
+        lengths = data.spans[windows + 1] - data.spans[windows]
+        grams = data.buckets[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(data.spans[windows], lengths)]
         row = np.repeat(np.arange(len(windows)), lengths)
-        size = np.maximum(lengths, LEAST_NGRAMS)
         gain = self.embedding @ self.weights
-        logit = np.bincount(row, gain[grams], len(windows)) / size + self.bias
+        logit = np.bincount(row, gain[grams], len(windows)) / data.size[windows] + self.bias
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(windows)
-        slope = np.bincount(grams, (error / size)[row], BUCKETS).astype(np.float32)
+        slope = np.bincount(grams, (error / data.size[windows])[row], BUCKETS).astype(np.float32)
         used = np.flatnonzero(slope)
         g_weights = np.append(slope[used] @ self.embedding[used], error.sum())
         g_embedding = slope[used, None] * self.weights + DECAY * self.embedding[used] / len(windows)
@@ -139,38 +172,30 @@ def fit(column: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         return Model(np.zeros(BUCKETS), -5.0)
-    buckets, owners, first = ngrams(column)
-    n, n_windows = len(labels), int(first[-1])
+    data = _Windows(column)
+    n, first = len(labels), data.first
     text = np.repeat(np.arange(n), np.diff(first))
-    frequency = np.bincount((np.unique(buckets.astype(np.int64) * n + text[owners]) // n), minlength=BUCKETS)
-    known = frequency >= max(3, LEAST_SHARE * n)
-    # the mean is over all n-grams of a window, so those left out stay in it as bucket 0, whose embedding is held at 0
-    by = np.argsort(owners, kind="stable")
-    buckets, owners = np.where(known[buckets], buckets, 0)[by], owners[by]
-    spans = np.searchsorted(owners, np.arange(n_windows + 1))
     joint = _Joint(rng)
     window_label = labels[text]
     # labels weigh alike
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    any_window = lambda k: (first[:-1, None] + np.floor(rng.random((n, k)) * np.diff(first)[:, None]).astype(np.int64))
     rounds = WARM_UP + EPOCHS
     for epoch in range(rounds):
-        joint.embedding[0] = 0
         if epoch < WARM_UP:
-            drawn = (first[:-1, None] + np.floor(rng.random((n, DRAWN)) * np.diff(first)[:, None]).astype(np.int64)).ravel()
+            drawn = any_window(DRAWN).ravel()
         else:
-            now = Model((joint.embedding @ joint.weights).astype(np.float64), joint.bias).windows(buckets, owners, n_windows)
-            top = np.lexsort((-now, text))[first[:-1]]
-            drawn = np.concatenate([top, (first[:-1] + np.floor(rng.random(n) * np.diff(first)).astype(np.int64))[labels == 0]])
+            top = np.lexsort((-data.values(joint.embedding @ joint.weights), text))[first[:-1]]
+            drawn = np.concatenate([top, any_window(1)[labels == 0, 0]])
         repeated = np.repeat(drawn, rng.poisson(weight[text[drawn]]))
         rng.shuffle(repeated)
         for chosen in np.array_split(repeated, max(1, len(repeated) // BATCH)):
             if len(chosen):
-                joint.learn(buckets, spans, chosen, window_label[chosen], RATE * (1 - epoch / rounds))
-    joint.embedding[0] = 0
-    model = Model((joint.embedding @ joint.weights).astype(np.float64) * (known | (np.arange(BUCKETS) == 0)), 0.0)
-    best = np.maximum.reduceat(model.windows(buckets, owners, n_windows), first[:-1])
+                joint.learn(data, chosen, window_label[chosen], RATE * (1 - epoch / rounds))
+    gain = (joint.embedding @ joint.weights).astype(np.float64) * data.known
+    best = np.maximum.reduceat(data.values(gain), first[:-1])
     scale, bias = _calibrated(best, labels, weight)
-    return Model(model.gain * scale, bias)
+    return Model(gain * scale, bias)
 
 
 def _calibrated(best: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
