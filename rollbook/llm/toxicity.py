@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -220,21 +221,20 @@ def training_sample(documents: DataFrame, labels: DataFrame) -> tuple[pa.Array,
     """Up to SAMPLE_ROWS labelled rows that aren't held out, half of each label, in the order of a hash of doc_id; from
     these, whole texts up to SAMPLE_BYTES. Documents with several labels take the greatest."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents.select("doc_id", "text").where(remainder() != 1).join(known, "doc_id")
-    rows = rows.select("text", F.octet_length("text").alias("size"), "toxic", F.xxhash64("doc_id", F.lit(11)).alias("at"), "doc_id").where("size > 0")
-    few = rows.select("doc_id", "toxic", "at", "size")
-    drawn: set = set()
+    sizes = documents.select("doc_id", F.octet_length("text").alias("size")).where((remainder() != 1) & (F.col("size") > 0))  # texts are not shuffled
+    few = common.stored(sizes.join(known, "doc_id").withColumn("at", F.xxhash64("doc_id", F.lit(11))), "labelled")
+    drawn: dict = {}
     for toxic in (0, 1):
         room = SAMPLE_BYTES // 2
-        for r in few.where(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(SAMPLE_ROWS // 2).collect():
-            if r["size"] <= room:
+        for r in few.where(F.col("toxic") == toxic).orderBy("at", "doc_id", "size").limit(SAMPLE_ROWS // 2).collect():
+            if r["doc_id"] not in drawn and r["size"] <= room:
                 room -= r["size"]
-                drawn.add(r["doc_id"])
-    spark = documents.sparkSession
+                drawn[r["doc_id"]] = (r["at"], toxic)
     if not drawn:
         return pa.array([], pa.string()), np.zeros(0)
-    ids = spark.createDataFrame([(i,) for i in sorted(drawn)], documents.select("doc_id").schema)
-    got = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("at", "doc_id").select("text", "toxic").toArrow()
+    ids = documents.sparkSession.createDataFrame([(i, at, toxic) for i, (at, toxic) in sorted(drawn.items())], T.StructType([documents.schema["doc_id"], T.StructField("at", T.LongType()), T.StructField("toxic", T.IntegerType())]))
+    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text <> ''")
+    got = texts.groupBy("doc_id", "at", "toxic").agg(F.min("text").alias("text")).orderBy("at", "doc_id").select("text", "toxic").toArrow()
     return got.column("text").combine_chunks(), got.column("toxic").to_numpy().astype(np.float64)
 
 
