@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import filters, joins, ordering, scalars, stats
+from .plans import filters, flows, joins, ordering, scalars, stats
 
-MODULES = (scalars, joins, filters, stats, ordering)
+MODULES = (scalars, joins, filters, stats, ordering, flows)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
