@@ -8,6 +8,7 @@ from html import unescape as _unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Katakana U+30A1 to U+30F6 and the hiragana 96 code points below.
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
@@ -21,19 +22,19 @@ PREPARING = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
     return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     """NFKC and full case folding (ß becomes ss), letters and digits only."""
     return values.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     """HTML character references decoded."""
     return values.map(lambda s: s if s is None or "&" not in s else _unescape(s))

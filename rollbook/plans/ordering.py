@@ -6,6 +6,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as t
@@ -174,7 +175,7 @@ def k1_parsed_reply(spark, sf_dir):
     return props.union(talk).withColumn("clean", clean).select("id", (~F.col("clean").isin("", "null", "undefined", "[]")).alias("valid"), value.isNotNull().alias("structured"), F.coalesce(value, F.substring("clean", 1, 60)).alias("reply"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def closed_items(texts: pd.Series) -> pd.Series:
     """The items of the first array in a text of JSON that was cut off: only those that are closed."""
     import json
