@@ -37,7 +37,7 @@ def duck():
 
 
 def _cell(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if str(v) in ("None", "nan", "NaT", "<NA>"):
         return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
