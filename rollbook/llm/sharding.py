@@ -53,12 +53,13 @@ def _splitters(rows: DataFrame, order_by: list[str], weight: str, n_ranges: int,
     return list(dict.fromkeys(picked))
 
 
-def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, n_ranges: int | None = None, oversample: int = 16, seed: int = 17) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, whole: list[str] | None = None, n_ranges: int | None = None, oversample: int = 16, seed: int = 17) -> DataFrame:
     """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard).
 
     Records stand in the order of `order_by`; shard s holds those whose middle lies in the s-th part of the summed
-    `weight`, so that any shard's sum differs from the mean by less than the heaviest record (with weight 1: counts
-    differ by one at most). Null weights count as 0; if all weights are 0, records are counted instead. An empty table
+    `weight`, so that any shard's sum differs from the mean by the heaviest record at most (with weight 1: counts
+    differ by one at most). Records that agree in `whole`, the first columns of order_by, are placed by their common
+    middle, and so stay together, if together they are no heavier than the heaviest record (nulls in `whole` are alone). Null weights count as 0; if all weights are 0, records are counted instead. An empty table
     gives an empty table, and null keys come first. Rows with equal keys share a range; end `order_by` in a column that
     tells rows apart, so that a key that a third of all rows share is subdivided like any other. df is read several
     times and must return the same rows each time. Columns of df that are named shard or slot are replaced.
@@ -77,6 +78,7 @@ def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, n_r
         kept = ranged(by).groupBy("__range").agg(F.sum("__weight").alias("w"), F.count(F.lit(1)).alias("n"))
         return {r["__range"]: (r["w"], r["n"]) for r in kept.collect()}
 
+    heaviest = rows.agg(F.max("__weight")).first()[0] or 0 if whole else 0
     sums = totals(splitters)
     for level in range(3):  # overfull ranges get splitters of their own
         mean = sum(w for w, _ in sums.values()) / n_ranges
@@ -101,13 +103,18 @@ def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, n_r
     part = Window.partitionBy("__range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     own = F.lit(1) if by_count else F.col("__weight")
     at = lambda values: F.get(_longs(values), F.col("__range"))
-    middle = 2 * (at(before) + F.sum(own).over(part)) - own  # twice the weight that stands before the record's middle
-    dealt = ranged(splitters).withColumns(
+    placed = ranged(splitters).withColumns({"__own": own, "__before": at(before) + F.sum(own).over(part) - own})
+    middle = 2 * F.col("__before") + F.col("__own")  # twice the weight that stands before the record's middle
+    if whole:
+        groups = placed.groupBy(*whole).agg(F.sum("__own").alias("__sum"), F.min("__before").alias("__start"), F.count(F.lit(1)).alias("__n"))
+        placed = placed.join(groups.where((F.col("__n") > 1) & (F.col("__sum") <= heaviest)).drop("__n"), whole, "left")
+        middle = F.coalesce(2 * F.col("__start") + F.col("__sum"), middle)
+    dealt = placed.withColumns(
         {"shard": F.least(F.lit(n_shards - 1), F.floor(middle.cast("decimal(38,0)") * n_shards / (2 * max(total, 1))).cast("int")), "__index": at(counts) + F.row_number().over(part) - 1}
     )
     heads = {r["shard"]: r["first"] for r in dealt.groupBy("shard").agg(F.min("__index").alias("first")).collect()}
     first = F.get(_longs([heads.get(s, 0) for s in range(n_shards)]), F.col("shard"))
-    return dealt.withColumn("slot", F.col("__index") - first).drop("__weight", "__range", "__index")
+    return dealt.withColumn("slot", F.col("__index") - first).drop("__weight", "__range", "__index", "__own", "__before", "__sum", "__start")
 
 
 def law_weight(law: str) -> Column:
@@ -121,9 +128,9 @@ def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, law: str = "
     """Digest of the sharding of documents: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law isn't
     `key`) and text_md5.
 
-    Documents stand in the order of (md5 of the text, doc_id), so that equal texts stand together: a group of copies is
-    in one shard, or in neighbouring ones where a boundary falls into it (a group that is larger than a shard must span
-    several). Null and empty texts count 16 bytes and share the md5 of the empty text. Repeated rows all stay; a null
+    Documents stand in the order of (md5 of the text, doc_id), so that equal texts stand together. By the law of bytes a
+    group of copies stays in one shard if it has no more bytes than the largest document; a larger group may span
+    neighbouring shards, as one that is larger than a shard must. Null and empty texts count 16 bytes and share the md5 of the empty text. Repeated rows all stay; a null
     doc_id stays null and comes first. No row is lost.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -134,7 +141,7 @@ def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, law: str = "
         ),
         "sharding",
     )
-    dealt = shard(narrow, n_shards, ["text_md5", "doc_id", "row"], "weight")
+    dealt = shard(narrow, n_shards, ["text_md5", "doc_id", "row"], "weight", whole=["text_md5"] if law == "bytes" else None)
     return dealt.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "text_md5")
 
 
@@ -170,7 +177,8 @@ crcs AS (
          sum(octet_length(encode(text)) + 16) OVER () AS total,
          row_number() OVER (ORDER BY md5(text), doc_id NULLS FIRST) AS place
   FROM hexed JOIN crcs USING (h)
-), dealt AS (SELECT *, least({N_SHARDS - 1}, (2 * run - size) * {N_SHARDS} // (2 * total))::INT AS shard FROM placed)
+), grouped AS (SELECT *, sum(size) OVER (PARTITION BY text_md5) AS g, min(run - size) OVER (PARTITION BY text_md5) AS g_start, max(size) OVER () AS heaviest FROM placed),
+dealt AS (SELECT *, least({N_SHARDS - 1}, (CASE WHEN g <= heaviest THEN 2 * g_start + g ELSE 2 * run - size END) * {N_SHARDS} // (2 * total))::INT AS shard FROM grouped)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard, text_md5 FROM dealt
 """
 )
