@@ -115,6 +115,13 @@ def e4_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.cast("binary"), 256).alias("text"), (F.char_length(text) >= 30).alias("available"))
 
 
+def e5_embedded(spark, sf_dir):
+    """The variables that a page's script sets, as far as they are quoted."""
+    block = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    value = F.regexp_extract(block, r'var t="([^"]*)"', 1)
+    return table(spark, sf_dir, "pages").select("page_id", value.alias("value"), F.get_json_object(F.concat(F.lit('{"n": ['), F.regexp_extract(block, r"track\((\d+)\)", 1), F.lit("]}")), "$.n[0]").cast("bigint").alias("n"))
+
+
 def e6_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">'), 1).alias("hrefs"), F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a>'), 1).alias("names"))
     return rows.select("page_id", F.posexplode(F.arrays_zip("hrefs", "names")).alias("place", "x")).select("page_id", "place", "x.hrefs", "x.names")
@@ -174,6 +181,7 @@ ORACLES = {
     "e2_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT link) AS n_distinct, arg_min(link, place) AS first_link FROM {_LINKS} GROUP BY 1",
     "e3_profile_links": rf"SELECT DISTINCT {_H} || link AS profile FROM {_LINKS} WHERE regexp_matches(link, '^/[A-Za-z]+\.?$')",
     "e4_visible_text": f"SELECT page_id, sha256(v) AS text, length(v) >= 30 AS available FROM (SELECT page_id, {_CLEAN.format(chr(39).join(['regexp_replace(html, ', '(?is)<(?:script|style|noscript)[ >].*?</(?:script|style|noscript)>', ', ', ' ', ', ', 'g', ')']))} AS v FROM pages)",
+    "e5_embedded": r"""SELECT page_id, regexp_extract(html, 'var t="([^"]*)"', 1) AS value, regexp_extract(html, 'track\((\d+)\)', 1)::BIGINT AS n FROM pages""",
     "e6_rows": """SELECT page_id, unnest(range(0, len(h)))::INT AS place, unnest(h) AS hrefs, unnest(n) AS names FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS n FROM pages)""",
     "e7_first_id": r"SELECT page_id, coalesce(nullif(regexp_extract(html, 'track\((\d+)\)', 1), ''), nullif(regexp_extract(html, '<!-- ad (\d+) -->', 1), '')) AS id FROM pages",
     "e8_unambiguous": r"""SELECT page_id, CASE WHEN len(l) = 1 THEN l[1] END AS lang FROM (SELECT page_id, list_distinct(regexp_extract_all(html, 'lang="(\w+)"', 1) || regexp_extract_all(url, '/(en|fr|de|es)/', 1)) AS l FROM pages)""",

@@ -114,6 +114,15 @@ def d11_submission_match(spark, sf_dir):
     return identity.matched_submissions(records, submissions)
 
 
+def d11_submission_overlay(spark, sf_dir):
+    """The matched records with the submissions' size, the largest where several submissions mean one record."""
+    matched = d11_submission_match(spark, sf_dir)
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sub_id"), "p_size")
+    patch = matched.join(sizes, "sub_id").groupBy(F.col("id").alias("p_partkey")).agg(F.max("p_size").alias("size"))
+    base = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lit(-1).alias("size"))
+    return overlay.patched(base, patch, "p_partkey")
+
+
 def d12_ranked_application(spark, sf_dir):
     """Order to customer: by id first; by name only where one customer alone has it."""
     c = table(spark, sf_dir, "customer")
@@ -144,9 +153,9 @@ def d15_assignment(spark, sf_dir):
 
 
 def d16_composites(spark, sf_dir):
-    """Part names that contain two or more of the words that other parts of the brand have as their first."""
+    """Part names of which two or more words are frequent in their brand."""
     p = table(spark, sf_dir, "part")
-    firsts = p.select("p_brand", F.split("p_name", " ")[0].alias("word")).distinct()
+    firsts = p.select("p_brand", F.explode(F.split("p_name", " ")).alias("word")).groupBy("p_brand", "word").agg(F.count(F.lit(1)).alias("k")).where("k > 3").drop("k")
     words = p.select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
     return words.join(firsts, ["p_brand", "word"]).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
 
@@ -160,6 +169,21 @@ def d17_sibling_aliases(spark, sf_dir):
     return kept.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("aliases"))
 
 
+def d18_baseline_export(spark, sf_dir):
+    """Layers merged by field, then one row for each account that its records share, with distinct tags."""
+    out = overlay.latest_fields(list(_layers(spark, sf_dir)), "c_custkey", lists=("tags",))
+    return out.select("segment", F.explode("tags").alias("tag")).groupBy("segment").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"), F.count(F.lit(1)).alias("n"))
+
+
+def b19_reading(spark, sf_dir):
+    """A customer's reading: the verified one, else an estimate that is still for this name, else none."""
+    c = table(spark, sf_dir, "customer")
+    estimates = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("estimate"), F.upper("n_name").alias("made_for"))
+    rows = c.withColumns({"reading": F.when(F.col("c_acctbal") > 5000, F.lower("c_name")), "name": F.when(F.col("c_custkey") % 2 == 0, F.lit("FRANCE"))}).join(estimates, "c_nationkey", "left")
+    guess = F.when(F.col("made_for") == F.col("name"), F.col("estimate"))
+    return rows.select("c_custkey", F.coalesce("reading", guess, F.lit("")).alias("reading"), (F.col("reading").isNull() & guess.isNotNull()).alias("reading_inferred"))
+
+
 def d19_reviewed_merge(spark, sf_dir):
     base, _, _ = _layers(spark, sf_dir)
     reviewed = table(spark, sf_dir, "customer").where("c_custkey % 6 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.upper("c_name")).alias("name"), F.lit("").alias("segment"))
@@ -215,7 +239,7 @@ ORACLES = {
     "d2_layer_overlay": f"WITH {_LAYERS} SELECT c_custkey, coalesce(e.name, b.name) AS name, coalesce(l.segment, b.segment) AS segment, array_to_string(coalesce(l.tags, e.tags, b.tags), ',') AS tags FROM base b LEFT JOIN extra e USING (c_custkey) LEFT JOIN last l USING (c_custkey)",
     "d3_verified_overlay": f"WITH {_LAYERS}, p AS (SELECT c_custkey + 4 AS c_custkey, 'Verified ' || c_name AS v FROM customer WHERE c_custkey % 4 = 0) SELECT c_custkey, coalesce(v, name) AS name, segment FROM base LEFT JOIN p USING (c_custkey)",
     "d4_correction_by_name": "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN -1 ELSE n_regionkey END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "d5_exploded_accounts": None,
+    "d5_exploded_accounts": rf"""WITH l AS (SELECT page_id, unnest(list_distinct([url] || regexp_extract_all(html, '<a [^>]*href=["'']([^"'']+)', 1))) AS link FROM pages) SELECT page_id, count(DISTINCT regexp_replace(lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)), '^(?:www|m)[.]', '') || rtrim(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/')) AS n_accounts, min(link) AS first_link FROM l GROUP BY 1""",
     "d6_paired_handle": "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), c AS (SELECT l_orderkey, count(*) AS n FROM p GROUP BY 1) SELECT l_orderkey, CASE WHEN n = 2 THEN 1 ELSE n END AS n_left FROM c",
     "d7_primary_platform": "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS known, coalesce(string_agg(DISTINCT CASE WHEN value > 90 AND (props->>'$.k')::INT > 50 THEN event_type END, ',' ORDER BY CASE WHEN value > 90 AND (props->>'$.k')::INT > 50 THEN event_type END), '') AS primary FROM events GROUP BY user_id",
     "d8_resolve_skip": _RESOLVE + "f AS (SELECT in_id, min(id) AS first, count(DISTINCT id) AS n FROM pairs GROUP BY 1) SELECT i.in_id, CASE WHEN f.n = 1 THEN first END AS target, CASE WHEN f.n IS NULL THEN 'new' WHEN f.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM (SELECT DISTINCT in_id FROM n) i LEFT JOIN f USING (in_id)",
@@ -226,12 +250,15 @@ ORACLES = {
     "d9_consolidated_duplicates": "WITH g AS (SELECT source, md5(text) AS k, min(doc_id) AS kept, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL) SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 OR kept IS NULL THEN doc_id ELSE kept END AS kept_id, CASE WHEN doc_id % 50 = 0 OR kept IS NULL THEN 1 ELSE n END AS n_merged FROM documents d LEFT JOIN g ON d.source = g.source AND md5(d.text) = k",
     "d10_three_way_merge": "SELECT o_orderkey, CASE WHEN b AND NOT o_orderkey % 3 = 0 OR NOT c THEN CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END WHEN b AND o_orderkey % 3 = 0 AND o_orderstatus = 'C' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE 'C' END WHEN o_orderkey % 3 = 0 THEN 'C' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN c THEN lower(o_orderpriority) ELSE o_orderpriority END AS o_orderpriority, o_orderstatus || CASE WHEN c THEN ',mine' ELSE '' END || CASE WHEN n THEN ',new' ELSE '' END AS tags FROM (SELECT *, o_orderkey % 7 <> 0 AS b, o_orderkey % 11 <> 0 AS n, o_orderkey % 13 <> 0 AS c FROM orders) WHERE NOT (b AND (NOT n OR NOT c)) AND (b OR n OR c)",
     "d11_submission_match": rf"WITH r AS (SELECT p_partkey AS id, {_KEY} AS k, p_brand || ':' || p_size AS a FROM part WHERE p_partkey % 2 = 0), s AS (SELECT p_partkey AS sub_id, {_KEY} AS k, p_brand || ':' || p_size AS a FROM part WHERE p_partkey % 97 = 0) SELECT sub_id, id FROM s, r WHERE id = sub_id + 1 OR (sub_id % 4 <> 1 AND s.k = r.k) OR s.a = r.a",
+    "d11_submission_overlay": rf"WITH r AS (SELECT p_partkey AS id, {_KEY} AS k, p_brand || ':' || p_size AS a FROM part WHERE p_partkey % 2 = 0), s AS (SELECT p_partkey AS sub_id, p_size, {_KEY} AS k, p_brand || ':' || p_size AS a FROM part WHERE p_partkey % 97 = 0), m AS (SELECT id, max(p_size) AS size FROM s, r WHERE id = sub_id + 1 OR (sub_id % 4 <> 1 AND s.k = r.k) OR s.a = r.a GROUP BY 1) SELECT p_partkey, p_brand, coalesce(size, -1) AS size FROM part LEFT JOIN m ON id = p_partkey",
     "d12_ranked_application": "WITH m AS (SELECT o_orderkey, c_custkey, 0 AS match_rank FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, c_custkey, 1 FROM orders JOIN customer ON o_orderkey % 40 = c_nationkey WHERE c_acctbal > 9900), b AS (SELECT o_orderkey, match_rank, min(c_custkey) AS c_custkey, count(DISTINCT c_custkey) AS n FROM m GROUP BY 1, 2) SELECT o_orderkey, match_rank, c_custkey FROM b WHERE n = 1 AND match_rank = (SELECT min(match_rank) FROM m WHERE m.o_orderkey = b.o_orderkey)",
     "d13_rename_override": "SELECT c_custkey, coalesce('Customer of ' || n_name, c_name) AS name, lower(c_name) || CASE WHEN n_name IS NULL THEN '' ELSE ',' || c_name END AS aliases FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0",
     "d14_superseding_overlay": f"WITH {_LAYERS} SELECT c_custkey, coalesce(e.name, b.name) AS name, coalesce(l.segment, b.segment) AS segment FROM base b LEFT JOIN extra e USING (c_custkey) LEFT JOIN last l USING (c_custkey) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
     "d15_assignment": "WITH s AS (SELECT s_suppkey, s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier), c AS (SELECT c_custkey, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT s_suppkey, c_custkey FROM s JOIN c USING (nation, k)",
-    "d16_composites": "WITH w AS (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT DISTINCT p_brand, string_split(p_name, ' ')[1] AS word FROM part) SELECT p_partkey, count(*) AS n_parts FROM w JOIN f USING (p_brand, word) GROUP BY 1 HAVING count(*) > 1",
+    "d16_composites": "WITH w AS (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT p_brand, word FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL HAVING count(*) > 3) SELECT p_partkey, count(*) AS n_parts FROM w JOIN f USING (p_brand, word) GROUP BY 1 HAVING count(*) > 1",
     "d17_sibling_aliases": "WITH w AS (SELECT DISTINCT p_partkey, p_type, p_size, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT p_partkey, string_agg(word, ' ' ORDER BY word) AS aliases FROM w WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_type = w.p_type AND q.p_size = w.p_size AND q.p_partkey <> w.p_partkey AND string_split(q.p_name, ' ')[1] = w.word) GROUP BY 1",
+    "d18_baseline_export": f"WITH {_LAYERS}, m AS (SELECT coalesce(l.segment, b.segment) AS segment, list_distinct(b.tags || coalesce(e.tags, []) || coalesce(l.tags, [])) AS tags FROM base b LEFT JOIN extra e USING (c_custkey) LEFT JOIN last l USING (c_custkey)) SELECT segment, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(*) AS n FROM (SELECT segment, unnest(tags) AS tag FROM m) GROUP BY 1",
+    "b19_reading": "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN lower(c_name) WHEN c_custkey % 2 = 0 AND n_name = 'FRANCE' THEN 'france' ELSE '' END AS reading, c_acctbal <= 5000 AND c_custkey % 2 = 0 AND n_name = 'FRANCE' AS reading_inferred FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
     "d19_reviewed_merge": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 AND c_custkey % 4 <> 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer",
     "d20_restored_family": f"WITH {_LAYERS}, f AS (SELECT c_custkey + 1000 AS c_custkey, name, 'CC0' AS segment FROM extra WHERE name IS NOT NULL) SELECT c_custkey, name, segment FROM base UNION ALL SELECT * FROM f WHERE c_custkey NOT IN (SELECT c_custkey FROM base) AND name NOT IN (SELECT name FROM base)",
     "d21_append_unseen": "SELECT c_custkey, c_nationkey, c_mktsegment || c_nationkey AS account FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_nationkey, 'z' || c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0",
