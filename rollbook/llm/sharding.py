@@ -43,12 +43,13 @@ def _sort_key(values: tuple) -> tuple:
     return tuple((v is not None, v if v is not None else 0) for v in values)
 
 
-def _splitters(rows: DataFrame, order_by: list[str], weight: str, n_ranges: int, oversample: int, seed: int) -> list[tuple]:
-    """Quantile boundaries from a weighted sample without replacement (exponential ranks -ln(u) / weight, u hashed from
-    the key, so that a lost task draws the same sample again). The sample holds n_ranges * oversample keys at most."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *order_by), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    drawn = rows.where(F.col(weight) > 0).select(*order_by, (-F.ln(u) / F.col(weight)).alias("__rank")).orderBy("__rank").limit(n_ranges * oversample)
-    keys = sorted((tuple(r)[:-1] for r in drawn.collect()), key=_sort_key)
+def _splitters(rows: DataFrame, order_by: list[str], weight: str, total: int, n_ranges: int, oversample: int, seed: int) -> list[tuple]:
+    """Quantile boundaries from a sample to which each record is drawn with a chance in proportion to its weight. The draw
+    is a hash of the key, so that a lost task draws the same sample again. n_ranges * oversample keys are expected, from
+    all tasks together; records that weigh more than their share are always drawn."""
+    u = F.pmod(F.xxhash64(F.lit(seed), *order_by), F.lit(1 << 40)) / float(1 << 40)
+    drawn = rows.where(u < F.col(weight) * (n_ranges * oversample / max(total, 1))).select(*order_by)
+    keys = sorted((tuple(r) for r in drawn.collect()), key=_sort_key)
     picked = [keys[len(keys) * i // n_ranges] for i in range(1, n_ranges)] if keys else []
     return list(dict.fromkeys(picked))
 
@@ -59,17 +60,22 @@ def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, who
     Records stand in the order of `order_by`; shard s holds those whose middle lies in the s-th part of the summed
     `weight`, so that any shard's sum differs from the mean by the heaviest record at most (with weight 1: counts
     differ by one at most). Records that agree in `whole`, the first columns of order_by, are placed by their common
-    middle, and so stay together, if together they are no heavier than the heaviest record (nulls in `whole` are alone). Null weights count as 0; if all weights are 0, records are counted instead. An empty table
+    middle, and so stay together, if together they are no heavier than the heaviest record (nulls in `whole` are alone).
+    Null weights count as 0; if all weights are 0, records are counted instead. An empty table
     gives an empty table, and null keys come first. Rows with equal keys share a range; end `order_by` in a column that
     tells rows apart, so that a key that a third of all rows share is subdivided like any other. df is read several
     times and must return the same rows each time. Columns of df that are named shard or slot are replaced.
 
-    The driver gets the sample (n_ranges * oversample keys) and one row for each range, whatever the input's size.
+    The driver gets the sample (about n_ranges * oversample keys) and one row for each range, whatever the input's size.
     """
     n_ranges = n_ranges or min(16_384, max(320, 8 * n_shards))
     rows = df.drop("shard", "slot").withColumn("__weight", F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0)))
     fields = [df.schema[c] for c in order_by]
-    splitters = _splitters(rows, order_by, "__weight", n_ranges, oversample, seed)
+    stats = rows.agg(F.sum("__weight").alias("total"), F.max("__weight").alias("heaviest"), F.count(F.lit(1)).alias("n")).first()
+    if not stats["total"]:  # no weights: records are counted
+        rows, stats = rows.withColumn("__weight", F.lit(1).cast("long")), {"total": stats["n"], "heaviest": 1}
+    total = stats["total"]
+    splitters = _splitters(rows, order_by, "__weight", total, n_ranges, oversample, seed)
 
     def ranged(by: list[tuple]) -> DataFrame:
         return rows.withColumn("__range", _range_of(F.struct(*order_by), by, fields))
@@ -78,36 +84,33 @@ def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, who
         kept = ranged(by).groupBy("__range").agg(F.sum("__weight").alias("w"), F.count(F.lit(1)).alias("n"))
         return {r["__range"]: (r["w"], r["n"]) for r in kept.collect()}
 
-    heaviest = rows.agg(F.max("__weight")).first()[0] or 0 if whole else 0
     sums = totals(splitters)
     for level in range(3):  # overfull ranges get splitters of their own
-        mean = sum(w for w, _ in sums.values()) / n_ranges
+        mean = total / n_ranges
         overfull = {r: w for r, (w, n) in sums.items() if n > 1 and w > 3 * mean}
         if not overfull:
             break
         inside = ranged(splitters).where(F.col("__range").isin(sorted(overfull)))
-        more = _splitters(inside, order_by, "__weight", max(2, round(sum(overfull.values()) / max(mean, 1)) * 2), oversample, seed + level + 1)
+        more = _splitters(inside, order_by, "__weight", sum(overfull.values()), max(2, round(sum(overfull.values()) / max(mean, 1)) * 2), oversample, seed + level + 1)
         grown = sorted({*splitters, *more}, key=_sort_key)
         if len(grown) == len(splitters):
             break
         splitters = grown
         sums = totals(splitters)
 
-    weights, counts = [0], [0]
+    before, counts = [0], [0]
     for r in range(len(splitters) + 1):
         w, n = sums.get(r, (0, 0))
-        weights.append(weights[-1] + w)
+        before.append(before[-1] + w)
         counts.append(counts[-1] + n)
-    by_count = not weights[-1]
-    before, total = (counts, counts[-1]) if by_count else (weights, weights[-1])
     part = Window.partitionBy("__range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    own = F.lit(1) if by_count else F.col("__weight")
+    own = F.col("__weight")
     at = lambda values: F.get(_longs(values), F.col("__range"))
     placed = ranged(splitters).withColumns({"__own": own, "__before": at(before) + F.sum(own).over(part) - own})
     middle = 2 * F.col("__before") + F.col("__own")  # twice the weight that stands before the record's middle
     if whole:
         groups = placed.groupBy(*whole).agg(F.sum("__own").alias("__sum"), F.min("__before").alias("__start"), F.count(F.lit(1)).alias("__n"))
-        placed = placed.join(groups.where((F.col("__n") > 1) & (F.col("__sum") <= heaviest)).drop("__n"), whole, "left")
+        placed = placed.join(groups.where((F.col("__n") > 1) & (F.col("__sum") <= stats["heaviest"])).drop("__n"), whole, "left")
         middle = F.coalesce(2 * F.col("__start") + F.col("__sum"), middle)
     dealt = placed.withColumns(
         {"shard": F.least(F.lit(n_shards - 1), F.floor(middle.cast("decimal(38,0)") * n_shards / (2 * max(total, 1))).cast("int")), "__index": at(counts) + F.row_number().over(part) - 1}
