@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -106,7 +105,3 @@ def words(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.n
     weighed = np.where(mask[1:-1], (low.astype(np.uint64) + np.uint64(1)) * powers(int((end - first).max()))[np.minimum(within, int((end - first).max()) - 1)], np.uint64(0))
     return mixed(np.add.reduceat(weighed, first)), first, end, begins
 
-
-def java_class(pattern: str) -> re.Pattern[str]:
-    """The same pattern for Python, as tests use it."""
-    return re.compile(pattern)

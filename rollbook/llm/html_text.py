@@ -29,8 +29,10 @@ APART = frozenset("nav footer aside form dialog menu button fieldset".split())
 APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
     "comment comments discussion disqus replies respond cookie cookies consent notice alert popup modal newsletter subscribe signup login search share sharing social "
-    "related recommended complementary contentinfo".split()
+    "related recommended complementary contentinfo gdpr disclaimer pagination masthead topbar adbox adslot".split()
 )
+#: Names of page headers, which an article may also use for its own.
+HEADER_NAMES = frozenset({"header"})
 MAIN = frozenset({"article", "main"})
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,16 +43,20 @@ def _apart(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if name in MAIN or name in ("html", "body"):
         return any(_words(m) & {"comment", "comments"} for m in _NAMED.finditer(attributes)) if name == "article" else False
-    return any(_words(m) & APART_NAMES for m in _NAMED.finditer(attributes))
+    names = APART_NAMES if in_main else APART_NAMES | HEADER_NAMES
+    return any(_words(m) & names for m in _NAMED.finditer(attributes))
 
 
 def _words(m: re.Match[str]) -> set[str]:
-    return set(re.split(r"[^a-z]+", next(x for x in m.groups() if x is not None).lower()))
+    """The words of an attribute's names; names such as has-sidebar or no-ads say what an element has, not what it is."""
+    value = next(x for x in m.groups() if x is not None).lower()
+    return {w for name in value.split() if not re.match(r"(?:has|no|with|without|is|show|hide)[-_]", name) for w in re.split(r"[^a-z]+", name)}
 
 
 def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     """The page's lines in order, the characters that count for each (those outside links), and whether it stands in an
-    article or main element. What stands apart (menus, footers, adverts ...) is one empty line."""
+    article or main element. What stands apart (menus, footers, adverts ...) is one empty line; it is told by its element,
+    class, id and role."""
     out, lengths, inside = [], [], []
     parts: list[str] = []
     plain = 0
