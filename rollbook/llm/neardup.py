@@ -142,6 +142,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after more links: components are found among those that the links join, not anew."""
+    sides = _labelled(links.select(F.col("a").alias("node"), "b"), labels).select(F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("b").alias("node"))
+    sides = common.stored(_labelled(sides, labels).select("a", "ca", F.col("node").alias("b"), F.col("comp").alias("cb")).where("ca != cb"), "joins")
+    if sides.isEmpty():
+        return labels
+    comps = components(sides.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    fresh = sides.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(sides.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).where("node = comp").distinct()
+    known = labels.union(fresh.join(labels.select("node"), "node", "left_anti"))
+    return common.stored(known.join(comps, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
 def _joined(pairs: DataFrame, values: DataFrame, column: str, names: tuple[str, str]) -> DataFrame:
     a = values.select(F.col("node").alias("a"), F.col(column).alias(names[0]))
     b = values.select(F.col("node").alias("b"), F.col(column).alias(names[1]))
@@ -207,9 +219,9 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(nodes: _Nodes) -> DataFrame:
-    """(a, b): confirmed links that connect all nodes that similar sets connect. Links within a component that others
-    connect already need not be among them."""
+def linked(nodes: _Nodes) -> DataFrame:
+    """(node, comp) of all nodes that similar sets connect with others: the component's least node. Links within a component
+    that others connect already are not looked for."""
     members = nodes.signatures.select("node", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = common.stored(members.join(shared, "key"), "buckets")
@@ -230,10 +242,9 @@ def links(nodes: _Nodes) -> DataFrame:
     found = _near(nodes, rest)
     texts = nodes.texts(found.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct())
     second = _confirm(found, texts, "links")
-    out = first.union(second)
+    labels = joined_labels(labels, second)
     if crowd.isEmpty():
-        return out
-    labels = components(out)
+        return labels
     # in crowded buckets: sets with that similarity share one of their rarest shingles, as many as may differ and one
     tokens = common.stored(texts.join(crowd, "node").select("node", "text").mapInArrow(_hashed, "node long, tokens array<long>"), "tokens")
     each = tokens.select("node", F.explode("tokens").alias("token"))
@@ -248,11 +259,10 @@ def links(nodes: _Nodes) -> DataFrame:
     star = _labelled(prefix, labels).join(middle, "token").where("node != centre")
     star = star.join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left").where("comp != coalesce(centre_comp, centre)")
     third = _confirm(_near(nodes, star.select(*_ordered("node", "centre")).distinct()), texts, "links")
-    out = out.union(third)
-    labels = components(out)
+    labels = joined_labels(labels, third)
     pairs, _ = _across(_labelled(prefix, labels), "token", None)
     fourth = _confirm(_near(nodes, pairs.where(room).select(*_ordered("node", "node_b")).distinct()), texts, "links")
-    return out.union(fourth)
+    return joined_labels(labels, fourth)
 
 
 def _near(nodes: _Nodes, pairs: DataFrame) -> DataFrame:
@@ -269,7 +279,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     nodes = _Nodes(documents)
-    labels = components(links(nodes))
+    labels = linked(nodes)
     classes = _labelled(nodes.classes, labels)
     groups = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = classes.join(groups, "comp").select(*nodes.keys, "component_id")
@@ -282,7 +292,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """documents, with all their columns, with one row of each component: the one with the least doc_id, of equal ones
     the first. Texts without words all stay. documents must give the same rows in the same order when read again."""
     nodes = _Nodes(documents)
-    labels = components(links(nodes))
+    labels = linked(nodes)
     named = _labelled(nodes.classes, labels).select(*nodes.keys, "comp")
     rows = common.stored(nodes.features.select("doc_id", "row", *nodes.keys).join(named, nodes.keys).select("doc_id", "row", "comp"), "members")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
