@@ -12,8 +12,7 @@ from rollbook.llm import common, decontaminate, mixing, neardup, sharding, toxic
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below toxicity.THRESHOLD; the classifier learns from those of docs that have labels."""
     model = toxicity.trained(docs, common.table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*names)
+    return toxicity.scored(docs, model, "__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with shard and slot. Documents are keyed by where they stand in the files that the stage before wrote, so that
     each shard is one stretch of the mixed sequence and has its weights; shards are nearly equal in bytes."""
     placed = docs.select("*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__offset"), F.monotonically_increasing_id().alias("__row"), sharding.law_weight("bytes").alias("__bytes"))
-    return sharding.shard(placed, sharding.N_SHARDS, ["__file", "__offset", "__row"], "__bytes").select(*docs.columns, "shard", "slot")
+    return sharding.shard(placed, sharding.N_SHARDS, ["__file", "__offset", "__row"], "__bytes").select(*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 
 
 STAGES = [

@@ -224,9 +224,12 @@ def training_sample(documents: DataFrame, labels: DataFrame) -> tuple[pa.Array,
     sizes = documents.select("doc_id", F.octet_length("text").alias("size")).where((remainder() != 1) & (F.col("size") > 0))  # texts are not shuffled
     few = common.stored(sizes.join(known, "doc_id").withColumn("at", F.xxhash64("doc_id", F.lit(11))), "labelled")
     drawn: dict = {}
+    counts = {r["toxic"]: r["count"] for r in few.groupBy("toxic").count().collect()}
     for toxic in (0, 1):
         room = SAMPLE_BYTES // 2
-        for r in few.where(F.col("toxic") == toxic).orderBy("at", "doc_id", "size").limit(SAMPLE_ROWS // 2).collect():
+        # about twice as many as are wanted come from all tasks together, in the order of the hash
+        chance = min(1.0, SAMPLE_ROWS / max(counts.get(toxic, 0), 1))
+        for r in few.where((F.col("toxic") == toxic) & (F.pmod("at", F.lit(1 << 40)) <= int(chance * (1 << 40)))).orderBy("at", "doc_id", "size").limit(SAMPLE_ROWS // 2).collect():
             if r["doc_id"] not in drawn and r["size"] <= room:
                 room -= r["size"]
                 drawn[r["doc_id"]] = (r["at"], toxic)
@@ -242,12 +245,12 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
     return fit(*training_sample(documents, labels))
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """documents, with all their columns, and `score`. Null and empty texts have the bias alone: not toxic. Texts are
-    read whole, of any length; repeated rows score alike. A column named score is replaced."""
+def scored(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """documents, with all their columns, and their score in `column`, which is replaced if it is there. Null and empty
+    texts have the bias alone: not toxic. Texts are read whole, of any length; repeated rows score alike."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    names = [c for c in documents.columns if c != "score"]
+    names = [c for c in documents.columns if c != column]
     rows = documents.select(F.struct(*names).alias("row"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +260,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sent.value.scores(part.column("text")), pa.float64())], ["row", "score"])
 
     kind = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(score, kind).select("row.*", "score")
+    return rows.mapInArrow(score, kind).select("row.*", F.col("score").alias(column))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
