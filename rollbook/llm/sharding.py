@@ -4,7 +4,6 @@ key, overfull ranges are subdivided, and a running sum over each range deals its
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,11 +151,6 @@ def op1_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(common.table(spark, sf_dir, "documents"))
 
 
-def range_index(keys: list, splitters: list) -> list[int]:
-    """The same ranges in plain Python, for tests."""
-    return [bisect_right(splitters, k) for k in keys]
-
-
 #: Bytes to crc32 is a fold over each byte's bits-table entry; the table comes from the polynomial of IEEE 802.3.
 CRC32_SQL = """
 WITH RECURSIVE crc_step AS (
