@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from rollbook.llm import common, decontaminate, mixing, neardup, sharding, toxicity
 
+#: Near copies of which one stays: Jaccard similarity in percent, at least.
+NEAR_PERCENT = 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below toxicity.THRESHOLD; the classifier learns from those of docs that have labels."""
@@ -16,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

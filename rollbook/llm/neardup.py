@@ -3,7 +3,9 @@ the hash evaluations fill a signature; bands of it give candidates, and full shi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +15,12 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this percent where the caller gives none.
 PERCENT = 85
-#: 50 permutations give 100 values, in 20 bands of 5: a pair of similarity 0.85 has no band in common once in 120,000.
-PERMUTATIONS, ROWS = 50, 5
-BANDS = 2 * PERMUTATIONS // ROWS
-#: Pairs whose signatures agree in a smaller share are not looked at further (4.7 standard deviations below 0.85).
-LEAST_ESTIMATE = 0.68
+#: 50 permutations give 100 values.
+PERMUTATIONS = 50
+#: A pair of just the least similarity has no band in common with this chance at most.
+MOST_MISSED = 1e-5
 #: Buckets with more pairs across components than this are resolved by the prefix join.
 MOST_PAIRS = 48
 
@@ -28,6 +29,21 @@ _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 
 
+def band_rows(percent: int) -> int:
+    """Values in a band: as many as MOST_MISSED allows. 85 gives 20 bands of 5 (no band in common once in 120,000), 80
+    gives 25 of 4 (once in 500,000)."""
+    if not 11 <= percent <= 100:
+        raise ValueError("percent must be from 11 to 100: below, single values miss too many pairs")
+    return max(r for r in range(1, 2 * PERMUTATIONS + 1) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MOST_MISSED)
+
+
+def least_estimate(percent: int) -> float:
+    """Pairs whose signatures agree in a smaller share are not looked at further: 4.75 standard deviations below percent
+    (0.68 for 85, 0.61 for 80)."""
+    p = percent / 100
+    return math.floor(100 * (p - 4.75 * math.sqrt(p * (1 - p) / (2 * PERMUTATIONS)))) / 100
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text of up to 256, sorted, as 64-bit numbers (row in the top 8 bits, 56 bits of
     hash below), and where each row's begin (with the end last)."""
@@ -77,16 +93,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
                 yield batch.slice(at, min(256, last - at))
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    bands = 2 * PERMUTATIONS // size
     for block in _blocks(batches, "text"):
         keys, begins = shingle_sets(block.column("text"))
         one, two, values = signatures(keys, begins)
         n = block.num_rows
-        banded = np.zeros((n, BANDS), np.uint64)
-        powers = common.powers(ROWS + 1)
-        for b in range(BANDS):
-            banded[:, b] = common.mixed((common.mixed(values[:, b * ROWS : (b + 1) * ROWS]) * powers[1:]).sum(1, dtype=np.uint64) + np.uint64(b))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(banded.view(np.int64).ravel()))
+        banded = np.zeros((n, bands), np.uint64)
+        powers = common.powers(size + 1)
+        for b in range(bands):
+            banded[:, b] = common.mixed((common.mixed(values[:, b * size : (b + 1) * size]) * powers[1:]).sum(1, dtype=np.uint64) + np.uint64(b))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(banded.view(np.int64).ravel()))
         short = np.ascontiguousarray((values >> np.uint64(24)).astype(np.uint16))
         yield pa.RecordBatch.from_arrays(
             [block.column("doc_id"), block.column("row"), pa.array(np.diff(begins)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array([r.tobytes() for r in short], pa.binary())],
@@ -94,12 +111,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        near = (a == b).mean(1) >= LEAST_ESTIMATE
+        near = (a == b).mean(1) >= least
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -112,11 +129,11 @@ def similar(left: pa.Array, right: pa.Array, percent: int = PERCENT) -> np.ndarr
     return (union > 0) & (100 * both >= percent * union)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             block = batch.slice(at, 256)
-            yield block.select(["a", "b"]).filter(pa.array(similar(block.column("ta"), block.column("tb"))))
+            yield block.select(["a", "b"]).filter(pa.array(similar(block.column("ta"), block.column("tb"), percent)))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +178,13 @@ def _joined(pairs: DataFrame, values: DataFrame, column: str, names: tuple[str,
 
 
 class _Nodes:
-    """Classes of equal shingle sets, and what is known of them."""
+    """Classes of equal shingle sets, and what is known of them; percent is the least similarity of a link."""
 
-    def __init__(self, documents: DataFrame):
+    def __init__(self, documents: DataFrame, percent: int):
+        self.percent = percent
         rows = documents.select("doc_id", "text")
         kind = documents.schema["doc_id"].dataType.simpleString()
-        self.features = common.stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_featured, f"doc_id {kind}, row long, n long, one long, two long, bands array<long>, signature binary"), "minmax")
+        self.features = common.stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_featured, size=band_rows(percent)), f"doc_id {kind}, row long, n long, one long, two long, bands array<long>, signature binary"), "minmax")
         keys = ["one", "two", "n"]
         self.classes = common.stored(self.features.where("n > 0").groupBy(*keys).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("own")), "classes")
         chosen = self.features.join(self.classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "signature")
@@ -193,8 +211,8 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(begins)), block.column("text")], ["one", "two", "n", "text"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    return common.stored(_joined(pairs, texts, "text", ("ta", "tb")).mapInArrow(_confirmed, "a long, b long"), name)
+def _confirm(nodes: _Nodes, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return common.stored(_joined(pairs, texts, "text", ("ta", "tb")).mapInArrow(partial(_confirmed, percent=nodes.percent), "a long, b long"), "links")
 
 
 def _across(members: DataFrame, key: str, most: int | None) -> tuple[DataFrame, DataFrame]:
@@ -222,6 +240,7 @@ def _ordered(a: str, b: str) -> list:
 def linked(nodes: _Nodes) -> DataFrame:
     """(node, comp) of all nodes that similar sets connect with others: the component's least node. Links within a component
     that others connect already are not looked for."""
+    percent = nodes.percent
     members = nodes.signatures.select("node", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = common.stored(members.join(shared, "key"), "buckets")
@@ -232,16 +251,16 @@ def linked(nodes: _Nodes) -> DataFrame:
     star = members.join(centres, "key").where("node != centre").select(*_ordered("node", "centre")).distinct()
     found = _near(nodes, star)
     texts = nodes.texts(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    first = _confirm(found, texts, "links")
+    first = _confirm(nodes, found, texts)
     labels = components(first)
 
     # then pairs across the components of a bucket
     pairs, dense = _across(_labelled(members.select("key", "node", "n"), labels), "key", MOST_PAIRS)
-    rest = common.stored(pairs.where(f"100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)").select(*_ordered("node", "node_b")).distinct(), "pairs")
+    rest = common.stored(pairs.where(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)").select(*_ordered("node", "node_b")).distinct(), "pairs")
     crowd = common.stored(members.join(dense.select("key"), "key").select("node", "n").distinct(), "crowd")
     found = _near(nodes, rest)
     texts = nodes.texts(found.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct())
-    second = _confirm(found, texts, "links")
+    second = _confirm(nodes, found, texts)
     labels = joined_labels(labels, second)
     if crowd.isEmpty():
         return labels
@@ -250,35 +269,36 @@ def linked(nodes: _Nodes) -> DataFrame:
     each = tokens.select("node", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = each.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    length = F.size("ts") - F.ceil(F.size("ts") * PERCENT / 100).cast("int") + 1
+    length = F.size("ts") - F.ceil(F.size("ts") * percent / 100).cast("int") + 1
     prefix = by_rarity.select("node", F.size("ts").alias("n"), F.posexplode(F.slice("ts", F.lit(1), length)).alias("at", "t")).where("t.df > 1").select("node", "n", "at", F.col("t.token").alias("token"))
     prefix = common.stored(prefix, "prefix")
-    room = f"1 + least(n - at - 1, n_b - at_b - 1) >= ceil({PERCENT} / {100 + PERCENT}D * (n + n_b) - 1e-9) AND 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)"
+    room = f"1 + least(n - at - 1, n_b - at_b - 1) >= ceil({percent} / {100 + percent}D * (n + n_b) - 1e-9) AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
     # again a star first: the member whose token stands earliest in its order has the fewest rare shingles
     middle = prefix.groupBy("token").agg(F.min_by("node", F.struct("at", "node")).alias("centre"))
     star = _labelled(prefix, labels).join(middle, "token").where("node != centre")
     star = star.join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left").where("comp != coalesce(centre_comp, centre)")
-    third = _confirm(_near(nodes, star.select(*_ordered("node", "centre")).distinct()), texts, "links")
+    third = _confirm(nodes, _near(nodes, star.select(*_ordered("node", "centre")).distinct()), texts)
     labels = joined_labels(labels, third)
     pairs, _ = _across(_labelled(prefix, labels), "token", None)
-    fourth = _confirm(_near(nodes, pairs.where(room).select(*_ordered("node", "node_b")).distinct()), texts, "links")
+    fourth = _confirm(nodes, _near(nodes, pairs.where(room).select(*_ordered("node", "node_b")).distinct()), texts)
     return joined_labels(labels, fourth)
 
 
 def _near(nodes: _Nodes, pairs: DataFrame) -> DataFrame:
-    return common.stored(_joined(pairs, nodes.signatures, "signature", ("sa", "sb")).mapInArrow(_estimated, "a long, b long"), "near")
+    return common.stored(_joined(pairs, nodes.signatures, "signature", ("sa", "sb")).mapInArrow(partial(_estimated, least=least_estimate(nodes.percent)), "a long, b long"), "near")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, and copies (documents with an equal set).
 
     Words are runs of anything but ASCII white space, with A-Z in lower case; a set has the distinct 5-word shingles, or
     the whole sequence where there are fewer words. Null, empty and blank texts have an empty set and stand alone. Equal
-    sets are linked without being expanded into pairs. A component's id is its least doc_id; a null doc_id has none
-    below it only if all its component's ids are null. Rows that repeat a doc_id are judged each by its own text. An
-    empty table gives an empty table; columns other than doc_id and text are ignored.
+    sets are linked without being expanded into pairs, others where their Jaccard similarity is percent / 100 or more. A
+    component's id is its least doc_id; a null doc_id has none below it only if all its component's ids are null. Rows
+    that repeat a doc_id are judged each by its own text. An empty table gives an empty table; columns other than doc_id
+    and text are ignored.
     """
-    nodes = _Nodes(documents)
+    nodes = _Nodes(documents, percent)
     labels = linked(nodes)
     classes = _labelled(nodes.classes, labels)
     groups = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -288,10 +308,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents, with all their columns, with one row of each component: the one with the least doc_id, of equal ones
-    the first. Texts without words all stay. documents must give the same rows in the same order when read again."""
-    nodes = _Nodes(documents)
+    the first; links need a Jaccard similarity of percent / 100. Texts without words all stay. documents must give the
+    same rows in the same order when read again."""
+    nodes = _Nodes(documents, percent)
     labels = linked(nodes)
     named = _labelled(nodes.classes, labels).select(*nodes.keys, "comp")
     rows = common.stored(nodes.features.select("doc_id", "row", *nodes.keys).join(named, nodes.keys).select("doc_id", "row", "comp"), "members")
