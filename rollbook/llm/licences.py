@@ -1,6 +1,6 @@
 """Licence scan by a positional index of rare words: a document's licence words with the highest IDF are looked up in the
-postings of the licence templates, postings whose relative positions agree vote for one place of one template, and the
-template's mandatory phrases are verified at that place."""
+postings of the licence templates and nominate places of templates, as do mandatory phrases; at a nominated place where all
+of the template's mandatory phrases stand, every licence word whose relative position agrees votes."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ TEMPLATES = (
 )
 #: Words of templates that never serve as index keys.
 FUNCTION_WORDS = frozenset("a and any are by for in into is of or out the this to under use v with without".split())
-#: So many of a document's licence words, by IDF, are looked up; a template counts from this share of its own words on.
+#: So many of a document's licence words, by IDF, nominate places; a template counts from this share of its own words on.
 LOOKED_UP, LEAST_SHARE = 12, 0.6
 
 
@@ -95,15 +95,20 @@ def template_matches(scan: DataFrame) -> DataFrame:
     kept = F.slice(F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(F.element_at(ranks, x["w"]).alias("rank"), x["w"].alias("w"))))), 1, LOOKED_UP)
     looked = scan.where(F.size("found") > 0).withColumn("keys", F.transform(kept, lambda x: x["w"]))
     hits = looked.select("row", F.explode(F.filter("found", lambda x: F.array_contains("keys", x["w"]))).alias("x")).select("row", "x.i", "x.w")
-    at = ("row", "template", "start")
-    votes = hits.join(index, "w").groupBy("row", "template", (F.col("i") - F.col("position")).alias("start")).agg(F.count(F.lit(1)).alias("votes"))
+    start = (F.col("i") - F.col("position")).alias("start")
+    nominated = hits.join(index, "w").select("row", "template", start)
     facts = [(t, label, sum(1 for _, t2, _ in postings() if t2 == t), len(must)) for t, (label, _, must) in enumerate(TEMPLATES)]
     known = spark.createDataFrame(facts, "template int, label string, keys int, phrases int")
     musts = spark.createDataFrame(mandatory(), "p string, template int, position int")
     stands = scan.where(F.size("phrases") > 0).select("row", F.explode("phrases").alias("x")).select("row", "x.i", F.explode("x.ps").alias("p"))
-    held = stands.join(musts, "p").groupBy("row", "template", (F.col("i") - F.col("position")).alias("start")).agg(F.count(F.lit(1)).alias("held"))
+    held = stands.join(musts, "p").groupBy("row", "template", start).agg(F.count(F.lit(1)).alias("held"))
+    held = held.join(known, "template").where(F.col("held") == F.col("phrases"))
+    places = nominated.union(held.select("row", "template", "start")).distinct().join(held, ["row", "template", "start"])
+    # all licence words of the few rows with such a place vote, not only the rare ones
+    words = scan.join(places.select("row").distinct(), "row", "left_semi").select("row", F.explode("found").alias("x")).select("row", "x.i", "x.w")
+    votes = words.join(index, "w").groupBy("row", "template", start).agg(F.count(F.lit(1)).alias("votes"))
     share = F.col("votes") / F.col("keys")
-    return votes.join(held, list(at)).join(known, "template").where((share >= LEAST_SHARE) & (F.col("held") == F.col("phrases"))).select("row", "label", "start", share.alias("share"))
+    return votes.join(places, ["row", "template", "start"]).where(share >= LEAST_SHARE).select("row", "label", "start", share.alias("share"))
 
 
 def licence_scan(documents: DataFrame) -> DataFrame:
@@ -112,8 +117,8 @@ def licence_scan(documents: DataFrame) -> DataFrame:
     score is the largest share of a verified template's key words that stand in place; 1 for a base phrase alone, 0 for
     none. Null and empty texts have no words and no labels ('' in both columns, score 0). Repeated rows are scanned
     alike, each in its own row; several equal matches in a text count once in labels and each in n_base. Texts are read
-    whole, and a row's places never leave its row but for the few licence words that are looked up. An empty table gives
-    an empty table; columns other than doc_id and text are ignored.
+    whole, and a row's places never leave its row but for the rare licence words, and all licence words of texts with a
+    template's mandatory phrases. An empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     scan = common.stored(scanned(documents), "licences")
     best = template_matches(scan).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # a set of labels: as many as there are templates

@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from conftest import DATA
 
-from rollbook.llm import neardup
+from rollbook.llm import licences, neardup
 
 
 def _least_linked(rows, percent):
@@ -51,3 +51,16 @@ def test_near_duplicate_stage_links_from_80_percent(spark, monkeypatch, most_pai
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, DATA).collect()}
     assert kept == {i for i in group if group[i] == i}
+
+
+def test_verbatim_notices_of_one_file_are_all_found(spark):
+    """15 distinct licence words and more: the commoner ones vote, too. Filler rows make the common words of both notices
+    common in the table."""
+    notices = {label: notice for label, notice, _ in licences.TEMPLATES}  # of mit, the permission text
+    both = f"{notices['mit']} and {notices['apache-2.0']}"
+    every = " then ".join(notice for _, notice, _ in licences.TEMPLATES)
+    filler = [(100 + i, "license licensed version") for i in range(50)]
+    docs = spark.createDataFrame([(1, both), (2, every), *filler], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.licence_scan(docs).collect() if r["doc_id"] < 100}
+    assert got[1] == ("apache-2.0,mit", 1.0)
+    assert set(got[2][0].split(",")) == {label for label, _, _ in licences.TEMPLATES} | set(licences.BASE_PHRASES.values()) - {"reserved"}
