@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import duckdb
 import pytest
 from conftest import DATA
 
@@ -64,3 +65,18 @@ def test_verbatim_notices_of_one_file_are_all_found(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.licence_scan(docs).collect() if r["doc_id"] < 100}
     assert got[1] == ("apache-2.0,mit", 1.0)
     assert set(got[2][0].split(",")) == {label for label, _, _ in licences.TEMPLATES} | set(licences.BASE_PHRASES.values()) - {"reserved"}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(1, both), (2, every), *filler])
+    told = {i: (labels, score) for i, labels, score in db.sql(f"SELECT doc_id, labels, score FROM ({licences.ORACLES['op7_rare_token_index']}) WHERE doc_id < 100").fetchall()}
+    assert told == got
+
+
+def test_rare_postings_miss_no_place():
+    """Each set of a template's words with enough votes holds one that is looked up, whatever the words' frequencies."""
+    for idf in ({}, {w: i * 7919 % 101 for i, (w, _, _) in enumerate(licences.postings())}):
+        rare = licences.rare_postings(idf)
+        for t in range(len(licences.TEMPLATES)):
+            own = [p for p in licences.postings() if p[1] == t]
+            looked = [p for p in rare if p[1] == t]
+            assert looked and len(own) - len(looked) < licences.LEAST_SHARE * len(own)
