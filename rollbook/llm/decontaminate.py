@@ -4,11 +4,12 @@ suffix of every benchmark item is looked up in it by binary search, and what mat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,16 +182,27 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
             yield part.column("row"), part.column("text")
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame) -> Iterator[Block]:
-    """The items in blocks of BLOCK_BYTES of text (one longer item is a block of its own). Each block is collected by
-    itself, and there are as many passes over the documents as blocks."""
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    sized = common.stored(sized.withColumn("size", F.octet_length("text")), "items")
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id (a string; '' for null), text and size. An item longer than a block is cut into pieces of the same id that
+    overlap by WINDOW - 1 words, so that every window of it is in a piece."""
+    sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text IS NOT NULL").withColumn("size", F.octet_length("text"))
+    step = max(BLOCK_BYTES // 16, WINDOW)
+    words = F.array_remove(F.split(F.regexp_replace("text", common.NON_WORD + "+", " "), " "), "")
+    long = sized.where(F.col("size") > BLOCK_BYTES).withColumn("words", words).where(F.size("words") > 0)
+    first = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)), F.lit(step)))
+    cut = long.withColumn("first", first).select("item_id", F.array_join(F.slice("words", F.col("first"), F.lit(step + WINDOW - 1)), " ").alias("text"))
+    return sized.where(F.col("size") <= BLOCK_BYTES).union(cut.withColumn("size", F.octet_length("text")))
+
+
+def blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """The items in blocks of about BLOCK_BYTES of text. Each block is collected by itself when it is asked for, and there
+    are as many passes over the documents as blocks."""
+    sized = common.stored(_items(benchmark), "items")
     if (total := sized.agg(F.sum("size")).first()[0] or 0) <= BLOCK_BYTES:
         yield Block([(r["item_id"], r["text"]) for r in sized.collect()])
         return
     n = -(-2 * total // BLOCK_BYTES)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    part = F.pmod(F.xxhash64("item_id", F.octet_length("text"), F.substring("text", 1, 200)), F.lit(n))
     for k in range(n):
         yield Block([(r["item_id"], r["text"]) for r in sized.where(part == k).collect()])
 
@@ -201,13 +213,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     A-Z are in lower case and words are runs of digits, letters a-z and anything beyond ASCII. Every window of 10 words
     of an item (a shorter item: all its words) is looked up; a document's word is hit if it stands in any occurrence.
     Null and empty texts have no words and no hits; items without words match nothing; several items with one id count
-    as one. Repeated documents are each judged in their own row. Empty tables give no rows, or no hits. Columns other
-    than doc_id and text, item_id and text are ignored.
+    as one. An item without an id counts as one whose id is the empty string. Repeated documents are each judged in their
+    own row. Empty tables give no rows, or no hits. Columns other than doc_id and text, item_id and text are ignored.
+    documents must give the same rows in the same order when read again, if the items take more than one block.
     """
-    parts = [df for _, df in _passes(documents, benchmark, lambda rows, column, block: shard_hits(rows, column, block), "n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")]
-    out = parts[0]
-    if len(parts) > 1:  # as many rows of a document as there are blocks of items
-        out = reduce(DataFrame.union, (common.stored(p, "hits") for p in parts)).groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = _passes(documents, benchmark, shard_hits, "n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
+    if isinstance(out, list):  # as many rows of a document as there are blocks of items
+        out = reduce(DataFrame.union, out).groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     covered = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["last"] - F.greatest(x["first"], a["end"]), F.lit(0))).alias("n"), F.greatest(x["last"], a["end"]).alias("end")))["n"]
     items = F.array_sort(F.array_distinct("items"))
     return out.select(
@@ -215,46 +227,69 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _passes(documents: DataFrame, benchmark: DataFrame, function, fields: str, order: str = "row struct<doc_id:{},k:bigint>, ") -> Iterator[tuple[Block, DataFrame]]:
+def _passes(documents: DataFrame, benchmark: DataFrame, function, fields: str, key: str = "row struct<doc_id:{},k:bigint>, ") -> DataFrame | list[DataFrame]:
+    """What the function gives for runs of documents and a block of items. With several blocks each pass is written and its
+    block let go before the next is collected."""
     spark = documents.sparkSession
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = key.format(documents.schema["doc_id"].dataType.simpleString()) + fields
     rows = documents.select(F.struct("doc_id", F.monotonically_increasing_id().alias("k")).alias("row"), "text")
-    for block in blocks(spark, benchmark):
+
+    def over(block: Block) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(block)
 
-        def matched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, column in _shards(batches):
                 yield function(ids, column, sent.value)
 
-        yield block, rows.mapInArrow(matched, order.format(kind) + fields)
+        return rows.mapInArrow(matched, schema), sent
+
+    several = blocks(benchmark)
+    df, sent = over(next(several))
+    out = []
+    for block in several:
+        out.append(common.stored(df, "hits"))
+        sent.unpersist()
+        df, sent = over(block)
+    return [*out, common.stored(df, "hits")] if out else df
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
     """(item_id, item_word, n_matched, doc_id, doc_word): for each place of an item at which `least` words or more match
-    some document word for word, the longest such match and one place of it (the least doc_id and word)."""
-    fields = "item_id string, item_word long, n_matched long, row struct<doc_id:{},k:bigint>, doc_word long"
-    parts = [df for _, df in _passes(documents, benchmark, lambda rows, column, block: shard_longest(rows, column, block, least), "", fields)]
-    best = reduce(DataFrame.union, parts).groupBy("item_id", "item_word").agg(F.max_by(F.struct("n_matched", "row.doc_id", "doc_word"), F.struct("n_matched", -F.col("row.doc_id"), -F.col("doc_word"))).alias("x"))
-    return best.select("item_id", "item_word", "x.n_matched", "x.doc_id", "x.doc_word")
+    some document word for word, the longest such match and one place of it (the least doc_id and word). Places of items
+    longer than a block are counted from the beginning of their piece."""
+    fields = "item_id string, item_word long, n_matched long, row struct<doc_id:{},k:bigint>, doc_word long".format(documents.schema["doc_id"].dataType.simpleString())
+    parts = _passes(documents, benchmark, partial(shard_longest, least=least), fields, "")
+    best = (reduce(DataFrame.union, parts) if isinstance(parts, list) else parts).groupBy("item_id", "item_word").agg(F.max("n_matched").alias("n_matched"), F.max_by(F.struct("row.doc_id", "doc_word"), F.struct("n_matched", -F.col("row.doc_id"), -F.col("doc_word"))).alias("x"))
+    return best.select("item_id", "item_word", "n_matched", "x.doc_id", "x.doc_word")
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents, with all their columns, without those that hold a window of an item. Each row is judged by its own
-    text, so nothing is joined or shuffled; several blocks of items filter one after the other."""
+    """documents, with all their columns, without those that hold a window of an item, by the rules of contamination(): null
+    and empty texts stay, copies go with each other, items without an id count, no items leave all. Each row is judged by
+    its own text, so nothing is joined or shuffled; with several blocks of items what is left is written after each, but
+    for the last."""
     spark = documents.sparkSession
     names = documents.columns
     rows = documents.select(F.struct(*names).alias("row"), "text")
     kind = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
-    for block in blocks(spark, benchmark):
+
+    def over(rows: DataFrame, block: Block) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(block)
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, column in _shards(batches):
                 hits = shard_hits(pa.nulls(len(ids), pa.int64()), column, sent.value)
                 none = pa.compute.equal(pa.compute.list_value_length(hits.column("spans")), 0)
                 yield pa.RecordBatch.from_arrays([ids.filter(none)], ["row"])
 
-        rows = rows.mapInArrow(clean, kind).select("row", "row.text")
+        return rows.mapInArrow(clean, kind).select("row", "row.text"), sent
+
+    several = blocks(benchmark)
+    rows, sent = over(rows, next(several))
+    for block in several:
+        rows = common.stored(rows, "clean")
+        sent.unpersist()
+        rows, sent = over(rows, block)
     return rows.select("row.*")
 
 
@@ -265,7 +300,7 @@ def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP4_SQL = rf"""
-WITH i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS ws FROM benchmark),
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS w FROM (
   SELECT item_id, unnest(list_transform(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1), lambda k: ws[k:k + {WINDOW - 1}])) AS w FROM i WHERE len(ws) > 0)),
 d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS ws FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -80,13 +81,18 @@ def test_js_distance():
 
 
 def test_contamination(spark, docs):
-    items = spark.createDataFrame([("b", PASSAGE.upper()), ("a", "tiny"), ("e", ""), ("n", None), ("z", "never there at all in any of these documents ok"), (None, "x")], "item_id string, text string")
+    items = spark.createDataFrame([("b", PASSAGE.upper()), ("a", "tiny"), ("e", ""), ("n", None), ("z", "never there at all in any of these documents ok"), (None, "words beyond")], "item_id string, text string")
+    odd = [(20, "some words beyond that"), (21, f"words beyond and {PASSAGE}")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
     out = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect() if r["doc_id"] is not None}
+    # an item without an id has the id ''
+    assert (out[20]["n_hit"], out[20]["n_items"], out[20]["items"]) == (2, 1, [""]) and out[21]["items"] == ["", "b"]
+    assert out[21]["items_sha256"] == hashlib.sha256(b",b").hexdigest()
     assert out[12]["n_hit"] == 12 and out[12]["items"] == ["b"] and out[9]["items"] == ["a"] and out[9]["n_hit"] == 1
-    assert {i for i, r in out.items() if r["contaminated"]} == {9, 10, 12}
+    assert {i for i, r in out.items() if r["contaminated"]} == {9, 10, 12, 20, 21}
     assert out[6]["n_words"] == 0 and out[8]["n_words"] == 60_000
     clean = decontaminate.decontaminated(docs, items)
-    assert clean.columns == docs.columns and clean.count() == docs.count() - 3
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 5
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     best = decontaminate.longest_matches(docs, items).collect()
@@ -94,11 +100,13 @@ def test_contamination(spark, docs):
 
 
 def test_contamination_in_blocks(spark, docs, monkeypatch):
-    items = spark.createDataFrame([("b", PASSAGE), ("a", "tiny"), ("c", "five six seven eight nine ten eleven twelve outro")], "item_id string, text string")
+    long = " ".join(f"long{i % 997}" for i in range(100, 160))
+    items = spark.createDataFrame([("b", PASSAGE), ("a", "tiny"), ("long", long), (None, "never there"), ("c", "five six seven eight nine ten eleven twelve outro")], "item_id string, text string")
     whole = sorted(pairs(decontaminate.contamination(docs, items), "doc_id", "n_hit", "items_sha256"), key=str)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 250)
     assert sorted(pairs(decontaminate.contamination(docs, items), "doc_id", "n_hit", "items_sha256"), key=str) == whole
-    assert decontaminate.decontaminated(docs, items).count() == docs.count() - 3
+    assert any(h > 3000 for _, h, _ in whole)
+    assert decontaminate.decontaminated(docs, items).count() == docs.count() - 4
 
 
 @pytest.mark.parametrize("seed", range(4))
