@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -249,32 +250,69 @@ def test_mixing(spark, docs):
     out = mixing.mixed(docs, {"hot": 3, "": 1}, 1000)
     assert out.columns == docs.columns and Counter(map(str, out.collect())) == Counter(map(str, docs.collect()))
     assert mixing.mixed(docs.limit(0)).count() == 0
-    skewed = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 84) AS text", "if(id % 3 = 0, 'hot', concat('s', id % 5)) AS source")
-    rows = mixing.planned(skewed, None, 1000).collect()
-    assert len(rows) == 3000 and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
-    blocks = {(r["slot"], r["source"], r["block"]) for r in rows}
-    assert len({s for s, _, _ in blocks}) == len(blocks)  # a slot serves one block
-    for source in {r["source"] for r in rows}:
-        order = sorted((r["slot"], r["order"]) for r in rows if r["source"] == source)
+    with pytest.raises(ValueError, match="over 0"):
+        mixing.mixed(docs, {"hot": 0})
+
+
+def _ideal(blocks, weights, slots):
+    """What each source has been served after each slot at its ideal rate, in fractions."""
+    served = [Fraction(0)] * len(blocks)
+    out = [list(served)]
+    for _ in range(slots):
+        left = Fraction(1)
+        while left:
+            active = [s for s, n in enumerate(blocks) if served[s] < n]
+            if not active:
+                break
+            total = sum(weights[s] for s in active)
+            step = min([left, *((blocks[s] - served[s]) * total / weights[s] for s in active)])
+            for s in active:
+                served[s] += step * weights[s] / total
+            left -= step
+        out.append(list(served))
+    return out
+
+
+@pytest.mark.parametrize("case", [([6], [1]), ([5, 5], [1, 1]), ([7, 20, 3], [7, 2, 1]), ([40, 9, 9, 2, 1], [5996, 4000, 4, 1, 1]), ([3, 30, 17, 12], [13, 3, 5, 11])])
+def test_pfair_lag(case):
+    """No source is a block ahead of or behind its ideal service at any time, also after others have run out."""
+    blocks, weights = case
+    plan = mixing.schedule(blocks, weights)
+    assert [slot for *_, slot in plan] == list(range(sum(blocks))) and len({(s, j) for s, j, *_ in plan}) == sum(blocks)
+    ideal, done = _ideal(blocks, weights, len(plan)), [0] * len(blocks)
+    for s, j, release, deadline, slot in plan:
+        assert release <= slot < deadline and done[s] == j
+        done[s] += 1
+        assert all(abs(d - x) < 1 for d, x in zip(done, ideal[slot + 1], strict=True))
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 0.5996, "s0": 0.4, "t7": 0.0004, "nowhere": 2}])
+def test_mixing_of_many_sources(spark, weights):
+    """300 sources, one of them with a third of all rows: each row keeps its source, small sources share one stream, and the
+    schedule is what plain Python makes of the streams."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 84) AS text", "if(id % 3 = 0, 'hot', if(id % 3 = 1, concat('s', id % 5), concat('t', id % 293))) AS source")
+    rows = mixing.planned(df.coalesce(2), weights, 2000).collect()
+    assert Counter(r["source"] for r in rows) == Counter(r["source"] for r in df.collect())
+    size = Counter(r["source"] for r in rows)
+    size = {s: 100 * n for s, n in size.items()}
+    if weights is None:
+        weight = {s: b**0.7 for s, b in size.items()}
+    else:
+        weight = {s: weights.get(s, b / 300_000 * sum(weights.values())) for s, b in size.items()}
+    large = sorted((s for s in size if size[s] > 2000), key=lambda s: (-weight[s], s))
+    streams = {s: (size[s], weight[s]) for s in large} | {None: (sum(b for s, b in size.items() if s not in large), sum(w for s, w in weight.items() if s not in large))}
+    total = sum(w for _, w in streams.values())
+    plan = mixing.schedule([-(-b // 2000) for b, _ in streams.values()], [round(w / total * 10**12) for _, w in streams.values()])
+    where = {(list(streams)[s], j): (slot, release, deadline) for s, j, release, deadline, slot in plan}
+    for r in rows:
+        stream = r["source"] if r["source"] in large else None
+        slot, release, deadline = where[stream, r["block"]]
+        assert r["block"] == r["order"] * 100 // 2000 and abs(r["slot"] - slot) <= 1 and r["release"] <= r["slot"] < r["deadline"]
+    for stream in streams:
+        order = sorted((r["slot"], r["order"]) for r in rows if (r["source"] if r["source"] in large else None) == stream)
         assert [k for _, k in order] == list(range(len(order)))
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 3, "b": 5, "c": 11, "d": 13}])
-def test_pfair_lag(weights):
-    period, done = sum(weights.values()), Counter()
-    plan = mixing.schedule(weights)
-    assert [s for *_, s in plan] == list(range(period))
-    for source, _, release, deadline, slot in plan:
-        assert release <= slot < deadline
-        done[source] += 1
-        assert all(abs(done[s] - w * (slot + 1) / period) < 1 for s, w in weights.items())
-
-
-def test_phases_renormalise():
-    out = mixing.phases({"a": 10, "b": 2, "none": 0}, {"a": 2, "b": 1, "none": 4})
-    assert out == [(0, 0, 0, {"a": 2, "b": 1}), (1, 2, 6, {"a": 2})]
-
-
 def _lines_brute(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     seen, gone = set(), {i: set() for i in order}
