@@ -314,25 +314,35 @@ def test_mixing_of_many_sources(spark, weights):
 
 
 def _lines_brute(rows):
+    """Numbers of deleted lines by row, from the definition."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
-    seen, gone = set(), {i: set() for i in order}
     texts = {i: [x for x in (rows[i][1] or "").split("\n") if x.split()] for i in order}
+    first, found, gone = {}, [], {i: set() for i in order}
     for i in order:
         ls = texts[i]
-        for k in range(len(ls)):
-            for size in (1, 2, 3):
-                run = tuple(ls[k : k + size])
-                if len(run) == size and (size == 3 or sum(len(x.split()) for x in run) >= 50):
-                    if run in seen:
-                        gone[i] |= set(range(k, k + size))
-                    seen.add(run)
-    return Counter((rows[i][0], len(texts[i]), len(gone[i])) for i in order)
+        for p in range(len(ls)):
+            runs = [tuple(ls[p : p + size]) for size in (1, 2, 3) if p + size <= len(ls)]
+            runs = [r for r in runs if len(r) == 3 or sum(len(x.split()) for x in r) >= 50]
+            earlier = [(*first[r], len(r)) for r in runs if first.setdefault(r, (i, p)) != (i, p)]
+            if earlier:
+                j, q, size = earlier[-1]
+                n = next(n for n in range(len(ls) + 1) if ls[p + n : p + n + 1] != texts[j][q + n : q + n + 1] or p + n == len(ls))
+                found.append((i, p, j, q, size, n))
+    for i, p, j, q, size, n in found:
+        n = min(m for *run, m in found if run[0] == i and run[2:] == [j, q, size]) if i == j else n
+        gone[i] |= set(range(p, p + n)) - (set(range(q, q + n)) if i == j else set())
+    return gone, texts
+
+
+def _counts(rows):
+    gone, texts = _lines_brute(rows)
+    return Counter((rows[i][0], len(texts[i]), len(gone[i])) for i in gone)
 
 
 def test_line_dedup(spark, docs):
     rows = pairs(docs, "doc_id", "text")
     out = line_dedup.dedup_lines(docs)
-    assert Counter(pairs(out, "doc_id", "n_lines", "n_gone")) == _lines_brute(rows)
+    assert Counter(pairs(out, "doc_id", "n_lines", "n_gone")) == _counts(rows)
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[14] == "head" and text[13] == "line one is here\nline two is here\nline three is here\nlast a"
     assert text[6] is None and text[5] == "" and text[8] == LONG
@@ -346,4 +356,20 @@ def test_line_dedup_random(spark, seed):
     rng = random.Random(seed)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "d d", "x " * 30]) for _ in range(rng.randrange(12)))) for i in range(60)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
-    assert Counter(pairs(out, "doc_id", "n_lines", "n_gone")) == _lines_brute(rows)
+    assert Counter(pairs(out, "doc_id", "n_lines", "n_gone")) == _counts(rows)
+
+
+def test_first_copies_stay_whole(spark):
+    cases = {"a a a a a": "a a a", "x y x y x y": "x y x y", "1 2 3 4 5 " * 3: "1 2 3 4 5", "l m n l m n o l m n": "l m n o", "p q p q": "p q p q"}
+    rows = [(2 * i + k, "\n".join(text.split())) for i, text in enumerate(cases) for k in (0, 1)]
+    out = {r["doc_id"]: r["text"].split() for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [" ".join(out[2 * i]) for i in range(len(cases))] == list(cases.values())
+    assert not any(out[2 * i + 1] for i in range(len(cases)))
+
+
+def test_many_repeated_lines_and_runs(spark):
+    """A text of thousands of equal lines takes no time that grows with their square; maximal runs are told."""
+    docs = spark.createDataFrame([(1, "same\n" * 5_000), (2, "p\nq\nr\ns\nt"), (3, "o\np\nq\nr\ns\nu")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1].split() == ["same"] * 3 and got[2] == "p\nq\nr\ns\nt" and got[3] == "o\nu"
+    assert (3, 1, 4, 2, 0) in pairs(line_dedup.repeated_runs(docs.where("doc_id > 1")), "doc_id", "line", "n_lines", "first_doc_id", "first_line")
