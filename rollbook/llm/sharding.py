@@ -4,6 +4,7 @@ key, overfull ranges are subdivided, and a running sum over each range deals its
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +54,39 @@ def _splitters(rows: DataFrame, order_by: list[str], weight: str, total: int, n_
     return list(dict.fromkeys(picked))
 
 
-def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, whole: list[str] | None = None, n_ranges: int | None = None, oversample: int = 16, seed: int = 17) -> DataFrame:
+def fitted(groups: list[tuple[str, int]], n_shards: int, total: int) -> tuple[dict[str, int], list[int]]:
+    """Shards of heavy groups (key, weight): the heaviest first, each into the emptiest shard if it fits into the share of
+    the total that is left there; one that doesn't is left out. Also what is left of each share, times n_shards."""
+    free, out = [total] * n_shards, {}
+    for key, weight in sorted(groups, key=lambda g: (-g[1], g[0])):
+        s = free.index(max(free))
+        if weight * n_shards <= free[s]:
+            out[key] = s
+            free[s] -= weight * n_shards
+    return out, free
+
+
+def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, whole: str | None = None, n_ranges: int | None = None, oversample: int = 16, seed: int = 17) -> DataFrame:
     """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard).
 
     Records stand in the order of `order_by`; shard s holds those whose middle lies in the s-th part of the summed
     `weight`, so that any shard's sum differs from the mean by the heaviest record at most (with weight 1: counts
-    differ by one at most). Records that agree in `whole`, the first columns of order_by, are placed by their common
-    middle, and so stay together, if together they are no heavier than the heaviest record (nulls in `whole` are alone).
+    differ by one at most).
+
+    whole: the first column of order_by, a string; records that agree in it stay together in one shard if together they
+    weigh no more than a shard's share. Light groups, up to the heaviest record or 1/64 of a share, are placed in the
+    order by their common middle. Heavier ones, of which there are 64 * n_shards at most, are put into shards first, as
+    far as they fit, and the rest is dealt to what is left of each share; those that don't fit, as any that weigh more
+    than a share, are split among neighbouring shards like single records. Sums then differ from the mean by the heaviest
+    record or 1/64 of a share at most. Nulls in `whole` are alone.
+
     Null weights count as 0; if all weights are 0, records are counted instead. An empty table
     gives an empty table, and null keys come first. Rows with equal keys share a range; end `order_by` in a column that
     tells rows apart, so that a key that a third of all rows share is subdivided like any other. df is read several
     times and must return the same rows each time. Columns of df that are named shard or slot are replaced.
 
-    The driver gets the sample (about n_ranges * oversample keys) and one row for each range, whatever the input's size.
+    The driver gets the sample (about n_ranges * oversample keys), heavy groups and one row for each range, whatever the
+    input's size.
     """
     n_ranges = n_ranges or min(16_384, max(320, 8 * n_shards))
     rows = df.drop("shard", "slot").withColumn("__weight", F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0)))
@@ -104,19 +125,50 @@ def shard(df: DataFrame, n_shards: int, order_by: list[str], weight: str, *, who
         counts.append(counts[-1] + n)
     part = Window.partitionBy("__range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     own = F.col("__weight")
-    at = lambda values: F.get(_longs(values), F.col("__range"))
-    placed = ranged(splitters).withColumns({"__own": own, "__before": at(before) + F.sum(own).over(part) - own})
+    at = lambda values, i="__range": F.get(_longs(values), F.col(i))
+    placed = ranged(splitters).withColumns({"__own": own, "__before": at(before) + F.sum(own).over(part) - own, "__index": at(counts) + F.row_number().over(part) - 1})
+
+    heavy: list = []
+    if whole:
+        groups = rows.where(F.col(whole).isNotNull()).groupBy(whole).agg(F.sum("__weight").alias("w"), F.count(F.lit(1)).alias("n"))
+        heavy = sorted(groups.where((F.col("n") > 1) & (F.col("w") > max(stats["heaviest"], total // (64 * n_shards)))).collect(), key=lambda r: r[whole])
+    home, free = fitted([(r[whole], r["w"]) for r in heavy], n_shards, total)
+    # where the rows of heavy groups are in the order, and how much weight and how many rows of those with a home come before
+    names = [r[whole] for r in heavy]
+    homes = [home.get(name, -1) for name in names]
+    taken = [0, *accumulate(r["w"] if r[whole] in home else 0 for r in heavy)]
+    skipped = [0, *accumulate(r["n"] if r[whole] in home else 0 for r in heavy)]
+    if heavy:
+        upto = _range_of(F.struct(whole), [(name,) for name in names], fields[:1])
+        is_heavy = F.coalesce(F.get(F.split(F.lit(",".join(names)), ","), F.col("__upto") - 1) == F.col(whole), F.lit(False))
+        placed = placed.withColumn("__upto", F.when(F.col(whole).isNull(), 0).otherwise(upto)).withColumn("__heavy", is_heavy)
+        placed = placed.withColumn("__home", F.when(F.col("__heavy"), F.get(_longs(homes), F.col("__upto") - 1)).otherwise(-1))
+        placed = placed.withColumns({"__before": F.col("__before") - at(taken, "__upto"), "__place": F.when(F.col("__home") < 0, F.col("__index") - at(skipped, "__upto")).otherwise(F.col("__index"))})
+    else:
+        placed = placed.withColumns({"__upto": F.lit(0), "__heavy": F.lit(False), "__home": F.lit(-1), "__place": F.col("__index")})
     middle = 2 * F.col("__before") + F.col("__own")  # twice the weight that stands before the record's middle
     if whole:
-        groups = placed.groupBy(*whole).agg(F.sum("__own").alias("__sum"), F.min("__before").alias("__start"), F.count(F.lit(1)).alias("__n"))
-        placed = placed.join(groups.where((F.col("__n") > 1) & (F.col("__sum") <= stats["heaviest"])).drop("__n"), whole, "left")
+        light = placed.where(~F.col("__heavy"))
+        groups = light.where(F.col(whole).isNotNull()).groupBy(whole).agg(F.sum("__own").alias("__sum"), F.min("__before").alias("__start"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+        placed = light.join(groups, whole, "left").unionByName(placed.where(F.col("__heavy")), allowMissingColumns=True)
         middle = F.coalesce(2 * F.col("__start") + F.col("__sum"), middle)
-    dealt = placed.withColumns(
-        {"shard": F.least(F.lit(n_shards - 1), F.floor(middle.cast("decimal(38,0)") * n_shards / (2 * max(total, 1))).cast("int")), "__index": at(counts) + F.row_number().over(part) - 1}
-    )
-    heads = {r["shard"]: r["first"] for r in dealt.groupBy("shard").agg(F.min("__index").alias("first")).collect()}
-    first = F.get(_longs([heads.get(s, 0) for s in range(n_shards)]), F.col("shard"))
-    return dealt.withColumn("slot", F.col("__index") - first).drop("__weight", "__range", "__index", "__own", "__before", "__sum", "__start")
+    # a record's middle falls into what is left of a shard's share; shares are whole numbers times n_shards
+    ends = F.transform(F.split(F.lit(",".join(str(2 * e) for e in accumulate(free[:-1]))), ",") if n_shards > 1 else F.array().cast("array<string>"), lambda e: e.cast("decimal(38,0)"))
+    share = F.size(F.filter(ends, lambda e: e <= F.col("__middle")))
+    dealt = placed.withColumn("__middle", middle.cast("decimal(38,0)") * n_shards).withColumn("shard", F.when(F.col("__home") >= 0, F.col("__home")).otherwise(share).cast("int"))
+    dealt = dealt.withColumn("__group", F.when(F.col("__home") >= 0, F.col("__upto")).otherwise(0))
+    heads = {(r["shard"], r["__group"]): (r["first"], r["n"]) for r in dealt.groupBy("shard", "__group").agg(F.min("__place").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    rest, lead, fill = [], [0] * (len(heavy) + 1), {}
+    for s in range(n_shards):
+        first, n = heads.get((s, 0), (0, 0))
+        rest.append(first)
+        fill[s] = n
+    for (s, group), (first, n) in sorted(heads.items()):
+        if group:  # heavy groups follow the rest of their shard
+            lead[group] = first - fill[s]
+            fill[s] += n
+    first = F.when(F.col("__group") > 0, at(lead, "__group")).otherwise(at(rest, "shard"))
+    return dealt.withColumn("slot", F.col("__place") - first).drop("__weight", "__range", "__index", "__own", "__before", "__sum", "__start", "__upto", "__heavy", "__home", "__place", "__middle", "__group")
 
 
 def law_weight(law: str) -> Column:
@@ -131,9 +183,9 @@ def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, law: str = "
     `key`) and text_md5.
 
     Documents stand in the order of (md5 of the text, doc_id), so that equal texts stand together. By the law of bytes a
-    group of copies stays in one shard if it has no more bytes than the largest document; a larger group may span
-    neighbouring shards, as one that is larger than a shard must. Null and empty texts count 16 bytes and share the md5 of the empty text. Repeated rows all stay; a null
-    doc_id stays null and comes first. No row is lost.
+    group of copies stays in one shard if it fits into a shard's share (see shard()); a larger one must be split, and
+    spans neighbouring shards. Null and empty texts count 16 bytes and share the md5 of the empty text. Very long texts
+    count whole. Repeated rows all stay; a null doc_id stays null and comes first. No row is lost.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = common.stored(
@@ -143,7 +195,7 @@ def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, law: str = "
         ),
         "sharding",
     )
-    dealt = shard(narrow, n_shards, ["text_md5", "doc_id", "row"], "weight", whole=["text_md5"] if law == "bytes" else None)
+    dealt = shard(narrow, n_shards, ["text_md5", "doc_id", "row"], "weight", whole="text_md5" if law == "bytes" else None)
     return dealt.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "text_md5")
 
 
@@ -174,9 +226,22 @@ crcs AS (
          sum(octet_length(encode(text)) + 16) OVER () AS total,
          row_number() OVER (ORDER BY md5(text), doc_id NULLS FIRST) AS place
   FROM hexed JOIN crcs USING (h)
-), grouped AS (SELECT *, sum(size) OVER (PARTITION BY text_md5) AS g, min(run - size) OVER (PARTITION BY text_md5) AS g_start, max(size) OVER () AS heaviest FROM placed),
-dealt AS (SELECT *, least({N_SHARDS - 1}, (CASE WHEN g <= heaviest THEN 2 * g_start + g ELSE 2 * run - size END) * {N_SHARDS} // (2 * total))::INT AS shard FROM grouped)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard, text_md5 FROM dealt
+), heavy AS (SELECT text_md5, sum(size)::HUGEINT AS g, row_number() OVER (ORDER BY sum(size) DESC, text_md5) AS i, any_value(total)::HUGEINT AS total FROM placed
+  GROUP BY text_md5 HAVING count(*) > 1 AND sum(size) > greatest((SELECT max(size) FROM placed), any_value(total) // (64 * {N_SHARDS}))
+), fit AS (
+  SELECT 0 AS i, NULL::VARCHAR AS text_md5, -1 AS home, list_transform(range({N_SHARDS}), lambda x: t) AS free FROM (SELECT max(total)::HUGEINT AS t FROM placed)
+  UNION ALL
+  SELECT heavy.i, heavy.text_md5, CASE WHEN g * {N_SHARDS} <= list_max(free) THEN list_position(free, list_max(free)) - 1 ELSE -1 END,
+    CASE WHEN g * {N_SHARDS} <= list_max(free) THEN list_transform(range(1, {N_SHARDS} + 1), lambda s: free[s] - CASE WHEN s = list_position(free, list_max(free)) THEN g * {N_SHARDS} ELSE 0 END) ELSE free END
+  FROM fit JOIN heavy ON heavy.i = fit.i + 1
+), ends AS (SELECT list_transform(range(1, {N_SHARDS}), lambda s: list_sum(free[1:s])) AS e FROM (SELECT free FROM fit ORDER BY i DESC LIMIT 1)),
+homes AS (SELECT text_md5, home FROM fit WHERE home >= 0),
+rest AS (SELECT doc_id, size, text_crc32, text_md5, place, sum(size) OVER (ORDER BY place) AS run FROM placed WHERE text_md5 NOT IN (SELECT text_md5 FROM homes)),
+grouped AS (SELECT *, sum(size) OVER (PARTITION BY text_md5) AS g, min(run - size) OVER (PARTITION BY text_md5) AS g_start, text_md5 IN (SELECT text_md5 FROM heavy) AS split FROM rest),
+dealt AS (
+  SELECT doc_id, size, text_crc32, text_md5, place, 0 AS last, len(list_filter(e, lambda x: 2 * x <= (CASE WHEN split THEN 2 * run - size ELSE 2 * g_start + g END) * {N_SHARDS}))::INT AS shard FROM grouped, ends
+  UNION ALL SELECT doc_id, size, text_crc32, text_md5, place, 1, home FROM placed JOIN homes USING (text_md5))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY last, place) - 1 AS slot, NULL::INT AS grown_shard, text_md5 FROM dealt
 """
 )
 

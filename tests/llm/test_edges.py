@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,27 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(docs.limit(0), 5).count() == 0
 
 
+def test_groups_stay_whole_up_to_a_share(spark, canonical):
+    """100 equal texts in a shard of 8,410 bytes, groups that fit together or not at all, and one larger than a share."""
+    texts = [f"text {i} " + "y" * (i % 190) for i in range(1500)]
+    copies = {"a" * 200: 25, "b" * 120: 40, "c" * 60: 60, "d": 300, "e" * 180: 22, "g" * 100: 700, "h" * 30: 90}
+    texts += [t for t, n in copies.items() for _ in range(n)]
+    rows = [(i * 7919 % 100_003, t) for i, t in enumerate(texts)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)).toPandas()
+    where = out.groupby("text_md5")["shard"].nunique()
+    share = sum(len(t) + 16 for t in texts) / 40
+    for t, n in copies.items():
+        assert (where[hashlib.md5(t.encode()).hexdigest()] == 1) == (n * (len(t) + 16) <= share), t
+    assert (where > 1).sum() == sum(n * (len(t) + 16) > share for t, n in copies.items()) > 0
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 40 and (abs(sizes - share) <= 216).all()
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in out.groupby("shard"))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert canonical(out) == canonical(db.sql(sharding.OP1_SQL).df())
+
+
 def test_sharding_counts_and_hot_keys(spark):
     df = spark.range(1000).select(F.lit("same").alias("k"), F.monotonically_increasing_id().alias("row"), F.lit(1).alias("w"), F.lit("x").alias("shard"))
     out = sharding.shard(df, 7, ["k", "row"], "w", n_ranges=20)
