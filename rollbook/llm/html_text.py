@@ -16,13 +16,10 @@ from . import common
 #: Lines of a window, and the summed characters at which text surges.
 WINDOW, SURGE = 3, 80
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup, each with what ends it.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg iframe textarea select title".split()}
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[\"'>]")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements and names of what isn't the article, elements that hold it, and elements within a line.
 APART = frozenset("nav footer aside form dialog menu button fieldset".split())
@@ -53,6 +50,42 @@ def _words(m: re.Match[str]) -> set[str]:
     return {w for name in value.split() if not re.match(r"(?:has|no|with|without|is|show|hide)[-_]", name) for w in re.split(r"[^a-z]+", name)}
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether it closes, attributes) of the page's tags, in order, in one pass forward. Comments, other
+    declarations and elements without markup inside have the name ''. A `<` that begins no tag is text, as is a tag that
+    isn't ended. Quotes count as long as they are paired: from the first that isn't, tags end at the next `>`."""
+    at, paired, last = 0, True, html.rfind(">")
+    while 0 <= (begin := html.find("<", at)) < last:
+        m = _NAME.match(html, begin)
+        if not m:
+            at = begin + 1
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else len(html)
+            elif html[at : at + 1] in ("!", "?"):
+                at = html.find(">", at) + 1
+            else:
+                continue
+            yield begin, at, "", False, ""
+            continue
+        at = m.end()
+        while paired and (stop := _STOP.search(html, at)) and stop[0] != ">":
+            at = html.find(stop[0], stop.end()) + 1
+            paired = at > 0
+        at = html.find(">", at if paired else m.end()) + 1
+        if not at:  # all that is left stands in quotes
+            paired, at = False, html.find(">", m.end()) + 1
+        name, close = m[2].lower(), bool(m[1])
+        if name in RAW and not close:
+            end = RAW[name].search(html, at)
+            at = end.end() if end else len(html)
+            yield begin, at, "", False, ""
+        else:
+            yield begin, at, name, close, html[m.end() : at - 1]
+    if last >= 0 and 0 <= (begin := html.find("<!--", max(at, last))):  # a comment that isn't ended
+        yield begin, len(html), "", False, ""
+
+
 def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     """The page's lines in order, the characters that count for each (those outside links), and whether it stands in an
     article or main element. What stands apart (menus, footers, adverts ...) is one empty line; it is told by its element,
@@ -79,13 +112,11 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             if not link:
                 plain += len(text.strip())
 
-    for m in _TOKEN.finditer(html):
-        put(html[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for begin, end_of_tag, name, close, attributes in tags(html):
+        put(html[at:begin])
+        at = end_of_tag
         if not name:
             continue
-        close = bool(m[2])
         if apart:
             if name in MAIN and not close and apart not in MAIN:
                 apart = ""  # an article begins: what stood apart was never closed
@@ -106,7 +137,7 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
         if name == "body" and not close and not body:  # what stands before the body isn't text
             body = True
             out, lengths, inside = [], [], []
-        if not close and name not in VOID and not m[4].rstrip().endswith("/") and _apart(name, m[4], main > 0):
+        if not close and name not in VOID and not attributes.rstrip().endswith("/") and _apart(name, attributes, main > 0):
             apart, depth = name, 1
             main = max(0, main - 1) if name in MAIN else main
             out.append("")
@@ -118,9 +149,11 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
 
 
 def extract(html: str | None) -> str:
-    """The article of a page. Lines outside article and main elements count as empty where the page has any with text; the
-    distribution of the rest decides. In it, every run of windows with text that surges somewhere is kept whole, from
-    its first line to the dive; without any surge, the run with most text."""
+    """The article of a page. Element and class names are hints: what stands apart by them is empty, and lines outside
+    article and main elements are, too, where the page has any of these with text. The distribution of the text outside
+    links decides: a run of windows with text that surges somewhere is kept, from its first line with such text to the
+    last before the dive, with lines of links between them (menus, whose windows have none, end a run); without any
+    surge, the run with most text."""
     if not html:
         return ""
     texts, lengths, inside = lines(html)
@@ -139,8 +172,12 @@ def extract(html: str | None) -> str:
     if not runs:
         return ""
     kept = [r for r in runs if sums[r[0] : r[1]].max() >= SURGE] or [max(runs, key=lambda r: total[r[1]] - total[r[0]])]
-    whole = not any(inside)
-    return " ".join(texts[i] for a, b in kept for i in range(a, b) if texts[i] and (size[i] > 0 or whole))
+    main = any(inside)
+    out = []
+    for a, b in kept:
+        counted = np.flatnonzero(size[a:b]) + a
+        out += [texts[i] for i in range(counted[0], counted[-1] + 1) if texts[i] and (size[i] > 0 or not main)]
+    return " ".join(out)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +191,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
-    Null and empty html give ''. Pages are read whole and broken markup is read as far as it goes: an element that is
-    never closed ends with the page or where an article begins. Repeated pages each keep their row; an empty table gives
+    Null and empty html give ''. Pages are read whole, in time in proportion to their length, and broken markup is read as
+    far as it goes: an element that is never closed ends with the page or where an article begins. Repeated pages each keep their row; an empty table gives
     an empty table; columns other than page_id, url and html are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}

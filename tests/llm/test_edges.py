@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
+import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -190,6 +193,42 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x ', "<a '", "<", "<!", "<!--", "</", "<p>x<", '<a ">" ', "<script>", "<b class=", "&amp", "<div><p>t ", '<i x="'])
+def test_long_broken_pages(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.extract(page)
+    html_text.extract(page + '">' + page + "'")
+    assert time.process_time() - began < 15
+
+
+def test_broken_markup_is_text():
+    assert html_text.extract("a < b and <c d") == "a < b and <c d"
+    assert html_text.extract('<p title="a>b">one</p><p class=\'x">two</p> <!-- never closed <p>three') == "one two"
+    assert html_text.extract("x<!-- a --><!doctype y>z <SCRIPT>no</script >w") == "xz w"
+
+
+def _neutral(html):
+    """The page without what its names tell: article, nav and so on as div, no classes or ids."""
+    html = re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b", r"<\1div", html)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]*)""", "", html)
+
+
+def test_density_decides_without_names(duck):
+    """Pages whose elements and classes tell nothing: menus go by their links, the article's text is there."""
+    pages = duck.sql("SELECT html FROM pages").fetchall()
+    assert len(pages) >= 50
+    for (html,) in pages:
+        text = html_text.extract(html)
+        got = html_text.extract(_neutral(html))
+        blocks = difflib.SequenceMatcher(None, text.split(), got.split(), autojunk=False).get_matching_blocks()
+        assert sum(b.size for b in blocks) >= 0.95 * len(text.split())
+        menu = re.findall(r'<li><a href="[^"]*">([^<]*)</a>', html.split("<article>")[0])
+        words = " ".join(menu)
+        assert menu and got.count(words) == text.count(words) and not got.startswith(menu[-1])
+        assert len(got) <= len(text) + 300
+
+
 def test_licences(spark, docs):
     out = {r["doc_id"]: r for r in licences.licence_scan(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
     assert out[15]["base_labels"] == "reserved" and out[15]["labels"] == "apache-2.0,reserved" and out[15]["n_base"] == 1 and out[15]["first_word"] == 0
