@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ PERMUTATIONS = 50
 MOST_MISSED = 1e-5
 #: Buckets with more pairs across components than this are resolved by the prefix join.
 MOST_PAIRS = 48
+#: Bits of the filter that tells which texts are wanted.
+MOST_FILTER_BITS = 1 << 26
+#: A shingle with more than this part of all rows of shingles is joined by broadcast: there are no more than so many.
+HOT_PART = 4096
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,33 +187,50 @@ class _Nodes:
 
     def __init__(self, documents: DataFrame, percent: int):
         self.percent = percent
-        rows = documents.select("doc_id", "text")
+        rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
         kind = documents.schema["doc_id"].dataType.simpleString()
-        self.features = common.stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_featured, size=band_rows(percent)), f"doc_id {kind}, row long, n long, one long, two long, bands array<long>, signature binary"), "minmax")
+        self.features = common.stored(rows.select("doc_id", "text", "row").mapInArrow(partial(_featured, size=band_rows(percent)), f"doc_id {kind}, row long, n long, one long, two long, bands array<long>, signature binary"), "minmax")
         keys = ["one", "two", "n"]
-        self.classes = common.stored(self.features.where("n > 0").groupBy(*keys).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("own")), "classes")
+        self.classes = common.stored(self.features.where("n > 0").groupBy(*keys).agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
         chosen = self.features.join(self.classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "signature")
         self.signatures = common.stored(chosen, "signatures")
         self.rows, self.keys = rows, keys
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of nodes; found by doc_id and, as ids may repeat, told apart by their sets."""
-        wanted = self.classes.join(nodes, "node").select("node", "one", "two", "n", F.col("own").alias("doc_id"))
-        found = self.rows.join(wanted.select("doc_id").distinct(), self.rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        told = found.mapInArrow(_told, "one long, two long, n long, text string")
-        return common.stored(told.join(wanted.drop("doc_id"), self.keys).dropDuplicates(["node"]).select("node", "text"), "texts")
+        """(node, text) of nodes (distinct). A filter of fixed size tells most other rows before any text is shuffled."""
+        wanted = common.stored(nodes, "wanted")
+        may = _may_hold(wanted)
+        found = self.rows.select(F.col("row").alias("node"), "text").where(may("node"))
+        return common.stored(found.join(wanted, "node", "left_semi"), "texts")
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches, "text"):
-        keys, begins = shingle_sets(block.column("text"))
-        at, full = begins[:-1], np.flatnonzero(np.diff(begins))
-        one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        if len(full):
-            own = keys & np.uint64((1 << 56) - 1)
-            one[full] = np.add.reduceat(common.mixed(own + np.uint64(0x1234567)), at[full])
-            two[full] = np.add.reduceat(common.mixed(own ^ np.uint64(0x5DEECE66D5DEECE6)), at[full])
-        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(begins)), block.column("text")], ["one", "two", "n", "text"])
+def _places(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Two bits of a filter of `size` bits (a power of two) for each number."""
+    spread = common.mixed(numbers.astype(np.int64).view(np.uint64) + np.uint64(0x51ED2701))
+    return np.stack([spread, common.mixed(spread)], 1) & np.uint64(size - 1)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = _places(batch.column("node").to_numpy(zero_copy_only=False), size).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+
+def _may_hold(nodes: DataFrame):
+    """A predicate that all of nodes fulfil and few other numbers: a Bloom filter with 16 bits for each, MOST_FILTER_BITS at
+    most (8 MiB, which is broadcast). Beyond some 16 million nodes it lets more and more pass, and never loses any."""
+    size = min(MOST_FILTER_BITS, 1 << max(13, (16 * nodes.count()).bit_length()))
+    marks = nodes.select("node").mapInArrow(partial(_marked, size=size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(size // 64, np.uint64)
+    words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+    sent = nodes.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may(numbers: pd.Series) -> pd.Series:
+        at = _places(numbers.to_numpy(), size)
+        return pd.Series(((sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(1))
+
+    return may
 
 
 def _confirm(nodes: _Nodes, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -267,15 +289,17 @@ def linked(nodes: _Nodes) -> DataFrame:
     # in crowded buckets: sets with that similarity share one of their rarest shingles, as many as may differ and one
     tokens = common.stored(texts.join(crowd, "node").select("node", "text").mapInArrow(_hashed, "node long, tokens array<long>"), "tokens")
     each = tokens.select("node", F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = each.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    total = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    df = common.stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "shingles")
+    hot = df.where(F.col("df") > max(total // HOT_PART, 1)).select("token")
+    by_rarity = _by_key(each, df, "token", hot).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     length = F.size("ts") - F.ceil(F.size("ts") * percent / 100).cast("int") + 1
     prefix = by_rarity.select("node", F.size("ts").alias("n"), F.posexplode(F.slice("ts", F.lit(1), length)).alias("at", "t")).where("t.df > 1").select("node", "n", "at", F.col("t.token").alias("token"))
     prefix = common.stored(prefix, "prefix")
     room = f"1 + least(n - at - 1, n_b - at_b - 1) >= ceil({percent} / {100 + percent}D * (n + n_b) - 1e-9) AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
     # again a star first: the member whose token stands earliest in its order has the fewest rare shingles
     middle = prefix.groupBy("token").agg(F.min_by("node", F.struct("at", "node")).alias("centre"))
-    star = _labelled(prefix, labels).join(middle, "token").where("node != centre")
+    star = _by_key(_labelled(prefix, labels), middle, "token", hot).where("node != centre")
     star = star.join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left").where("comp != coalesce(centre_comp, centre)")
     third = _confirm(nodes, _near(nodes, star.select(*_ordered("node", "centre")).distinct()), texts)
     labels = joined_labels(labels, third)
@@ -284,6 +308,13 @@ def linked(nodes: _Nodes) -> DataFrame:
     return joined_labels(labels, fourth)
 
 
+def _by_key(df: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """df joined with facts (one row for each key), where rows of the hot keys, HOT_PART at most, stay where they are."""
+    warm = df.join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key)
+    cool = df.join(F.broadcast(hot), key, "left_anti").join(facts, key)
+    return warm.unionByName(cool)
+
+
 def _near(nodes: _Nodes, pairs: DataFrame) -> DataFrame:
     return common.stored(_joined(pairs, nodes.signatures, "signature", ("sa", "sb")).mapInArrow(partial(_estimated, least=least_estimate(nodes.percent)), "a long, b long"), "near")
 
@@ -296,7 +327,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets are linked without being expanded into pairs, others where their Jaccard similarity is percent / 100 or more. A
     component's id is its least doc_id; a null doc_id has none below it only if all its component's ids are null. Rows
     that repeat a doc_id are judged each by its own text. An empty table gives an empty table; columns other than doc_id
-    and text are ignored.
+    and text are ignored. documents must give the same rows in the same order when read again.
     """
     nodes = _Nodes(documents, percent)
     labels = linked(nodes)
