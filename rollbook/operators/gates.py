@@ -37,3 +37,11 @@ def growth(before: DataFrame, after: DataFrame, factor: float, least: int) -> Da
 def enforced(gate: DataFrame) -> DataFrame:
     """The gate's row, or an error that fails the job."""
     return gate.select("gate", "value", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit("gate failed: "), "gate")).cast("boolean")).alias("ok"))
+
+
+def circuit_breaker(batches: DataFrame, order: str, failed: str, total: str, least: int = 3, share: float = 0.75) -> DataFrame:
+    """batches with stop (at least `least` failures, and `share` of all) and ran (no earlier batch stopped the rest). The
+    first batch that stops is one aggregate, not a sort of the log."""
+    out = batches.withColumn("stop", F.col(failed) >= F.greatest(F.lit(least), F.ceil(F.col(total) * share)))
+    first = out.agg(F.min(F.when(F.col("stop"), F.col(order))).alias("__first"))
+    return out.join(F.broadcast(first), F.lit(True)).withColumn("ran", F.col(order) <= F.coalesce("__first", order)).drop("__first")

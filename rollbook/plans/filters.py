@@ -44,7 +44,7 @@ def c5_screening(spark, sf_dir):
 
 
 def c6_classifiers(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike(r"(?i)\b(?:clips?|highlights?|fan)\b").alias("fan"), F.substring("text", 1, 40).rlike(r"(?i)\bI am\b|\bmy name\b").alias("self"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike(r"(?i)\b(?:clips?|highlights?|fan)\b").alias("fan"), F.col("text").rlike(r"(?i)\bI am\b|\bmy name\b").alias("self"))
 
 
 def c7_evidence(spark, sf_dir):
@@ -168,7 +168,7 @@ ORACLES = {
     "c3_browse": "SELECT doc_id, source FROM documents WHERE lang = 'fr' AND source = 'src3' AND contains(lower(text), 'les')",
     "c4_trend": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'o') AND p_type <> 'PROMO'",
     "c5_screening": rf"SELECT page_id, CASE WHEN contains(ti, 'pre-debut') THEN 'predebut' WHEN regexp_matches(ti, '(?i)(?:clips|fan) page') THEN 'fan_page' WHEN h LIKE 'ads-%' THEN 'excluded' WHEN ends_with(h, '.org') THEN 'organisation' WHEN NOT contains(html, '<article>') THEN 'no_evidence' WHEN length(html) < 1500 THEN 'activity_unconfirmed' WHEN ti = '' THEN 'no_name' WHEN NOT regexp_matches(url, '/\d+') THEN 'no_id' ELSE 'verified' END AS status FROM (SELECT *, {_TITLE} AS ti, {_H} AS h FROM pages)",
-    "c6_classifiers": r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(?:clips?|highlights?|fan)\b') AS fan, regexp_matches(text[1:40], '(?i)\bI am\b|\bmy name\b') AS self FROM conversations",
+    "c6_classifiers": r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(?:clips?|highlights?|fan)\b') AS fan, regexp_matches(text, '(?i)\bI am\b|\bmy name\b') AS self FROM conversations",
     "c7_evidence": "SELECT page_id, CASE WHEN contains(html, '</b><br>') THEN 'uploads' WHEN regexp_matches(html, '[1-9][0-9,]* videos') THEN 'video_count' WHEN contains(html, '<b>') THEN 'started' WHEN contains(html, '&copy;') THEN 'past' END AS evidence FROM pages",
     "c8_eligibility": "SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_shipdate > TIMESTAMP '1998-06-01' THEN 'future' WHEN l_quantity < 3 THEN 'no_views' WHEN l_discount >= 0.09::DOUBLE THEN 'free' ELSE 'accepted' END AS reason, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "c9_host_policy": f"SELECT page_id, url FROM pages WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract({_H}, '([^.]+[.][^.]+[.][^.]+)$', 1) AS d FROM pages WHERE url LIKE '%casino%' OR url LIKE '%cheap%') WHERE {_H} = d OR ends_with({_H}, '.' || d))",

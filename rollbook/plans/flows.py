@@ -56,10 +56,12 @@ def a7_reviewed_union(spark, sf_dir):
 
 
 def a8_paged_feed(spark, sf_dir):
-    """Turns as pages: whether each conversation's cursor strictly grows, and the first row of each text."""
-    t = table(spark, sf_dir, "conversations")
-    grown = F.col("turn") > F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.withColumn("grown", F.coalesce(grown, F.lit(True))).groupBy("conv_id").agg(F.bool_and("grown").alias("monotonic"), F.countDistinct("text").alias("n_texts"), F.min_by("role", "turn").alias("first_role"))
+    """Conversations as feeds with a page for each turn, whose cursor is its length: whether the cursor always grows from
+    page to page, whether the bounds of pages and rows hold, and the first row of each text."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), F.char_length("text").alias("cursor"), "role", "text")
+    feeds = files.paged_feed(t, "conv_id", "page", "cursor")
+    firsts = t.groupBy("conv_id", "text").agg(F.min_by("role", "page").alias("role")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("role") == "user").alias("n_asked"))
+    return feeds.join(firsts, "conv_id")
 
 
 def a9_saved_leads(spark, sf_dir):
@@ -111,7 +113,8 @@ def j3_recovered(spark, sf_dir):
 
 
 def j4_daily_counts(spark, sf_dir):
-    out = leads.drained(leads.daily_counts(_events(spark, sf_dir), "ts", "event_type", "1 day"), "complete")
+    out = leads.drained(leads.daily_counts(_events(spark, sf_dir), "ts", "event_type", "1 day"), "update")
+    out = out.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))  # counts only grow
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -130,7 +133,7 @@ ORACLES = {
     "a5_json_directory": "SELECT * FROM supplier",
     "a6_submissions": "SELECT p_partkey, 0 AS place, p_name AS name, p_brand AS ref FROM part UNION ALL SELECT p_partkey, 1, p_type, 'https://x.com/' || p_partkey FROM part",
     "a7_reviewed_union": "SELECT id, name, nation FROM (SELECT c_custkey AS id, c_name AS name, NULL::INT AS nation FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name, s_nationkey FROM supplier) WHERE id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
-    "a8_paged_feed": "SELECT conv_id, bool_and(coalesce(g, true)) AS monotonic, count(DISTINCT text) AS n_texts, arg_min(role, turn) AS first_role FROM (SELECT *, turn > lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations) GROUP BY 1",
+    "a8_paged_feed": "WITH p AS (SELECT conv_id, turn, max(length(text)) AS cursor, count(*) AS n FROM conversations GROUP BY 1, 2), f AS (SELECT conv_id, bool_and(coalesce(g, true)) AS monotonic, count(*) AS n_pages, count(*) <= 100 AND max(n) <= 1000 AS within FROM (SELECT *, cursor > lag(cursor) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM p) GROUP BY 1), t AS (SELECT conv_id, count(*) AS n_texts, count(*) FILTER (role = 'user') AS n_asked FROM (SELECT conv_id, text, arg_min(role, turn) AS role FROM conversations GROUP BY 1, 2) GROUP BY 1) SELECT * FROM f JOIN t USING (conv_id)",
     "a9_saved_leads": "SELECT page_id, html[1:500] AS snippet, 'pending' AS status FROM pages",
     "a10_overwrite": "SELECT n_nationkey, n_name, true AS written, false AS written_again FROM nation",
     "a11_csv_export": "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_acctbal < 0 THEN '''=' ELSE '' END || c_name AS name FROM customer",

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions import urls as u
-from ..operators import gates, search
+from ..operators import gates, replies, search
 from ..operators import ordering as o
 from .common import table
 
@@ -35,8 +33,9 @@ def d26_collisions(spark, sf_dir):
 
 
 def g2_name_order(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_name")), F.lower("c_name")), "c_name", "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(w).alias("place"))
+    reading = F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_name")), F.lower("c_name")).alias("reading")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", reading, "c_name")
+    return o.places(c, "c_mktsegment", ["reading", "c_name", "c_custkey"]).select("c_custkey", "place")
 
 
 def g3_ranked_hits(spark, sf_dir):
@@ -60,7 +59,7 @@ def g6_work_queue(spark, sf_dir):
 
 def g7_diversity(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("author", F.when(F.col("user_id") % 17 == 0, "").otherwise(F.col("user_id").cast("string")))
-    return o.diverse_first(e, [F.col("event_type"), F.col("author")], "event_id").select("event_id", "leads")
+    return o.diverse_first(e, ["event_type", "author"], "event_id").select("event_id", "leads")
 
 
 def g8_rotating_slice(spark, sf_dir):
@@ -74,7 +73,7 @@ def g8_rotating_slice(spark, sf_dir):
 def g9_interleaved(spark, sf_dir):
     """The documents of all sources in turn: all firsts, then all seconds, each text once."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h"))
-    turn = d.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    turn = o.places(d, "source", ["doc_id"]).withColumnRenamed("place", "turn")
     return turn.groupBy("h").agg(F.min(F.struct("turn", "source", "doc_id")).alias("x")).select("x.turn", "x.source", "x.doc_id")
 
 
@@ -93,16 +92,25 @@ def g12_oldest_first(spark, sf_dir):
 
 
 def g13_stopping(spark, sf_dir):
-    log = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("event_type") == "signup").alias("signups"), F.count(F.lit(1)).alias("n"))
-    log = log.withColumn("grew", F.col("signups") % 3 == 0)
-    out = o.streaks(log, "day", "grew")
-    run = F.sum("n").over(Window.orderBy("day"))
-    return out.withColumn("spent", run).select("day", "streak", "spent", o.stopping_reason(F.sum("signups").over(Window.orderBy("day")), F.col("spent"), F.col("streak"), 1500, 9000, 4).alias("reason"))
+    """Days as runs of a campaign, each with the first reason to stop that holds on it."""
+    log = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("event_type") == "signup").alias("signups"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n"))
+    out = o.streaks(log.withColumn("grew", F.col("signups") % 3 == 0), "day", "grew").withColumn("status", F.when(F.col("errors") % 11 == 0, "cancelled").when(F.col("errors") % 13 == 0, "query_budget_reached").otherwise("running"))
+    over = Window.orderBy("day")  # one row a day
+    out = out.withColumns({"spent": F.sum("n").over(over), "done": F.sum("signups").over(over)})
+    config = o.Campaign(target=1500, budget=9000, patience=4, terminal=("cancelled", "query_budget_reached"))
+    reason = o.stopping_reason(config, F.col("signups") % 7 != 0, F.col("done"), F.col("status"), F.col("spent"), F.col("day") >= "2024-01-27", F.col("streak"))
+    return out.select("day", "streak", "spent", reason.alias("reason"))
 
 
 def g14_catalogue_id(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.groupBy("p_brand").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("p_name")), "\n").cast("binary"), 256), 1, 16).alias("catalogue"), F.countDistinct("p_name").alias("n"))
+    """Brands as catalogues of part names in their order. Some have a cursor of their own, some one of the first half of
+    the catalogue, some none."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("place"), F.col("p_name").alias("query"))
+    half = p.groupBy("name").agg(F.floor((F.min("place") + F.max("place")) / 2).alias("middle"))
+    before = p.join(half, "name").where("place <= middle").select("name", "place", "query")
+    own, old = o.catalogues(p), o.catalogues(before)
+    known = own.where("name LIKE 'Brand#1%'").select("catalogue", (F.col("n") + 3).alias("cursor")).union(old.where("name LIKE 'Brand#2%'").select("catalogue", (F.col("n") - 1).alias("cursor")))
+    return o.resumed(own, old, known.distinct()).select(F.col("name").alias("p_brand"), "catalogue", "n", "cursor", "migrated_from")
 
 
 def g15_query_plan(spark, sf_dir):
@@ -161,51 +169,29 @@ def i8_marker_present(spark, sf_dir):
 
 
 def i9_circuit_breaker(spark, sf_dir):
+    """Batches of 50 events in order: whether each was run, as one with too many failures (all but views) stops the rest."""
     e = table(spark, sf_dir, "events").withColumn("batch", F.floor(F.col("event_id") / 50))
-    g = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return g.withColumn("stop", F.col("failed") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2)))
+    g = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") != "view").alias("failed"))
+    return gates.circuit_breaker(g, "batch", "failed", "n")
 
 
 def k1_parsed_reply(spark, sf_dir):
-    """Replies: prose, or the JSON object in them."""
+    """Replies: the JSON object in them, or else their whole prose; incomplete ones begin an object that has no end."""
     clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
-    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("text"))
+    cut = F.when(F.col("event_id") % 10 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), cut.alias("text"))
     talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    value = F.get_json_object("clean", "$.k")
-    return props.union(talk).withColumn("clean", clean).select("id", (~F.col("clean").isin("", "null", "undefined", "[]")).alias("valid"), value.isNotNull().alias("structured"), F.coalesce(value, F.substring("clean", 1, 60)).alias("reply"))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def closed_items(texts: pd.Series) -> pd.Series:
-    """The items of the first array in a text of JSON that was cut off: only those that are closed."""
-    import json
-
-    def items(text):
-        if text is None or (at := text.find("[")) < 0:
-            return []
-        decoder, out, at = json.JSONDecoder(), [], at + 1
-        while at < len(text):
-            while at < len(text) and text[at] in " \t\r\n,":
-                at += 1
-            try:
-                _, end = decoder.raw_decode(text, at)
-            except ValueError:
-                break
-            if end == len(text):  # a number or word at the very end may go on
-                if text[at] not in '"{[':
-                    break
-            out.append(text[at:end])
-            at = end
-        return out
-
-    return texts.map(items)
+    rows = props.union(talk).withColumn("clean", clean).withColumn("whole", F.try_parse_json("clean").isNotNull())
+    value = F.when(F.col("whole"), F.get_json_object("clean", "$.k"))
+    incomplete = F.col("clean").startswith("{") & ~F.col("whole")
+    return rows.select("id", (~F.col("clean").isin("", "null", "undefined", "[]") & ~incomplete).alias("valid"), value.isNotNull().alias("structured"), incomplete.alias("incomplete"), F.when(~incomplete, F.coalesce(value, "clean")).alias("reply"))
 
 
 def k2_partial_array(spark, sf_dir):
     """Arrays of a customer's order keys, cut off after 40 characters."""
     keys = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ks"))
     text = F.concat(F.lit('{"names": ['), F.array_join(F.transform("ks", lambda k: F.concat(F.lit('"'), k.cast("string"), F.lit('"'))), ", "), F.lit("]}"))
-    return keys.select("o_custkey", F.array_join(closed_items(F.substring(text, 1, 40)), "|").alias("items"))
+    return keys.select("o_custkey", F.array_join(replies.closed_items(F.substring(text, 1, 40)), "|").alias("items"))
 
 
 def k3_suggestions(spark, sf_dir):
@@ -248,19 +234,21 @@ _HITS = f"(SELECT q, id, min(CASE WHEN key = q AND place = 0 THEN 0 WHEN key = q
 ORACLES = {
     "d25_search": f"SELECT q, id, type FROM {_HITS}",
     "d26_collisions": f"SELECT q, count(DISTINCT id) AS n FROM {_WANT} LEFT JOIN {_KEYSQL} ON key = q GROUP BY 1",
-    "g2_name_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE WHEN c_acctbal > 0 THEN c_name ELSE lower(c_name) END, c_name, c_custkey)::INT AS place FROM customer",
+    "g2_name_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE WHEN c_acctbal > 0 THEN c_name ELSE lower(c_name) END, c_name, c_custkey) AS place FROM customer",
     "g3_ranked_hits": f"SELECT * FROM (SELECT q, id, type, row_number() OVER (PARTITION BY q ORDER BY type, id)::INT AS place FROM {_HITS}) WHERE place <= 5",
     "g4_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 60",
     "g5_stable_shuffle": "SELECT c_custkey FROM customer",
     "g6_work_queue": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderpriority = '1-URGENT', o_totalprice DESC, o_orderkey LIMIT 100",
     "g7_diversity": "SELECT event_id, user_id % 17 = 0 OR row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1 AS leads FROM events",
     "g8_rotating_slice": "SELECT c_custkey, min(ord) AS ord FROM (SELECT c_custkey, 0 AS ord FROM customer WHERE c_custkey - 1 < 2 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey - 1 >= (SELECT count(*) FROM customer) - 20 OR c_custkey - 1 < 40) GROUP BY 1",
-    "g9_interleaved": "WITH d AS (SELECT doc_id, source, md5(text) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS turn FROM documents) SELECT turn, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY turn, source, doc_id) AS c FROM d) WHERE c = 1",
+    "g9_interleaved": "WITH d AS (SELECT doc_id, source, md5(text) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT turn, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY turn, source, doc_id) AS c FROM d) WHERE c = 1",
     "g10_contiguous": "SELECT l_orderkey, bool_and(coalesce(s = 1, true)) AS contiguous FROM (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS s FROM lineitem) GROUP BY 1",
     "g11_latest": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1",
     "g12_oldest_first": "SELECT c_custkey, checked IS NULL AS never FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS checked FROM orders GROUP BY 1) ON c_custkey = o_custkey ORDER BY checked NULLS FIRST, c_custkey LIMIT 50",
-    "g13_stopping": "WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'signup') AS s, count(*) AS n FROM events GROUP BY 1), g AS (SELECT *, s % 3 = 0 AS grew, sum((s % 3 = 0)::INT) OVER (ORDER BY day) AS grp, sum(n) OVER (ORDER BY day)::BIGINT AS spent, sum(s) OVER (ORDER BY day) AS done FROM l), k AS (SELECT *, sum((NOT grew)::INT) OVER (PARTITION BY grp ORDER BY day)::BIGINT AS streak FROM g) SELECT day, streak, spent, CASE WHEN done >= 1500 THEN 'target' WHEN spent >= 9000 THEN 'budget' WHEN streak >= 4 THEN 'no_growth' END AS reason FROM k",
-    "g14_catalogue_id": "SELECT p_brand, substr(sha256(string_agg(DISTINCT p_name, chr(10) ORDER BY p_name)), 1, 16) AS catalogue, count(DISTINCT p_name) AS n FROM part GROUP BY 1",
+    "g13_stopping": "WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'error') AS e, count(*) AS n FROM events GROUP BY 1), g AS (SELECT *, s % 3 = 0 AS grew, sum((s % 3 = 0)::INT) OVER (ORDER BY day) AS grp, sum(n) OVER (ORDER BY day)::BIGINT AS spent, sum(s) OVER (ORDER BY day) AS done FROM l), k AS (SELECT *, sum((NOT grew)::INT) OVER (PARTITION BY grp ORDER BY day)::BIGINT AS streak FROM g) SELECT day, streak, spent, CASE WHEN s % 7 = 0 THEN 'disabled' WHEN done >= 1500 THEN 'target_reached' WHEN e % 11 = 0 THEN 'cancelled' WHEN spent >= 9000 THEN 'query_budget_reached' WHEN day >= '2024-01-27' THEN 'deadline_reached' WHEN streak >= 4 THEN 'paused_no_growth' END AS reason FROM k",
+    "g14_catalogue_id": """WITH p AS (SELECT *, (min(p_partkey) OVER b + max(p_partkey) OVER b) // 2 AS middle FROM part WINDOW b AS (PARTITION BY p_brand)),
+c AS (SELECT p_brand, substr(sha256(string_agg(p_name, chr(10) ORDER BY p_partkey)), 1, 16) AS own, count(*) AS n, substr(sha256(string_agg(p_name, chr(10) ORDER BY p_partkey) FILTER (p_partkey <= middle)), 1, 16) AS old, count(*) FILTER (p_partkey <= middle) AS m FROM p GROUP BY 1)
+SELECT p_brand, own AS catalogue, n, CASE WHEN p_brand LIKE 'Brand#1%' THEN (n + 3) % n WHEN p_brand LIKE 'Brand#2%' THEN (m - 1) % m ELSE 0 END AS cursor, CASE WHEN p_brand LIKE 'Brand#2%' THEN old END AS migrated_from FROM c""",
     "g15_query_plan": "SELECT DISTINCT lower(c_mktsegment) || ' supplier in ' || n_name AS query FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' OR n_name < 'M'",
     "h1_ordered_union": "SELECT k, min(ord) AS first FROM (SELECT c_nationkey AS k, c_custkey AS ord FROM customer UNION ALL SELECT c_nationkey + 5, c_custkey + 100000 FROM customer) GROUP BY 1",
     "h2_id_sets": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT count(*) AS n, sum(k)::BIGINT AS total, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT count(*), sum(k)::BIGINT, 'only_a' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT count(*), sum(k)::BIGINT, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT count(*), sum(k)::BIGINT, 'either' FROM (SELECT * FROM a UNION SELECT * FROM b)",
@@ -276,9 +264,10 @@ ORACLES = {
     "i3_declared_totals": "SELECT count(*) AS orders, count(*) FILTER (n = d) AS equal FROM (SELECT count(*) AS n, max(l_linenumber) AS d FROM lineitem GROUP BY l_orderkey)",
     "i7_identity_match": r"SELECT page_id, contains(html, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^(?:www|m)[.]', '')) AS own_page, regexp_extract(html, 'track\((\d+)\)', 1) = page_id::VARCHAR AS same_id FROM pages",
     "i8_marker_present": "SELECT count(*) FILTER (contains(html, '<footer>')) AS with_footer, count(*) FILTER (NOT contains(html, '<footer>')) AS without FROM pages",
-    "i9_circuit_breaker": "SELECT event_id // 50 AS batch, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') >= greatest(3, ceil(count(*) * 0.2)) AS stop FROM events GROUP BY 1",
-    "k1_parsed_reply": "SELECT id, text NOT IN ('', 'null', 'undefined', '[]') AS valid, s AS structured, CASE WHEN s THEN text->>'$.k' ELSE text[1:60] END AS reply FROM (SELECT event_id AS id, trim(props) AS text, true AS s FROM events UNION ALL SELECT conv_id * 1000 + turn, trim(text), false FROM conversations)",
-    "k2_partial_array": None,
+    "i9_circuit_breaker": "WITH g AS (SELECT event_id // 50 AS batch, count(*) AS n, count(*) FILTER (event_type <> 'view') AS failed FROM events GROUP BY 1) SELECT batch, n, failed, failed >= greatest(3, ceil(n * 0.75)) AS stop, batch <= coalesce((SELECT min(batch) FROM g WHERE failed >= greatest(3, ceil(n * 0.75))), batch) AS ran FROM g",
+    "k1_parsed_reply": "SELECT id, text NOT IN ('', 'null', 'undefined', '[]') AND NOT cut AS valid, s AND NOT cut AS structured, cut AS incomplete, CASE WHEN cut THEN NULL WHEN s THEN text->>'$.k' ELSE text END AS reply FROM (SELECT event_id AS id, trim(props) AS text, true AS s, event_id % 10 = 0 AS cut FROM events UNION ALL SELECT conv_id * 1000 + turn, trim(text), false, false FROM conversations)",
+    "k2_partial_array": """WITH k AS (SELECT o_custkey, list_transform(list(o_orderkey ORDER BY o_orderkey), lambda x: '"' || x || '"') AS ks FROM orders GROUP BY 1)
+SELECT o_custkey, array_to_string(list_filter(ks, lambda x, i: 11 + length(array_to_string(ks[1:i], ', ')) <= 40), '|') AS items FROM k""",
     "k3_suggestions": "SELECT p_brand, name, place, k FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY place)::INT AS k FROM (SELECT p_brand, trim(p_name) AS name, min(p_partkey) AS place FROM part WHERE length(trim(p_name)) BETWEEN 1 AND 40 GROUP BY 1, 2)) WHERE k <= 5",
     "k4_repair_lines": r"SELECT doc_id, place::INT AS place, cells[1] AS name, cells[3] AS reason FROM (SELECT doc_id, place, list_transform(string_split(regexp_replace(trim(line), '^(?:[-*]\s+|\d+[.)]\s*)', ''), '|'), lambda x: trim(x)) AS cells FROM (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE len(cells) = 3 AND cells[1] <> '' AND cells[3] <> ''",
     "k5_intent": r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(?:no|without)\s+\w+') THEN false ELSE regexp_matches(text, '(?i)\b(?:the|and)\b.{0,25}\bth') OR (lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND NOT regexp_matches(text, '(?i)why|analysis')) END AS wants FROM conversations",

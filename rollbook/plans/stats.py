@@ -29,7 +29,7 @@ def f3_common_lengths(spark, sf_dir):
 
 
 def f4_scripts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(s.script(F.split("text", r"\s")[0]).alias("script"))
+    d = table(spark, sf_dir, "documents").select(s.script(F.col("text")).alias("script"))
     return d.groupBy("script").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -48,8 +48,7 @@ def f7_ngrams(spark, sf_dir):
 
 
 def f7_document_trigrams(spark, sf_dir):
-    first = F.split("text", "\n")[0]
-    return s.presence(table(spark, sf_dir, "documents"), s.ngrams(F.regexp_replace(first, r"\s", ""), 3, r"[\p{L}\p{N}]"))
+    return s.presence(table(spark, sf_dir, "documents"), s.ngrams(F.regexp_replace("text", r"\s", ""), 3, r"[\p{L}\p{N}]"))
 
 
 def f8_kana(spark, sf_dir):
@@ -153,11 +152,11 @@ ORACLES = {
     "f1_lengths": f"SELECT count(*) AS total, count(*) FILTER (p_brand <> 'Brand#11') AS readable, sum(length({_N}))::BIGINT AS total_length, round(sum(length({_N})) / count(*), 1) AS average_length, median(length({_N})) AS median_length FROM part",
     "f2_length_buckets": f"SELECT b AS bucket, count(k) AS n FROM (VALUES ('1-4'), ('5-8'), ('9-12'), ('13+')) v(b) LEFT JOIN (SELECT p_partkey AS k, {_B(f'length({_N})')} AS bb FROM part) ON b = bb GROUP BY 1",
     "f3_common_lengths": f"SELECT length({_N})::INT AS length, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, length LIMIT 5",
-    "f4_scripts": r"SELECT CASE WHEN regexp_matches(w, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script, count(*) AS n FROM (SELECT regexp_split_to_array(text, '\s')[1] AS w FROM documents) GROUP BY 1",
+    "f4_scripts": r"SELECT CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script, count(*) AS n FROM documents GROUP BY 1",
     "f5_characters": rf"SELECT label, count(*) AS n FROM {_PG(1)} WHERE regexp_matches(label, '\p{{L}}') GROUP BY 1 ORDER BY n DESC, label LIMIT 10",
     "f6_pairs": rf"SELECT label, count(*) AS n FROM {_PG(2)} WHERE regexp_matches(label, '^\p{{L}}{{2}}$') GROUP BY 1 ORDER BY n DESC, label LIMIT 10",
     "f7_ngrams": " UNION ALL ".join(rf"(SELECT label, count(*) AS n, {w} AS width FROM {_PG(w)} WHERE regexp_matches(label, '^[\p{{L}}\p{{N}}]+$') GROUP BY 1 ORDER BY n DESC, label LIMIT 20)" for w in (2, 3)),
-    "f7_document_trigrams": rf"SELECT label, count(*) AS n FROM {_GRAMS(3, ('doc_id', 'regexp_replace(string_split(text, chr(10))[1], chr(92) || chr(115), chr(39) || chr(39), chr(103))'.replace('chr(39) || chr(39)', repr(''))), 'documents')} WHERE regexp_matches(label, '^[\p{{L}}\p{{N}}]+$') GROUP BY 1",
+    "f7_document_trigrams": rf"SELECT label, count(*) AS n FROM {_GRAMS(3, ('doc_id', 'regexp_replace(text, chr(92) || chr(115), chr(39) || chr(39), chr(103))'.replace('chr(39) || chr(39)', repr(''))), 'documents')} WHERE regexp_matches(label, '^[\p{{L}}\p{{N}}]+$') GROUP BY 1",
     "f8_kana": "SELECT '' AS label, 0::BIGINT AS n WHERE false",
     "f9_affixes": " UNION ALL ".join(rf"SELECT * FROM (SELECT {e} AS label, count(*) AS n, '{k}' AS kind FROM part WHERE length({_N}) >= 2 AND regexp_matches({e}, '^[\p{{L}}\p{{N}}]{{2}}$') GROUP BY 1 ORDER BY n DESC, label LIMIT 10) WHERE n > 1" for k, e in (("prefix", f"{_N}[1:2]"), ("suffix", f"{_N}[-2:]"))),
     "f10_duplicate_names": f"SELECT lower({_N}) AS identity, count(*) AS n, arg_min(p_name, p_partkey) AS label FROM part GROUP BY 1 HAVING count(*) > 1",

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,6 +53,15 @@ def read_json_directory(spark: SparkSession, path: str, schema: T.StructType, gl
     return rows.drop("__path", "__size")
 
 
+def paged_feed(rows: DataFrame, feed: str, page: str, cursor: str, most_pages: int = 100, most_rows: int = 1000) -> DataFrame:
+    """(feed, monotonic, n_pages, within): whether each feed's cursor strictly grows in the order of its pages, and whether
+    it keeps to the bounds of pages, and of rows on a page."""
+    pages = rows.groupBy(feed, page).agg(F.max(cursor).alias("cursor"), F.count(F.lit(1)).alias("n"))
+    grown = F.col("cursor") > F.lag("cursor").over(Window.partitionBy(feed).orderBy(page))  # a row a page
+    checked = pages.withColumn("grown", F.coalesce(grown, F.lit(True))).groupBy(feed)
+    return checked.agg(F.bool_and("grown").alias("monotonic"), F.count(F.lit(1)).alias("n_pages"), ((F.count(F.lit(1)) <= most_pages) & (F.max("n") <= most_rows)).alias("within"))
+
+
 def spreadsheet_safe(c: Column) -> Column:
     """Text that spreadsheets won't run as a formula."""
     return F.regexp_replace(c, r"^([=+@-])", "'$1")
@@ -70,7 +80,8 @@ def content_version(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def overwrite_if_changed(rows: DataFrame, path: str) -> bool:
-    """Writes rows to a staging path beside it and says so, unless the table at `path` has the same content already."""
+    """Writes rows to a staging path beside it, puts it in place of the table at `path` and says so, unless that has the
+    same content already. After a crash between the two moves the old table is beside it, under a name with `.old-`."""
     spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
@@ -81,5 +92,13 @@ def overwrite_if_changed(rows: DataFrame, path: str) -> bool:
             return False
     staging = hadoop.Path(f"{path}.staging-{uuid.uuid4().hex}")
     rows.write.parquet(staging.toString())
-    system.delete(target, True)
-    return bool(system.rename(staging, target))
+    # the old table is moved aside first: at no time is there neither
+    aside = hadoop.Path(f"{path}.old-{uuid.uuid4().hex}")
+    had = system.exists(target) and system.rename(target, aside)
+    if not system.rename(staging, target):
+        if had:
+            system.rename(aside, target)
+        raise OSError(f"{path}: the new table could not be moved into place")
+    if had:
+        system.delete(aside, True)
+    return True

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import scratch
 
@@ -19,23 +15,24 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now, read back from the shared folder. In complete mode the last batch
-    holds the whole result, in update mode the last row of each key must be taken by the caller."""
+    """What the stream gives for all that is there now, read back from the shared folder. In update mode there is a row for
+    each time that a key changed, with the number of its batch; a batch that is run again after a failure replaces what
+    it wrote."""
     spark = df.sparkSession
     out, state = scratch(spark, "stream"), scratch(spark, "state")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        how = "overwrite" if mode == "complete" else "append"
 
         def put(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode(how).parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
         query = writer.foreachBatch(put).start()
     query.awaitTermination()
-    rows = spark.read.schema(df.schema if mode == "append" else df.withColumn("batch", F.lit(0)).schema).parquet(out)
-    return rows if mode == "append" else rows.drop("batch") if mode == "complete" else rows
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.withColumn("batch", F.lit(0)).schema).parquet(out)
 
 
 def first_seen(leads: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -43,19 +40,18 @@ def first_seen(leads: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return leads.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def cooldowns(failures: DataFrame, host: str, time: str, seconds: str) -> DataFrame:
-    """(host, until): the time until which each host is left alone, as state that only grows: the greatest of the time
-    kept and failure time + seconds. A row for each host and batch with failures."""
+def cooldowns(failures: DataFrame, host: str, time: str, seconds: str, delay: str = "1 day") -> DataFrame:
+    """(day, host, until): the time until which each host is left alone, by failures of one day: the greatest of failure
+    time + seconds. Run it in update mode; a day's state ends with the watermark."""
+    rows = failures.withWatermark(time, delay).select(time, F.col(host).cast("string").alias("host"), (F.unix_seconds(F.col(time)) + F.col(seconds)).cast("long").alias("at"))
+    return rows.groupBy(F.window(time, "1 day").alias("day"), "host").agg(F.max("at").alias("until")).select(F.col("day.start").alias("day"), "host", "until")
 
-    def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else 0
-        for frame in frames:
-            until = max(until, int((frame["at"] + frame["seconds"]).max()))
-        state.update((until,))
-        yield pd.DataFrame({"host": [str(key[0])], "until": [until]})
 
-    rows = failures.select(F.col(host).cast("string").alias("host"), F.unix_seconds(F.col(time)).alias("at"), F.col(seconds).cast("long").alias("seconds"))
-    return rows.groupBy("host").applyInPandasWithState(hold, "host string, until long", "until long", "update", GroupStateTimeout.NoTimeout)
+def deferred(leads: DataFrame, held: DataFrame, host: str, time: str) -> DataFrame:
+    """leads with deferred: whether their host is still left alone at their time. held: host, until (any number of rows)."""
+    until = held.groupBy("host").agg(F.max("until").alias("until"))
+    rows = leads.withColumn("host", F.col(host).cast("string")).join(until, "host", "left")
+    return rows.withColumn("deferred", F.coalesce(F.unix_seconds(F.col(time)) < F.col("until"), F.lit(False))).drop("until")
 
 
 def daily_counts(events: DataFrame, time: str, kind: str, delay: str) -> DataFrame:

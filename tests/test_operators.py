@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import text as t
 from rollbook.functions import urls as u
-from rollbook.operators import gates, identity, ordering, overlay, screening, search, statistics
-from rollbook.plans import ordering as replies
+from rollbook.operators import gates, identity, ordering, overlay, replies, screening, search, statistics
 from rollbook.sources import files
 
 
@@ -147,8 +146,46 @@ def test_streaks_and_rotation(spark):
 
 
 def test_cut_off_arrays(spark):
-    df = spark.createDataFrame([('{"names": ["a", {"b": 1}, "c',), ('{"names": [1, 23',), (None,), ("prose",)], "x string")
-    assert [list(r[0]) for r in df.select(replies.closed_items("x")).collect()] == [['"a"', '{"b": 1}'], ["1"], [], []]
+    cases = {
+        '{"names": ["a", {"b": 1}, "c': ['"a"', '{"b": 1}'], '{"names": [1, 23': ["1"], None: [], "prose": [], 'see [1] {"names": ["a", "b", "c': ['"a"', '"b"'], '{"other": ["x"], "suggestions" : [ "q\\"," , [1, "]"], tru': ['"q\\","', '[1, "]"]'],
+        '{"candidates": [bad, "a", {"x": }, "b"], "names": ["z"]}': ['"a"', '"b"'], '{"names": []': [], '{"names": [1, 2]}': ["1"],
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    assert [list(r[0]) for r in df.select(replies.closed_items("x")).collect()] == list(cases.values())
+
+
+def test_stopping_reasons_in_order(spark):
+    c = ordering.Campaign(target=100, budget=50, patience=3, terminal=("cancelled", "query_budget_reached"))
+    cases = [((False, 200, "x", 99, True, 9), "disabled"), ((True, 100, "cancelled", 99, True, 9), "target_reached"), ((True, 1, "cancelled", 99, True, 9), "cancelled"), ((True, 1, "query_budget_reached", 50, True, 9), "query_budget_reached"), ((True, 1, "query_budget_reached", 1, True, 9), "deadline_reached"), ((True, 1, "x", 1, False, 3), "paused_no_growth"), ((True, 1, None, 1, None, 2), None)]
+    df = spark.createDataFrame([v for v, _ in cases], "enabled boolean, done int, status string, spent int, late boolean, streak int").coalesce(1)
+    got = df.select(ordering.stopping_reason(c, *(F.col(x) for x in df.columns)).alias("r")).collect()
+    assert [r["r"] for r in got] == [why for _, why in cases]
+
+
+def test_places_of_a_large_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), F.hash("id").alias("k"), "id")
+    got = rows(ordering.places(df, "g", ["k", "id"], n_buckets=8).select("g", "id", "place"))
+    want = {}
+    for g, k, i in sorted(map(tuple, df.collect())):
+        want.setdefault(g, []).append(i)
+    assert got == sorted((g, i, n + 1) for g, ids in want.items() for n, i in enumerate(ids))
+    assert ordering.places(df.limit(0), "g", ["k", "id"]).count() == 0
+
+
+def test_catalogues_see_order_and_resume(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "y"), ("b", 2, "x"), ("c", 1, "x")], "name string, place int, query string")
+    ids = {r["name"]: r["catalogue"] for r in ordering.catalogues(df).collect()}
+    assert len(set(ids.values())) == 3
+    own = ordering.catalogues(df.where("name = 'a'"))
+    old = ordering.catalogues(df.where("name = 'c'").withColumn("name", F.lit("a")))
+    cursors = spark.createDataFrame([(ids["c"], 5)], "catalogue string, cursor long")
+    assert rows(ordering.resumed(own, old, cursors).select("cursor", "migrated_from")) == [(0, ids["c"])]
+    assert rows(ordering.resumed(own, old, cursors.limit(0)).select("cursor", "migrated_from")) == [(0, None)]
+
+
+def test_circuit_breaker_stops_later_batches(spark):
+    df = spark.createDataFrame([(1, 2, 2), (2, 3, 4), (3, 0, 9)], "batch int, failed int, n int")
+    assert rows(gates.circuit_breaker(df, "batch", "failed", "n").select("batch", "stop", "ran")) == [(1, False, True), (2, True, True), (3, False, False)]
 
 
 def test_overwrite_only_if_changed(spark):
