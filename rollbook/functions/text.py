@@ -69,9 +69,11 @@ def kana_reading(c, composed: bool = False) -> Column:
     return F.when(folded.rlike(r"^[\x{3041}-\x{3096}ー]+$"), folded).otherwise("")
 
 
-def clean_text(c) -> Column:
-    """Tags removed, white space collapsed; character references of markup decoded in SQL."""
+def clean_text(c, every: bool = False) -> Column:
+    """Tags removed, white space collapsed; character references of markup decoded in SQL, or every one by a UDF."""
     text = F.regexp_replace(_text(c), r"<[^>]+>", " ")
+    if every:
+        return F.trim(F.regexp_replace(unescape(text), r"\s+", " "))
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -96,6 +98,18 @@ def iso_date(c) -> Column:
     )
 
 
+def iso_timestamp(c) -> Column:
+    """The moment of an ISO text, with a zone (Z or an offset) or else in UTC; null for anything else. The session's time
+    zone must be UTC for texts without a zone."""
+    text = _text(c)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"(\d{2}[+-]\d{2})(\d{2})$", "$1:$2"), r"^(.{16})(Z|[+-]|$)", "$1:00$2")))
+
+
+def epoch_ms(c) -> Column:
+    """The moment of a count of milliseconds since 1970."""
+    return F.timestamp_millis(_text(c).try_cast("bigint"))
+
+
 def past_date(c, today: Column) -> Column:
     date = iso_date(c)
     return F.when(date <= today, date)
@@ -116,6 +130,21 @@ def id_prefix(c) -> Column:
     return F.when(text.contains(":"), F.substring_index(text, ":", 1)).when(text.rlike(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid").otherwise("other")
 
 
+def resolved_reading(reading: Column, source: Column, kind: Column, name: Column, guess: Column, guess_is_for: Column, usable: Column, composed: bool = False) -> Column:
+    """(reading, inferred): the verified reading; else an estimate that was made for this very name by a usable model, is all
+    kana and keeps the kana that the name begins or ends with; else the name, if it is kana; else, for a name in Japanese
+    script, an unverified reading that is all kana; else ''. composed: name, reading and guess are NFKC."""
+    plain = lambda c: fold_kana(_text(c) if composed else nfkc(_text(c)))
+    kana = lambda c: kana_reading(c, composed)
+    spelled, guessed = plain(name), kana(guess)
+    start, end = F.regexp_extract(spelled, "^([ぁ-ゖー]+)", 1), F.regexp_extract(spelled, "([ぁ-ゖー]+)$", 1)
+    fits = (guess_is_for == name) & usable & (guessed != "") & guessed.startswith(start) & guessed.endswith(end)
+    japanese = (_text(name) if composed else nfkc(_text(name))).rlike(r"(?U)^[\p{IsHan}ぁ-ゖァ-ヶー\s・･]+$")
+    inferred = F.coalesce(F.when(fits, guessed), F.nullif(kana(name), F.lit("")), F.when(japanese, F.nullif(kana(reading), F.lit(""))))
+    verified = (_text(source) != "") & _text(kind).isin(*VERIFIED_KINDS) & (_text(reading) != "")
+    return F.struct(F.when(verified, reading).otherwise(F.coalesce(inferred, F.lit(""))).alias("reading"), (~verified & inferred.isNotNull()).alias("inferred"))
+
+
 def name_keys(names: Column, roles: tuple[str, ...] = ()) -> Column:
     """Distinct match keys of names and their parts: without bracketed remarks and role words, split at slashes and bars.
     The names are NFKC."""

@@ -3,41 +3,74 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 @dataclass(frozen=True)
 class Policy:
     """on_multi: what to do with an incoming row whose accounts belong to several records: skip (ambiguous), all, first or
-    last. require_name: a match also needs a common name key. allow_new: unmatched rows become new records."""
+    last. require_name: a match also needs a common name key. allow_new: unmatched rows become new records. own_id_first:
+    a row whose id a record has already is that record, whatever its accounts. guard: a row that shares an account with
+    records of other names only is left out (guarded) rather than new."""
 
     on_multi: str = "skip"
     require_name: bool = False
     allow_new: bool = True
+    own_id_first: bool = False
+    guard: bool = False
 
 
 def resolve(existing: DataFrame, incoming: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One row for each incoming row and target: in_id, target, status (matched, ambiguous, new or unmatched).
+    """One row for each incoming row and target: in_id, target, status (matched, ambiguous, guarded, new or unmatched).
 
     existing: id, account, name_key; incoming: in_id, account, name_key (a row for each account). Matches are made
-    against the registry as it stood before the batch. Two shuffles: on the account, and on the incoming id.
+    against the registry as it stood before the batch. The registry is aggregated to the least and greatest id of each
+    account (and name) before it meets the batch, so that an account with many records and many rows makes no pairs; only
+    the policy `all`, whose result they are, makes them.
     """
-    pairs = incoming.alias("n").join(existing.alias("e"), "account").select("in_id", F.col("id").alias("target"), (F.col("n.name_key") == F.col("e.name_key")).alias("same_name")).distinct()
-    if policy.require_name:
-        pairs = pairs.where("same_name")
-    found = pairs.groupBy("in_id").agg(F.min("target").alias("first"), F.max("target").alias("last"), F.countDistinct("target").alias("n"))
+    keys = ["account", "name_key"] if policy.require_name else ["account"]
+    ids = existing.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    found = incoming.join(ids, keys).groupBy("in_id").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
     rows = incoming.select("in_id").distinct().join(found, "in_id", "left")
-    none = "new" if policy.allow_new else "unmatched"
+    none = F.lit("new" if policy.allow_new else "unmatched")
+    if policy.guard and policy.require_name:
+        shared = incoming.join(existing.select("account").distinct(), "account", "left_semi").select("in_id").distinct()
+        rows = rows.join(shared.withColumn("shared", F.lit(True)), "in_id", "left")
+        none = F.when(F.col("shared"), "guarded").otherwise(none)
+    own = F.lit(None)
+    if policy.own_id_first:
+        rows = rows.join(existing.select(F.col("id").alias("in_id")).distinct().withColumn("own", F.lit(True)), "in_id", "left")
+        own = F.when(F.col("own"), F.col("in_id"))
     if policy.on_multi == "all":
-        each = rows.select("in_id").join(pairs.select("in_id", "target").distinct(), "in_id", "left")
-        return each.withColumn("status", F.when(F.col("target").isNull(), none).otherwise("matched"))
-    target = {"skip": F.when(F.col("n") == 1, F.col("first")), "first": F.col("first"), "last": F.col("last")}[policy.on_multi]
-    status = F.when(F.col("n").isNull(), none).when((F.col("n") > 1) & F.lit(policy.on_multi == "skip"), "ambiguous").otherwise("matched")
+        pairs = incoming.join(existing.select(*keys, F.col("id").alias("target")).distinct(), keys).select("in_id", "target").distinct()
+        each = rows.join(pairs, "in_id", "left").withColumn("target", F.coalesce(own, "target")).withColumn("status", F.when(F.col("target").isNull(), none).otherwise("matched"))
+        return each.select("in_id", "target", "status").distinct()
+    several = (F.col("first") != F.col("last")) & F.lit(policy.on_multi == "skip")
+    target = F.coalesce(own, {"skip": F.when(~several, F.col("first")), "first": F.col("first"), "last": F.col("last")}[policy.on_multi])
+    status = F.when(target.isNotNull(), "matched").when(several, "ambiguous").otherwise(none)
     return rows.select("in_id", target.alias("target"), status.alias("status"))
 
 
+def applied(registry: DataFrame, rows: DataFrame, resolution: DataFrame, key: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """registry with the rows of a batch written into the records they were resolved to: a record's blank field is filled
+    by the first row (by in_id) that has it, what it has stays, and `lists` become ordered unions; rows that are new are
+    appended with their own ids. rows: in_id and fields of the registry. Written twice it is the same as once, if the
+    second batch is resolved with own_id_first."""
+    fields = [c for c in registry.columns if c != key and c in rows.columns]
+    said = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
+    joined = rows.join(resolution.where("status IN ('matched', 'new')"), "in_id").withColumn("__to", F.coalesce("target", "in_id"))
+    agg = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("in_id", F.col(c).alias("v")))), lambda x: x["v"]))).alias(f"__{c}") if c in lists else F.min_by(c, F.when(said(c).isNotNull(), F.col("in_id"))).alias(f"__{c}") for c in fields]
+    patch = joined.groupBy(F.col("__to").alias(key)).agg(*agg)
+    empty = {c: F.array().cast(registry.schema[c].dataType) for c in lists}
+    out = {c: F.array_distinct(F.concat(F.coalesce(c, empty[c]), F.coalesce(f"__{c}", empty[c]))) if c in lists else F.coalesce(said(c), F.col(f"__{c}"), F.col(c)) for c in fields}
+    return registry.join(patch, key, "full_outer").withColumns(out).select(*registry.columns)
+
+
 def consolidated(rows: DataFrame) -> DataFrame:
     """Duplicates by one channel and a common name key: id, kept_id and n_merged. rows: id, ord, channel, name_key,
     protected (never merged away). A row joins the earliest row of its channel and name key."""
@@ -49,13 +82,78 @@ def consolidated(rows: DataFrame) -> DataFrame:
 
 def matched_submissions(records: DataFrame, submissions: DataFrame) -> DataFrame:
     """(sub_id, id): records that a submission means by id, or by name unless by_id_only, or by account. Three equi-joins
-    and a distinct union stand for the OR."""
+    and a distinct union stand for the OR. Names and accounts that many records and submissions share make many pairs,
+    which are the result."""
     by_id = submissions.select("sub_id", F.col("ref_id").alias("id")).join(records.select("id"), "id").select("sub_id", "id")
     by_name = submissions.where("NOT by_id_only").select("sub_id", "name_key").join(records.select("id", "name_key"), "name_key").select("sub_id", "id")
     by_account = submissions.select("sub_id", "account").join(records.select("id", "account"), "account").select("sub_id", "id")
     return by_id.union(by_name).union(by_account).distinct()
 
 
+def candidates(submissions: DataFrame, registry: DataFrame, composites: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """(sub_id, id, other, renamed): the records that may be each submission's, by the first of these that finds any: an
+    override; a common name and account; for a name that one submission alone has, a record of the kind in question with
+    that name and no account; a record of the kind with the name as part of its own (4 characters or more) on a common
+    account. other and renamed order a submission's candidates: those of another kind and with another name come last.
+
+    submissions: sub_id, name_key, keys (of the name and aliases), accounts; registry: id, name_key, keys, accounts, ours
+    (whether it is of the kind in question). composites (id) are no candidates, but for overrides (sub_id, id).
+    """
+    reg = registry if composites is None else registry.join(composites.select("id"), "id", "left_anti")
+    subs = submissions.select("sub_id", F.col("name_key").alias("sub_name"), "keys", "accounts")
+    on = lambda df, *cs: df.select("*", *[F.explode(c).alias(c[:-1]) for c in cs[:1]]).select("*", *[F.explode(c).alias(c[:-1]) for c in cs[1:]])
+    both = ["key", "account"]
+    stages = [overrides.select("sub_id", "id", F.lit(0).alias("stage"))] if overrides is not None else []
+    named = on(subs, "keys", "accounts").select("sub_id", *both).join(on(reg, "keys", "accounts").select("id", *both), both)
+    stages.append(named.select("sub_id", "id", F.lit(1).alias("stage")))
+    alone = subs.groupBy("sub_name").agg(F.min("sub_id").alias("sub_id"), F.count(F.lit(1)).alias("n")).where("n = 1").select("sub_id")
+    bare = on(reg.where("ours AND size(accounts) = 0"), "keys").select("id", "key")
+    stages.append(on(subs.join(alone, "sub_id", "left_semi"), "keys").join(bare, "key").select("sub_id", "id", F.lit(2).alias("stage")))
+    part = on(subs.where(F.char_length("sub_name") >= 4), "accounts").join(on(reg.where("ours"), "accounts").select("id", F.col("name_key").alias("reg_name"), "account"), "account").where(F.contains("reg_name", "sub_name"))
+    stages.append(part.select("sub_id", "id", F.lit(3).alias("stage")))
+    found = reduce(DataFrame.union, stages).distinct()
+    first = found.groupBy("sub_id").agg(F.min("stage").alias("stage"))
+    facts = registry.select("id", (~F.col("ours")).alias("other"), F.col("name_key").alias("reg_name"))
+    rows = found.join(first, ["sub_id", "stage"]).join(facts, "id").join(subs.select("sub_id", "sub_name"), "sub_id")
+    return rows.select("sub_id", "id", "other", (F.col("reg_name") != F.col("sub_name")).alias("renamed"))
+
+
+def assigned(found: DataFrame) -> DataFrame:
+    """(sub_id, id) of candidates(): submissions choose in the order of sub_id, each the best candidate that is still free.
+
+    That order is what the one stable matching gives in which records prefer the least sub_id: in rounds every submission
+    asks for its best candidate that hasn't turned it down, and a record keeps the least that asks. Rounds end when none
+    is turned down; each is written, so that lost executors cost a task."""
+    left = written(found.withColumn("place", F.struct("other", "renamed", "id")).select("sub_id", "id", "place"), "wanted")
+    while True:
+        asked = left.groupBy("sub_id").agg(F.min("place").alias("place")).select("sub_id", F.col("place.id").alias("id"))
+        kept = asked.groupBy("id").agg(F.min("sub_id").alias("winner"))
+        turned = written(asked.join(kept, "id").where("sub_id != winner").select("sub_id", "id"), "turned")
+        if turned.isEmpty():
+            return asked
+        left = written(left.join(turned, ["sub_id", "id"], "left_anti"), "wanted")
+
+
+def composites(submissions: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, children): records of the kind whose name joins several (with a slash, ampersand or the like; `joint`) and holds
+    the names of two or more submissions on common accounts, none of them the whole name."""
+    subs = submissions.select("sub_id", F.col("name_key").alias("sub_name"), F.explode("accounts").alias("account"))
+    reg = registry.where("ours AND joint").select("id", "name_key", F.explode("accounts").alias("account"))
+    held = subs.join(reg, "account").where((F.col("sub_name") != "") & F.contains("name_key", "sub_name")).select("id", "name_key", "sub_id", "sub_name").distinct()
+    return held.groupBy("id").agg(F.count(F.lit(1)).alias("children"), F.bool_or(F.col("sub_name") == F.col("name_key")).alias("whole")).where("children > 1 AND NOT whole").select("id", "children")
+
+
+def without_sibling_names(aliases: DataFrame, submissions: DataFrame) -> DataFrame:
+    """aliases (sub_id, alias, alias_key) that aren't, and with 3 characters or more don't hold, the name of another
+    submission on a common account."""
+    subs = submissions.select("sub_id", "name_key", F.explode("accounts").alias("account"))
+    beside = aliases.join(subs.select("sub_id", "account"), "sub_id").select("sub_id", "alias_key", "account").distinct()
+    other = subs.select(F.col("sub_id").alias("sibling"), F.col("name_key").alias("name"), "account")
+    same = F.col("alias_key") == F.col("name")
+    hit = beside.join(other, "account").where((F.col("sibling") != F.col("sub_id")) & (F.col("name") != "") & (same | ((F.char_length("name") >= 3) & F.contains("alias_key", "name"))))
+    return aliases.join(hit.select("sub_id", "alias_key").distinct(), ["sub_id", "alias_key"], "left_anti")
+
+
 def ranked_match(matches: DataFrame, by: str, target: str, rank: str) -> DataFrame:
     """The best-ranked target of each row, if it alone has that rank."""
     best = matches.groupBy(by, rank).agg(F.min(target).alias(target), F.countDistinct(target).alias("n"))

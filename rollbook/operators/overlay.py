@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stacked(layers: list[DataFrame]) -> DataFrame:
@@ -13,14 +14,24 @@ def stacked(layers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("layer_rank", F.lit(i)) for i, df in enumerate(layers)))
 
 
-def latest_fields(layers: list[DataFrame], key: str, lists: tuple[str, ...] = ()) -> DataFrame:
+def latest_fields(layers: list[DataFrame], key: str, lists: tuple[str, ...] = (), joined: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: of every field the value of the last layer that has one; of `lists` the ordered distinct
-    union over all layers. One shuffle on the key, with partial aggregation."""
+    union over all layers, of `joined` all their items in order, of `maps` all entries, where later layers win. One
+    shuffle on the key, with partial aggregation."""
     rows = stacked(layers)
     fields = [c for c in rows.columns if c not in (key, "layer_rank")]
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("layer_rank"))).alias(c) for c in fields if c not in lists]
-    joined = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("layer_rank", F.col(c).alias("v"))))), lambda x: x["v"]))).alias(c) for c in lists]
-    return rows.groupBy(key).agg(*last, *joined)
+    whole = (*lists, *joined, *maps)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("layer_rank"))).alias(c) for c in fields if c not in whole]
+
+    def gathered(c: str) -> Column:
+        value = F.map_entries(c) if c in maps else F.col(c)
+        items = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("layer_rank", value.alias("v"))))), lambda x: x["v"]))
+        if c in maps:  # the last entry of each name, where the first stands
+            names = F.array_distinct(F.transform(items, lambda e: e["key"]))
+            return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(items, lambda e: e["key"] == k), -1)["value"]))
+        return F.array_distinct(items) if c in lists else items
+
+    return rows.groupBy(key).agg(*last, *(gathered(c).alias(c) for c in whole))
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str, keep_if_blank: tuple[str, ...] = ()) -> DataFrame:
@@ -34,8 +45,10 @@ def patched(base: DataFrame, patch: DataFrame, key: str, keep_if_blank: tuple[st
 
 
 def three_way(base: DataFrame, collected: DataFrame, current: DataFrame, key: str, lists: tuple[str, ...] = ()) -> DataFrame:
-    """Merge of two edits of one base. Per field: what `current` changed wins, else what `collected` has; per list:
-    `current` and what `collected` added. Rows that either side removed stay removed, rows that either added are added."""
+    """Merge of two edits of one base. A field that one side alone changed has that side's value; one that both changed
+    has what `current` says, but structs are merged field by field, and `lists` are `current` with what `collected`
+    added. Null is a field that isn't there. Rows that either side removed stay removed, rows that either added are
+    added; what both added is as `current` has it."""
     fields = [c for c in base.columns if c != key]
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -45,14 +58,22 @@ def three_way(base: DataFrame, collected: DataFrame, current: DataFrame, key: st
     here = {x: F.col(x).isNotNull() for x in "bnc"}
     removed = here["b"] & (~here["n"] | ~here["c"])
 
-    def merged(f: str) -> Column:
-        b, n, c = (F.col(f"{x}.{f}") for x in "bnc")
-        if f in lists:
-            empty = F.array().cast(base.schema[f].dataType)
-            return F.array_distinct(F.concat(F.coalesce(c, empty), F.array_except(F.coalesce(n, empty), F.coalesce(b, empty))))
-        return F.when(~here["c"], n).when(~here["n"], c).when(~c.eqNullSafe(b), c).otherwise(n)
-
-    return rows.where(~removed).select(key, *(merged(f).alias(f) for f in fields))
+    def merged(b: Column, n: Column, c: Column, kind: T.DataType, is_list: bool) -> Column:
+        one = F.when(n.eqNullSafe(b) | n.eqNullSafe(c), c).when(c.eqNullSafe(b), n)
+        whole = b.isNotNull() & n.isNotNull() & c.isNotNull()
+        if is_list:
+            added = F.filter(n, lambda v: ~F.array_contains(b, v) & ~F.array_contains(c, v))
+            return one.when(whole, F.concat(c, added)).otherwise(c)
+        if isinstance(kind, T.StructType):
+            parts = F.struct(*(merged(b[f.name], n[f.name], c[f.name], f.dataType, isinstance(f.dataType, T.ArrayType)).alias(f.name) for f in kind))
+            return one.when(whole, parts).otherwise(c)
+        return one.otherwise(c)
+
+    def field(f: str) -> Column:
+        both = merged(F.col(f"b.{f}"), F.col(f"n.{f}"), F.col(f"c.{f}"), base.schema[f].dataType, f in lists)
+        return F.when(~here["c"], F.col(f"n.{f}")).when(~here["b"] | ~here["n"], F.col(f"c.{f}")).otherwise(both)
+
+    return rows.where(~removed).select(key, *(field(f).alias(f) for f in fields))
 
 
 def superseding(layers: DataFrame, records: DataFrame, superseded: DataFrame, key: str) -> DataFrame:

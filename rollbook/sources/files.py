@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read from there: computed once, without the lineage before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_layer(rows: DataFrame, key: str) -> DataFrame:
     """rows if every key is there once; else an error when it runs. The check is a window-free count by key."""
     bad = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 OR {key} IS NULL").agg(F.count(F.lit(1)).alias("bad"))

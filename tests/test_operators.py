@@ -193,3 +193,156 @@ def test_overwrite_only_if_changed(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
     assert files.overwrite_if_changed(df, path) and not files.overwrite_if_changed(df.orderBy(F.desc("x")), path)
     assert files.overwrite_if_changed(df.limit(1), path) and spark.read.parquet(path).count() == 1
+
+
+UUID = "729e55d8-4775-4560-b549-ffa3d9dbd881"
+CHANNEL = "UC" + "a1B-_" * 4 + "xy"
+
+
+@pytest.mark.parametrize(
+    ("url", "account", "link"),
+    [
+        ("https://www.mirrativ.com/user/151711048", ("mirrativ", "151711048"), "https://mirrativ.com/user/151711048"), ("https://mirrativ.page.link/?link=https%3A%2F%2Fwww.mirrativ.com%2Fuser%2F151711048", ("mirrativ", "151711048"), "https://mirrativ.com/user/151711048"),
+        ("https://mirrativ.page.link/?link=https://evil.example/user/151711048", (None, None), None), (f"https://web.colorsing.com/share/user?user_id={UUID}&utm_source=test", ("colorsing", UUID), f"https://web.colorsing.com/share/user?user_id={UUID}"),
+        ("https://whowatch.tv/profile/w%3Abokukun2323", ("whowatch", "w:bokukun2323"), "https://whowatch.tv/profile/w:bokukun2323"), ("https://app.palmu.jp/users/a7413a8b12624c308fa8", ("palmu", "a7413a8b12624c308fa8"), "https://app.palmu.jp/users/a7413a8b12624c308fa8"),
+        ("https://sp.nicovideo.jp/user/77/", ("niconico", "77"), "https://www.nicovideo.jp/user/77"), ("https://web.iriam.app/s/user/ABCdef?uuid=123", ("iriam", "ABCdef"), "https://web.iriam.app/s/user/ABCdef"), ("https://web.iriam.app/s/user?a=b&amp;id=Q-1", ("iriam", "Q-1"), "https://web.iriam.app/s/user?id=Q-1"),
+        (f"iriam://p?applicationModel=profile&uid={UUID.upper()}", ("iriam", UUID), f"iriam://p?applicationModel=profile&uid={UUID}"), (f"iriam://p?applicationModel=other&uid={UUID}", (None, None), None), ("https://twitter.com/Example?x=1", ("x", "example"), "https://x.com/example"),
+        ("https://x.com/i/user/123/", ("x", "uid:123"), "https://x.com/i/user/123"), ("https://www.tiktok.com/@EXample/live", ("tiktok", "@example"), "https://www.tiktok.com/@example"), ("https://www.spooncast.net/jp/channel/315874262/tab/home", ("spoon", "315874262"), "https://spooncast.net/jp/channel/315874262/tab/home"),
+        ("javascript:alert(1)", (None, None), None), ("https://tiktok.com.evil.test/@example", (None, None), None), ("https://u:p@www.tiktok.com/@example", (None, None), None), ("https://twitch.tv:8080/name", (None, None), None), ("https://www.youtube.com/watch?v=123", (None, None), None),
+        (f"https://www.youtube.com/channel/{CHANNEL}", ("youtube", f"channel/{CHANNEL}"), f"https://youtube.com/channel/{CHANNEL}"), ("https://www.youtube.com/@%E3%81%82", ("youtube", "@あ"), "https://youtube.com/@%E3%81%82"), ("", (None, None), None), ("https://x.com/%zz", (None, None), None),
+    ],
+)
+def test_account_rules(spark, url, account, link):
+    df = spark.createDataFrame([(url,)], "url string")
+    assert tuple(u.with_account(df, "url", u.rule_table(spark)).select("platform", "account_id", "account_url").first()) == (*account, link)
+
+
+def test_candidate_urls(spark):
+    video = "dQw4w9WgXcQ"
+    watch = f"https://www.youtube.com/watch?v={video}"
+    cases = {f"https://youtu.be/{video}?t=1": watch, f"https://m.youtube.com/watch?a=b&v={video}": watch, f"https://www.youtube.com/live/{video}/": watch, f"https://www.youtube.com/shorts/{video}": f"https://www.youtube.com/shorts/{video}", "https://youtu.be/short": None, "https://www.youtube.com/watch?v=x": None, "http://youtu.be/" + video: None, "https://twitch.tv/Some": "https://twitch.tv/Some", "https://x.com/a": None, "https://www.instagram.com/a": None}
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "url string")
+    assert {r["url"]: r["candidate"] for r in u.with_candidate(df, "url", u.rule_table(spark)).collect()} == cases | {None: None}
+
+
+def test_record_accounts_and_pairs(spark):
+    kind = "id string, platform_accounts array<string>, twitter_url string, twitch_login string, youtube_handle string, youtube_channel_id string"
+    other = "UC" + "z" * 22
+    df = spark.createDataFrame([("a", ["https://x.com/A", None], "https://twitter.com/a", "tw", "@Han.dle", CHANNEL), (f"youtube:{CHANNEL}", None, None, "not valid", "@h", None), ("c", [f"https://youtube.com/channel/{other}"], None, None, "@h", CHANNEL), ("d", None, None, None, None, None)], kind)
+    out = u.record_accounts(df, "id", u.rule_table(spark), fields=("twitter_url",))
+    got = {(r["id"], r["platform"], r["account_id"]): r["paired"] for r in out.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "a"} == {("a", "x", "a"): False, ("a", "twitch", "tw"): False, ("a", "youtube", "@han.dle"): True, ("a", "youtube", f"channel/{CHANNEL}"): False}
+    assert got[f"youtube:{CHANNEL}", "youtube", "@h"] is True and got["c", "youtube", "@h"] is False
+    assert not any(k[0] == "d" for k in got)
+
+
+@pytest.mark.parametrize(
+    ("row", "reading"),
+    [
+        (("癒色えも", "いしきえも", "https://example.com", "manual", None, None), ("いしきえも", False)), (("ミライ アカリ", "誤り", "", "", None, None), ("みらいあかり", True)), (("山田はな", "やまだはな", "", "", None, None), ("やまだはな", True)), (("音紡いま", "音ぼういま", "", "", None, None), ("", False)),
+        (("Natsumi Moe", "なつみほうめぐみ", "", "", None, None), ("", False)), (("未知名", None, None, None, None, None), ("", False)), (("花野彩晴", "はなのいろは", "https://a.example", "manual", "はなのさいせい", "花野彩晴"), ("はなのいろは", False)), (("Alice", None, None, None, "ありす", "Alice"), ("ありす", True)),
+        (("Bob", None, None, None, "ありす", "Alice"), ("", False)), (("灰島リウ", None, None, None, "はいしまりゅう", "灰島リウ"), ("", False)), (("灰島リウ", "x", "https://a.example", "guess", "はいしまりう", "灰島リウ"), ("はいしまりう", True)),
+    ],
+)
+def test_resolved_reading(spark, row, reading):
+    df = spark.createDataFrame([row], "name string, reading string, source string, kind string, guess string, made_for string")
+    c = F.col
+    assert tuple(df.select(t.resolved_reading(c("reading"), c("source"), c("kind"), c("name"), c("guess"), c("made_for"), F.lit(True)).alias("x")).select("x.*").first()) == reading
+
+
+@pytest.mark.parametrize(("value", "second"), [("2024-01-01T00:00:00Z", 1704067200), ("2024-01-01 00:00:00", 1704067200), ("2024-01-01T09:00:00+09:00", 1704067200), ("2024-01-01T09:00+0900", 1704067200), ("2024-01-01", None), ("2024-13-01T00:00:00Z", None), ("soon", None), (None, None)])
+def test_iso_timestamps(spark, value, second):
+    assert one(spark, value, lambda c: F.unix_seconds(t.iso_timestamp(c))) == second
+
+
+def test_epoch_milliseconds(spark):
+    assert one(spark, "1704067200000", lambda c: F.unix_seconds(t.epoch_ms(c))) == 1704067200 and one(spark, "x", t.epoch_ms) is None
+
+
+def test_overlay_of_lists_and_maps(spark):
+    kind = "id string, accounts array<string>, sources map<string,string>"
+    a = spark.createDataFrame([("1", ["a", "b"], {"x": "1", "y": "2"}), ("2", None, None)], kind)
+    b = spark.createDataFrame([("1", ["b"], {"x": "9", "z": "3"})], kind)
+    got = {r["id"]: (r["accounts"], r["sources"]) for r in overlay.latest_fields([a, b], "id", joined=("accounts",), maps=("sources",)).collect()}
+    assert got == {"1": (["a", "b", "b"], {"x": "9", "y": "2", "z": "3"}), "2": ([], {})}
+
+
+def test_three_way_merge_of_structs_and_lists(spark):
+    kind = "id string, facts struct<a:string,b:string,deep:struct<c:string>>, tags array<string>"
+    base = spark.createDataFrame([("1", ("x", "x", ("x",)), ["t", "u"]), ("2", ("x", "x", ("x",)), ["t"])], kind)
+    collected = spark.createDataFrame([("1", ("new", "x", ("new",)), ["t", "v"]), ("2", ("x", "x", ("x",)), []), ("3", ("n", None, None), ["n"])], kind)
+    current = spark.createDataFrame([("1", ("x", "mine", ("mine",)), ["u", "w"]), ("2", ("x", "x", ("x",)), ["t"]), ("3", ("c", None, None), ["c"])], kind)
+    got = {r["id"]: (r["facts"].asDict(True), r["tags"]) for r in overlay.three_way(base, collected, current, "id", ("tags",)).collect()}
+    assert got["1"] == ({"a": "new", "b": "mine", "deep": {"c": "mine"}}, ["u", "w", "v"])
+    assert got["2"][1] == [] and got["3"] == ({"a": "c", "b": None, "deep": None}, ["c"])
+
+
+def test_own_ids_and_guards(spark):
+    existing = spark.createDataFrame([(1, "x:a", "ann"), (2, "x:c", "cat")], "id int, account string, name_key string")
+    incoming = spark.createDataFrame([(2, "x:a", "ann"), (5, "x:a", "other"), (6, "x:q", "q"), (7, "x:c", "cat")], "in_id int, account string, name_key string")
+    p = identity.Policy(require_name=True, own_id_first=True, guard=True)
+    assert rows(identity.resolve(existing, incoming, p)) == [(2, 2, "matched"), (5, None, "guarded"), (6, None, "new"), (7, 2, "matched")]
+
+
+def test_batches_are_written_once(spark):
+    kind = "id int, site string, names array<string>"
+    registry = spark.createDataFrame([(1, "", ["a"]), (2, "s", None)], kind)
+    batch = spark.createDataFrame([(10, "first", ["b", "a"]), (11, "second", ["c"]), (12, "n", ["d"]), (13, "lost", ["e"])], "in_id int, site string, names array<string>")
+    resolution = spark.createDataFrame([(10, 1, "matched"), (11, 1, "matched"), (12, None, "new"), (13, None, "ambiguous")], "in_id int, target int, status string")
+    once = identity.applied(registry, batch, resolution, "id", lists=("names",))
+    assert rows(once, "id") == [(1, "first", ["a", "b", "c"]), (2, "s", []), (12, "n", ["d"])]
+    again = identity.applied(once, batch, resolution.withColumn("target", F.when(F.col("in_id") == 12, 12).otherwise(F.col("target"))), "id", lists=("names",))
+    assert rows(again, "id") == rows(once, "id")
+
+
+def _assignment(spark):
+    subs = [(1, "kirin", ["kirin"], ["y:a"]), (2, "kirin", ["kirin"], ["y:b"]), (3, "solo", ["solo"], ["y:c"]), (4, "part", ["part"], ["y:d"]), (5, "abc", ["abc"], ["y:d"]), (6, "luna", ["luna", "moon"], ["y:e"]), (7, "none", ["none"], []), (8, "hana", ["hana"], ["y:f"]), (9, "leite", ["leite"], ["y:f"]), (10, "over", ["over"], [])]
+    reg = [("r1", "kirin", ["kirin"], ["y:a"], True, False), ("r2", "kirin", ["kirin"], ["y:a", "y:b"], True, False), ("r3", "solo", ["solo"], [], True, False), ("r4", "thepartone", ["thepartone"], ["y:d"], True, False), ("r5", "xabcx", ["xabcx"], ["y:d"], True, False), ("r6", "moon", ["moon"], ["y:e"], False, False), ("r7", "none", ["none"], ["y:z"], True, False), ("r8", "hanaleite", ["hanaleite"], ["y:f"], True, True), ("r9", "q", ["q"], [], True, False)]
+    s = spark.createDataFrame(subs, "sub_id int, name_key string, keys array<string>, accounts array<string>")
+    return s, spark.createDataFrame(reg, "id string, name_key string, keys array<string>, accounts array<string>, ours boolean, joint boolean")
+
+
+def test_assignment_in_stages(spark):
+    subs, reg = _assignment(spark)
+    joint = identity.composites(subs, reg)
+    assert rows(joint) == [("r8", 2)]
+    overrides = spark.createDataFrame([(10, "r9")], "sub_id int, id string")
+    # 1 takes r1, so that 2 has r2; 5 is too short to be found as a part; 7 has no account in common; 8 and 9 make up r8
+    assert rows(identity.assigned(identity.candidates(subs, reg, joint, overrides))) == [(1, "r1"), (2, "r2"), (3, "r3"), (4, "r4"), (6, "r6"), (10, "r9")]
+
+
+def test_each_record_is_assigned_once_in_order(spark):
+    found = spark.createDataFrame([(s, i, False, False) for s in (1, 2, 3, 4) for i in "abc"], "sub_id int, id string, other boolean, renamed boolean")
+    assert rows(identity.assigned(found)) == [(1, "a"), (2, "b"), (3, "c")]
+    assert identity.assigned(found.limit(0)).count() == 0
+
+
+def test_aliases_without_siblings(spark):
+    subs, _ = _assignment(spark)
+    aliases = spark.createDataFrame([(8, "Leite", "leite"), (8, "Leite 2", "leite2"), (8, "Hana", "hana"), (4, "ab", "ab"), (7, "x", "x")], "sub_id int, alias string, alias_key string")
+    assert rows(identity.without_sibling_names(aliases, subs).select("sub_id", "alias")) == [(4, "ab"), (7, "x"), (8, "Hana")]
+
+
+def test_rare_runs_find_parts(spark):
+    keys = spark.createDataFrame([(str(i), 0, f"common{i}x") for i in range(60)] + [("z", 1, "commonrare"), ("q", 0, "co")], "id string, place int, key string")
+    got = rows(search.search(spark.createDataFrame([("common",), ("monrare",), ("n5x",), ("co",), ("zzz",)], "q string"), keys))
+    assert sum(q == "common" for q, *_ in got) == 61 and [g for g in got if g[0] in ("monrare", "n5x")] == [("monrare", "z", 2), ("n5x", "5", 2)] and ("co", "q", 0) in got
+
+
+@pytest.mark.parametrize("step", ["latest_fields", "patched", "consolidated", "first_wins"])
+def test_steps_twice_are_once(spark, step):
+    a = spark.createDataFrame([("1", "a", "x", 1), ("2", "b", None, 2), ("3", "a", "x", 3)], "id string, name string, author string, ord int")
+    b = spark.createDataFrame([("2", "B", "y", 5)], "id string, name string, author string, ord int")
+
+    def run(df):
+        if step == "latest_fields":
+            return overlay.latest_fields([df, b], "id")
+        if step == "patched":
+            return overlay.patched(df, b, "id", keep_if_blank=("name",))
+        if step == "first_wins":
+            return overlay.first_wins(df.unionByName(b), "id", "ord", "author").select(*a.columns)
+        kept = identity.consolidated(df.select("id", "ord", F.lit("ch").alias("channel"), F.col("name").alias("name_key"), F.lit(False).alias("protected"))).where("id = kept_id")
+        return df.join(kept.select("id"), "id", "left_semi")
+
+    once = run(a).select(*a.columns)
+    assert rows(run(once).select(*a.columns)) == rows(once) != rows(a)
