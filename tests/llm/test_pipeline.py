@@ -41,7 +41,7 @@ def test_stages(spark):
     sets = {i: _shingles(before[i]) for i in ids}
     group = {i: i for i in ids}
     changed = True
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
