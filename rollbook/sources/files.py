@@ -12,9 +12,12 @@ from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir; a new one where unset)."""
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir; a new one where
+    it is unset and all run on one machine, as in tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollbook-"))
         top = spark.sparkContext.getCheckpointDir()
