@@ -22,6 +22,16 @@ PREPARING = (
 )
 
 
+#: What titles of platforms' pages end in, by platform, in the order in which it is removed.
+TITLE_ENDS = {
+    "youtube": (r"\s*[-|]\s*YouTube\s*$", r"\s*YouTube\s*$"), "twitch": (r"\s*[-|]\s*Twitch\s*$",), "tiktok": (r"\s*[-|]\s*TikTok\s*$", r"\s+on\s+TikTok\s*$", r"\s*\(@[\w.\-]+\)\s*$"),
+    "iriam": (r"\s*[-|]\s*IRIAM\s*$",), "reality": (r"\s*[-|]\s*REALITY\s*$",), "avvy": (r"\s*[-|]\s*Avvy\s*$",), "showroom": (r"\s*[-|]\s*SHOWROOM.*$",), "17live": (r"\s*[-|]\s*17LIVE.*$",),
+    "mirrativ": (r"\s*[-|]\s*Mirrativ.*$",), "niconico": (r"\s*[-|]\s*ニコニコ.*$",), "kick": (r"\s*[-|]\s*Kick\s*$",),
+}
+#: Fixed value: the tag that titles may begin with.
+TITLE_TAG = r"^[【\[]\s*(?:VTuber|Vライバー)\s*[】\]]\s*"
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
@@ -79,6 +89,23 @@ def clean_text(c, every: bool = False) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def clean_title(title, platform: Column, most: int = 120) -> Column:
+    """A page's title as a name: without what its platform appends and without a leading tag; '' if nothing, too much or a
+    line break is left."""
+    text = clean_text(title)
+
+    def cut(value: Column, patterns: tuple[str, ...]) -> Column:
+        for p in patterns:
+            value = F.trim(F.regexp_replace(value, f"(?iU){p}", ""))
+        return value
+
+    out = text
+    for name, patterns in TITLE_ENDS.items():
+        out = F.when(platform == name, cut(text, patterns)).otherwise(out)
+    out = cut(out, (TITLE_TAG,))
+    return F.when((F.char_length(out) <= most) & ~out.rlike(r"[\r\n\t]"), out).otherwise("")
+
+
 def slug(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_text(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

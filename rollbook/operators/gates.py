@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,16 @@ def circuit_breaker(batches: DataFrame, order: str, failed: str, total: str, lea
     out = batches.withColumn("stop", F.col(failed) >= F.greatest(F.lit(least), F.ceil(F.col(total) * share)))
     first = out.agg(F.min(F.when(F.col("stop"), F.col(order))).alias("__first"))
     return out.join(F.broadcast(first), F.lit(True)).withColumn("ran", F.col(order) <= F.coalesce("__first", order)).drop("__first")
+
+
+def pruned(base: DataFrame, layers: list[DataFrame], protected: list[DataFrame], key: str, risky: Column) -> DataFrame:
+    """All rows with state: kept, if any of the protected sets has the key; else rows of base are pruned, rows of other layers
+    are orphaned if base had their key (their record goes), risky by the predicate, or else kept."""
+    safe = reduce(DataFrame.union, (df.select(key) for df in protected)).distinct().withColumn("__safe", F.lit(True))
+    gone = base.select(key).distinct().withColumn("__base", F.lit(True))
+    rows = base.withColumn("__own", F.lit(True))
+    for df in layers:
+        rows = rows.unionByName(df.withColumn("__own", F.lit(False)))
+    rows = rows.join(safe, key, "left").join(gone, key, "left")
+    state = F.when(F.col("__safe"), "kept").when(F.col("__own"), "pruned").when(F.col("__base"), "orphaned").when(risky, "risky").otherwise("kept")
+    return rows.withColumn("state", state).drop("__safe", "__base", "__own")

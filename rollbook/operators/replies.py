@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as t
+
 _LIST = re.compile(r'"(?:suggestions|candidates|names)"\s*:\s*\[')
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}"]', re.S)
@@ -58,3 +61,18 @@ def _items(text: str | None) -> list[str]:
 def closed_items(texts: pd.Series) -> pd.Series:
     """The closed items of the array under `suggestions`, `candidates` or `names` in a text of JSON that was cut off."""
     return texts.map(_items)
+
+
+def accepted_readings(names: DataFrame, items: DataFrame, most: int = 160, composed: bool = False) -> DataFrame:
+    """(batch, idx, reading) of the batches that are accepted as a whole: each index of the batch has exactly one reading and
+    there are no others, readings are kana (or empty), and they keep the kana that a name begins or ends with.
+
+    names: batch, idx, name; items: batch, idx, reading. A batch is what a model was asked at once, a few dozen rows."""
+    plain = t.fold_kana(F.col("name") if composed else t.nfkc(F.coalesce("name", F.lit(""))))
+    start, end = F.regexp_extract(plain, "^([ぁ-ゖー]+)", 1), F.regexp_extract(plain, "([ぁ-ゖー]+)$", 1)
+    compact = F.regexp_replace("reading", r"(?U)[\s・]", "")
+    good = F.col("reading").rlike("^[ぁ-ゖー ・]*$") & (F.char_length("reading") <= most) & compact.startswith(start) & compact.endswith(end)
+    told = items.groupBy("batch", "idx").agg(F.count(F.lit(1)).alias("n"), F.min("reading").alias("reading"))
+    both = names.join(told, ["batch", "idx"], "full_outer").withColumn("ok", F.coalesce((F.col("n") == 1) & F.col("name").isNotNull() & good, F.lit(False)))
+    whole = both.groupBy("batch").agg(F.bool_and("ok").alias("ok")).where("ok").select("batch")
+    return both.join(whole, "batch", "left_semi").select("batch", "idx", F.trim("reading").alias("reading"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.urls import host_key
 
 
 def cascade(rules: list[tuple[str, Column]], otherwise: str = "verified") -> Column:
@@ -44,3 +49,36 @@ def sanitised(rows: DataFrame, fields: list[str], denied: Column, clear: str | N
     for f in fields:
         out = out.withColumn("__value", F.col(f)).withColumn(f, F.when(~F.coalesce(denied, F.lit(False)), F.col(f)).otherwise(F.lit(clear))).drop("__value")
     return out
+
+
+def on_hosts(urls: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether any URL of a list is on one of the hosts."""
+    return F.exists(urls, lambda x: host_key(x).isin(*hosts))
+
+
+def person_scoped(source_id: Column, evidence: Column, primary: Column, urls: Column, prefixes: tuple[str, ...], official: tuple[str, ...], risky: tuple[str, ...]) -> Column:
+    """Whether a record has an official source for its person: a record of an agency with evidence that says so or with a
+    primary platform, or one of a platform (by its id's prefix) with a URL on an official host and none on a risky one."""
+    agency = source_id.startswith("agency-") & (evidence.rlike("official|individual") | (F.size(primary) > 0))
+    of_platform = F.substring_index(source_id, ":", 1).isin(*prefixes) & source_id.contains(":")
+    return F.coalesce(agency | (of_platform & on_hosts(urls, official) & ~on_hosts(urls, risky)), F.lit(False))
+
+
+def risky_record(free: Column, source_id: Column, evidence: Column, urls: Column, prefixes: tuple[str, ...], markers: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
+    """Whether a record must go: never one whose source is free to use; else by its id's beginning, by a marker in its
+    evidence, or by a URL on a risky host."""
+    begins = reduce(lambda a, b: a | b, (source_id.startswith(p) for p in prefixes), F.lit(False))
+    marked = reduce(lambda a, b: a | b, (F.lower(F.coalesce(evidence, F.lit(""))).contains(m) for m in markers), F.lit(False))
+    return ~F.coalesce(free, F.lit(False)) & F.coalesce(begins | marked | on_hosts(urls, hosts), F.lit(False))
+
+
+def scoped_links(lines: DataFrame, by: str, order: str, line: str, first: str, last: str, entry: str, link: str) -> DataFrame:
+    """(by, entry, links): the links of each entry of a section. The section runs from the first line that fits `first` to
+    the next that fits `last`; without both there is none. A line that fits `entry` begins an entry, and each link belongs
+    to the entry before it. A document's lines are sorted together."""
+    c, before = F.col(line), Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("__first", F.min(F.when(c.rlike(first), F.col(order))).over(Window.partitionBy(by)))
+    rows = rows.withColumn("__last", F.min(F.when(c.rlike(last) & (F.col(order) > F.col("__first")), F.col(order))).over(Window.partitionBy(by)))
+    rows = rows.where(f"`{order}` >= __first AND `{order}` < __last").withColumn("entry", F.last(F.when(c.rlike(entry), F.col(order)), ignorenulls=True).over(before))
+    found = rows.where("entry IS NOT NULL").select(by, "entry", order, F.explode_outer(F.when(F.col("entry") != F.col(order), F.regexp_extract_all(c, F.lit(link), 1))).alias("__link"))
+    return found.groupBy(by, "entry").agg(F.count("__link").alias("links"))

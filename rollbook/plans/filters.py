@@ -69,16 +69,28 @@ def c10_contract(spark, sf_dir):
     return s.split_by_contract(c, checks).select("c_custkey", F.array_join("violations", ",").alias("violations"), "ok")
 
 
+def _page_records(spark, sf_dir):
+    """Pages as records: of an agency, of a platform or of neither, with evidence and URLs."""
+    k = F.col("page_id")
+    links = F.transform(F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), 1), lambda x: F.concat(F.lit("https://"), u.host_key("url"), x))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.element_at(F.array(*map(F.lit, ("agency-a", "x:", "twitch:", "other:"))), (k % 4 + 1).cast("int")), k.cast("string")).alias("source_id"), F.element_at(F.array(*map(F.lit, ("An Official page", "individual", "a LIST of names"))), (k % 3 + 1).cast("int")).alias("evidence"),
+        F.when(k % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("primary"), F.concat(F.array("url"), links).alias("urls"), F.col("html").contains("Apache License").alias("free"),
+    )
+
+
+#: Hosts of the given pages that stand for official and for risky ones.
+OFFICIAL, RISKY = tuple(f"{w}.example.{d}" for w in ("therhe", "theran", "thering", "ththed", "tiontion") for d in ("org", "com", "net")), ("casino-win.example.com", "free-bets.example.com", "ads-track.example.com", "cheap-pills.example.com")
+
+
 def c11_official(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    links = F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), 1)
-    return p.select("page_id", (F.col("url").startswith("https://") & F.exists(links, lambda x: x.rlike("^/[A-Z]")) & ~u.host_key("url").startswith("ads-")).alias("official"))
+    own = s.person_scoped(F.col("source_id"), F.col("evidence"), F.col("primary"), F.col("urls"), ("x", "twitch"), OFFICIAL, RISKY)
+    return _page_records(spark, sf_dir).select("page_id", own.alias("official"))
 
 
 def c12_risky(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    reusable, reference = F.col("text").contains("Apache License"), F.col("text").contains("All rights reserved")
-    return d.select("doc_id", F.when(reusable, False).when(reference, True).otherwise(F.col("source").isin("src1", "src5", "src9")).alias("risky"))
+    risky = s.risky_record(F.col("free"), F.col("source_id"), F.col("evidence"), F.col("urls"), ("twitch:1", "other:2"), ("a list",), RISKY)
+    return _page_records(spark, sf_dir).select("page_id", risky.alias("risky"))
 
 
 def c13_sanitised(spark, sf_dir):
@@ -138,10 +150,10 @@ def e8_unambiguous(spark, sf_dir):
 
 
 def e9_scoped_links(spark, sf_dir):
-    """Each line of a document belongs to the latest line before it that is an entry (ends in a full stop)."""
+    """The words in capitals of each entry (a line that ends in a full stop) of a document's section, from its first line with a
+    comma to the next with a digit."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    entry = F.last(F.when(F.col("line").endswith("."), F.col("place")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("entry", entry).groupBy("doc_id").agg(F.countDistinct("entry").alias("n_entries"), F.count_if(F.col("entry") != F.col("place")).alias("n_attached"))
+    return s.scoped_links(lines, "doc_id", "place", "line", ",", "[0-9]", r"\.$", r"\b([A-Z][a-z]+)")
 
 
 def e10_profiles(spark, sf_dir):
@@ -173,8 +185,8 @@ ORACLES = {
     "c8_eligibility": "SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_shipdate > TIMESTAMP '1998-06-01' THEN 'future' WHEN l_quantity < 3 THEN 'no_views' WHEN l_discount >= 0.09::DOUBLE THEN 'free' ELSE 'accepted' END AS reason, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "c9_host_policy": f"SELECT page_id, url FROM pages WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract({_H}, '([^.]+[.][^.]+[.][^.]+)$', 1) AS d FROM pages WHERE url LIKE '%casino%' OR url LIKE '%cheap%') WHERE {_H} = d OR ends_with({_H}, '.' || d))",
     "c10_contract": "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey > 9999 THEN 'id' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN 'segment' END, CASE WHEN length(c_name) NOT BETWEEN 3 AND 40 THEN 'name' END, CASE WHEN c_acctbal < 0 THEN 'balance' END) AS violations, c_custkey <= 9999 AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AND length(c_name) BETWEEN 3 AND 40 AND c_acctbal >= 0 AS ok FROM customer",
-    "c11_official": f"""SELECT page_id, starts_with(url, 'https://') AND regexp_matches(html, 'href="/[A-Z]') AND NOT starts_with({_H}, 'ads-') AS official FROM pages""",
-    "c12_risky": "SELECT doc_id, CASE WHEN contains(text, 'Apache License') THEN false WHEN contains(text, 'All rights reserved') THEN true ELSE source IN ('src1', 'src5', 'src9') END AS risky FROM documents",
+    "c11_official": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id % 3 = 1 OR page_id % 5 = 0 WHEN 3 THEN false ELSE {_H} IN {OFFICIAL} AND {_H} NOT IN {RISKY} END AS official FROM pages",
+    "c12_risky": f"SELECT page_id, NOT contains(html, 'Apache License') AND ((page_id % 4 = 2 AND left(page_id::VARCHAR, 1) = '1') OR (page_id % 4 = 3 AND left(page_id::VARCHAR, 1) = '2') OR page_id % 3 = 2 OR {_H} IN {RISKY}) AS risky FROM pages",
     "c13_sanitised": f"SELECT page_id, CASE WHEN NOT regexp_matches({_H}, '^(?:ads-track|free-bets)') THEN url END AS source_url, NULL::VARCHAR AS name_source, CASE WHEN NOT regexp_matches({_H}, '^(?:ads-track|free-bets)') THEN 'CC0' END AS licence FROM pages",
     "c14_minimised": "SELECT c_custkey, c_nationkey FROM customer",
     "e1_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
@@ -185,7 +197,10 @@ ORACLES = {
     "e6_rows": """SELECT page_id, unnest(range(0, len(h)))::INT AS place, unnest(h) AS hrefs, unnest(n) AS names FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS n FROM pages)""",
     "e7_first_id": r"SELECT page_id, coalesce(nullif(regexp_extract(html, 'track\((\d+)\)', 1), ''), nullif(regexp_extract(html, '<!-- ad (\d+) -->', 1), '')) AS id FROM pages",
     "e8_unambiguous": r"""SELECT page_id, CASE WHEN len(l) = 1 THEN l[1] END AS lang FROM (SELECT page_id, list_distinct(regexp_extract_all(html, 'lang="(\w+)"', 1) || regexp_extract_all(url, '/(en|fr|de|es)/', 1)) AS l FROM pages)""",
-    "e9_scoped_links": "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), e AS (SELECT *, max(CASE WHEN ends_with(line, '.') THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS entry FROM l) SELECT doc_id, count(DISTINCT entry) AS n_entries, count(*) FILTER (entry <> place) AS n_attached FROM e GROUP BY 1",
+    "e9_scoped_links": r"""WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+f AS (SELECT *, min(place) FILTER (contains(line, ',')) OVER (PARTITION BY doc_id) AS a FROM l), g AS (SELECT *, min(place) FILTER (regexp_matches(line, '[0-9]') AND place > a) OVER (PARTITION BY doc_id) AS b FROM f),
+e AS (SELECT *, max(CASE WHEN ends_with(line, '.') THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS entry FROM g WHERE place >= a AND place < b)
+SELECT doc_id, entry::INT AS entry, sum(CASE WHEN entry <> place THEN len(regexp_extract_all(line, '\b([A-Z][a-z]+)', 1)) ELSE 0 END)::BIGINT AS links FROM e WHERE entry IS NOT NULL GROUP BY 1, 2""",
     "e10_profiles": f"SELECT badge, count(*) AS n, count(DISTINCT a) AS n_accounts, max(length(name))::INT AS longest FROM (SELECT regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS name, {_H} || rtrim(regexp_extract(url, '{_P}', 5), '/') AS a, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS badge FROM pages) WHERE name <> '' GROUP BY 1",
     "e11_owner_check": "SELECT o_custkey, count(*) AS n_verified FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linestatus = 'F' AND l_quantity > 0 AND l_shipdate > o_orderdate GROUP BY 1",
 }

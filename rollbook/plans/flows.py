@@ -107,9 +107,13 @@ def j2_cooldowns_batch(spark, sf_dir):
 
 
 def j3_recovered(spark, sf_dir):
-    """Stream of errors, joined with the table of users who bought: the leads that get another chance."""
-    buyers = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 90").select("user_id").distinct()
-    return leads.drained(_events(spark, sf_dir).where("event_type = 'error'").join(buyers, "user_id").select("event_id", "user_id"))
+    """Stream of leads (errors by users): those that were turned down in the batch in which their user was throttled, the day of
+    the user's first error, wait again."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    batches = errors.groupBy(F.col("user_id").alias("host")).agg(F.min(F.to_date("ts")).alias("batch"))
+    status = F.when(F.col("value") > 66, "unavailable:HTTP429").when(F.col("value") > 33, "unavailable:ValueError").otherwise("rejected")
+    rows = _events(spark, sf_dir).where("event_type = 'error'").select("event_id", F.col("user_id").alias("host"), status.alias("status"), F.to_date("ts").alias("verified_on"))
+    return leads.drained(leads.recovered(rows, batches)).select("event_id", "status")
 
 
 def j4_daily_counts(spark, sf_dir):
@@ -141,7 +145,7 @@ ORACLES = {
     "j1_first_seen": "SELECT DISTINCT user_id FROM events",
     "j2_cooldowns": "SELECT user_id::VARCHAR AS host, max(floor(epoch(ts))::BIGINT + CASE WHEN value > 50 THEN 86400 ELSE 3600 END) AS until FROM events WHERE event_type = 'error' GROUP BY 1",
     "j2_cooldowns_batch": "SELECT event_id, coalesce(epoch_us(ts) < max(CASE WHEN event_type = 'error' THEN epoch_us(ts) + 3600000000 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS deferred FROM events",
-    "j3_recovered": "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)",
+    "j3_recovered": "SELECT event_id, CASE WHEN value > 33 AND ts::DATE = min(ts::DATE) OVER (PARTITION BY user_id) THEN 'deferred_host_backoff' WHEN value > 66 THEN 'unavailable:HTTP429' WHEN value > 33 THEN 'unavailable:ValueError' ELSE 'rejected' END AS status FROM events WHERE event_type = 'error'",
     "j4_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "j5_single_flight": "SELECT p_brand, count(*) AS n, count(DISTINCT l_partkey) AS n_parts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
 }

@@ -114,10 +114,13 @@ def g14_catalogue_id(spark, sf_dir):
 
 
 def g15_query_plan(spark, sf_dir):
-    """Query texts from segments and nations that have customers together."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return c.join(n, "c_nationkey").where("c_mktsegment <> 'BUILDING' OR n_name < 'M'").select(F.format_string("%s supplier in %s", F.lower("c_mktsegment"), "n_name").alias("query"))
+    """Query texts from all nations, segments and templates: no templates of streets for short names, none of two for the
+    first segment."""
+    segments = table(spark, sf_dir, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))  # a handful of segments, one row
+    templates = F.array(F.lit("%s in %s"), F.lit("%s %s street"), F.lit('"%s" "%s"'))
+    n = table(spark, sf_dir, "nation").join(F.broadcast(segments), F.lit(True)).select("n_name", F.explode("segments").alias("segment")).select("n_name", "segment", F.posexplode(templates).alias("kind", "template"))
+    kept = n.where("NOT (kind = 1 AND length(n_name) < 6) AND NOT (kind = 2 AND segment = 'AUTOMOBILE')")
+    return kept.select(F.replace(F.regexp_replace("template", "%s(.*)%s", "{0}$1{1}"), F.lit("{0}"), F.lower("segment")).alias("q"), "n_name").select(F.replace("q", F.lit("{1}"), F.col("n_name")).alias("query")).distinct()
 
 
 def h1_ordered_union(spark, sf_dir):
@@ -134,11 +137,17 @@ def h2_id_sets(spark, sf_dir):
 
 
 def h3_protected_prune(spark, sf_dir):
+    """Customers in three layers. Six sets protect ids; rows of the base layer outside of them go, rows of the others if they
+    are orphaned (their id has no protected base row and isn't their own) or risky."""
     c = table(spark, sf_dir, "customer")
-    buyers = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    protected = c.where("c_acctbal > 9000").select("c_custkey").union(buyers).union(c.where("c_nationkey = 3").select("c_custkey")).distinct()
-    flagged = c.join(protected.withColumn("protected", F.lit(True)), "c_custkey", "left").withColumn("risky", F.col("c_mktsegment") == "BUILDING")
-    return flagged.select("c_custkey", F.when(F.col("protected"), "kept").when(F.col("risky"), "pruned").when(F.col("c_acctbal") < 0, "orphaned").otherwise("kept").alias("state"))
+    keys = lambda df, name: df.select(F.col(name).cast("long").alias("c_custkey"))
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    protected = [keys(c.where("c_acctbal > 9000"), "c_custkey"), keys(orders.where("o_totalprice > 400000"), "o_custkey"), keys(c.where("c_nationkey = 3"), "c_custkey"), keys(table(spark, sf_dir, "supplier").where("s_acctbal > 5000"), "s_suppkey"), keys(events.where("event_type = 'purchase' AND value > 99"), "user_id"), keys(c.where("c_name LIKE '%77'"), "c_custkey")]
+    base = c.select("c_custkey", "c_mktsegment", F.lit("base").alias("layer"))
+    extra = c.where("c_custkey % 3 = 0").select("c_custkey", "c_mktsegment", F.lit("extra").alias("layer"))
+    own = c.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), "c_mktsegment", F.lit("platform").alias("layer"))
+    platform = c.where("c_custkey % 5 = 0").select("c_custkey", "c_mktsegment", F.lit("platform").alias("layer")).union(own)
+    return gates.pruned(base, [extra, platform], protected, "c_custkey", F.col("c_mktsegment") == "BUILDING")
 
 
 def h4_net_new(spark, sf_dir):
@@ -222,10 +231,13 @@ def k6_decisions(spark, sf_dir):
 
 
 def k7_batches(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("q"))
-    w = Window.partitionBy("l_orderkey")
-    ok = (F.col("n") == 1) & (F.col("q") >= 1)
-    return li.select("l_orderkey", "l_linenumber", (F.bool_and(ok).over(w) & (F.max("l_linenumber").over(w) == F.count(F.lit(1)).over(w))).alias("accepted"))
+    """Orders as batches of names to read, a line each, and the readings that came back: some wrong, some missing."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("k"))
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("k") % 3 + 1).cast("int"))
+    names = li.select("batch", "idx", pick("灰島リウ", "ミライ アカリ", "未知名").alias("name"))
+    reading = F.when(F.col("k") % 37 == 0, "abc").when(F.col("k") % 37 == 1, "はいしまりゅう").otherwise(pick("はいしま りう", "みらい・あかり", "みちな"))
+    items = li.where("k % 31 <> 0").select("batch", "idx", reading.alias("reading"))
+    return replies.accepted_readings(names, items, composed=True)
 
 
 _KEYSQL = r"(SELECT p_partkey AS id, unnest([0, 1, 2]) AS place, unnest([regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(p_brand), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(p_type), '[^\p{L}\p{N}]', '', 'g')]) AS key FROM part)"
@@ -249,10 +261,12 @@ ORACLES = {
     "g14_catalogue_id": """WITH p AS (SELECT *, (min(p_partkey) OVER b + max(p_partkey) OVER b) // 2 AS middle FROM part WINDOW b AS (PARTITION BY p_brand)),
 c AS (SELECT p_brand, substr(sha256(string_agg(p_name, chr(10) ORDER BY p_partkey)), 1, 16) AS own, count(*) AS n, substr(sha256(string_agg(p_name, chr(10) ORDER BY p_partkey) FILTER (p_partkey <= middle)), 1, 16) AS old, count(*) FILTER (p_partkey <= middle) AS m FROM p GROUP BY 1)
 SELECT p_brand, own AS catalogue, n, CASE WHEN p_brand LIKE 'Brand#1%' THEN (n + 3) % n WHEN p_brand LIKE 'Brand#2%' THEN (m - 1) % m ELSE 0 END AS cursor, CASE WHEN p_brand LIKE 'Brand#2%' THEN old END AS migrated_from FROM c""",
-    "g15_query_plan": "SELECT DISTINCT lower(c_mktsegment) || ' supplier in ' || n_name AS query FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' OR n_name < 'M'",
+    "g15_query_plan": "SELECT DISTINCT CASE kind WHEN 0 THEN s || ' in ' || n_name WHEN 1 THEN s || ' ' || n_name || ' street' ELSE '\"' || s || '\" \"' || n_name || '\"' END AS query FROM nation, (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer), (VALUES (0), (1), (2)) k(kind) WHERE NOT (kind = 1 AND length(n_name) < 6) AND NOT (kind = 2 AND s = 'automobile')",
     "h1_ordered_union": "SELECT k, min(ord) AS first FROM (SELECT c_nationkey AS k, c_custkey AS ord FROM customer UNION ALL SELECT c_nationkey + 5, c_custkey + 100000 FROM customer) GROUP BY 1",
     "h2_id_sets": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT count(*) AS n, sum(k)::BIGINT AS total, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT count(*), sum(k)::BIGINT, 'only_a' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT count(*), sum(k)::BIGINT, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT count(*), sum(k)::BIGINT, 'either' FROM (SELECT * FROM a UNION SELECT * FROM b)",
-    "h3_protected_prune": "SELECT c_custkey, CASE WHEN c_acctbal > 9000 OR c_nationkey = 3 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN 'kept' WHEN c_mktsegment = 'BUILDING' THEN 'pruned' WHEN c_acctbal < 0 THEN 'orphaned' ELSE 'kept' END AS state FROM customer",
+    "h3_protected_prune": """WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000 OR c_nationkey = 3 OR c_name LIKE '%77' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 UNION SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 99),
+l AS (SELECT c_custkey, c_mktsegment, 'base' AS layer FROM customer UNION ALL SELECT c_custkey, c_mktsegment, 'extra' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_mktsegment, 'platform' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 10000000, c_mktsegment, 'platform' FROM customer WHERE c_custkey % 50 = 0)
+SELECT c_custkey, c_mktsegment, layer, CASE WHEN c_custkey IN (SELECT id FROM p) THEN 'kept' WHEN layer = 'base' THEN 'pruned' WHEN c_custkey < 10000000 THEN 'orphaned' WHEN c_mktsegment = 'BUILDING' THEN 'risky' ELSE 'kept' END AS state FROM l""",
     "h4_net_new": "SELECT count(*) AS net_new FROM (SELECT md5(text) FROM documents EXCEPT SELECT md5(text) FROM documents WHERE doc_id % 10 <> 0)",
     "i_gates": """SELECT 'unique c_custkey' AS gate, 0.0::DOUBLE AS value, true AS ok
  UNION ALL SELECT 'unique l_orderkey', count(*)::DOUBLE, count(*) = 0 FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)
@@ -272,7 +286,7 @@ SELECT o_custkey, array_to_string(list_filter(ks, lambda x, i: 11 + length(array
     "k4_repair_lines": r"SELECT doc_id, place::INT AS place, cells[1] AS name, cells[3] AS reason FROM (SELECT doc_id, place, list_transform(string_split(regexp_replace(trim(line), '^(?:[-*]\s+|\d+[.)]\s*)', ''), '|'), lambda x: trim(x)) AS cells FROM (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE len(cells) = 3 AND cells[1] <> '' AND cells[3] <> ''",
     "k5_intent": r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(?:no|without)\s+\w+') THEN false ELSE regexp_matches(text, '(?i)\b(?:the|and)\b.{0,25}\bth') OR (lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND NOT regexp_matches(text, '(?i)why|analysis')) END AS wants FROM conversations",
     "k6_decisions": "SELECT event_id, CASE WHEN k NOT BETWEEN 0 AND 99 THEN 'invalid' WHEN event_type = 'error' THEN 'needs_review' WHEN k >= 50 THEN 'approve' ELSE 'reject' END AS decision FROM (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events)",
-    "k7_batches": "WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, bool_and(n = 1 AND q >= 1) OVER w AND max(l_linenumber) OVER w = count(*) OVER w AS accepted FROM g WINDOW w AS (PARTITION BY l_orderkey)",
+    "k7_batches": "WITH g AS (SELECT l_orderkey AS batch, l_linenumber AS idx, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2), v AS (SELECT *, k % 31 <> 0 AND k % 37 <> 0 AND NOT (k % 37 = 1 AND k % 3 <> 2) AS ok FROM g) SELECT batch, idx, CASE WHEN k % 37 = 1 THEN 'はいしまりゅう' ELSE ['はいしま りう', 'みらい・あかり', 'みちな'][k % 3 + 1] END AS reading FROM v WHERE batch NOT IN (SELECT batch FROM v WHERE NOT ok)",
 }
 QUERIES = {name: f for name, f in globals().items() if name in ORACLES}
 ORACLES = {name: sql for name, sql in ORACLES.items() if sql}

@@ -96,9 +96,13 @@ def b11_own_id(spark, sf_dir):
 
 
 def b12_title_clean(spark, sf_dir):
-    title = t.clean_text(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1))
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r"(?i)\s*[-|]\s*\w+\s*$", ""), r"^[\[(]\s*\w+\s*[\])]\s*", ""), r"\s*[\[(][^\])]*[\])]\s*$", ""))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.char_length(cleaned).between(1, 120), cleaned).otherwise("").alias("title"))
+    """Customers' names as titles of pages: with the endings of eleven platforms, some with another platform's, some tagged."""
+    ends = {"youtube": " - YouTube", "twitch": " | twitch ", "tiktok": " (@some.one) | TikTok", "iriam": "-IRIAM", "reality": " - REALITY", "avvy": " | Avvy", "showroom": " - SHOWROOM live", "17live": " | 17LIVE - more", "mirrativ": " - Mirrativ", "niconico": " - ニコニコ動画", "kick": " - Kick"}
+    k = F.col("c_custkey")
+    names, tails = F.array(*map(F.lit, ends)), F.array(*map(F.lit, ends.values()))
+    head = F.when(k % 5 == 0, "[ VTuber ] ").when(k % 5 == 1, "<b>").otherwise("")
+    title = F.concat(head, "c_name", F.when(k % 7 == 0, F.repeat(F.lit("x"), 120)).otherwise(""), F.get(tails, (k % 11).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", t.clean_title(title, F.get(names, ((k + F.when(k % 13 == 0, 1).otherwise(0)) % 11).cast("int"))).alias("title"))
 
 
 def b13_text_clean(spark, sf_dir):
@@ -176,7 +180,6 @@ ORACLES = {
     "b7_host_key": f"SELECT page_id, {HOST_KEY} AS host FROM pages",
     "b8_canonical_account": f"SELECT page_id, a.platform AS platform, a.id AS account_id FROM (SELECT page_id, CASE {_RULES} END AS a FROM (SELECT page_id, {_RULE_HOST} AS h, {PATH} AS p FROM pages))",
     "b9_url_key": f"SELECT {HOST_KEY} || {PATH} AS url_key, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1",
-    "b12_title_clean": rf"""SELECT page_id, CASE WHEN length(c) BETWEEN 1 AND 120 THEN c ELSE '' END AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_CLEAN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s*[-|]\s*\w+\s*$', ''), '^[\[(]\s*\w+\s*[\])]\s*', ''), '\s*[\[(][^\])]*[\])]\s*$', '')) AS c FROM pages)""",
     "b13_text_clean": f"SELECT page_id, sha256({_EVERY}) AS clean FROM pages",
     "b14_slug": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(sha256(p_name || chr(10) || p_partkey), 1, 24) AS id FROM part",
     "b15_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::DATE::VARCHAR END AS date, CASE WHEN o_orderkey % 10 <> 0 AND o_orderdate::DATE <= DATE '1996-01-01' THEN o_orderdate::DATE::VARCHAR END AS past FROM orders",
@@ -199,6 +202,9 @@ SELECT c_custkey, 'UC' || CASE WHEN c_custkey % 3 = 0 THEN md5(c_name)[1:22] WHE
 ORACLES["b15_timestamps"] = """
 SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN day + 37230 WHEN 1 THEN day + 37230 - 32400 WHEN 2 THEN day + 37230 WHEN 4 THEN epoch(o_orderdate)::BIGINT END AS second
 FROM (SELECT *, epoch(o_orderdate::DATE::TIMESTAMP)::BIGINT AS day FROM orders)"""
+ORACLES["b12_title_clean"] = """
+WITH e AS (SELECT [' - YouTube', ' | twitch', ' (@some.one) | TikTok', '-IRIAM', ' - REALITY', ' | Avvy', ' - SHOWROOM live', ' | 17LIVE - more', ' - Mirrativ', ' - ニコニコ動画', ' - Kick'] AS ends)
+SELECT c_custkey, CASE WHEN length(x) <= 120 THEN x ELSE '' END AS title FROM (SELECT c_custkey, c_name || CASE WHEN c_custkey % 7 = 0 THEN repeat('x', 120) ELSE '' END || CASE WHEN c_custkey % 13 = 0 THEN ends[c_custkey % 11 + 1] ELSE '' END AS x FROM customer, e)"""
 ORACLES["b18_name_keys"] = r"""
 WITH k AS (SELECT p_partkey, i, regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') AS key FROM (SELECT p_partkey, unnest([1, 2, 3]) AS i, unnest([p_name, p_type, p_name]) AS x FROM part))
 SELECT p_partkey, string_agg(key, ',' ORDER BY i) AS keys FROM (SELECT p_partkey, key, min(i) AS i FROM k WHERE key <> '' GROUP BY ALL) GROUP BY p_partkey"""

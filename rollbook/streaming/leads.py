@@ -54,6 +54,18 @@ def deferred(leads: DataFrame, held: DataFrame, host: str, time: str) -> DataFra
     return rows.withColumn("deferred", F.coalesce(F.unix_seconds(F.col(time)) < F.col("until"), F.lit(False))).drop("until")
 
 
+#: States of leads whose host may just have been throttled, and the state of those that wait.
+THROTTLED, DEFERRED = ("unavailable:ValueError", "unavailable:HTTP429"), "deferred_host_backoff"
+
+
+def recovered(leads: DataFrame, batches: DataFrame) -> DataFrame:
+    """A stream of leads (host, status, verified_on) in which those that were found unavailable in the batch that a host was
+    throttled in (host, batch: a table) wait again; all others are as they were."""
+    joined = leads.join(batches, "host", "left")
+    again = F.col("status").isin(*THROTTLED) & (F.col("verified_on") == F.col("batch"))
+    return joined.withColumn("status", F.when(again, DEFERRED).otherwise(F.col("status"))).drop("batch")
+
+
 def daily_counts(events: DataFrame, time: str, kind: str, delay: str) -> DataFrame:
     day = F.window(time, "1 day")
     return events.withWatermark(time, delay).groupBy(day.alias("day"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("day.start").alias("day"), kind, "n")

@@ -346,3 +346,39 @@ def test_steps_twice_are_once(spark, step):
 
     once = run(a).select(*a.columns)
     assert rows(run(once).select(*a.columns)) == rows(once) != rows(a)
+
+
+@pytest.mark.parametrize(
+    ("title", "platform", "name"),
+    [("Nora - YouTube", "youtube", "Nora"), ("Nora YouTube", "youtube", "Nora"), ("Nora | Twitch", "youtube", "Nora | Twitch"), ("Nora (@no.ra) | TikTok", "tiktok", "Nora"), ("【VTuber】 <b>Nora</b>", None, "Nora"), ("ノラ - ニコニコ生放送", "niconico", "ノラ"), ("x" * 121, None, ""), (None, "kick", ""), ("- Kick", "kick", "")],
+)
+def test_clean_title(spark, title, platform, name):
+    df = spark.createDataFrame([(title, platform)], "title string, platform string")
+    assert df.select(t.clean_title("title", F.col("platform"))).first()[0] == name
+
+
+def test_batches_of_readings(spark):
+    names = spark.createDataFrame([("a", 0, "灰島リウ"), ("a", 1, "未知名"), ("b", 0, "ねこ山"), ("c", 0, "x"), ("d", 0, "y"), ("e", 0, "z")], "batch string, idx int, name string")
+    items = spark.createDataFrame([("a", 0, "はいしま・りう"), ("a", 1, " みちな "), ("b", 0, "やまねこ"), ("c", 0, "あ"), ("c", 1, "い"), ("d", 0, "う"), ("d", 0, "う"), ("f", 0, "え")], "batch string, idx int, reading string")
+    assert rows(replies.accepted_readings(names, items)) == [("a", 0, "はいしま・りう"), ("a", 1, "みちな")]
+
+
+def test_person_scoped_and_risky_records(spark):
+    df = spark.createDataFrame([("agency-a", "official roster", ["https://q.example/"]), ("agency-b", "none", None), ("x:1", None, ["https://www.x.com/a"]), ("x:2", None, ["https://x.com/a", "https://bad.example/"]), ("y:1", "Found On A LIST", []), (None, None, None)], "id string, evidence string, urls array<string>")
+    none = F.array().cast("array<string>")
+    own = screening.person_scoped(F.col("id"), F.col("evidence"), none, F.col("urls"), ("x",), ("x.com",), ("bad.example",))
+    risky = screening.risky_record(F.lit(False), F.col("id"), F.col("evidence"), F.col("urls"), ("agency-b",), ("a list",), ("bad.example",))
+    assert [tuple(r) for r in df.coalesce(1).select(own, risky).collect()] == [(True, False), (False, True), (True, False), (False, True), (False, True), (False, False)]
+
+
+def test_links_of_a_section(spark):
+    text = ["[no](u0)", "## start", "[early](u1)", "### A", "[x](u2) [y](u3)", "### B", "### C", "[z](u4)", "## end", "[late](u5)"]
+    df = spark.createDataFrame([("d", i, x) for i, x in enumerate(text)] + [("open", 0, "## start"), ("open", 1, "### A")], "doc string, at int, line string")
+    assert rows(screening.scoped_links(df, "doc", "at", "line", "^## start", "^## end", "^### ", r"\]\((\w+)\)")) == [("d", 3, 2), ("d", 5, 0), ("d", 6, 1)]
+
+
+def test_pruned_layers(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "a")], "id int, kind string")
+    extra = spark.createDataFrame([(2, "a"), (3, "risk"), (4, "a"), (1, "risk")], "id int, kind string")
+    safe = [spark.createDataFrame([(1,)], "id int")]
+    assert rows(gates.pruned(base, [extra], safe, "id", F.col("kind") == "risk")) == [(1, "a", "kept"), (1, "risk", "kept"), (2, "a", "orphaned"), (2, "a", "pruned"), (3, "risk", "risky"), (4, "a", "kept")]
