@@ -82,3 +82,13 @@ def scoped_links(lines: DataFrame, by: str, order: str, line: str, first: str, l
     rows = rows.where(f"`{order}` >= __first AND `{order}` < __last").withColumn("entry", F.last(F.when(c.rlike(entry), F.col(order)), ignorenulls=True).over(before))
     found = rows.where("entry IS NOT NULL").select(by, "entry", order, F.explode_outer(F.when(F.col("entry") != F.col(order), F.regexp_extract_all(c, F.lit(link), 1))).alias("__link"))
     return found.groupBy(by, "entry").agg(F.count("__link").alias("links"))
+
+
+def discovered(df: DataFrame, url: str, link: str, profile: str, pages: str) -> DataFrame:
+    """df with target (the link in full) and kind: `profile` if its path fits that pattern, `page` if the link fits the one of
+    further pages of a list; null for anything else and for links that lead to another host."""
+    c, at = F.coalesce(F.col(link), F.lit("")), r"^(https?://[^/?#]*)"
+    target = F.when(c.rlike(r"^/(?!/)"), F.concat(F.regexp_extract(url, at, 1), c)).when(c.rlike(r"^https?://"), c)
+    own = F.lower(F.regexp_extract(target, r"^https?://([^/?#]*)", 1)) == F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))
+    path = F.regexp_extract(target, r"^https?://[^/?#]*([^?#]*)", 1)
+    return df.withColumns({"target": target, "kind": F.when(own & path.rlike(profile), "profile").when(own & target.rlike(pages), "page")})

@@ -118,7 +118,10 @@ def e2_links(spark, sf_dir):
 
 
 def e3_profile_links(spark, sf_dir):
-    return _links(spark, sf_dir).where(F.col("link").rlike(r"^/[A-Za-z]+\.?$")).select(F.concat(u.host_key("url"), "link").alias("profile")).distinct()
+    """Profiles and further pages that pages link to on their own hosts; each page also links to itself by pages, and to others."""
+    own = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?page=2")), F.lit("https://elsewhere.example/The"), F.lit("//elsewhere.example/The"))).alias("link"))
+    found = s.discovered(_links(spark, sf_dir).select("page_id", "url", "link").union(own), "url", "link", r"^/[A-Za-z]+\.?$", r"[?&]page=\d+")
+    return found.where("kind IS NOT NULL").select("target", "kind").distinct()
 
 
 def e4_visible_text(spark, sf_dir):
@@ -191,7 +194,8 @@ ORACLES = {
     "c14_minimised": "SELECT c_custkey, c_nationkey FROM customer",
     "e1_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "e2_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT link) AS n_distinct, arg_min(link, place) AS first_link FROM {_LINKS} GROUP BY 1",
-    "e3_profile_links": rf"SELECT DISTINCT {_H} || link AS profile FROM {_LINKS} WHERE regexp_matches(link, '^/[A-Za-z]+\.?$')",
+    "e3_profile_links": rf"""SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) || link AS target, 'profile' AS kind FROM {_LINKS} WHERE regexp_matches(link, '^/[A-Za-z]+\.?$') UNION SELECT regexp_replace(url, '[?#].*$', '') || '?page=2', CASE WHEN regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^/[A-Za-z]+\.?$') THEN 'profile' ELSE 'page' END FROM pages
+UNION SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) || link, 'page' FROM {_LINKS} WHERE NOT regexp_matches(link, '^/[A-Za-z]+\.?$') AND starts_with(link, '/') AND NOT starts_with(link, '//') AND NOT regexp_matches(regexp_extract(link, '^([^?#]*)', 1), '^/[A-Za-z]+\.?$') AND regexp_matches(link, '[?&]page=[0-9]+')""",
     "e4_visible_text": f"SELECT page_id, sha256(v) AS text, length(v) >= 30 AS available FROM (SELECT page_id, {_CLEAN.format(chr(39).join(['regexp_replace(html, ', '(?is)<(?:script|style|noscript)[ >].*?</(?:script|style|noscript)>', ', ', ' ', ', ', 'g', ')']))} AS v FROM pages)",
     "e5_embedded": r"""SELECT page_id, regexp_extract(html, 'var t="([^"]*)"', 1) AS value, regexp_extract(html, 'track\((\d+)\)', 1)::BIGINT AS n FROM pages""",
     "e6_rows": """SELECT page_id, unnest(range(0, len(h)))::INT AS place, unnest(h) AS hrefs, unnest(n) AS names FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS n FROM pages)""",
