@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import written
+from .overlay import latest_fields
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,115 @@ def consolidated(rows: DataFrame) -> DataFrame:
     return out.select("id", F.when(own, F.col("id")).otherwise(F.col("kept_id")).alias("kept_id"), F.when(own, F.lit(1)).otherwise(F.col("n_merged")).alias("n_merged"))
 
 
+def one_candidate(rows: DataFrame) -> DataFrame:
+    """id and kept_id: in the order of `ord`, a row joins the record of its channel with which it has a name key in common,
+    if there is exactly one; else it is a record of its own, as are fixed rows (of an immutable base), protected ones
+    (characters, say, that share a channel) and those with no channel or several. A row's keys become its record's keys.
+
+    rows: id, ord (each once), channels and keys (lists), fixed, protected. It is enough to know of each key the record
+    that has it first, and when a second one has it too. Both are taken from a guess of all records, which gives the next
+    guess, until it stays as it is. That is the result row by row, as the first k rows are right after k rounds; a few
+    rounds do unless rows hang together in long chains. Keys are aggregated, so that no group is in one task.
+    """
+    able = rows.where("NOT protected").withColumn("channels", F.array_distinct(F.array_compact("channels"))).where("size(channels) = 1")
+    keyed = written(able.select("id", "ord", "fixed", F.col("channels")[0].alias("channel"), F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"), "keyed")
+    by = ["channel", "key"]
+    firsts = keyed.groupBy(*by).agg(F.min(F.struct("ord", "id")).alias("x"))
+    guess = keyed.join(firsts, by).groupBy("id").agg(F.when(F.bool_or("fixed"), F.col("id")).otherwise(F.min("x")["id"]).alias("owner"))
+    guess = written(guess, "owners")
+    while True:
+        spans = keyed.join(guess, "id").groupBy(*by, "owner").agg(F.min("ord").alias("at"))
+        first = spans.groupBy(*by).agg(F.min_by("owner", "at").alias("one"), F.min("at").alias("at_one"))
+        second = spans.join(first, by).where("owner != one").groupBy(*by).agg(F.min("at").alias("at_two"))
+        known = keyed.join(first, by).join(second, by, "left").withColumn("one", F.when(F.col("ord") > F.col("at_one"), F.col("one")))
+        told = known.groupBy("id").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.bool_or(F.coalesce(F.col("ord") > F.col("at_two"), F.lit(False)) | F.col("fixed")).alias("apart"))
+        owner = F.when(~F.col("apart") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("id"))
+        better = written(told.select("id", owner.alias("owner")), "owners")
+        if better.join(guess.withColumnRenamed("owner", "before"), "id").where("owner != before").isEmpty():
+            return rows.select("id").join(better, "id", "left").select("id", F.coalesce("owner", "id").alias("kept_id"))
+        guess = better
+
+
+def merged_duplicates(records: DataFrame, kept: DataFrame, key: str, name: str, aliases: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """records with those that have another kept_id (kept: id, kept_id) merged into it: its blank fields are filled, lists
+    become ordered unions, and names of merged records are aliases, but never a record's own name."""
+    gone = kept.where("id != kept_id").select(F.col("id").alias("in_id"), F.col("kept_id").alias("target"), F.lit("matched").alias("status"))
+    registry = records.join(gone.select(F.col("in_id").alias(key)), key, "left_anti")
+    others = F.concat(F.coalesce(aliases, F.array().cast(records.schema[aliases].dataType)), F.array_compact(F.array(name)))
+    out = applied(registry, records.withColumn(aliases, others).withColumnRenamed(key, "in_id"), gone, key, lists=(aliases, *lists))
+    return out.withColumn(aliases, F.filter(aliases, lambda x: ~x.eqNullSafe(F.col(name))))
+
+
+def with_submissions(layers: list[DataFrame], submissions: DataFrame) -> DataFrame:
+    """One record for each id of the layers, under the submissions that mean it (see matched_submissions): in every layer
+    that has the record, the last submission's reading, all their names and aliases, and their accounts, each once;
+    submissions that mean no record are appended. Then later layers win by field, and accounts are those of all layers.
+
+    layers: id, name, name_key, reading, aliases, accounts; submissions: the same and sub_id, by_id_only. Submissions meet
+    the layers as they were before.
+    """
+    apart = lambda df, *cs: df.select(*cs, "name_key", F.explode_outer("accounts").alias("account"))
+    records = reduce(DataFrame.union, (apart(df, "id") for df in layers)).distinct()
+    hits = matched_submissions(records, apart(submissions.withColumnRenamed("id", "ref_id"), "sub_id", "ref_id", "by_id_only"))
+    said = hits.join(submissions.drop("id", "name_key"), "sub_id")
+    in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sub_id", c.alias("v")))), lambda x: x["v"]))
+    patch = said.groupBy("id").agg(F.max_by("reading", "sub_id").alias("__reading"), in_order(F.concat(F.array("name"), "aliases")).alias("__aliases"), in_order(F.col("accounts")).alias("__accounts"))
+    union = lambda c: F.when(F.col(f"__{c}").isNotNull(), F.array_distinct(F.concat(F.coalesce(c, F.array().cast("array<string>")), f"__{c}"))).otherwise(F.col(c))
+    out = [df.join(patch, "id", "left").withColumns({"reading": F.coalesce("__reading", "reading"), "aliases": union("aliases"), "accounts": union("accounts")}).select(*df.columns) for df in layers]
+    fresh = submissions.join(hits.select("sub_id").distinct(), "sub_id", "left_anti").select(*layers[-1].columns)
+    return latest_fields([*out, fresh], "id", lists=("aliases",), joined=("accounts",))
+
+
+def with_applications(records: DataFrame, apps: DataFrame) -> DataFrame:
+    """records under applications, each applied to the first record (by id) with its id or one of its accounts, else to the
+    one record that alone has its name; what means no record is appended, once for each id. Then all are applied again,
+    now also to what was appended. The last application names a record; former names, and those of other applications,
+    are aliases, and accounts are a union.
+
+    records: id, name, name_key, aliases, accounts; apps: the same and app_id, their order. A pass meets the records as
+    they were before it.
+    """
+
+    def targets(df: DataFrame) -> DataFrame:
+        by_id = apps.select("app_id", "id").join(df.select("id"), "id").select("app_id", "id")
+        by_account = apps.select("app_id", F.explode("accounts").alias("account")).join(df.select("id", F.explode("accounts").alias("account")).groupBy("account").agg(F.min("id").alias("id")), "account").select("app_id", "id")
+        by_name = apps.select("app_id", "name_key").join(df.groupBy("name_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1"), "name_key").select("app_id", "id")
+        ranked = by_id.union(by_account).withColumn("rank", F.lit(0)).union(by_name.withColumn("rank", F.lit(1)))
+        return ranked.groupBy("app_id").agg(F.min(F.struct("rank", "id")).alias("x")).select("app_id", F.col("x.id").alias("id"))
+
+    def applied_to(df: DataFrame, to: DataFrame) -> DataFrame:
+        said = to.withColumnRenamed("id", "__to").join(apps, "app_id")
+        in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("app_id", c.alias("v")))), lambda x: x["v"]))
+        both = F.concat(F.coalesce("aliases", none), F.array("name"))
+        patch = said.groupBy(F.col("__to").alias("id")).agg(F.max_by(F.struct("name", "name_key"), "app_id").alias("now"), in_order(both).alias("__aliases"), in_order(F.coalesce("accounts", none)).alias("__accounts"))
+        names = F.array_distinct(F.concat(F.coalesce("aliases", none), F.array_compact(F.array("name")), "__aliases"))
+        hit = F.col("now").isNotNull()
+        out = {"aliases": F.when(hit, F.filter(names, lambda x: ~x.eqNullSafe(F.col("now.name")))).otherwise(F.col("aliases")), "accounts": F.when(hit, F.array_distinct(F.concat(F.coalesce("accounts", none), "__accounts"))).otherwise(F.col("accounts"))}
+        now = {c: F.when(hit, F.col(f"now.{c}")).otherwise(F.col(c)) for c in ("name", "name_key")}
+        return df.join(patch, "id", "left").withColumns({**out, **now}).select(*df.columns)
+
+    none = F.array().cast("array<string>")
+    first = targets(records)
+    fresh = apps.join(first.select("app_id"), "app_id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*(c for c in records.columns if c != "id")), "app_id").alias("x")).select("id", "x.*")
+    once = written(applied_to(records, first).unionByName(fresh), "applied")
+    return applied_to(once, targets(once))
+
+
+def attached_metrics(accounts: DataFrame, metrics: DataFrame, rows: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
+    """(id, metrics): of each record one metric for each account, in the order of platform and account: the last row for
+    it, on every record that has exactly this account, else the one that it had. Rows of other platforms, with negative
+    counts or without an https source don't count.
+
+    accounts: id, platform, account_id; metrics: those, count and source; rows: the same without id, with ord.
+    """
+    account = ["platform", "account_id"]
+    valid = rows.where(F.col("platform").isin(*platforms) & (F.col("count") >= 0) & F.col("source").startswith("https://"))
+    latest = valid.groupBy(*account).agg(F.max_by(F.struct("count", "source"), "ord").alias("x"))
+    new = accounts.select("id", *account).distinct().join(latest, account).select("id", *account, "x.*", F.lit(1).alias("layer"))
+    each = new.unionByName(metrics.withColumn("layer", F.lit(0))).groupBy("id", *account).agg(F.max_by(F.struct("count", "source"), "layer").alias("x"))
+    return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*account, "x.count", "x.source"))).alias("metrics"))
+
+
 def matched_submissions(records: DataFrame, submissions: DataFrame) -> DataFrame:
     """(sub_id, id): records that a submission means by id, or by name unless by_id_only, or by account. Three equi-joins
     and a distinct union stand for the OR. Names and accounts that many records and submissions share make many pairs,

@@ -87,6 +87,38 @@ def appended_unseen(base: DataFrame, rows: DataFrame, key: str, other: str) -> D
     return base.unionByName(rows.join(base.select(key), key, "left_anti").join(base.select(other).where(F.col(other).isNotNull()), other, "left_anti").select(*rows.columns), allowMissingColumns=True)
 
 
+def renamed(records: DataFrame, overrides: DataFrame) -> DataFrame:
+    """records under the first override (by place) that means them, by a former name, the id or an account: it gives name
+    and reading, and the former names become aliases. Three equi-joins stand for the OR.
+
+    records: id, name, name_key, reading, inferred, aliases, accounts; overrides: place, id, name, reading, accounts,
+    old_names and old_keys.
+    """
+    o = overrides.select("place", F.col("id"), "old_keys", "accounts")
+    by_name = records.select("id", "name_key").join(o.select("place", F.explode("old_keys").alias("name_key")), "name_key").select("id", "place")
+    by_id = records.select("id").join(o.select("id", "place"), "id")
+    by_account = records.select("id", F.explode("accounts").alias("account")).join(o.select("place", F.explode("accounts").alias("account")), "account").select("id", "place")
+    first = by_name.union(by_id).union(by_account).groupBy("id").agg(F.min("place").alias("place"))
+    now = first.join(overrides.select("place", F.col("name").alias("__name"), F.col("reading").alias("__reading"), "old_names"), "place").drop("place")
+    hit = F.col("__name").isNotNull()
+    former = F.when(F.col("name") != F.col("__name"), F.array("name")).otherwise(F.array().cast("array<string>"))
+    out = records.join(now, "id", "left").withColumn("aliases", F.when(hit, F.array_distinct(F.concat("aliases", former, "old_names"))).otherwise(F.col("aliases")))
+    return out.withColumns({"name": F.coalesce("__name", "name"), "reading": F.when(hit, F.col("__reading")).otherwise(F.col("reading")), "inferred": ~hit & F.col("inferred")}).select(*records.columns)
+
+
+def restored(base: DataFrame, present: DataFrame, family: DataFrame, key: str, licence: tuple[str, ...], expected: int) -> DataFrame:
+    """base with the records of a family that aren't present (a table of keys): fields that base has win, licence columns
+    are the family's. With `expected` of them present nothing changes; a family of fewer is an error."""
+    if present.select(key).distinct().count() >= expected:
+        return base
+    if (n := family.count()) < expected:
+        raise ValueError(f"the family has {n} records, {expected} are expected")
+    lost = family.join(present.select(key), key, "left_anti").select(key, *(F.col(c).alias(f"__{c}") for c in family.columns if c != key))
+    fields = [c for c in base.columns if c != key]
+    value = lambda c: F.coalesce(f"__{c}", c) if c in licence else F.coalesce(c, f"__{c}")
+    return base.join(lost, key, "full_outer").select(key, *(value(c).alias(c) if c in family.columns else F.col(c) for c in fields))
+
+
 def first_wins(queue: DataFrame, key: str, order: str, fill: str) -> DataFrame:
     """One row for each key, the earliest; a later one may only fill a missing `fill`."""
     rest = [c for c in queue.columns if c not in (key, fill)]

@@ -51,6 +51,32 @@ def sanitised(rows: DataFrame, fields: list[str], denied: Column, clear: str | N
     return out
 
 
+def sanitised_lists(rows: DataFrame, fields: list[str], hosts: tuple[str, ...], markers: tuple[str, ...]) -> DataFrame:
+    """rows with only those sources left in the given lists that aren't on one of the hosts, or have a marker of a free
+    source; a list of which nothing is left is null."""
+    free = lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(m)) for m in markers), F.lit(False))
+    left = lambda f: F.filter(f, lambda x: x.isNotNull() & (free(x) | ~host_key(x).isin(*hosts)))
+    return rows.withColumns({f: F.when(F.size(left(f)) > 0, left(f)) for f in fields})
+
+
+#: Fixed value(s): scripts that names can be asked for.
+SCRIPTS = {"kana": r"[\p{IsHiragana}\p{IsKatakana}]", "han": r"\p{IsHan}", "latin": "[A-Za-z]"}
+
+
+def selected(rows: DataFrame, platform: str = "all", tag: str = "all", word: str = "", reading: str = "all", script: str = "all") -> DataFrame:
+    """rows on a platform, of a tag, with a word (a key) in their name key, whose reading is verified, estimated or missing
+    and whose name has a script. rows: platforms (a list), tag, name, name_key, reading, inferred."""
+    missing = F.coalesce(F.col("reading"), F.lit("")) == ""
+    inferred = F.coalesce("inferred", F.lit(False))
+    states = {"verified": ~missing & ~inferred, "estimated": inferred, "missing": missing}
+    wanted = [F.array_contains("platforms", platform)] if platform != "all" else []
+    wanted += [F.col("tag") == tag] if tag != "all" else []
+    wanted += [F.contains("name_key", F.lit(word))] if word else []
+    wanted += [states[reading]] if reading != "all" else []
+    wanted += [F.col("name").rlike(SCRIPTS[script])] if script in SCRIPTS else []
+    return rows.where(reduce(lambda a, b: a & b, wanted, F.lit(True)))
+
+
 def on_hosts(urls: Column, hosts: tuple[str, ...]) -> Column:
     """Whether any URL of a list is on one of the hosts."""
     return F.exists(urls, lambda x: host_key(x).isin(*hosts))

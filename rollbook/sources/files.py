@@ -53,6 +53,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     return spark.read.csv(path, schema=schema, header=True, sep=sep, enforceSchema=False, multiLine=False, mode="FAILFAST")
 
 
+def bindings(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """rows with a column for each name: the trimmed value of that binding ({name: {"value": ...}}) in a JSON column, blank
+    where it isn't there."""
+    shape = T.StructType([T.StructField(n, T.StructType([T.StructField("value", T.StringType())])) for n in names])
+    out = rows.withColumn("__b", F.from_json(column, shape))
+    return out.withColumns({n: F.trim(F.coalesce(F.col(f"__b.{n}.value"), F.lit(""))) for n in names}).drop("__b")
+
+
+def read_submissions(spark: SparkSession, path: str, prefixes: dict[str, str], apart: str = "／") -> DataFrame:
+    """(name, reading, urls) of a TSV file without a header. Names and readings of a line that are as many, and set apart,
+    belong together by place and share its URLs, which are set apart by blanks; a URL may begin with a shorthand."""
+    lines = spark.read.csv(path, schema="name string, reading string, urls string", sep="\t", quote="", mode="FAILFAST")
+    kinds = F.create_map(*(F.lit(x) for kv in prefixes.items() for x in kv))
+    short = lambda u: F.substring(u, 1, 2)
+    full = lambda u: F.coalesce(F.concat(F.try_element_at(kinds, short(u)), F.substring(u, 3, 1 << 30)), u)
+    urls = F.transform(F.filter(F.split("urls", r"\s+"), lambda u: u != ""), full)
+    names, readings = F.split("name", apart), F.split("reading", apart)
+    paired = F.when(F.size(names) == F.size(readings), F.arrays_zip(names.alias("name"), readings.alias("reading"))).otherwise(F.array(F.struct("name", "reading")))
+    return lines.select(F.explode(paired).alias("x"), urls.alias("urls")).select("x.*", "urls")
+
+
 def read_json_directory(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.json", most_bytes: int = 1 << 30, most_total: int = 1 << 40) -> DataFrame:
     """Records of the files that fit the glob, with each file's time. Files over most_bytes are an error, as is a sum over
     most_total; sizes come from file metadata."""

@@ -382,3 +382,82 @@ def test_pruned_layers(spark):
     extra = spark.createDataFrame([(2, "a"), (3, "risk"), (4, "a"), (1, "risk")], "id int, kind string")
     safe = [spark.createDataFrame([(1,)], "id int")]
     assert rows(gates.pruned(base, [extra], safe, "id", F.col("kind") == "risk")) == [(1, "a", "kept"), (1, "risk", "kept"), (2, "a", "orphaned"), (2, "a", "pruned"), (3, "risk", "risky"), (4, "a", "kept")]
+
+
+def _plain_candidates(given):
+    """Row by row: (id, channels, keys, fixed, protected), in order."""
+    kept, owners = {}, {}
+    for i, channels, keys, fixed, protected in given:
+        kept[i] = i
+        if protected or len(set(channels)) != 1:
+            continue
+        known = owners.setdefault(channels[0], {})
+        found = {o for k in keys for o in known.get(k, ())}
+        if len(found) == 1 and not fixed:
+            kept[i] = found.pop()
+        for k in keys:
+            known.setdefault(k, set()).add(kept[i])
+    return sorted(kept.items())
+
+
+def test_one_candidate_row_by_row(spark):
+    import random
+
+    kind = "id int, ord int, channels array<string>, keys array<string>, fixed boolean, protected boolean"
+    for seed in range(3):
+        r = random.Random(seed)
+        given = [(i, r.choices("ab", k=r.choice((1, 1, 1, 1, 2, 0))), r.choices("pqrstuvw", k=r.choice((0, 1, 2, 2, 3))), r.random() < 0.15, r.random() < 0.1) for i in range(80)]
+        df = spark.createDataFrame([(i, i, c, k, f, p) for i, c, k, f, p in given], kind)
+        assert rows(identity.one_candidate(df)) == _plain_candidates(given)
+    assert identity.one_candidate(df.limit(0)).count() == 0
+
+
+def test_merged_duplicates_keep_names_and_sources(spark):
+    kind = "id string, name string, site string, aliases array<string>, profiles array<string>"
+    records = spark.createDataFrame([("a", "ima", None, ["x"], ["p1"]), ("b", "ima ai", "s", ["ima", "y"], ["p2", "p1"]), ("c", "other", "t", None, None)], kind)
+    kept = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, kept_id string")
+    once = identity.merged_duplicates(records, kept, "id", "name", "aliases", ("profiles",))
+    assert rows(once, "id") == [("a", "ima", "s", ["x", "y", "ima ai"], ["p1", "p2"]), ("c", "other", "t", [], [])]
+    again = identity.merged_duplicates(once, kept.where("id = kept_id"), "id", "name", "aliases", ("profiles",))
+    assert rows(again, "id") == rows(once, "id")
+
+
+def test_renamed_by_name_id_or_account(spark):
+    kind = "id string, name string, name_key string, reading string, inferred boolean, aliases array<string>, accounts array<string>"
+    records = spark.createDataFrame([("1", "Old", "old", "", True, ["o"], []), ("2", "x", "x", "", True, [], ["x:a"]), ("3", "y", "y", "r", True, [], None), ("9", "z", "z", "", True, [], [])], kind)
+    overrides = spark.createDataFrame([(1, "9", "New", "new", ["x:a"], ["Old"], ["old"]), (2, "2", "Second", "second", [], [], [])], "place int, id string, name string, reading string, accounts array<string>, old_names array<string>, old_keys array<string>")
+    got = {r["id"]: (r["name"], r["reading"], r["inferred"], r["aliases"]) for r in overlay.renamed(records, overrides).collect()}
+    assert got == {"1": ("New", "new", False, ["o", "Old"]), "2": ("New", "new", False, ["x", "Old"]), "3": ("y", "r", True, []), "9": ("New", "new", False, ["z", "Old"])}
+
+
+def test_restored_family(spark):
+    kind = "id int, name string, licence string"
+    base = spark.createDataFrame([(1, "a", None), (2, None, "old")], kind)
+    family = spark.createDataFrame([(1, "f1", "CC0"), (2, "f2", "CC0"), (3, "f3", "CC0")], kind)
+    present = base.where("id = 1")
+    assert rows(overlay.restored(base, present, family, "id", ("licence",), 3), "id") == [(1, "a", None), (2, "f2", "CC0"), (3, "f3", "CC0")]
+    assert overlay.restored(base, present, family, "id", ("licence",), 1) is base
+    with pytest.raises(ValueError):
+        overlay.restored(base, present, family, "id", ("licence",), 4)
+
+
+def test_bindings_and_submission_files(spark, tmp_path):
+    df = spark.createDataFrame([('{"a": {"value": " x "}, "b": {}}',), ("no json",), (None,)], "row string")
+    assert rows(files.bindings(df, "row", ["a", "b"]).select("a", "b")) == [("", ""), ("", ""), ("x", "")]
+    (tmp_path / "s.tsv").write_text('A／B\ta／b\tx:me  https://h/q\n\nC／"D\tc\tx:\n', encoding="utf-8")
+    got = rows(files.read_submissions(spark, f"file://{tmp_path}/s.tsv", {"x:": "https://x.com/"}))
+    assert got == [("A", "a", ["https://x.com/me", "https://h/q"]), ("B", "b", ["https://x.com/me", "https://h/q"]), ('C／"D', "c", ["https://x.com/"])]
+
+
+def test_sources_left_in_lists(spark):
+    df = spark.createDataFrame([(["https://bad.example/a", "https://good.example/b", None],), (["https://bad.example/a"],), (["https://bad.example/FREE"],), (None,)], "s array<string>")
+    got = [r[0] for r in screening.sanitised_lists(df, ["s"], ("bad.example",), ("free",)).collect()]
+    assert sorted(map(str, got)) == ["None", "None", "['https://bad.example/FREE']", "['https://good.example/b']"]
+
+
+def test_applications_by_rank_and_again(spark):
+    kind = "id string, name string, name_key string, aliases array<string>, accounts array<string>"
+    records = spark.createDataFrame([("1", "a", "a", None, ["x:1"]), ("2", "b", "b", ["bb"], ["x:2"]), ("3", "same", "same", [], None), ("4", "same", "same", [], []), ("5", "alone", "alone", [], [])], kind)
+    apps = spark.createDataFrame([(1, "n1", "A", "a", [], ["x:1", "y"]), (2, "2", "B", "b", ["q"], []), (3, "n3", "same", "same", [], ["z"]), (4, "n4", "Alone", "alone", [], []), (5, "n3", "Same two", "sametwo", [], ["w"])], f"app_id int, {kind}")
+    got = {r["id"]: (r["name"], sorted(r["aliases"]), r["accounts"]) for r in identity.with_applications(records, apps).collect()}
+    assert got == {"1": ("A", ["a"], ["x:1", "y"]), "2": ("B", ["b", "bb", "q"], ["x:2"]), "3": ("same", [], None), "4": ("same", [], []), "5": ("Alone", ["alone"], []), "n3": ("Same two", ["same"], ["z", "w"])}
