@@ -193,3 +193,21 @@ def category(category: Column, source: Column, special: tuple[str, ...], default
     """The record's category if it is one of the special ones; the second also for records with an https source."""
     first, second = special
     return F.when(category == first, first).when((category == second) | source.startswith("https://"), second).otherwise(default)
+
+
+#: Fixed value(s): metadata whose content counts as visible text.
+KEY_METAS = ("og:title", "og:description", "description", "datePublished", "uploadDate", "name")
+
+
+def visible_text(html, metas: tuple[str, ...] = KEY_METAS) -> Column:
+    """The text of a page without scripts and styles, with the content of the given metadata where it stands."""
+    names = "|".join(metas)
+    shown = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
+    told = F.regexp_replace(shown, rf"""(?i)<meta\b(?=[^>]*\b(?:property|name|itemprop)=["'](?:{names})["'])[^>]*\bcontent=(?:"([^"]*)"|'([^']*)')[^>]*>""", " $1$2 ")
+    return clean_text(told)
+
+
+def embedded_json(html, element: str, schema: str) -> Column:
+    """The JSON of the script with that id, as a value of the schema; null where there is none or it can't be read."""
+    block = F.regexp_extract(html, rf"""(?is)<script\b[^>]*\bid=["']{element}["'][^>]*>(.*?)</script>""", 1)
+    return F.from_json(F.nullif(block, F.lit("")), schema)

@@ -77,6 +77,25 @@ def selected(rows: DataFrame, platform: str = "all", tag: str = "all", word: str
     return rows.where(reduce(lambda a, b: a & b, wanted, F.lit(True)))
 
 
+def fan_operated(title: Column, description: Column, in_titles: str, in_descriptions: str) -> Column:
+    """Whether a title says so, or a description does in the terms that only fans' channels use of themselves: a creator's
+    own page may well speak of clips."""
+    said = lambda c, pattern: F.coalesce(c, F.lit("")).rlike(pattern)
+    return said(title, in_titles) | said(description, in_descriptions)
+
+
+def decision(reply: Column, reasons: tuple[str, ...], readable: Column) -> Column:
+    """A struct of decision and reason: what a reply says if it is an object of just these two, with decision `approve` or
+    `needs_review`, one of the reasons, and the reason `ok` exactly if it approves; else null. Evidence that can't be read
+    makes any valid reply a review."""
+    said = F.from_json(reply, "decision string, reason string")
+    shape = F.array_sort(F.json_object_keys(reply)) == F.array(F.lit("decision"), F.lit("reason"))
+    kinds = said["decision"].isin("approve", "needs_review") & said["reason"].isin(*reasons)
+    valid = F.coalesce(shape & kinds & ((said["decision"] == "approve") == (said["reason"] == "ok")), F.lit(False))
+    unread = F.struct(F.lit("needs_review").alias("decision"), F.lit("insufficient_evidence").alias("reason"))
+    return F.when(valid & ~F.coalesce(readable, F.lit(False)), unread).when(valid, said)
+
+
 def on_hosts(urls: Column, hosts: tuple[str, ...]) -> Column:
     """Whether any URL of a list is on one of the hosts."""
     return F.exists(urls, lambda x: host_key(x).isin(*hosts))

@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..operators import identity, overlay, screening
 from ..sources import files
 from .common import table
+from .filters import _CLEAN
 
 #: Beginnings of URLs that a submission may shorten.
 SHORT = {"x:": "https://x.com/", "t:": "https://www.tiktok.com/@", "w:": "https://www.twitch.tv/"}
@@ -138,6 +139,37 @@ def c13_sanitised_lists(spark, sf_dir):
     return screening.sanitised_lists(rows, ["name_sources"], ("bad.example",), ("free",)).select("page_id", F.array_join("name_sources", " ").alias("name_sources"))
 
 
+def c6_fan_operated(spark, sf_dir):
+    """Pages by words of their title, and by other words of their text."""
+    title = t.clean_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", screening.fan_operated(title, F.col("html"), r"(?i)^[a-f]", r"(?i)\b(?:fans?|clips?) channel\b|Apache").alias("fan"))
+
+
+def e4_text_with_metas(spark, sf_dir):
+    """Pages' visible text under metadata, of which some counts."""
+    head = F.concat(F.lit('<meta property="og:title" content="T'), "page_id", F.lit("\"><META content='D' name='description'><meta name=\"robots\" content=\"no\"><noscript>n</script></noscript>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(t.visible_text(F.concat(head, "html")).cast("binary"), 256).alias("text"))
+
+
+def e5_json_block(spark, sf_dir):
+    """Members in a JSON block of each page, which every fifth page lacks and every seventh has broken."""
+    k = F.col("page_id")
+    body = F.concat(F.lit('{"total": '), k, F.lit(', "members": [{"name": "m'), k, F.lit('"}, {"name": "'), F.md5("url"), F.lit('"}]'), F.when(k % 7 > 0, "}").otherwise(""))
+    block = F.concat(F.lit('<script type="application/json" id="'), F.when(k % 5 > 0, "roster").otherwise("roster2"), F.lit('">'), body, F.lit("</script>"))
+    value = t.embedded_json(F.concat("html", block), "roster", "total int, members array<struct<name:string>>")
+    pages = table(spark, sf_dir, "pages").select("page_id", value.alias("v"))
+    return pages.where("v.members IS NOT NULL").select("page_id", F.col("v.total").alias("total"), F.posexplode("v.members").alias("place", "m")).select("page_id", "total", "place", "m.name")
+
+
+def k6_contract(spark, sf_dir):
+    """Replies about events: whole, with a key too many, of other kinds, in conflict or cut off."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    pick = lambda m, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % m + 1).cast("int"))
+    reply = F.concat(F.lit('{"decision": "'), pick(3, "approve", "needs_review", "reject"), F.lit('", "reason": "'), pick(2, "ok", "unclear"), F.when(k % 10 == 9, F.lit('", "x": 1}')).when(k % 10 == 8, F.lit("")).otherwise('"}'))
+    said = screening.decision(reply, ("ok", "unclear", "insufficient_evidence"), F.col("event_type") != "error")
+    return table(spark, sf_dir, "events").select("event_id", said.alias("d")).select("event_id", "d.*")
+
+
 _KEY = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _ONE = rf"""
 WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand || '-' || p_size AS ch, [{_KEY.format("p_name")}, {_KEY.format("p_type")}] AS ks, p_partkey % 5 = 0 AS fixed FROM part),
@@ -174,6 +206,10 @@ UNION ALL SELECT id, name, 'r' || k, alias, account FROM s WHERE k NOT IN (SELEC
 r AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'youtube' ELSE 'twitch' END AS platform, 'a' || o_custkey % 400 AS account, arg_max(trunc(o_totalprice)::BIGINT, o_orderkey) AS n FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0 GROUP BY 1, 2)
 SELECT id, string_agg(platform || ' ' || account || ' ' || coalesce(n || ' https://new.example', '1 https://old.example'), ',' ORDER BY platform, account) AS metrics FROM a LEFT JOIN r USING (platform, account) WHERE n IS NOT NULL OR id % 3 = 0 GROUP BY id""",
     "c4_selected": rf"SELECT p_partkey FROM part WHERE p_size < 40 AND p_type = 'ECONOMY' AND contains({_KEY.format('p_name')}, 'r') AND p_partkey % 3 = 1 AND p_partkey % 5 <> 0 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 = 0",
+    "c6_fan_operated": rf"SELECT page_id, regexp_matches({_CLEAN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '(?i)^[a-f]') OR regexp_matches(html, '(?i)\b(?:fans?|clips?) channel\b|Apache') AS fan FROM pages",
+    "e4_text_with_metas": f"SELECT page_id, sha256('T' || page_id || ' D' || CASE WHEN v <> '' THEN ' ' || v ELSE '' END) AS text FROM (SELECT page_id, {_CLEAN.format(chr(39).join(['regexp_replace(html, ', '(?is)<(?:script|style|noscript)[ >].*?</(?:script|style|noscript)>', ', ', ' ', ', ', 'g', ')']))} AS v FROM pages)",
+    "e5_json_block": "SELECT page_id, page_id::INT AS total, i::INT AS place, CASE i WHEN 0 THEN 'm' || page_id ELSE md5(url) END AS name FROM pages, (SELECT unnest([0, 1]) AS i) WHERE page_id % 5 > 0 AND page_id % 7 > 0",
+    "k6_contract": "SELECT event_id, CASE WHEN ok THEN CASE WHEN event_type = 'error' THEN 'needs_review' ELSE d END END AS decision, CASE WHEN ok THEN CASE WHEN event_type = 'error' THEN 'insufficient_evidence' ELSE r END END AS reason FROM (SELECT *, k % 10 < 8 AND d <> 'reject' AND (d = 'approve') = (r = 'ok') AS ok FROM (SELECT *, ['approve', 'needs_review', 'reject'][k % 3 + 1] AS d, ['ok', 'unclear'][k % 2 + 1] AS r FROM (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events)))",
     "c13_sanitised_lists": "SELECT page_id, nullif(concat_ws(' ', CASE WHEN page_id % 2 = 0 THEN 'https://bad.example/Free' END, CASE WHEN page_id % 3 <> 0 THEN url END), '') AS name_sources FROM pages",
 }
 QUERIES = {name: f for name, f in globals().items() if name in ORACLES}

@@ -461,3 +461,26 @@ def test_applications_by_rank_and_again(spark):
     apps = spark.createDataFrame([(1, "n1", "A", "a", [], ["x:1", "y"]), (2, "2", "B", "b", ["q"], []), (3, "n3", "same", "same", [], ["z"]), (4, "n4", "Alone", "alone", [], []), (5, "n3", "Same two", "sametwo", [], ["w"])], f"app_id int, {kind}")
     got = {r["id"]: (r["name"], sorted(r["aliases"]), r["accounts"]) for r in identity.with_applications(records, apps).collect()}
     assert got == {"1": ("A", ["a"], ["x:1", "y"]), "2": ("B", ["b", "bb", "q"], ["x:2"]), "3": ("same", [], None), "4": ("same", [], []), "5": ("Alone", ["alone"], []), "n3": ("Same two", ["same"], ["z", "w"])}
+
+
+@pytest.mark.parametrize(
+    ("reply", "readable", "said"),
+    [
+        ('{"decision": "approve", "reason": "ok"}', True, ("approve", "ok")), ('{"reason": "unclear", "decision": "needs_review"}', True, ("needs_review", "unclear")), ('{"decision": "approve", "reason": "ok"}', False, ("needs_review", "insufficient_evidence")),
+        ('{"decision": "approve", "reason": "unclear"}', True, None), ('{"decision": "needs_review", "reason": "ok"}', True, None), ('{"decision": "approve", "reason": "ok", "x": 1}', False, None), ('{"decision": "approve"}', True, None), ("[1]", True, None), ("no", True, None), (None, True, None),
+    ],
+)
+def test_decisions_keep_to_their_contract(spark, reply, readable, said):
+    got = one(spark, reply, lambda c: screening.decision(F.col(c), ("ok", "unclear", "insufficient_evidence"), F.lit(readable)))
+    assert (got and tuple(got)) == said
+
+
+def test_visible_text_and_blocks(spark):
+    html = """<meta name="description" content="It's me"><meta name="robots" content="no"><style>a</script>b</style>x<script id='d' type="j">{"n": 3}</script> y <b>z"""
+    assert one(spark, html, t.visible_text) == "It's me x y z" and one(spark, None, t.visible_text) == ""
+    assert one(spark, html, lambda c: t.embedded_json(c, "d", "n int")["n"]) == 3 and one(spark, html, lambda c: t.embedded_json(c, "e", "n int")) is None
+
+
+def test_fans_by_title_or_description(spark):
+    df = spark.createDataFrame([("Best clips", "x"), ("Me", "clips allowed"), ("Me", "a fan channel"), (None, None)], "a string, b string")
+    assert [r[0] for r in df.select(screening.fan_operated(F.col("a"), F.col("b"), r"\bclips\b", r"\bfan channel\b")).collect()] == [True, False, True, False]
