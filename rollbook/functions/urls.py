@@ -186,6 +186,30 @@ def record_accounts(records: DataFrame, key: str, rules: DataFrame, links: tuple
     return found.join(channels, key).withColumn("paired", F.coalesce(paired, F.lit(False))).drop("__handle", "__own", "__channels")
 
 
+def fragment_accounts(df: DataFrame, key: str, html: str, rules: DataFrame) -> DataFrame:
+    """(key, platform, account_id, place): the accounts that a fragment links to, each once, with its first link's place."""
+    links = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*\bhref=["']([^"']+)"""), 1)).alias("place", "link"))
+    return with_account(links, "link", rules).where("account_id IS NOT NULL").groupBy(key, "platform", "account_id").agg(F.min("place").alias("place"))
+
+
+def platform_details(records: DataFrame, accounts: DataFrame, key: str, labels: tuple[str, ...]) -> DataFrame:
+    """(key, known, primary): platforms of a record. Known ones are those of its accounts, those that it names with a safe
+    source, and the primary ones; these count only if the record has both a safe source and evidence for them. Links alone
+    never make a platform primary.
+
+    records: key, platforms, platform_sources (a map), primary_platforms, primary_source, primary_evidence; accounts: key,
+    platform.
+    """
+    linked = accounts.where(F.col("platform").isin(*labels)).groupBy(key).agg(F.collect_set("platform").alias("__linked"))  # labels are few
+    none = F.array().cast("array<string>")
+    labelled = lambda c: F.array_intersect(F.coalesce(c, none), F.array(*map(F.lit, labels)))
+    told = F.filter(labelled("platforms"), lambda x: safe_url(F.try_element_at("platform_sources", x)).isNotNull())
+    backed = safe_url("primary_source").isNotNull() & (F.coalesce("primary_evidence", F.lit("")) != "")
+    primary = F.when(backed, labelled("primary_platforms")).otherwise(none)
+    known = F.array_sort(F.array_union(F.array_union(F.coalesce("__linked", none), told), primary))
+    return records.join(linked, key, "left").select(key, known.alias("known"), F.array_sort(primary).alias("primary"))
+
+
 def first_of(text, patterns: list[str]) -> Column:
     """The first pattern's group 1 that isn't empty, else null."""
     c = F.col(text) if isinstance(text, str) else text

@@ -17,13 +17,15 @@ class Policy:
     """on_multi: what to do with an incoming row whose accounts belong to several records: skip (ambiguous), all, first or
     last. require_name: a match also needs a common name key. allow_new: unmatched rows become new records. own_id_first:
     a row whose id a record has already is that record, whatever its accounts. guard: a row that shares an account with
-    records of other names only is left out (guarded) rather than new."""
+    records of other names only is left out (guarded) rather than new. named_need_name: only records that are `named` (a
+    column of the registry) need a common name key."""
 
     on_multi: str = "skip"
     require_name: bool = False
     allow_new: bool = True
     own_id_first: bool = False
     guard: bool = False
+    named_need_name: bool = False
 
 
 def resolve(existing: DataFrame, incoming: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -34,12 +36,15 @@ def resolve(existing: DataFrame, incoming: DataFrame, policy: Policy = Policy())
     account (and name) before it meets the batch, so that an account with many records and many rows makes no pairs; only
     the policy `all`, whose result they are, makes them.
     """
-    keys = ["account", "name_key"] if policy.require_name else ["account"]
-    ids = existing.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    found = incoming.join(ids, keys).groupBy("in_id").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    names = ["account", "name_key"]
+    ways = [(existing, names if policy.require_name else names[:1])]
+    if policy.named_need_name and not policy.require_name:
+        ways = [(existing.where("named"), names), (existing.where("NOT coalesce(named, false)"), names[:1])]
+    met = [incoming.join(df.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), keys).select("in_id", "lo", "hi") for df, keys in ways]
+    found = reduce(DataFrame.union, met).groupBy("in_id").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
     rows = incoming.select("in_id").distinct().join(found, "in_id", "left")
     none = F.lit("new" if policy.allow_new else "unmatched")
-    if policy.guard and policy.require_name:
+    if policy.guard and (policy.require_name or policy.named_need_name):
         shared = incoming.join(existing.select("account").distinct(), "account", "left_semi").select("in_id").distinct()
         rows = rows.join(shared.withColumn("shared", F.lit(True)), "in_id", "left")
         none = F.when(F.col("shared"), "guarded").otherwise(none)
@@ -48,7 +53,7 @@ def resolve(existing: DataFrame, incoming: DataFrame, policy: Policy = Policy())
         rows = rows.join(existing.select(F.col("id").alias("in_id")).distinct().withColumn("own", F.lit(True)), "in_id", "left")
         own = F.when(F.col("own"), F.col("in_id"))
     if policy.on_multi == "all":
-        pairs = incoming.join(existing.select(*keys, F.col("id").alias("target")).distinct(), keys).select("in_id", "target").distinct()
+        pairs = reduce(DataFrame.union, [incoming.join(df.select(*keys, F.col("id").alias("target")).distinct(), keys).select("in_id", "target") for df, keys in ways]).distinct()
         each = rows.join(pairs, "in_id", "left").withColumn("target", F.coalesce(own, "target")).withColumn("status", F.when(F.col("target").isNull(), none).otherwise("matched"))
         return each.select("in_id", "target", "status").distinct()
     several = (F.col("first") != F.col("last")) & F.lit(policy.on_multi == "skip")
@@ -72,6 +77,18 @@ def applied(registry: DataFrame, rows: DataFrame, resolution: DataFrame, key: st
     return registry.join(patch, key, "full_outer").withColumns(out).select(*registry.columns)
 
 
+def rechecked(registry: DataFrame, rows: DataFrame, resolution: DataFrame, key: str) -> DataFrame:
+    """registry with what a check of its sources found in the records that rows were matched to: the last row's (by in_id)
+    name and other fields, where they aren't blank. A reading that was of another name is cleared. Nothing is added.
+    registry: key, name, reading and fields; rows: in_id, name and fields."""
+    fields = [c for c in registry.columns if c in rows.columns and c != key]
+    said = [F.max_by(c, F.when(F.col(c).cast("string") != "", F.col("in_id"))).alias(f"__{c}") for c in fields]
+    patch = rows.join(resolution.where("status = 'matched'").select("in_id", "target"), "in_id").groupBy(F.col("target").alias(key)).agg(*said)
+    stale = F.coalesce(F.col("__name") != F.col("name"), F.lit(False))
+    out = {**{c: F.coalesce(f"__{c}", c) for c in fields}, "reading": F.when(~stale, F.col("reading"))}
+    return registry.join(patch, key, "left").withColumns(out).select(*registry.columns)
+
+
 def consolidated(rows: DataFrame) -> DataFrame:
     """Duplicates by one channel and a common name key: id, kept_id and n_merged. rows: id, ord, channel, name_key,
     protected (never merged away). A row joins the earliest row of its channel and name key."""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.urls import host_key
+from ..functions import text as t
+from ..functions.urls import fragment_accounts, host_key
 
 
 def cascade(rules: list[tuple[str, Column]], otherwise: str = "verified") -> Column:
@@ -96,6 +97,24 @@ def decision(reply: Column, reasons: tuple[str, ...], readable: Column) -> Colum
     return F.when(valid & ~F.coalesce(readable, F.lit(False)), unread).when(valid, said)
 
 
+def profiles(pages: DataFrame, key: str, html: str, patterns: dict[str, str], rules: DataFrame, today: Column) -> DataFrame:
+    """One row for each page that has a valid name and links to accounts within its profile: key, name, badge, debut (null
+    if it is to come or isn't a date) and accounts. patterns: `name`, `scope` (the part with the profile), `debut` and
+    `badge`, each with one group."""
+    found = pages.select(key, *(F.regexp_extract(html, p, 1).alias(f"__{n}") for n, p in patterns.items()))
+    rows = found.withColumn("name", t.clean_text("__name")).where(t.valid_name("name"))
+    accounts = fragment_accounts(rows, key, "__scope", rules).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "platform", "account_id"))).alias("accounts"))
+    return rows.join(accounts, key).select(key, "name", F.col("__badge").alias("badge"), t.past_date("__debut", today).alias("debut"), F.transform("accounts", lambda a: F.concat_ws(":", a["platform"], a["account_id"])).alias("accounts"))
+
+
+def owned_items(links: DataFrame, items: DataFrame, identities: DataFrame, now: Column) -> DataFrame:
+    """(record, item): items that a record links to and that are its own: the item's channel is one of the record's
+    identities, it is published, has been seen and isn't to come. links: record, item; items: item, channel, published,
+    views, upcoming; identities: record, channel."""
+    live = items.where((F.col("published") <= now) & (F.col("views") > 0) & ~F.coalesce("upcoming", F.lit(True)))
+    return links.select("record", "item").distinct().join(live.select("item", "channel"), "item").join(identities.select("record", "channel").distinct(), ["record", "channel"]).select("record", "item")
+
+
 def on_hosts(urls: Column, hosts: tuple[str, ...]) -> Column:
     """Whether any URL of a list is on one of the hosts."""
     return F.exists(urls, lambda x: host_key(x).isin(*hosts))

@@ -113,6 +113,27 @@ def d8_resolve_last_writer(spark, sf_dir):
     return identity.resolve(_existing(spark, sf_dir), _incoming(spark, sf_dir), identity.Policy("last", require_name=True, allow_new=False))
 
 
+def d8_resolve_enrich(spark, sf_dir):
+    """Rows that only ever enrich: known ids are themselves, others their accounts' one record, and nothing is new."""
+    known = _incoming(spark, sf_dir).withColumn("in_id", F.when(F.col("in_id") % 9 == 0, F.col("in_id") - 1).otherwise(F.col("in_id")))
+    return identity.resolve(_existing(spark, sf_dir), known, identity.Policy("skip", allow_new=False, own_id_first=True))
+
+
+def d8_resolve_some_named(spark, sf_dir):
+    """Records with ids divisible by four are met by account and name, others by account alone."""
+    existing = _existing(spark, sf_dir).withColumn("named", F.col("id") % 4 == 0)
+    return identity.resolve(existing, _incoming(spark, sf_dir), identity.Policy("skip", guard=True, named_need_name=True))
+
+
+def d8_rechecked(spark, sf_dir):
+    """The registry after a check: names as found, readings only where the name is the same."""
+    p = table(spark, sf_dir, "part")
+    registry = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("reading"), F.lit("").alias("seen"))
+    found = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name"))
+    rows = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("in_id"), found.alias("name"), F.concat(F.lit("s"), "p_partkey").alias("seen"))
+    return identity.rechecked(registry, rows, d8_resolve_skip(spark, sf_dir), "id")
+
+
 def d8_applied(spark, sf_dir):
     """The registry after the batch: blank sizes are filled, names are gathered, new parts are appended."""
     p = table(spark, sf_dir, "part")
@@ -347,6 +368,9 @@ ORACLES |= {
     "d5_exploded_accounts": _ACCOUNTS,
     "d6_paired_handle": f"SELECT c_custkey, count(*) - drop AS n_accounts, count(*) FILTER (platform = 'youtube') - drop AS n_youtube FROM (SELECT *, (c_custkey % 4 = 0 AND c_custkey % 7 <> 0)::INT AS drop FROM ({_ACCOUNTS})) GROUP BY c_custkey, drop",
     "d8_resolve_guarded": _RESOLVE + "m AS (SELECT *, CASE WHEN in_id % 9 = 0 THEN in_id - 1 ELSE in_id END AS nid FROM n), own AS (SELECT id FROM e), f AS (SELECT nid, min(e.id) AS first, count(DISTINCT e.id) AS c FROM m JOIN e USING (account, k) GROUP BY 1) SELECT nid AS in_id, CASE WHEN nid IN (SELECT id FROM own) THEN nid WHEN c = 1 THEN first END AS target, CASE WHEN nid IN (SELECT id FROM own) THEN 'matched' WHEN c = 1 THEN 'matched' WHEN c > 1 THEN 'ambiguous' WHEN nid IN (SELECT nid FROM m WHERE account IN (SELECT account FROM e)) THEN 'guarded' ELSE 'new' END AS status FROM (SELECT DISTINCT nid FROM m) LEFT JOIN f USING (nid)",
+    "d8_resolve_enrich": _RESOLVE + "m AS (SELECT *, CASE WHEN in_id % 9 = 0 THEN in_id - 1 ELSE in_id END AS nid FROM n), f AS (SELECT nid, min(e.id) AS first, count(DISTINCT e.id) AS c FROM m JOIN e USING (account) GROUP BY 1) SELECT nid AS in_id, CASE WHEN nid IN (SELECT id FROM e) THEN nid WHEN c = 1 THEN first END AS target, CASE WHEN nid IN (SELECT id FROM e) OR c = 1 THEN 'matched' WHEN c > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM (SELECT DISTINCT nid FROM m) LEFT JOIN f USING (nid)",
+    "d8_resolve_some_named": _RESOLVE + "f AS (SELECT in_id, min(id) FILTER (same OR id % 4 <> 0) AS first, count(DISTINCT id) FILTER (same OR id % 4 <> 0) AS c FROM pairs GROUP BY 1) SELECT i.in_id, CASE WHEN c = 1 THEN first END AS target, CASE WHEN c IS NULL THEN 'new' WHEN c = 0 THEN 'guarded' WHEN c > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM (SELECT DISTINCT in_id FROM n) i LEFT JOIN f USING (in_id)",
+    "d8_rechecked": _PAIR + ", w AS (SELECT target AS id, arg_max(p_name, in_id) FILTER (in_id % 3 <> 0) AS name, max(in_id) AS seen FROM res JOIN part ON p_partkey = in_id WHERE status = 'matched' GROUP BY 1) SELECT p_partkey AS id, coalesce(name, p_name) AS name, CASE WHEN coalesce(name, p_name) = p_name THEN p_type END AS reading, coalesce('s' || seen, '') AS seen FROM part LEFT JOIN w ON id = p_partkey WHERE p_partkey % 2 = 0",
     "d8_applied": _PAIR + """,
 w AS (SELECT coalesce(target, in_id) AS id, in_id, p_size, p_name FROM res JOIN part ON p_partkey = in_id WHERE status <> 'ambiguous'),
 g AS (SELECT id, list(p_name ORDER BY in_id) AS names, arg_min('in' || p_size, in_id) AS size FROM w GROUP BY id),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import urls as u
 from ..operators import identity, overlay, screening
 from ..sources import files
 from .common import table
@@ -56,6 +57,15 @@ def _named_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("id"), k.alias("ord"), channels.alias("channels"), keys.alias("keys"), (k % 5 == 0).alias("fixed"), (k % 11 == 0).alias("protected"), "p_name", "p_type")
 
 
+def d7_platform_details(spark, sf_dir):
+    """Customers' platforms: by accounts, named with and without a source, primary with and without evidence."""
+    k = F.col("c_custkey")
+    source = F.when(k % 3 == 0, "https://a.example/").when(k % 3 == 1, "http://a.example/")
+    records = table(spark, sf_dir, "customer").select(k, F.array(F.lit("twitch"), F.lit("radio")).alias("platforms"), F.create_map(F.lit("twitch"), source, F.lit("radio"), F.lit("https://a.example/")).alias("platform_sources"), F.array(F.lit("kick"), F.lit("radio")).alias("primary_platforms"), F.when(k % 2 == 0, "https://b.example/").alias("primary_source"), F.when(k % 5 > 0, "said so").otherwise("").alias("primary_evidence"))
+    accounts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("fax").alias("platform"))
+    return u.platform_details(records, accounts, "c_custkey", ("x", "twitch", "kick")).select("c_custkey", *(F.array_join(c, ",").alias(c) for c in ("known", "primary")))
+
+
 def d9_one_candidate(spark, sf_dir):
     """Parts that are the one earlier part of their channel with a key in common."""
     return identity.one_candidate(_named_parts(spark, sf_dir))
@@ -145,6 +155,35 @@ def c6_fan_operated(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", screening.fan_operated(title, F.col("html"), r"(?i)^[a-f]", r"(?i)\b(?:fans?|clips?) channel\b|Apache").alias("fan"))
 
 
+def _profile_pages(spark, sf_dir):
+    """Pages with a profile in front: a name, accounts (one of them twice, one beside the profile) and a day of debut."""
+    k = F.col("page_id")
+    link = lambda start: F.concat(F.lit(f'<a class="l" href="{start}'), k, F.lit('">a</a>'))
+    debut = F.when(k % 4 == 0, "2030-01-02").when(k % 4 == 1, "2024年5月6日").when(k % 4 == 2, "soon").otherwise("2023-02-03")
+    scope = F.concat(F.lit("<main>"), F.when(k % 3 > 0, F.concat(link("https://x.com/User"), link("https://www.twitch.tv/T"), link("https://twitter.com/user"))).otherwise(""), F.lit("</main>"), link("https://kick.com/K"))
+    head = F.concat(F.lit("<h2>"), F.when(k % 7 > 0, F.concat(F.lit("N &amp; <b>"), k, F.lit("</b>"))).otherwise(" "), F.lit("</h2><i>"), debut, F.lit("</i>"), scope)
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").alias("html"))
+
+
+def e2_fragment_accounts(spark, sf_dir):
+    """The accounts that pages link to, with the place of the first link."""
+    return u.fragment_accounts(_profile_pages(spark, sf_dir), "page_id", "html", u.rule_table(spark))
+
+
+def e10_profile_rows(spark, sf_dir):
+    patterns = {"name": "(?s)<h2>(.*?)</h2>", "scope": "(?s)<main>(.*?)</main>", "debut": "<i>(.*?)</i>", "badge": r'<html lang="(\w+)"'}
+    out = screening.profiles(_profile_pages(spark, sf_dir), "page_id", "html", patterns, u.rule_table(spark), F.lit("2025-01-01").cast("date"))
+    return out.select("page_id", "name", "badge", F.col("debut").cast("string").alias("debut"), F.array_join("accounts", ",").alias("accounts"))
+
+
+def e11_owned_items(spark, sf_dir):
+    """Orders that suppliers link to (by their line items) and whose channel is the supplier's own."""
+    channel = lambda c: F.concat(F.lit("c"), F.col(c) % 7).alias("channel")
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("record"), F.col("l_orderkey").alias("item"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), channel("o_custkey"), F.col("o_orderdate").cast("date").alias("published"), (F.col("o_totalprice") - 5000).alias("views"), (F.col("o_orderstatus") == "O").alias("upcoming"))
+    return screening.owned_items(links, items, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record"), channel("s_suppkey")), F.lit("1996-01-01").cast("date"))
+
+
 def e4_text_with_metas(spark, sf_dir):
     """Pages' visible text under metadata, of which some counts."""
     head = F.concat(F.lit('<meta property="og:title" content="T'), "page_id", F.lit("\"><META content='D' name='description'><meta name=\"robots\" content=\"no\"><noscript>n</script></noscript>"))
@@ -206,6 +245,10 @@ UNION ALL SELECT id, name, 'r' || k, alias, account FROM s WHERE k NOT IN (SELEC
 r AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'youtube' ELSE 'twitch' END AS platform, 'a' || o_custkey % 400 AS account, arg_max(trunc(o_totalprice)::BIGINT, o_orderkey) AS n FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0 GROUP BY 1, 2)
 SELECT id, string_agg(platform || ' ' || account || ' ' || coalesce(n || ' https://new.example', '1 https://old.example'), ',' ORDER BY platform, account) AS metrics FROM a LEFT JOIN r USING (platform, account) WHERE n IS NOT NULL OR id % 3 = 0 GROUP BY id""",
     "c4_selected": rf"SELECT p_partkey FROM part WHERE p_size < 40 AND p_type = 'ECONOMY' AND contains({_KEY.format('p_name')}, 'r') AND p_partkey % 3 = 1 AND p_partkey % 5 <> 0 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 = 0",
+    "d7_platform_details": "SELECT c_custkey, array_to_string(list_sort(list_distinct(CASE WHEN p THEN ['kick'] ELSE [] END || CASE WHEN c_custkey % 3 = 0 THEN ['twitch'] ELSE [] END || CASE WHEN x THEN ['x'] ELSE [] END)), ',') AS known, CASE WHEN p THEN 'kick' ELSE '' END AS primary FROM (SELECT c_custkey, c_custkey % 2 = 0 AND c_custkey % 5 > 0 AS p, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) AS x FROM customer)",
+    "e2_fragment_accounts": "SELECT page_id, 'x' AS platform, 'user' || page_id AS account_id, 0 AS place FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, 'twitch', 't' || page_id, 1 FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, 'kick', 'k' || page_id, CASE WHEN page_id % 3 > 0 THEN 3 ELSE 0 END FROM pages",
+    "e10_profile_rows": r"""SELECT page_id, 'N & ' || page_id AS name, regexp_extract(html, '<html lang="(\w+)"', 1) AS badge, CASE page_id % 4 WHEN 1 THEN '2024-05-06' WHEN 3 THEN '2023-02-03' END AS debut, 'x:user' || page_id || ',twitch:t' || page_id AS accounts FROM pages WHERE page_id % 3 > 0 AND page_id % 7 > 0""",
+    "e11_owned_items": "SELECT DISTINCT l_suppkey AS record, l_orderkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_custkey % 7 = s_suppkey % 7 AND o_orderdate::DATE <= DATE '1996-01-01' AND o_totalprice > 5000 AND o_orderstatus <> 'O'",
     "c6_fan_operated": rf"SELECT page_id, regexp_matches({_CLEAN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '(?i)^[a-f]') OR regexp_matches(html, '(?i)\b(?:fans?|clips?) channel\b|Apache') AS fan FROM pages",
     "e4_text_with_metas": f"SELECT page_id, sha256('T' || page_id || ' D' || CASE WHEN v <> '' THEN ' ' || v ELSE '' END) AS text FROM (SELECT page_id, {_CLEAN.format(chr(39).join(['regexp_replace(html, ', '(?is)<(?:script|style|noscript)[ >].*?</(?:script|style|noscript)>', ', ', ' ', ', ', 'g', ')']))} AS v FROM pages)",
     "e5_json_block": "SELECT page_id, page_id::INT AS total, i::INT AS place, CASE i WHEN 0 THEN 'm' || page_id ELSE md5(url) END AS name FROM pages, (SELECT unnest([0, 1]) AS i) WHERE page_id % 5 > 0 AND page_id % 7 > 0",

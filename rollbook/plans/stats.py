@@ -104,12 +104,15 @@ def _families(spark, sf_dir):
 
 
 def f15_provenance_audit(spark, sf_dir):
-    """Families of pages in three files (by page_id): ids, ids that end in a slash (anchored), and the least id of each family
-    and file; pages of no family are one of their own."""
+    """Families of pages in three files (by page_id): ids, ids that end in a slash (anchored), and the three least ids of each
+    family and file; pages of no family are one of their own."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 3).alias("file"))
     found = _families(spark, sf_dir).select("page_id", "family").distinct()
     rows = pages.join(found, "page_id", "left").withColumn("family", F.coalesce("family", F.lit("(none)")))
-    return rows.groupBy("family", "file").agg(F.countDistinct("page_id").alias("n_ids"), F.countDistinct(F.when(F.col("url").endswith("/"), F.col("page_id"))).alias("n_anchored"), F.min("page_id").alias("sample"))
+    counts = rows.groupBy("family", "file").agg(F.countDistinct("page_id").alias("n_ids"), F.countDistinct(F.when(F.col("url").endswith("/"), F.col("page_id"))).alias("n_anchored"))
+    place = F.row_number().over(Window.partitionBy("family", "file").orderBy("page_id"))  # each task passes on three rows a group
+    least = rows.select("family", "file", "page_id").withColumn("place", place).where("place <= 3").groupBy("family", "file").agg(F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("samples"))
+    return counts.join(least, ["family", "file"])
 
 
 def f16_first_family(spark, sf_dir):
@@ -170,7 +173,7 @@ ORACLES = {
     "f12_group_comparison": f"SELECT label, count(*) AS n, sum(z)::BIGINT AS total_length, round(sum(z) / count(*), 1) AS average_length, 0.0::DOUBLE AS kana_percent FROM (SELECT unnest(list_distinct([p_brand, p_brand[1:7]])) AS label, length({_N}) AS z FROM part) GROUP BY 1",
     "f13_shares": "SELECT c_mktsegment, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 2) AS percent FROM customer GROUP BY 1",
     "f14_slices": "SELECT c_mktsegment, c_nationkey, grouping_id(c_mktsegment, c_nationkey)::INT AS slice, count(*) AS n, sum(length(c_name))::BIGINT AS total_length FROM customer GROUP BY GROUPING SETS ((), (c_mktsegment), (c_nationkey), (c_mktsegment, c_nationkey))",
-    "f15_provenance_audit": f"SELECT coalesce(f.family, '(none)') AS family, p.page_id % 3 AS file, count(DISTINCT p.page_id) AS n_ids, count(DISTINCT CASE WHEN ends_with(p.url, '/') THEN p.page_id END) AS n_anchored, min(p.page_id) AS sample FROM pages p LEFT JOIN (SELECT DISTINCT page_id, family FROM {_FAM}) f USING (page_id) GROUP BY 1, 2",
+    "f15_provenance_audit": f"SELECT coalesce(f.family, '(none)') AS family, p.page_id % 3 AS file, count(DISTINCT p.page_id) AS n_ids, count(DISTINCT CASE WHEN ends_with(p.url, '/') THEN p.page_id END) AS n_anchored, array_to_string(list_sort(list(p.page_id))[:3], ',') AS samples FROM pages p LEFT JOIN (SELECT DISTINCT page_id, family FROM {_FAM}) f USING (page_id) GROUP BY 1, 2",
     "f16_first_family": f"SELECT family, count(*) AS n FROM (SELECT page_id, arg_min(family, rank) AS family FROM {_FAM} GROUP BY 1) GROUP BY 1",
     "f17_recount": "SELECT o_orderpriority, count(*) AS stored, count(*) FILTER (o_orderstatus <> 'P') AS listed, count(*) FILTER (o_orderstatus = 'P') AS excluded, count(*) FILTER (o_totalprice > 200000) AS with_activity FROM orders GROUP BY 1",
     "f18_status_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2",

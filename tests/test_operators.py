@@ -484,3 +484,34 @@ def test_visible_text_and_blocks(spark):
 def test_fans_by_title_or_description(spark):
     df = spark.createDataFrame([("Best clips", "x"), ("Me", "clips allowed"), ("Me", "a fan channel"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(screening.fan_operated(F.col("a"), F.col("b"), r"\bclips\b", r"\bfan channel\b")).collect()] == [True, False, True, False]
+
+
+def test_platforms_need_source_and_evidence(spark):
+    kind = "id int, platforms array<string>, platform_sources map<string,string>, primary_platforms array<string>, primary_source string, primary_evidence string"
+    records = spark.createDataFrame([(1, ["a", "b"], {"a": "https://s/", "b": "http://s/"}, ["c"], "https://p/", "e"), (2, None, None, ["c"], "https://p/", ""), (3, ["a"], None, None, None, None)], kind)
+    accounts = spark.createDataFrame([(1, "d"), (2, "a"), (2, "other")], "id int, platform string")
+    assert rows(u.platform_details(records, accounts, "id", ("a", "b", "c", "d"))) == [(1, ["a", "c", "d"], ["c"]), (2, ["a"], []), (3, [], [])]
+
+
+def test_owned_items(spark):
+    links = spark.createDataFrame([("r", 1), ("r", 1), ("r", 2), ("r", 3), ("r", 4), ("r", 5), (None, 1)], "record string, item int")
+    items = spark.createDataFrame([(1, "c", 1, 5, False), (2, "other", 1, 5, False), (3, "c", 9, 5, False), (4, "c", 1, 0, False), (5, "c", 1, 5, None)], "item int, channel string, published int, views int, upcoming boolean")
+    identities = spark.createDataFrame([("r", "c"), ("q", "other")], "record string, channel string")
+    assert rows(screening.owned_items(links, items, identities, F.lit(5))) == [("r", 1)]
+
+
+def test_profiles(spark):
+    pages = spark.createDataFrame([(1, '<h2>A &amp; b</h2><i>2030-01-01</i><main><a href="https://x.com/Me">m</a></main>'), (2, '<h2> </h2><main><a href="https://x.com/Me">m</a></main>'), (3, "<h2>C</h2><main></main>"), (4, None)], "id int, html string")
+    patterns = {"name": "<h2>(.*?)</h2>", "scope": "<main>(.*?)</main>", "debut": "<i>(.*?)</i>", "badge": "<b>(.*?)</b>"}
+    assert rows(screening.profiles(pages, "id", "html", patterns, u.rule_table(spark), F.lit("2025-01-01").cast("date"))) == [(1, "A & b", "", None, ["x:me"])]
+
+
+def test_named_records_and_rechecks(spark):
+    existing = spark.createDataFrame([(1, "x:a", "ann", True), (2, "x:c", "cat", False), (3, "x:d", "dog", None)], "id int, account string, name_key string, named boolean")
+    incoming = spark.createDataFrame([(11, "x:a", "ann"), (12, "x:a", "bob"), (13, "x:c", "bob"), (14, "x:d", "bob"), (15, "x:z", "z"), (16, None, "ann")], "in_id int, account string, name_key string")
+    got = identity.resolve(existing, incoming, identity.Policy(guard=True, named_need_name=True))
+    assert rows(got) == [(11, 1, "matched"), (12, None, "guarded"), (13, 2, "matched"), (14, 3, "matched"), (15, None, "new"), (16, None, "new")]
+    assert [r[1] for r in rows(identity.resolve(existing, incoming, identity.Policy("all", named_need_name=True)))] == [1, None, 2, 3, None, None]
+    registry = spark.createDataFrame([(1, "Ann", "an", ""), (2, "Cat", "kat", "old"), (3, "Dog", "dog", None)], "id int, name string, reading string, seen string")
+    found = spark.createDataFrame([(11, "Ann", "s11"), (13, "Kitty", ""), (15, "Z", "s")], "in_id int, name string, seen string")
+    assert rows(identity.rechecked(registry, found, got, "id")) == [(1, "Ann", "an", "s11"), (2, "Kitty", None, "old"), (3, "Dog", "dog", None)]
