@@ -217,70 +217,6 @@ def matched_submissions(records: DataFrame, submissions: DataFrame) -> DataFrame
     return by_id.union(by_name).union(by_account).distinct()
 
 
-def candidates(submissions: DataFrame, registry: DataFrame, composites: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """(sub_id, id, other, renamed): the records that may be each submission's, by the first of these that finds any: an
-    override; a common name and account; for a name that one submission alone has, a record of the kind in question with
-    that name and no account; a record of the kind with the name as part of its own (4 characters or more) on a common
-    account. other and renamed order a submission's candidates: those of another kind and with another name come last.
-
-    submissions: sub_id, name_key, keys (of the name and aliases), accounts; registry: id, name_key, keys, accounts, ours
-    (whether it is of the kind in question). composites (id) are no candidates, but for overrides (sub_id, id).
-    """
-    reg = registry if composites is None else registry.join(composites.select("id"), "id", "left_anti")
-    subs = submissions.select("sub_id", F.col("name_key").alias("sub_name"), "keys", "accounts")
-    on = lambda df, *cs: df.select("*", *[F.explode(c).alias(c[:-1]) for c in cs[:1]]).select("*", *[F.explode(c).alias(c[:-1]) for c in cs[1:]])
-    both = ["key", "account"]
-    stages = [overrides.select("sub_id", "id", F.lit(0).alias("stage"))] if overrides is not None else []
-    named = on(subs, "keys", "accounts").select("sub_id", *both).join(on(reg, "keys", "accounts").select("id", *both), both)
-    stages.append(named.select("sub_id", "id", F.lit(1).alias("stage")))
-    alone = subs.groupBy("sub_name").agg(F.min("sub_id").alias("sub_id"), F.count(F.lit(1)).alias("n")).where("n = 1").select("sub_id")
-    bare = on(reg.where("ours AND size(accounts) = 0"), "keys").select("id", "key")
-    stages.append(on(subs.join(alone, "sub_id", "left_semi"), "keys").join(bare, "key").select("sub_id", "id", F.lit(2).alias("stage")))
-    part = on(subs.where(F.char_length("sub_name") >= 4), "accounts").join(on(reg.where("ours"), "accounts").select("id", F.col("name_key").alias("reg_name"), "account"), "account").where(F.contains("reg_name", "sub_name"))
-    stages.append(part.select("sub_id", "id", F.lit(3).alias("stage")))
-    found = reduce(DataFrame.union, stages).distinct()
-    first = found.groupBy("sub_id").agg(F.min("stage").alias("stage"))
-    facts = registry.select("id", (~F.col("ours")).alias("other"), F.col("name_key").alias("reg_name"))
-    rows = found.join(first, ["sub_id", "stage"]).join(facts, "id").join(subs.select("sub_id", "sub_name"), "sub_id")
-    return rows.select("sub_id", "id", "other", (F.col("reg_name") != F.col("sub_name")).alias("renamed"))
-
-
-def assigned(found: DataFrame) -> DataFrame:
-    """(sub_id, id) of candidates(): submissions choose in the order of sub_id, each the best candidate that is still free.
-
-    That order is what the one stable matching gives in which records prefer the least sub_id: in rounds every submission
-    asks for its best candidate that hasn't turned it down, and a record keeps the least that asks. Rounds end when none
-    is turned down; each is written, so that lost executors cost a task."""
-    left = written(found.withColumn("place", F.struct("other", "renamed", "id")).select("sub_id", "id", "place"), "wanted")
-    while True:
-        asked = left.groupBy("sub_id").agg(F.min("place").alias("place")).select("sub_id", F.col("place.id").alias("id"))
-        kept = asked.groupBy("id").agg(F.min("sub_id").alias("winner"))
-        turned = written(asked.join(kept, "id").where("sub_id != winner").select("sub_id", "id"), "turned")
-        if turned.isEmpty():
-            return asked
-        left = written(left.join(turned, ["sub_id", "id"], "left_anti"), "wanted")
-
-
-def composites(submissions: DataFrame, registry: DataFrame) -> DataFrame:
-    """(id, children): records of the kind whose name joins several (with a slash, ampersand or the like; `joint`) and holds
-    the names of two or more submissions on common accounts, none of them the whole name."""
-    subs = submissions.select("sub_id", F.col("name_key").alias("sub_name"), F.explode("accounts").alias("account"))
-    reg = registry.where("ours AND joint").select("id", "name_key", F.explode("accounts").alias("account"))
-    held = subs.join(reg, "account").where((F.col("sub_name") != "") & F.contains("name_key", "sub_name")).select("id", "name_key", "sub_id", "sub_name").distinct()
-    return held.groupBy("id").agg(F.count(F.lit(1)).alias("children"), F.bool_or(F.col("sub_name") == F.col("name_key")).alias("whole")).where("children > 1 AND NOT whole").select("id", "children")
-
-
-def without_sibling_names(aliases: DataFrame, submissions: DataFrame) -> DataFrame:
-    """aliases (sub_id, alias, alias_key) that aren't, and with 3 characters or more don't hold, the name of another
-    submission on a common account."""
-    subs = submissions.select("sub_id", "name_key", F.explode("accounts").alias("account"))
-    beside = aliases.join(subs.select("sub_id", "account"), "sub_id").select("sub_id", "alias_key", "account").distinct()
-    other = subs.select(F.col("sub_id").alias("sibling"), F.col("name_key").alias("name"), "account")
-    same = F.col("alias_key") == F.col("name")
-    hit = beside.join(other, "account").where((F.col("sibling") != F.col("sub_id")) & (F.col("name") != "") & (same | ((F.char_length("name") >= 3) & F.contains("alias_key", "name"))))
-    return aliases.join(hit.select("sub_id", "alias_key").distinct(), ["sub_id", "alias_key"], "left_anti")
-
-
 def ranked_match(matches: DataFrame, by: str, target: str, rank: str) -> DataFrame:
     """The best-ranked target of each row, if it alone has that rank."""
     best = matches.groupBy(by, rank).agg(F.min(target).alias(target), F.countDistinct(target).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import urls as u
-from ..operators import identity, overlay
+from ..operators import assignment, identity, overlay
 from .common import table
 
 
@@ -225,11 +225,11 @@ def _entities(spark, sf_dir):
 def d15_assignment(spark, sf_dir):
     """Submissions to records of the registry, each used once."""
     subs, reg = _entities(spark, sf_dir)
-    return identity.assigned(identity.candidates(subs, reg, identity.composites(subs, reg)))
+    return assignment.assigned(*assignment.candidates(subs, reg, assignment.composites(subs, reg)))
 
 
 def d16_composites(spark, sf_dir):
-    return identity.composites(*_entities(spark, sf_dir))
+    return assignment.composites(*_entities(spark, sf_dir))
 
 
 def d17_sibling_aliases(spark, sf_dir):
@@ -238,7 +238,7 @@ def d17_sibling_aliases(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_partkey % 2 = 1")
     named = F.array("p_name", F.concat(F.lit("the "), "p_name"), F.concat("p_name", F.lit(" of "), "p_brand"), "p_brand")
     aliases = p.select(F.col("p_partkey").alias("sub_id"), F.explode(named).alias("alias")).withColumn("alias_key", t.match_key("alias", composed=True))
-    return identity.without_sibling_names(aliases, subs).groupBy("sub_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ",").alias("aliases"))
+    return assignment.without_sibling_names(aliases, subs).groupBy("sub_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ",").alias("aliases"))
 
 
 def d18_baseline_export(spark, sf_dir):

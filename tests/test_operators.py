@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import text as t
 from rollbook.functions import urls as u
-from rollbook.operators import gates, identity, ordering, overlay, replies, screening, search, statistics
+from rollbook.operators import assignment, gates, identity, ordering, overlay, replies, screening, search, statistics
 from rollbook.sources import files
 
 
@@ -304,23 +304,24 @@ def _assignment(spark):
 
 def test_assignment_in_stages(spark):
     subs, reg = _assignment(spark)
-    joint = identity.composites(subs, reg)
+    joint = assignment.composites(subs, reg)
     assert rows(joint) == [("r8", 2)]
     overrides = spark.createDataFrame([(10, "r9")], "sub_id int, id string")
     # 1 takes r1, so that 2 has r2; 5 is too short to be found as a part; 7 has no account in common; 8 and 9 make up r8
-    assert rows(identity.assigned(identity.candidates(subs, reg, joint, overrides))) == [(1, "r1"), (2, "r2"), (3, "r3"), (4, "r4"), (6, "r6"), (10, "r9")]
+    assert rows(assignment.assigned(*assignment.candidates(subs, reg, joint, overrides))) == [(1, "r1"), (2, "r2"), (3, "r3"), (4, "r4"), (6, "r6"), (10, "r9")]
 
 
 def test_each_record_is_assigned_once_in_order(spark):
-    found = spark.createDataFrame([(s, i, False, False) for s in (1, 2, 3, 4) for i in "abc"], "sub_id int, id string, other boolean, renamed boolean")
-    assert rows(identity.assigned(found)) == [(1, "a"), (2, "b"), (3, "c")]
-    assert identity.assigned(found.limit(0)).count() == 0
+    subs = spark.createDataFrame([(s, 1) for s in (1, 2, 3, 4)], "sub_id int, list int")
+    lists = spark.createDataFrame([(1, i, False, False) for i in "abc"], "list int, id string, other boolean, renamed boolean")
+    assert rows(assignment.assigned(subs, lists)) == [(1, "a"), (2, "b"), (3, "c")]
+    assert assignment.assigned(subs.limit(0), lists.limit(0)).count() == 0
 
 
 def test_aliases_without_siblings(spark):
     subs, _ = _assignment(spark)
     aliases = spark.createDataFrame([(8, "Leite", "leite"), (8, "Leite 2", "leite2"), (8, "Hana", "hana"), (4, "ab", "ab"), (7, "x", "x")], "sub_id int, alias string, alias_key string")
-    assert rows(identity.without_sibling_names(aliases, subs).select("sub_id", "alias")) == [(4, "ab"), (7, "x"), (8, "Hana")]
+    assert rows(assignment.without_sibling_names(aliases, subs).select("sub_id", "alias")) == [(4, "ab"), (7, "x"), (8, "Hana")]
 
 
 def test_rare_runs_find_parts(spark):
