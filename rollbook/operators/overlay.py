@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import merging
 
 
 def stacked(layers: list[DataFrame]) -> DataFrame:
@@ -14,14 +15,17 @@ def stacked(layers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("layer_rank", F.lit(i)) for i, df in enumerate(layers)))
 
 
-def latest_fields(layers: list[DataFrame], key: str, lists: tuple[str, ...] = (), joined: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+def latest_fields(layers: list[DataFrame], key: str, lists: tuple[str, ...] = (), joined: tuple[str, ...] = (), maps: tuple[str, ...] = (), present: str | None = None) -> DataFrame:
     """One row for each key: of every field the value of the last layer that has one; of `lists` the ordered distinct
     union over all layers, of `joined` all their items in order, of `maps` all entries, where later layers win. One
-    shuffle on the key, with partial aggregation."""
+    shuffle on the key, with partial aggregation. present: a column with the names of the fields that a layer's row has;
+    then a null or blank that is there wins over earlier values, and the result's column names what any layer has."""
     rows = stacked(layers)
-    fields = [c for c in rows.columns if c not in (key, "layer_rank")]
+    fields = [c for c in rows.columns if c not in (key, "layer_rank", present)]
     whole = (*lists, *joined, *maps)
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("layer_rank"))).alias(c) for c in fields if c not in whole]
+    has = lambda c: F.array_contains(present, c) if present else F.col(c).isNotNull()
+    last = [F.max_by(c, F.when(has(c), F.col("layer_rank"))).alias(c) for c in fields if c not in whole]
+    last += [F.array_compact(F.array(*(F.when(F.bool_or(has(c)), F.lit(c)) for c in fields))).alias(present)] if present else []
 
     def gathered(c: str) -> Column:
         value = F.map_entries(c) if c in maps else F.col(c)
@@ -44,36 +48,39 @@ def patched(base: DataFrame, patch: DataFrame, key: str, keep_if_blank: tuple[st
     return out.drop(*(f"__{c}" for c in fields))
 
 
-def three_way(base: DataFrame, collected: DataFrame, current: DataFrame, key: str, lists: tuple[str, ...] = ()) -> DataFrame:
-    """Merge of two edits of one base. A field that one side alone changed has that side's value; one that both changed
-    has what `current` says, but structs are merged field by field, and `lists` are `current` with what `collected`
-    added. Null is a field that isn't there. Rows that either side removed stay removed, rows that either added are
-    added; what both added is as `current` has it."""
-    fields = [c for c in base.columns if c != key]
+def three_way(base: DataFrame, collected: DataFrame, current: DataFrame, key: str, lists: tuple[str, ...] = (), present: str | None = None) -> DataFrame:
+    """Merge of two edits of one base, row by row and field by field (see merging). A row or field that one side alone
+    changed, added or removed is as that side has it; one that both changed has what `current` says, but structs and maps
+    are merged by field and key, and `lists` are `current` with what `collected` added. So a row that one side removed and
+    the other left alone is removed, and one that `collected` removed and `current` edited stays.
+
+    present: a column with the names of the fields that a row has; a null or blank among them is a value, and the result
+    has the column too. Without it, null is a field that isn't there.
+    """
+    fields = [c for c in base.columns if c not in (key, present)]
+    kinds = {f: base.schema[f].dataType for f in fields}
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.struct(*fields).alias(name))
+        return df.select(key, F.struct(*fields, *([present] if present else [])).alias(name))
 
     rows = side(base, "b").join(side(collected, "n"), key, "full_outer").join(side(current, "c"), key, "full_outer")
     here = {x: F.col(x).isNotNull() for x in "bnc"}
-    removed = here["b"] & (~here["n"] | ~here["c"])
-
-    def merged(b: Column, n: Column, c: Column, kind: T.DataType, is_list: bool) -> Column:
-        one = F.when(n.eqNullSafe(b) | n.eqNullSafe(c), c).when(c.eqNullSafe(b), n)
-        whole = b.isNotNull() & n.isNotNull() & c.isNotNull()
-        if is_list:
-            added = F.filter(n, lambda v: ~F.array_contains(b, v) & ~F.array_contains(c, v))
-            return one.when(whole, F.concat(c, added)).otherwise(c)
-        if isinstance(kind, T.StructType):
-            parts = F.struct(*(merged(b[f.name], n[f.name], c[f.name], f.dataType, isinstance(f.dataType, T.ArrayType)).alias(f.name) for f in kind))
-            return one.when(whole, parts).otherwise(c)
-        return one.otherwise(c)
-
-    def field(f: str) -> Column:
-        both = merged(F.col(f"b.{f}"), F.col(f"n.{f}"), F.col(f"c.{f}"), base.schema[f].dataType, f in lists)
-        return F.when(~here["c"], F.col(f"n.{f}")).when(~here["b"] | ~here["n"], F.col(f"c.{f}")).otherwise(both)
-
-    return rows.where(~removed).select(key, *(field(f).alias(f) for f in fields))
+
+    def value(x: str, f: str) -> merging.Value:
+        has = F.coalesce(F.array_contains(F.col(f"{x}.{present}"), f), F.lit(False)) if present else F.col(f"{x}.`{f}`").isNotNull()
+        return merging.Value(here[x] & has, F.col(f"{x}.`{f}`"))
+
+    def equal(x: str, y: str) -> Column:
+        return reduce(lambda a, b: a & b, (merging.same(value(x, f), value(y, f), kinds[f]) for f in fields), F.lit(True))
+
+    gone = here["b"] & ~here["n"] & equal("c", "b")
+    rows = rows.where((here["c"] & ~gone) | (~here["b"] & ~here["c"]))
+    out = {f: merging.merged(value("b", f), value("n", f), value("c", f), kinds[f], f in lists) for f in fields}
+    three = here["b"] & here["n"] & here["c"]
+    pick = lambda f: F.when(three, F.when(out[f].there, out[f].value)).when(here["c"], F.col(f"c.`{f}`")).otherwise(F.col(f"n.`{f}`"))
+    names = F.array_compact(F.array(*(F.when(out[f].there, F.lit(f)) for f in fields)))
+    there = [F.when(three, names).when(here["c"], F.col(f"c.{present}")).otherwise(F.col(f"n.{present}")).alias(present)] if present else []
+    return rows.select(key, *(pick(f).alias(f) for f in fields), *there)
 
 
 def superseding(layers: DataFrame, records: DataFrame, superseded: DataFrame, key: str) -> DataFrame:

@@ -377,7 +377,7 @@ g AS (SELECT id, list(p_name ORDER BY in_id) AS names, arg_min('in' || p_size, i
 r AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 THEN p_size::VARCHAR ELSE '' END AS size, [p_name] AS names FROM part WHERE p_partkey % 2 = 0),
 b AS (SELECT id, coalesce(nullif(r.size, ''), g.size, r.size) AS size, list_concat(coalesce(r.names, []), coalesce(g.names, [])) AS names FROM r FULL JOIN g USING (id))
 SELECT id, size, array_to_string(list_transform(list_sort(list_transform(list_distinct(names), lambda x: {'p': list_position(names, x), 'x': x})), lambda y: y.x), ',') AS names FROM b""",
-    "d10_three_way_merge": "SELECT o_orderkey, CASE WHEN NOT c THEN CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END WHEN NOT b OR NOT n THEN cs WHEN ns = o_orderstatus OR ns = cs THEN cs WHEN cs = o_orderstatus THEN ns ELSE cs END AS o_orderstatus, CASE WHEN c THEN lower(o_orderpriority) ELSE o_orderpriority END AS o_orderpriority, o_orderstatus || CASE WHEN c THEN ',mine' ELSE '' END || CASE WHEN n AND (b OR NOT c) THEN ',new' ELSE '' END AS tags FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS ns, CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE o_orderstatus END AS cs, o_orderkey % 7 <> 0 AS b, o_orderkey % 11 <> 0 AS n, o_orderkey % 13 <> 0 AS c FROM orders) WHERE NOT (b AND (NOT n OR NOT c)) AND (b OR n OR c)",
+    "d10_three_way_merge": "SELECT o_orderkey, CASE WHEN NOT c THEN CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END WHEN NOT b OR NOT n THEN cs WHEN ns = o_orderstatus OR ns = cs THEN cs WHEN cs = o_orderstatus THEN ns ELSE cs END AS o_orderstatus, CASE WHEN c THEN lower(o_orderpriority) ELSE o_orderpriority END AS o_orderpriority, o_orderstatus || CASE WHEN c THEN ',mine' ELSE '' END || CASE WHEN n AND (b OR NOT c) THEN ',new' ELSE '' END AS tags FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS ns, CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE o_orderstatus END AS cs, o_orderkey % 7 <> 0 AS b, o_orderkey % 11 <> 0 AS n, o_orderkey % 13 <> 0 AS c FROM orders) WHERE c OR (n AND NOT b)",
     "d11_submission_match": _SUBMITTED + " SELECT sub_id, id FROM m",
     "d11_submission_overlay": _SUBMITTED + ", h AS (SELECT * FROM m WHERE sub_id % 2 = 1 AND id % 2 = 0), z AS (SELECT h.id, max(p_size) AS size FROM h JOIN s USING (sub_id) GROUP BY 1) SELECT p_partkey, p_brand, coalesce(size, -1) AS size FROM part LEFT JOIN z ON id = p_partkey WHERE p_partkey % 2 = 0 UNION ALL SELECT sub_id, p_brand, p_size FROM s WHERE sub_id % 2 = 1 AND sub_id NOT IN (SELECT sub_id FROM h)",
     "d12_ranked_application": "WITH a AS (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) < 12), m AS (SELECT o_orderkey, c_custkey, 0 AS match_rank FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 UNION ALL SELECT o_orderkey, c_custkey, 1 FROM orders JOIN customer ON o_orderkey = c_custkey * 7 WHERE c_acctbal <= -900 UNION ALL SELECT o_orderkey, c_custkey, 2 FROM orders JOIN a ON o_orderkey % 40 = c_nationkey), b AS (SELECT o_orderkey, match_rank, min(c_custkey) AS c_custkey, count(DISTINCT c_custkey) AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY match_rank) AS k FROM m GROUP BY 1, 2) SELECT o_orderkey, match_rank, c_custkey FROM b WHERE n = 1 AND k = 1",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import entities, filters, flows, joins, ordering, records, scalars, stats
+from .plans import entities, filters, flows, joins, layers, ordering, records, scalars, stats
 
-MODULES = (scalars, joins, entities, records, filters, stats, ordering, flows)
+MODULES = (scalars, joins, entities, layers, records, filters, stats, ordering, flows)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
