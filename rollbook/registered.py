@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import entities, filters, flows, joins, layers, ordering, records, scalars, stats, streams
+from .plans import entities, extraction, filters, flows, joins, layers, ordering, records, scalars, stats, streams
 
-MODULES = (scalars, joins, entities, layers, records, filters, stats, ordering, flows, streams)
+MODULES = (scalars, joins, entities, layers, records, filters, extraction, stats, ordering, flows, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
