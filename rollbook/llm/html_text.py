@@ -15,6 +15,10 @@ from . import common
 
 #: Lines of a window, and the summed characters at which text surges.
 WINDOW, SURGE = 3, 80
+#: Times the text of article and main elements that a run outside of them may have if they are to decide.
+OUTSIDE = 2
+#: Where nothing else tells, text before a title is the article's from this part of what follows on; signs of a footer's line.
+BEFORE, COPYRIGHT = 4, ("©", "(c) ", "(C) ")
 
 #: Elements whose content is no markup, each with what ends it.
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg iframe textarea select title".split()}
@@ -28,6 +32,11 @@ APART_NAMES = frozenset(
     "comment comments discussion disqus replies respond cookie cookies consent notice alert popup modal newsletter subscribe signup login search share sharing social "
     "related recommended complementary contentinfo gdpr disclaimer pagination masthead topbar adbox adslot".split()
 )
+#: Words beside which such a name still means the thing: share-buttons is for sharing, share-price is not.
+BESIDE = APART_NAMES | frozenset(
+    "site page main top bottom left right upper lower list item items bar box wrap wrapper section area block container slot unit widget panel global primary secondary header inner outer content "
+    "link links button buttons form post article user reader form input icon icons group row col column text title heading body zone module component region overlay toggle tools toolbar sticky fixed mobile desktop google in and the".split()
+)
 #: Names of page headers, which an article may also use for its own.
 HEADER_NAMES = frozenset({"header"})
 MAIN = frozenset({"article", "main"})
@@ -39,15 +48,20 @@ def _apart(name: str, attributes: str, in_main: bool) -> bool:
     if name in APART or (name == "header" and not in_main):
         return True
     if name in MAIN or name in ("html", "body"):
-        return any(_words(m) & {"comment", "comments"} for m in _NAMED.finditer(attributes)) if name == "article" else False
+        return any(_means(m, frozenset({"comment", "comments"})) for m in _NAMED.finditer(attributes)) if name == "article" else False
     names = APART_NAMES if in_main else APART_NAMES | HEADER_NAMES
-    return any(_words(m) & names for m in _NAMED.finditer(attributes))
+    return any(_means(m, names) for m in _NAMED.finditer(attributes))
 
 
-def _words(m: re.Match[str]) -> set[str]:
-    """The words of an attribute's names; names such as has-sidebar or no-ads say what an element has, not what it is."""
+def _means(m: re.Match[str], names: frozenset[str]) -> bool:
+    """Whether one of an attribute's names is one of the names, alone or beside words of layout: ad-slot and site-footer are,
+    share-price and search-algorithms aren't. has-sidebar or no-ads say what an element has, not what it is."""
     value = next(x for x in m.groups() if x is not None).lower()
-    return {w for name in value.split() if not re.match(r"(?:has|no|with|without|is|show|hide)[-_]", name) for w in re.split(r"[^a-z]+", name)}
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not re.match(r"(?:has|no|with|without|is|show|hide)[-_]", name) and names.intersection(words) and BESIDE.issuperset(words):
+            return True
+    return False
 
 
 def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -86,14 +100,14 @@ def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield begin, len(html), "", False, ""
 
 
-def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
-    """The page's lines in order, the characters that count for each (those outside links), and whether it stands in an
-    article or main element. What stands apart (menus, footers, adverts ...) is one empty line; it is told by its element,
-    class, id and role."""
-    out, lengths, inside = [], [], []
+def lines(html: str) -> tuple[list[str], list[int], list[bool], list[bool]]:
+    """The page's lines in order, the characters that count for each (those outside links), whether it stands in an article
+    or main element, and whether it is the page's title in its text (h1). What stands apart (menus, footers, adverts ...)
+    is one empty line; it is told by its element, class, id and role."""
+    out, lengths, inside, heads = [], [], [], []
     parts: list[str] = []
     plain = 0
-    at, main, link, apart, depth, body = 0, 0, 0, "", 0, False
+    at, main, link, apart, depth, body, head = 0, 0, 0, "", 0, False, False
 
     def end() -> None:
         nonlocal parts, plain
@@ -102,6 +116,7 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             out.append(text)
             lengths.append(min(plain, len(text)))
             inside.append(main > 0)
+            heads.append(head)
         parts, plain = [], 0
 
     def put(text: str) -> None:
@@ -132,51 +147,70 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             continue
         end()
         link = 0
+        head = name == "h1" and not close
         if name in MAIN:
             main = max(0, main + (-1 if close else 1))
         if name == "body" and not close and not body:  # what stands before the body isn't text
             body = True
-            out, lengths, inside = [], [], []
+            out, lengths, inside, heads = [], [], [], []
         if not close and name not in VOID and not attributes.rstrip().endswith("/") and _apart(name, attributes, main > 0):
             apart, depth = name, 1
             main = max(0, main - 1) if name in MAIN else main
             out.append("")
             lengths.append(0)
             inside.append(main > 0)
+            heads.append(False)
     put(html[at:])
     end()
-    return out, lengths, inside
+    return out, lengths, inside, heads
+
+
+def runs(size: np.ndarray) -> list[tuple[int, int, int]]:
+    """Stretches of lines whose windows have text: (first, end, most characters of a window). A gap shorter than a window
+    doesn't end one."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    ends = np.minimum(np.arange(len(size)) + WINDOW, len(size))
+    sums = total[ends] - total[:-1]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
+    return [(int(a), min(int(b) + WINDOW - 1, len(size)), int(sums[a:b].max())) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def extract(html: str | None) -> str:
-    """The article of a page. Element and class names are hints: what stands apart by them is empty, and lines outside
-    article and main elements are, too, where the page has any of these with text. The distribution of the text outside
-    links decides: a run of windows with text that surges somewhere is kept, from its first line with such text to the
-    last before the dive, with lines of links between them (menus, whose windows have none, end a run); without any
-    surge, the run with most text."""
+    """The article of a page. The distribution of the text outside links decides: a run of windows with text that surges
+    somewhere is kept, from its first line with such text to the last before the dive, with lines of links between them
+    (menus, whose windows have none, end a run); without any surge, the run with most text, of equal ones the first.
+    Element and class names are hints: what stands apart by them is empty, and if article and main elements have a good
+    share of the page's text (a run outside them has at most OUTSIDE times as much), only their lines count. A page with
+    a small card as its only article is read as one without. Where names don't tell, a few lines before the title, after
+    a menu or at the top, and a last line that begins with a copyright sign stand outside the article, too."""
     if not html:
         return ""
-    texts, lengths, inside = lines(html)
+    texts, lengths, inside, heads = lines(html)
     if not texts:
         return ""
-    if any(i and t for i, t in zip(inside, texts, strict=True)):
-        size = np.array([max(n, 1) if i and t else 0 for n, i, t in zip(lengths, inside, texts, strict=True)])
-    else:
-        size = np.array(lengths)
-    # sums over windows that begin at each line; a gap shorter than a window doesn't end a run
-    total = np.concatenate([[0], np.cumsum(size)])
-    ends = np.minimum(np.arange(len(size)) + WINDOW, len(size))
-    sums = total[ends] - total[:-1]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
-    runs = [(a, min(b + WINDOW - 1, len(size))) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    if not runs:
+    plain, within = np.array(lengths), np.array(inside)
+    there = np.array([bool(t) for t in texts])
+    # lines of links count in an article
+    held = np.where(within & there, np.maximum(plain, 1), 0)
+    apart = max((int(plain[a:b][~within[a:b]].sum()) for a, b, _ in runs(np.where(within, 0, plain))), default=0)
+    main = bool(held.any()) and apart <= OUTSIDE * int(held.sum())
+    size = held if main else plain
+    found = runs(size)
+    if not found:
         return ""
-    kept = [r for r in runs if sums[r[0] : r[1]].max() >= SURGE] or [max(runs, key=lambda r: total[r[1]] - total[r[0]])]
-    main = any(inside)
+    total = np.concatenate([[0], np.cumsum(size)])
+    kept = [r for r in found if r[2] >= SURGE] or [max(found, key=lambda r: total[r[1]] - total[r[0]])]
     out = []
-    for a, b in kept:
+    for a, b, _ in kept:
         counted = np.flatnonzero(size[a:b]) + a
-        out += [texts[i] for i in range(counted[0], counted[-1] + 1) if texts[i] and (size[i] > 0 or not main)]
+        first, last = counted[0], counted[-1]
+        if not main:
+            title = next((i for i in range(first, last + 1) if heads[i]), first)
+            if total[title] - total[first] <= (total[last + 1] - total[title]) // BEFORE:
+                first = title
+            while last > first and texts[last].startswith(COPYRIGHT):
+                last -= 1
+        out += [texts[i] for i in range(first, last + 1) if texts[i] and (size[i] > 0 or not main)]
     return " ".join(out)
 
 
