@@ -36,7 +36,16 @@ def places(rows: DataFrame, by: str, order: list[str], n_buckets: int = 64, over
     before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(by).alias("__by"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(by, "__range").orderBy(*order)))
-    return inside.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))).withColumn("place", F.col("__before") + F.col("__k")).drop("__by", "__r", "__range", "__before", "__k")
+    return inside.join(counts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))).withColumn("place", F.col("__before") + F.col("__k")).drop("__by", "__r", "__range", "__before", "__k")
+
+
+def named(rows: DataFrame, by: str, reading: str, name: str, key: str, locale: str = "ja") -> DataFrame:
+    """rows with place (from 1) of each in its group in the order of names: by reading, or by name where there is none, then by
+    name, as a locale has it (kana together whatever their kind, a long vowel as its vowel, kanji after kana), then by key.
+    Ranges are cut at quantiles in that order."""
+    said = F.coalesce(F.nullif(F.col(reading), F.lit("")), F.col(name))
+    keyed = rows.withColumns({"__reading": F.collate(F.coalesce(said, F.lit("")), locale), "__name": F.collate(F.coalesce(name, F.lit("")), locale)})
+    return places(keyed, by, ["__reading", "__name", key]).drop("__reading", "__name")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:

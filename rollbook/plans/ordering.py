@@ -38,6 +38,14 @@ def g2_name_order(spark, sf_dir):
     return o.places(c, "c_mktsegment", ["reading", "c_name", "c_custkey"]).select("c_custkey", "place")
 
 
+def g2_japanese_order(spark, sf_dir):
+    """Customers of each segment by reading, which some have in capitals and some lack, else by name, in Japanese order."""
+    k = F.col("c_custkey")
+    reading = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.lower(F.concat("c_mktsegment", "c_name"))).otherwise("")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name", reading.alias("reading"))
+    return o.named(c, "c_mktsegment", "reading", "c_name", "c_custkey").select("c_custkey", "place")
+
+
 def g3_ranked_hits(spark, sf_dir):
     hits = search.search(_wanted(spark, sf_dir), _keys(spark, sf_dir))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("type", "id"))).where("place <= 5")
@@ -247,6 +255,7 @@ ORACLES = {
     "d25_search": f"SELECT q, id, type FROM {_HITS}",
     "d26_collisions": f"SELECT q, count(DISTINCT id) AS n FROM {_WANT} LEFT JOIN {_KEYSQL} ON key = q GROUP BY 1",
     "g2_name_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE WHEN c_acctbal > 0 THEN c_name ELSE lower(c_name) END, c_name, c_custkey) AS place FROM customer",
+    "g2_japanese_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE c_custkey % 3 WHEN 1 THEN lower(c_mktsegment || c_name) ELSE lower(c_name) END, c_custkey) AS place FROM customer",
     "g3_ranked_hits": f"SELECT * FROM (SELECT q, id, type, row_number() OVER (PARTITION BY q ORDER BY type, id)::INT AS place FROM {_HITS}) WHERE place <= 5",
     "g4_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 60",
     "g5_stable_shuffle": "SELECT c_custkey FROM customer",

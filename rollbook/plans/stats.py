@@ -96,6 +96,19 @@ def f14_slices(spark, sf_dir):
     return c.groupingSets([[], ["c_mktsegment"], ["c_nationkey"], ["c_mktsegment", "c_nationkey"]], "c_mktsegment", "c_nationkey").agg(F.grouping_id().cast("int").alias("slice"), F.count(F.lit(1)).alias("n"), F.sum(F.char_length("c_name")).alias("total_length"))
 
 
+def _slices(brand, kind):
+    """A row's slices: all, its platform, its tag, and both."""
+    return F.array(F.lit("all/all"), F.concat(brand, F.lit("/all")), F.concat(F.lit("all/"), kind), F.concat_ws("/", brand, kind))
+
+
+def f14_all_slices(spark, sf_dir):
+    """All name statistics of parts for every brand (as a platform), type (as a tag), both and all, in one pass."""
+    p = _part(spark, sf_dir)
+    status = F.when(F.col("p_size") > 25, "verified").when(F.col("p_size") > 10, "inferred").otherwise("none")
+    labels = s.statistic_labels(F.col("name"), F.col("p_size") != 11, status, F.col("p_type"))
+    return s.sliced(p, _slices(F.col("p_brand"), F.col("p_type")), labels, "p_partkey", "p_name")
+
+
 MARKERS = (("lists", "and", 0), ("archive", "utm_source", 1), ("registry", "example.org", 2), ("secure", "https://", 3))
 
 
@@ -178,6 +191,19 @@ ORACLES = {
     "f17_recount": "SELECT o_orderpriority, count(*) AS stored, count(*) FILTER (o_orderstatus <> 'P') AS listed, count(*) FILTER (o_orderstatus = 'P') AS excluded, count(*) FILTER (o_totalprice > 200000) AS with_activity FROM orders GROUP BY 1",
     "f18_status_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "f19_cumulative": "SELECT day, sum(n) OVER (ORDER BY day)::BIGINT AS total, sum(s) OVER (ORDER BY day)::BIGINT AS total_signups FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY 1)",
+    "f14_all_slices": r"""WITH p AS (SELECT *, regexp_replace(p_name, '\s', '', 'g') AS name FROM part),
+s AS (SELECT p.*, unnest(['all/all', p_brand || '/all', 'all/' || p_type, p_brand || '/' || p_type]) AS slice, length(name) AS size, CASE WHEN p_size > 25 THEN 'verified' WHEN p_size > 10 THEN 'inferred' ELSE 'none' END AS status FROM p),
+b AS (SELECT *, CASE WHEN size <= 4 THEN '1-4' WHEN size <= 8 THEN '5-8' WHEN size <= 12 THEN '9-12' ELSE '13+' END AS bucket, CASE WHEN length(p_type) <= 4 THEN '1-4' WHEN length(p_type) <= 8 THEN '5-8' WHEN length(p_type) <= 12 THEN '9-12' ELSE '13+' END AS rb FROM s),
+x AS (SELECT slice, p_partkey, p_name, size, 'total' AS statistic, '' AS label FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'readable', '' FROM b WHERE p_size <> 11 UNION ALL SELECT slice, p_partkey, p_name, size, 'length', size::VARCHAR FROM b
+  UNION ALL SELECT slice, p_partkey, p_name, size, 'bucket', bucket FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'script', 'latin' FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'character', unnest(list_distinct(string_split(name, ''))) FROM b
+  UNION ALL SELECT slice, p_partkey, p_name, size, k, unnest(list_distinct(list_transform(range(1, size - w + 2), lambda i: name[i:i + w - 1]))) FROM b, (VALUES ('pair', 2), ('gram2', 2), ('gram3', 3)) t(k, w)
+  UNION ALL SELECT slice, p_partkey, p_name, size, 'prefix', name[1:2] FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'suffix', name[-2:] FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'duplicate', lower(name) FROM b UNION ALL SELECT slice, p_partkey, p_name, size, 'reading', status || ' ' || rb FROM b),
+c AS (SELECT slice, statistic, label, count(*) AS n, arg_min(p_name, p_partkey) AS shown FROM x GROUP BY 1, 2, 3),
+t AS (SELECT c.*, most, row_number() OVER (PARTITION BY slice, statistic ORDER BY n DESC, CASE WHEN statistic = 'length' THEN label::INT END, label)::INT AS rank FROM c JOIN (VALUES ('length', 5), ('character', 10), ('pair', 10), ('gram2', 20), ('gram3', 20), ('prefix', 10), ('suffix', 10), ('duplicate', 20)) m(statistic, most) USING (statistic))
+SELECT slice, statistic, label, n, NULL::DOUBLE AS value, CASE WHEN statistic = 'duplicate' THEN shown END AS shown, rank FROM t WHERE rank <= most AND (n > 1 OR statistic NOT IN ('prefix', 'suffix', 'duplicate'))
+UNION ALL SELECT slice, statistic, label, n, NULL, NULL, NULL FROM c WHERE statistic IN ('total', 'readable', 'bucket', 'script', 'reading')
+UNION ALL SELECT slice, 'size', '', sum(size)::BIGINT, median(size), NULL, NULL FROM b GROUP BY 1
+UNION ALL SELECT slice, 'duplicates', unnest(['names', 'groups', 'records']), unnest([count(*), count(*) FILTER (n > 1), coalesce(sum(n) FILTER (n > 1), 0)::BIGINT]), NULL, NULL, NULL FROM c WHERE statistic = 'duplicate' GROUP BY slice""",
     "f20_source_counters": "SELECT source, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'rejected' ELSE 'accepted' END AS status, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "f21_facets": "SELECT event_type, place FROM (VALUES ('click', 0), ('view', 1), ('signup', 2), ('refund', 3), ('error', 4)) v(event_type, place) WHERE event_type IN (SELECT event_type FROM events)",
     "g1_top_per_group": "SELECT p_brand, word, n, rank FROM (SELECT p_brand, word, n, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, word)::INT AS rank FROM (SELECT p_brand, string_split(p_name, ' ')[1] AS word, count(*) AS n FROM part GROUP BY 1, 2)) WHERE rank <= 3",
