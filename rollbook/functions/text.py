@@ -1,4 +1,5 @@
-"""Name and text normalisers. All but nfkc, casefold and unescape are built-in expressions."""
+"""Name and text normalisers: built-in expressions, but for texts beyond ASCII or with references, of which Python composes, folds
+and decodes the characters."""
 
 from __future__ import annotations
 
@@ -33,21 +34,43 @@ TITLE_TAG = r"^[【\[]\s*(?:VTuber|Vライバー)\s*[】\]]\s*"
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; null stays null."""
-    return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _composed(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
 
 
 @F.pandas_udf(T.StringType())
-def casefold(values: pd.Series) -> pd.Series:
-    """NFKC and full case folding (ß becomes ss), letters and digits only."""
-    return values.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if c.isalnum()))
+def _folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
 @F.pandas_udf(T.StringType())
-def unescape(values: pd.Series) -> pd.Series:
+def _decoded(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: s if s is None else _unescape(s))
+
+
+def _where(needed: Column, through, c: Column, else_: Column) -> Column:
+    """through(c) where it is needed; only those texts go to Python."""
+    return F.when(needed, through(F.when(needed, c))).otherwise(else_)
+
+
+def _beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) != F.char_length(c)
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility composition; null stays null. ASCII is composed."""
+    return _where(_beyond_ascii(c), _composed, c, c)
+
+
+def casefold(c) -> Column:
+    """NFKC and full case folding (ß becomes ss), letters and digits only; null stays null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(_where(_beyond_ascii(c), _folded, c, F.lower(c)), r"[^\p{L}\p{N}]", "")
+
+
+def unescape(c: Column) -> Column:
     """HTML character references decoded."""
-    return values.map(lambda s: s if s is None or "&" not in s else _unescape(s))
+    return _where(F.contains(c, F.lit("&")), _decoded, c, c)
 
 
 def _text(c) -> Column:

@@ -5,12 +5,20 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
 
+#: Patterns of messages that ask for names, that ask for none, and that ask for something else about names.
+NO_NAMES = r"(?i)(?:分析|傾向|統計|説明|analysis|statistics|趋势|분석).{0,12}(?:だけ|のみ|only|就好|만)|(?:名前|候補).{0,8}(?:不要|いらない)|(?:no|without)\s+(?:name\s+)?suggestions"
+WANTED = (
+    r"(?is)(?:名前|候補|活動名|名付け|命名|ネーミング).{0,35}(?:欲|ほし|考|案|作|出|探|お願い)|(?:考|提案|作|出).{0,20}(?:名前|候補)|(?:name|naming).{0,25}(?:idea|suggest|creat|want)"
+    r"|(?:suggest|creat|want|give).{0,25}names?|起名|取名|名字.{0,10}(?:想|建议)|이름.{0,15}(?:추천|지어|만들|생각)"
+)
+ASIDE = r"(?i)傾向|分析|統計|説明|why|analysis|statistics|趋势|분석"
+
 _LIST = re.compile(r'"(?:suggestions|candidates|names)"\s*:\s*\[')
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}"]', re.S)
@@ -63,6 +71,13 @@ def closed_items(texts: pd.Series) -> pd.Series:
     return texts.map(_items)
 
 
+def wants_names(text: Column, follows: Column, none: str = NO_NAMES, wanted: str = WANTED, aside: str = ASIDE) -> Column:
+    """Whether a message asks for names: never if it says that it wants none; else if it asks for them, or if it follows an
+    answer and doesn't turn to something else. A null message asks for nothing of its own."""
+    said = lambda pattern: F.coalesce(text, F.lit("")).rlike(pattern)
+    return ~said(none) & (said(wanted) | (F.coalesce(follows, F.lit(False)) & ~said(aside)))
+
+
 def accepted_readings(names: DataFrame, items: DataFrame, most: int = 160, composed: bool = False) -> DataFrame:
     """(batch, idx, reading) of the batches that are accepted as a whole: each index of the batch has exactly one reading and
     there are no others, readings are kana (or empty), and they keep the kana that a name begins or ends with.

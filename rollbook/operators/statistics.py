@@ -58,6 +58,31 @@ def compared(rows: DataFrame, groups: str, name: str) -> DataFrame:
     return each.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_length"), F.round(F.sum("size") / F.count(F.lit(1)), 1).alias("average_length"), F.round(F.count_if("kana") * 100 / F.count(F.lit(1)), 1).alias("kana_percent"))
 
 
+def id_prefix(c: Column) -> Column:
+    """What an id begins with before its first colon; ids without one are uuid-like or other."""
+    return F.when(F.contains(c, F.lit(":")), F.substring_index(c, ":", 1)).when(c.rlike(r"(?i)^[0-9a-f-]{32,36}$"), "uuid-like").otherwise("other")
+
+
+def audited(ids: DataFrame, found: DataFrame, n_prefixes: int = 30, n_samples: int = 3) -> DataFrame:
+    """(part, label, n, samples) of an audit of ids: `prefix` has the most common prefixes (of equally many the one that comes
+    first), `family` the ids of each family with their first ones, `ids` the number of all, of those without a source, of
+    those of any family (legacy), and of those that something else vouches for too (anchored).
+
+    ids: id (each once), ord, sourced, anchored; found: id and family, repeats don't matter.
+    """
+    known = found.select("id", "family").distinct().join(ids, "id")
+    none = F.lit(None).cast("string").alias("samples")
+    prefixes = ids.groupBy(id_prefix(F.col("id")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(n_prefixes)
+    counts = known.groupBy(F.col("family").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("family").orderBy("ord"))
+    first = known.withColumn("place", place).where(F.col("place") <= n_samples).groupBy(F.col("family").alias("label")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",").alias("samples"))
+    legacy = ids.join(known.select("id").distinct().withColumn("legacy", F.lit(True)), "id", "left")
+    of = {"all": F.lit(True), "without source": ~F.coalesce("sourced", F.lit(False)), "legacy": F.col("legacy"), "legacy, anchored": F.col("legacy") & F.coalesce("anchored", F.lit(False))}
+    totals = legacy.agg(*(F.count_if(v).alias(k) for k, v in of.items())).select(F.explode(F.array(*(F.struct(F.lit(k).alias("label"), F.col(f"`{k}`").alias("n")) for k in of))).alias("x"))
+    parts = [prefixes.select(F.lit("prefix").alias("part"), "label", "n", none), counts.join(first, "label").select(F.lit("family").alias("part"), "label", "n", "samples"), totals.select(F.lit("ids").alias("part"), "x.label", "x.n", none)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def families(rows: DataFrame, text: str, markers: DataFrame) -> DataFrame:
     """rows with each family whose marker the text contains (a row each). markers: family, marker, rank - a small table
     of known size, which is broadcast."""

@@ -231,6 +231,18 @@ def k5_intent(spark, sf_dir):
     return turns.select("conv_id", "turn", F.when(F.col("text").rlike(negative), False).otherwise(F.col("text").rlike(positive) | (before & ~F.col("text").rlike(r"(?i)why|analysis"))).alias("wants"))
 
 
+#: What is put before messages, and whether that asks for names: yes, no, never, or only if it follows an answer.
+ASKED = (("候補を 考えて ", "yes"), ("Name ideas, no name suggestions ", "never"), ("傾向の分析 だけ ", "never"), ("Please suggest\nsome NAMES ", "yes"), ("Why so? ", "no"), ("More ", "follows"), ("이름을 추천 ", "yes"), ("名前は いらない ", "never"))
+
+
+def k5_wants_names(spark, sf_dir):
+    """Which messages of conversations ask for names, by the rules in their order."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.element_at(F.array(*(F.lit(a) for a, _ in ASKED)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKED))) + 1).cast("int"))
+    follows = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).isNotNull()
+    return turns.select("conv_id", "turn", replies.wants_names(F.concat(said, "text"), follows).alias("wants"))
+
+
 def k6_decisions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "map<string,string>").alias("m"))
     k = F.col("m")["k"].cast("int")
@@ -294,6 +306,7 @@ SELECT o_custkey, array_to_string(list_filter(ks, lambda x, i: 11 + length(array
     "k3_suggestions": "SELECT p_brand, name, place, k FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY place)::INT AS k FROM (SELECT p_brand, trim(p_name) AS name, min(p_partkey) AS place FROM part WHERE length(trim(p_name)) BETWEEN 1 AND 40 GROUP BY 1, 2)) WHERE k <= 5",
     "k4_repair_lines": r"SELECT doc_id, place::INT AS place, cells[1] AS name, cells[3] AS reason FROM (SELECT doc_id, place, list_transform(string_split(regexp_replace(trim(line), '^(?:[-*]\s+|\d+[.)]\s*)', ''), '|'), lambda x: trim(x)) AS cells FROM (SELECT doc_id, unnest(range(0, len(ls))) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE len(cells) = 3 AND cells[1] <> '' AND cells[3] <> ''",
     "k5_intent": r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(?:no|without)\s+\w+') THEN false ELSE regexp_matches(text, '(?i)\b(?:the|and)\b.{0,25}\bth') OR (lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND NOT regexp_matches(text, '(?i)why|analysis')) END AS wants FROM conversations",
+    "k5_wants_names": "SELECT conv_id, turn, CASE ['" + "', '".join(a for _, a in ASKED) + f"'][(conv_id + turn) % {len(ASKED)} + 1] WHEN 'yes' THEN true WHEN 'follows' THEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND NOT regexp_matches(text, '(?i)why|analysis|statistics') ELSE false END AS wants FROM conversations",
     "k6_decisions": "SELECT event_id, CASE WHEN k NOT BETWEEN 0 AND 99 THEN 'invalid' WHEN event_type = 'error' THEN 'needs_review' WHEN k >= 50 THEN 'approve' ELSE 'reject' END AS decision FROM (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events)",
     "k7_batches": "WITH g AS (SELECT l_orderkey AS batch, l_linenumber AS idx, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2), v AS (SELECT *, k % 31 <> 0 AND k % 37 <> 0 AND NOT (k % 37 = 1 AND k % 3 <> 2) AS ok FROM g) SELECT batch, idx, CASE WHEN k % 37 = 1 THEN 'はいしまりゅう' ELSE ['はいしま りう', 'みらい・あかり', 'みちな'][k % 3 + 1] END AS reading FROM v WHERE batch NOT IN (SELECT batch FROM v WHERE NOT ok)",
 }

@@ -29,6 +29,13 @@ def b5_kana_reading(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.kana_reading("p_name").alias("reading"))
 
 
+def b5_kana_readings(spark, sf_dir):
+    """Readings of names in kana of either kind, with separators, some of them wide, and of names with something else."""
+    k = F.col("p_partkey")
+    name = F.concat(F.translate(k.cast("string"), "0123456789", "アいウえオかキくケこ"), F.when(k % 3 == 0, "・").when(k % 3 == 1, "　").otherwise("ー"), F.when(k % 7 == 0, "x").when(k % 5 == 0, "ﾈｺ").otherwise("ヴ"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.kana_reading(name).alias("reading"))
+
+
 def b6_safe_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", u.safe_url("url").alias("url"))
 
@@ -176,6 +183,7 @@ ORACLES = {
     "b3_space_key": r"SELECT c_custkey, regexp_replace(lower(c_name), '\s', '', 'g') AS key, regexp_replace(lower(c_mktsegment), '\s', '', 'g') AS segment_key FROM customer",
     "b4_casefold_key": f"SELECT doc_id, sha256({_KEY.format("replace(text, 'ß', 'ss')")}) AS key FROM documents",
     "b5_kana_reading": "SELECT p_partkey, '' AS reading FROM part",
+    "b5_kana_readings": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE translate(p_partkey::VARCHAR, '0123456789', 'あいうえおかきくけこ') || CASE WHEN p_partkey % 3 = 2 THEN 'ー' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN 'ねこ' ELSE 'ゔ' END END AS reading FROM part",
     "b6_safe_url": f"SELECT page_id, CASE WHEN regexp_extract(url, '{_PARTS}', 1) = 'https' AND regexp_extract(url, '{_PARTS}', 2) = '' AND regexp_extract(url, '{_PARTS}', 4) = '' AND regexp_extract(url, '{_PARTS}', 3) <> '' THEN url END AS url FROM pages",
     "b7_host_key": f"SELECT page_id, {HOST_KEY} AS host FROM pages",
     "b8_canonical_account": f"SELECT page_id, a.platform AS platform, a.id AS account_id FROM (SELECT page_id, CASE {_RULES} END AS a FROM (SELECT page_id, {_RULE_HOST} AS h, {PATH} AS p FROM pages))",

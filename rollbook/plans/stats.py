@@ -109,6 +109,8 @@ def f14_all_slices(spark, sf_dir):
     return s.sliced(p, _slices(F.col("p_brand"), F.col("p_type")), labels, "p_partkey", "p_name")
 
 
+#: Digits and the kana that stand for them in made-up names.
+DIGITS, KANA = "0123456789", "ゼいニさヨごロなハく"
 MARKERS = (("lists", "and", 0), ("archive", "utm_source", 1), ("registry", "example.org", 2), ("secure", "https://", 3))
 
 
@@ -128,6 +130,24 @@ def f15_provenance_audit(spark, sf_dir):
     return counts.join(least, ["family", "file"])
 
 
+def f15_audit(spark, sf_dir):
+    """Ids of pages, documents, parts and customers, most of them with one of some forty prefixes: the most common prefixes,
+    families of markers with samples, ids without sources, and those of families that orders vouch for."""
+    pages = table(spark, sf_dir, "pages").select(F.concat_ws(":", F.regexp_extract("url", r"([a-z]+)$|/(\d)", 2), "page_id").alias("id"), F.col("page_id").alias("ord"), F.col("url").alias("source"), (F.col("page_id") % 2 == 0).alias("anchored"))
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "doc_id").alias("id"), F.col("doc_id") + 10**6, F.col("lang"), F.lit(False))
+    parts = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(":"), "p_partkey").alias("id"), F.col("p_partkey") + 2 * 10**7, F.when(F.col("p_size") > 25, F.lit("https://parts.example.org/and")), F.col("p_size") > 40)
+    customers = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.md5(F.col("c_custkey").cast("string").cast("binary"))).otherwise(F.col("c_name")).alias("id"), F.col("c_custkey") + 3 * 10**8, F.lit(None).cast("string"), F.lit(True))
+    ids = pages.union(docs).union(parts).union(customers)
+    found = s.families(ids, "source", spark.createDataFrame(MARKERS, "family string, marker string, rank int"))
+    return s.audited(ids.withColumn("sourced", F.col("source").isNotNull()), found)
+
+
+def f8_kana_names(spark, sf_dir):
+    """Kana of parts by record presence: names are their numbers, said in kana."""
+    p = table(spark, sf_dir, "part").select(F.translate(F.concat("p_partkey", F.lit("x"), "p_size"), DIGITS, KANA).alias("name"))
+    return s.presence(p, F.array_distinct(F.filter(F.split("name", ""), lambda c: c.rlike("[ぁ-ゖァ-ヶ]"))), 20)
+
+
 def f16_first_family(spark, sf_dir):
     first = _families(spark, sf_dir).groupBy("page_id").agg(F.min_by("family", "rank").alias("family"))
     return first.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
@@ -186,6 +206,14 @@ ORACLES = {
     "f12_group_comparison": f"SELECT label, count(*) AS n, sum(z)::BIGINT AS total_length, round(sum(z) / count(*), 1) AS average_length, 0.0::DOUBLE AS kana_percent FROM (SELECT unnest(list_distinct([p_brand, p_brand[1:7]])) AS label, length({_N}) AS z FROM part) GROUP BY 1",
     "f13_shares": "SELECT c_mktsegment, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 2) AS percent FROM customer GROUP BY 1",
     "f14_slices": "SELECT c_mktsegment, c_nationkey, grouping_id(c_mktsegment, c_nationkey)::INT AS slice, count(*) AS n, sum(length(c_name))::BIGINT AS total_length FROM customer GROUP BY GROUPING SETS ((), (c_mktsegment), (c_nationkey), (c_mktsegment, c_nationkey))",
+    "f15_audit": """WITH i AS (SELECT regexp_extract(url, '([a-z]+)$|/(\\d)', 2) || ':' || page_id AS id, page_id AS ord, url AS source, page_id % 2 = 0 AS anchored FROM pages UNION ALL SELECT concat_ws(':', source, doc_id), doc_id + 1000000, lang, false FROM documents
+  UNION ALL SELECT p_brand || ':' || p_partkey, p_partkey + 20000000, CASE WHEN p_size > 25 THEN 'https://parts.example.org/and' END, p_size > 40 FROM part UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN md5(c_custkey::VARCHAR) ELSE c_name END, c_custkey + 300000000, NULL, true FROM customer),
+f AS (SELECT i.*, family FROM i JOIN (VALUES ('lists', 'and'), ('archive', 'utm_source'), ('registry', 'example.org'), ('secure', 'https://')) m(family, marker) ON contains(source, marker)),
+p AS (SELECT CASE WHEN contains(id, ':') THEN split_part(id, ':', 1) WHEN regexp_matches(id, '(?i)^[0-9a-f-]{32,36}$') THEN 'uuid-like' ELSE 'other' END AS label, count(*) AS n, min(ord) AS first FROM i GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 30),
+t AS (SELECT count(*) AS a, count(*) FILTER (source IS NULL) AS w, count(*) FILTER (ord IN (SELECT ord FROM f)) AS l, count(*) FILTER (anchored AND ord IN (SELECT ord FROM f)) AS la FROM i)
+SELECT 'prefix' AS part, label, n, NULL AS samples FROM p UNION ALL SELECT 'family', family, count(*), array_to_string(list(id ORDER BY ord)[:3], ',') FROM f GROUP BY family
+UNION ALL SELECT 'ids', unnest(['all', 'without source', 'legacy', 'legacy, anchored']), unnest([a, w, l, la]), NULL FROM t""",
+    "f8_kana_names": f"SELECT label, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split(translate(p_partkey || 'x' || p_size, '{DIGITS}', '{KANA}'), ''), lambda c: c <> 'x'))) AS label FROM part) GROUP BY 1",
     "f15_provenance_audit": f"SELECT coalesce(f.family, '(none)') AS family, p.page_id % 3 AS file, count(DISTINCT p.page_id) AS n_ids, count(DISTINCT CASE WHEN ends_with(p.url, '/') THEN p.page_id END) AS n_anchored, array_to_string(list_sort(list(p.page_id))[:3], ',') AS samples FROM pages p LEFT JOIN (SELECT DISTINCT page_id, family FROM {_FAM}) f USING (page_id) GROUP BY 1, 2",
     "f16_first_family": f"SELECT family, count(*) AS n FROM (SELECT page_id, arg_min(family, rank) AS family FROM {_FAM} GROUP BY 1) GROUP BY 1",
     "f17_recount": "SELECT o_orderpriority, count(*) AS stored, count(*) FILTER (o_orderstatus <> 'P') AS listed, count(*) FILTER (o_orderstatus = 'P') AS excluded, count(*) FILTER (o_totalprice > 200000) AS with_activity FROM orders GROUP BY 1",

@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.operators import ordering
+from rollbook.functions import text as t
+from rollbook.operators import ordering, replies
 from rollbook.operators import statistics as s
 
 ORDER = ["_", "1", "ab", "Ab", "AB", "あい", "アイ", "カー", "カイ", "き", "キ", "ぎ", "きや", "ハ", "バ", "パ", "ん", "亜", "唖", "山", "星街", "星野"]
@@ -66,3 +67,23 @@ def test_no_rows_have_no_slices(spark):
     df = spark.createDataFrame([], "i int, name string, tag string")
     labels = s.statistic_labels(F.col("name"), F.lit(True), F.lit("none"), F.lit(""))
     assert s.sliced(df, F.array("tag"), labels, "i", "name").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "follows", "wants"),
+    [("名前の候補を考えて", False, True), ("名前の分析だけお願い", False, False), ("候補は不要です", True, False), ("suggest a few\nNames", False, True), ("no suggestions, but a name idea", False, False), ("why?", True, False), ("もう少し", True, True), ("もう少し", False, False), (None, True, True), (None, None, False), ("이름 추천", False, True)],
+)
+def test_messages_that_ask_for_names(spark, text, follows, wants):
+    row = spark.createDataFrame([(text, follows)], "t string, f boolean")
+    assert row.select(replies.wants_names(F.col("t"), F.col("f"))).first()[0] is wants
+
+
+@pytest.mark.parametrize(("value", "prefix"), [("youtube:UC1", "youtube"), (":x", ""), ("a:b:c", "a"), ("0123456789abcdef0123456789ABCDEF", "uuid-like"), ("01234567-89ab-cdef-0123-456789abcdef", "uuid-like"), ("0123", "other"), ("", "other")])
+def test_prefixes_of_ids(spark, value, prefix):
+    assert spark.createDataFrame([(value,)], "x string").select(s.id_prefix(F.col("x"))).first()[0] == prefix
+
+
+def test_texts_beyond_ascii_only_go_to_python(spark):
+    rows = spark.createDataFrame([("Ａ&amp;ｂ ß!",), ("A&lt;b",), ("plain",), ("",), (None,)], "x string")
+    got = rows.select("x", t.nfkc(F.col("x")).alias("n"), t.casefold("x").alias("c"), t.unescape(F.col("x")).alias("u")).collect()
+    assert [tuple(r)[1:] for r in got] == [("A&amp;b ß!", "aampbss", "Ａ&ｂ ß!"), ("A&lt;b", "altb", "A<b"), ("plain",) * 3, ("",) * 3, (None,) * 3]
