@@ -12,6 +12,8 @@ from . import common
 #: Intervals and captures meet by key and by period of so many seconds.
 PERIOD = 7 * 86_400
 ALLOW = "allow"
+#: Bytes of the lists' keys up to which they are broadcast, so that captures' other keys go no further.
+MOST_KEY_BYTES = 8 << 20
 
 
 def host(url: Column) -> Column:
@@ -60,7 +62,12 @@ def listed(captures: DataFrame, log: DataFrame) -> DataFrame:
     rows = common.stored(captures.select(F.struct(*names).alias("capture"), "url", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("t")).withColumn("row", F.monotonically_increasing_id()), "captures")
     last = rows.agg(F.max("t")).first()[0]
     wanted = rows.where("t IS NOT NULL").select("row", "t", F.floor(F.col("t") / PERIOD).alias("period"), F.explode(keys(F.col("url"))).alias("key"))
-    span = intervals(log).where(F.col("start") <= F.lit(last)).withColumn("end", F.least(F.coalesce(F.col("stop") - 1, F.lit(last)), F.lit(last)))
+    held = common.stored(intervals(log).where(F.col("start") <= F.lit(last)), "intervals")
+    # a top-level domain or a host that no list names is most of what captures ask for
+    known = held.select("key").distinct()
+    size = known.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
+    wanted = wanted.join(F.broadcast(known) if size <= MOST_KEY_BYTES else known, "key", "left_semi")
+    span = held.withColumn("end", F.least(F.coalesce(F.col("stop") - 1, F.lit(last)), F.lit(last)))
     span = span.select("list", "key", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / PERIOD), F.floor(F.col("end") / PERIOD))).alias("period"))
     hit = wanted.join(span, ["key", "period"]).where("start <= t AND (stop IS NULL OR t < stop)").groupBy("row").agg(F.array_sort(F.collect_set("list")).alias("found"))
     out = rows.join(hit, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
