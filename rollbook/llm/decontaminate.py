@@ -4,7 +4,7 @@ suffix of every benchmark item is looked up in it by binary search, and what mat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,12 @@ class Block:
         size = np.minimum(counts, window)[self.item] if len(self.item) else np.zeros(0, np.int64)
         self.window = np.where(self.left >= size, size, 0)
 
+    @cached_property
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The items' words with a 0 after each item, and their suffix array."""
+        apart = np.insert(self.words[:-1], self.begins[1:], 0)
+        return apart, suffix_array(apart, max(self.longest, 1))
+
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the suffixes that begin with a token over 0, in order of their first `depth` tokens or more, where a
@@ -109,6 +115,31 @@ def look_up(tokens: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.nda
     return matched, np.stack([low, high]), window_low, window_high
 
 
+def reach(tokens: np.ndarray, places: np.ndarray, items: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
+    """How many words from each place on match some item word for word, by binary search in the items' suffix array."""
+    apart, order = items
+    padded, after = np.concatenate([tokens, np.zeros(longest + 1, tokens.dtype)]), np.concatenate([apart, np.zeros(longest + 1, apart.dtype)])
+    low, high, length = np.zeros(len(places), np.int64), np.full(len(places), len(order), np.int64), np.zeros(len(places), np.int64)
+    live, depth = np.arange(len(places)), 0
+    while len(live):
+        goal = padded[places[live] + depth]
+        live, goal = live[goal > 0], goal[goal > 0]
+        edges = []
+        for side in (0, 1):
+            a, b = low[live].copy(), high[live].copy()
+            while (more := a < b).any():
+                middle = (a + b) >> 1
+                below = (after[order[np.minimum(middle, len(order) - 1)] + depth] < goal + side) & more
+                a, b = np.where(below, middle + 1, a), np.where(more & ~below, middle, b)
+            edges.append(a)
+        hit = edges[0] < edges[1]
+        live = live[hit]
+        low[live], high[live] = edges[0][hit], edges[1][hit]
+        depth += 1
+        length[live] = depth
+    return length
+
+
 class Shard:
     """A run of documents with the suffix array of their words."""
 
@@ -131,8 +162,9 @@ def _lists(owner: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def shard_hits(rows: pa.Array, column: pa.Array, block: Block) -> pa.RecordBatch:
-    """For each document its words, the spans of words that windows of items cover, and those items."""
+def shard_hits(rows: pa.Array, column: pa.Array, block: Block, located: bool = False) -> pa.RecordBatch:
+    """For each document its words, the spans of words that windows of items cover, and those items; located: also the length
+    of its longest match with an item and the word at which it begins."""
     shard = Shard(column, block)
     n = len(shard.counts)
     _, _, low, high = look_up(shard.tokens, shard.order, block)
@@ -158,7 +190,19 @@ def shard_hits(rows: pa.Array, column: pa.Array, block: Block) -> pa.RecordBatch
     item = of[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[docs[:, 1]], many), 1]
     both = np.unique(np.stack([np.repeat(docs[:, 0], many), item], 1), axis=0)
     names = pa.array(block.ids, pa.string()).take(pa.array(both[:, 1]))
-    return pa.RecordBatch.from_arrays([rows, pa.array(shard.counts), _lists(owner, covered, n), _lists(both[:, 0], names, n)], ["row", "n_words", "spans", "items"])
+    columns = {"row": rows, "n_words": pa.array(shard.counts), "spans": _lists(owner, covered, n), "items": _lists(both[:, 0], names, n)}
+    if located:  # a match of a window or more begins with a window
+        places, whose = np.unique(begin, return_inverse=True)
+        length = reach(shard.tokens, places, block.suffixes, block.longest) if len(places) else np.zeros(0, np.int64)
+        shorter = np.zeros(len(places), np.int64)  # below a window only whole items count
+        np.maximum.at(shorter, whose, spans[window, 2])
+        length = np.where(length >= WINDOW, length, shorter)
+        best = np.lexsort([-places, length])  # the last of a document is its longest, of equal ones its first
+        longest, at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        longest[shard.owner[places[best]]] = length[best]
+        at[shard.owner[places[best]]] = places[best] - shard.begins[shard.owner[places[best]]] - shard.owner[places[best]]
+        columns |= {"longest": pa.array(longest), "at": pa.array(at, mask=longest == 0)}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def shard_longest(rows: pa.Array, column: pa.Array, block: Block, least: int) -> pa.RecordBatch:
@@ -208,22 +252,26 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (the ids).
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words of the
+    longest stretch that is in an item word for word, a window of it at least; 0 without a hit), match_word (the word at which the first one of
+    that length begins; else null), and items (the ids).
 
     A-Z are in lower case and words are runs of digits, letters a-z and anything beyond ASCII. Every window of 10 words
     of an item (a shorter item: all its words) is looked up; a document's word is hit if it stands in any occurrence.
     Null and empty texts have no words and no hits; items without words match nothing; several items with one id count
     as one. An item without an id counts as one whose id is the empty string. Repeated documents are each judged in their
     own row. Empty tables give no rows, or no hits. Columns other than doc_id and text, item_id and text are ignored.
-    documents must give the same rows in the same order when read again, if the items take more than one block.
+    Of an item longer than a block, matches end with its pieces. documents must give the same rows in the same order when read again, if the items take more than one block.
     """
-    out = _passes(documents, benchmark, shard_hits, "n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
+    out = _passes(documents, benchmark, partial(shard_hits, located=True), "n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>, longest long, at long")
     if isinstance(out, list):  # as many rows of a document as there are blocks of items
-        out = reduce(DataFrame.union, out).groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = reduce(DataFrame.union, out).groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max(F.struct("longest", (-F.col("at")).alias("minus"))).alias("x"))
+        out = out.select("*", "x.longest", (-F.col("x.minus")).alias("at"))
     covered = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["last"] - F.greatest(x["first"], a["end"]), F.lit(0))).alias("n"), F.greatest(x["last"], a["end"]).alias("end")))["n"]
     items = F.array_sort(F.array_distinct("items"))
     return out.select(
-        "row.doc_id", "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), items.alias("items")
+        "row.doc_id", "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        F.col("longest").alias("longest_match"), F.col("at").alias("match_word"), items.alias("items"),
     )
 
 
@@ -308,9 +356,12 @@ sizes AS (SELECT DISTINCT n FROM win),
 grams AS (SELECT rid, k, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
 hit AS (SELECT rid, k, n, item_id FROM grams JOIN win USING (n, w)),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM hit)) GROUP BY rid),
+places AS (SELECT item, j, n, array_to_string(ws[j:j + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS j, least(len(ws), {WINDOW}) AS n FROM (SELECT ws, row_number() OVER () AS item FROM i WHERE len(ws) > 0))),
+runs AS (SELECT rid, min(k) AS k, count(*) + any_value(n) - 1 AS size FROM (SELECT rid, k, n, item, k - j AS diagonal, k - row_number() OVER (PARTITION BY rid, item, k - j ORDER BY k) AS run FROM grams JOIN places USING (n, w)) GROUP BY rid, item, diagonal, run),
+best AS (SELECT rid, max(size) AS longest_match, arg_min(k, (-size, k)) - 1 AS match_word FROM runs GROUP BY rid),
 its AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS ids FROM hit GROUP BY rid)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN its USING (rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match, match_word
+FROM d LEFT JOIN words USING (rid) LEFT JOIN its USING (rid) LEFT JOIN best USING (rid)
 """
 
 QUERIES = {"op4_suffix_array_decontamination": op4_suffix_array_decontamination}

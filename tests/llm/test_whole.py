@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import corpus_pipeline
 import duckdb
 import pytest
 from conftest import DATA
 
-from rollbook.llm import licences, neardup
+from rollbook.llm import decontaminate, licences, neardup
 
 
 def _least_linked(rows, percent):
@@ -80,3 +81,38 @@ def test_rare_postings_miss_no_place():
             own = [p for p in licences.postings() if p[1] == t]
             looked = [p for p in rare if p[1] == t]
             assert looked and len(own) - len(looked) < licences.LEAST_SHARE * len(own)
+
+
+def _words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+@pytest.mark.parametrize("block_bytes", [None, 150])
+def test_longest_matches_of_documents_by_brute_force(spark, monkeypatch, block_bytes):
+    if block_bytes:  # several passes
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(8)
+    some = lambda n: [rng.choice("ab") + str(rng.randrange(3)) for _ in range(n)]
+    items = [some(rng.choice([2, 4, 9, 10, 14, 25])) for _ in range(12)]
+    docs = [some(rng.randrange(30)) for _ in range(15)]
+    for _ in range(45):
+        it = rng.choice(items)
+        a = rng.randrange(len(it))
+        docs.append(some(rng.randrange(6)) + it[a : a + rng.randrange(5, 26)] + some(rng.randrange(6)) + it[:12])
+    table = spark.createDataFrame([(i, ", ".join(d).title() if i % 2 else " ".join(d)) for i, d in enumerate(docs)] + [(900, None), (901, "")], "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame([(f"i{k}", " ".join(it)) for k, it in enumerate(items)] + [("none", None)], "item_id string, text string")
+    want = {900: (0, None), 901: (0, None)}
+    for i, d in enumerate(docs):
+        best = (0, None)
+        for it in items:
+            least = min(len(it), decontaminate.WINDOW)
+            for k in range(len(d)):
+                for j in range(len(it)):
+                    n = 0
+                    while k + n < len(d) and j + n < len(it) and d[k + n] == it[j + n]:
+                        n += 1
+                    if n >= least and (n > best[0] or (n == best[0] and k < best[1])):
+                        best = (n, k)
+        want[i] = best
+    got = {r["doc_id"]: (r["longest_match"], r["match_word"]) for r in decontaminate.contamination(table, bench).collect()}
+    assert got == want and sum(n > decontaminate.WINDOW for n, _ in got.values()) > 9
