@@ -40,5 +40,8 @@ def search(queries: DataFrame, keys: DataFrame, width: int = 3) -> DataFrame:
 
 
 def collisions(suggestions: DataFrame, keys: DataFrame) -> DataFrame:
-    """(q, n): records of which some key is the suggestion's."""
-    return suggestions.join(keys.select("id", F.col("key").alias("q")), "q", "left").groupBy("q").agg(F.countDistinct("id").alias("n"))
+    """(q, n): records of which some key is the suggestion's. Each record counts once by itself, so that a common key's
+    records are dealt by record before they are counted."""
+    met = suggestions.select("q").distinct().hint("merge").join(keys.select("id", F.col("key").alias("q")), "q").select("q", "id").distinct()
+    counts = met.groupBy("q").agg(F.count("id").alias("n"))
+    return suggestions.select("q").distinct().hint("merge").join(counts, "q", "left").select("q", F.coalesce("n", F.lit(0)).alias("n"))

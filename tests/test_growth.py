@@ -26,3 +26,10 @@ def test_search_sends_no_keys_to_the_driver(spark, tmp_path):
     hits = search.search(queries, keys)
     assert broadcasts(hits) == 0
     assert rows(hits.groupBy("q", "type").count()) == [("abc", 0, 500), ("abc", 2, 1000), ("z", 2, 500)]
+
+
+def test_collisions_send_no_keys_to_the_driver(spark, tmp_path):
+    keys = kept(spark.range(2000).selectExpr("id % 1500 AS id", "0 AS place", "element_at(array('a', 'b'), int(id % 2) + 1) AS key"), tmp_path, "keys")
+    met = search.collisions(kept(spark.createDataFrame([("a",), ("c",), (None,), ("a",)], "q string"), tmp_path, "queries"), keys)
+    assert broadcasts(met) == 0
+    assert sorted(map(tuple, met.collect()), key=str) == [("a", 750), ("c", 0), (None, 0)]
