@@ -207,14 +207,41 @@ def attached_metrics(accounts: DataFrame, metrics: DataFrame, rows: DataFrame, p
     return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*account, "x.count", "x.source"))).alias("metrics"))
 
 
+def _marks(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, marks) and (sub_id, marks): by what records can be meant and what submissions mean, each once, in one order for
+    all: accounts, names (not if by_id_only), ids."""
+    own_id = F.col("ref_id").cast(records.schema["id"].dataType)
+    of = lambda account, name, key: F.explode(F.array_compact(F.array(F.concat(F.lit("0"), account), F.concat(F.lit("1"), name), F.concat(F.lit("2"), key.cast("string")))))
+    gathered = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set("mark")).alias("marks"))
+    names = F.when(~F.col("by_id_only"), F.col("name_key"))
+    return gathered(records.select("id", of(F.col("account"), F.col("name_key"), F.col("id")).alias("mark")), "id"), gathered(submissions.select("sub_id", of(F.col("account"), names, own_id).alias("mark")), "sub_id")
+
+
 def matched_submissions(records: DataFrame, submissions: DataFrame) -> DataFrame:
-    """(sub_id, id): records that a submission means by id, or by name unless by_id_only, or by account. Three equi-joins
-    and a distinct union stand for the OR. Names and accounts that many records and submissions share make many pairs,
-    which are the result."""
-    by_id = submissions.select("sub_id", F.col("ref_id").alias("id")).join(records.select("id"), "id").select("sub_id", "id")
-    by_name = submissions.where("NOT by_id_only").select("sub_id", "name_key").join(records.select("id", "name_key"), "name_key").select("sub_id", "id")
-    by_account = submissions.select("sub_id", "account").join(records.select("id", "account"), "account").select("sub_id", "id")
-    return by_id.union(by_name).union(by_account).distinct()
+    """(sub_id, id): records that a submission means by id, or by name unless by_id_only, or by account. Names and accounts
+    that many records and submissions share make many pairs, which are the result: a pair is told by the first mark that
+    both have and by no other, so that pairs come from one join and are neither kept, sorted nor shuffled to be distinct."""
+    theirs, meant = _marks(records, submissions)
+    said = meant.select("sub_id", F.col("marks").alias("__all"), F.explode("marks").alias("__mark")).select("sub_id", "__mark", F.filter("__all", lambda x: x < F.col("__mark")).alias("__before"))
+    pairs = said.hint("merge").join(theirs.select("id", "marks", F.explode("marks").alias("__mark")), "__mark")
+    return pairs.where((F.size("__before") == 0) | ~F.arrays_overlap("__before", "marks")).select("sub_id", "id")
+
+
+def greatest_said(records: DataFrame, submissions: DataFrame, value: str) -> DataFrame:
+    """(id, value): the greatest value of the submissions that mean a record (see matched_submissions, whose pairs aren't
+    made): that of each mark, then of a record's marks. Submissions have a row for each account with the value."""
+    theirs, meant = _marks(records, submissions)
+    values = submissions.groupBy("sub_id").agg(F.max(value).alias(value))
+    by_mark = meant.hint("merge").join(values, "sub_id").select(F.explode("marks").alias("__mark"), value).groupBy("__mark").agg(F.max(value).alias(value))
+    return theirs.select("id", F.explode("marks").alias("__mark")).hint("merge").join(by_mark, "__mark").groupBy("id").agg(F.max(value).alias(value))
+
+
+def meaning_none(records: DataFrame, submissions: DataFrame) -> DataFrame:
+    """(sub_id): submissions that mean no record."""
+    theirs, meant = _marks(records, submissions)
+    marks = theirs.select(F.explode("marks").alias("__mark")).distinct()
+    hit = meant.select("sub_id", F.explode("marks").alias("__mark")).hint("merge").join(marks, "__mark", "left_semi").select("sub_id").distinct()
+    return submissions.select("sub_id").distinct().hint("merge").join(hit, "sub_id", "left_anti")
 
 
 def ranked_match(matches: DataFrame, by: str, target: str, rank: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rollbook.operators import search
+import random
+
+from rollbook.operators import identity, search
 
 
 def rows(df):
@@ -33,3 +35,34 @@ def test_collisions_send_no_keys_to_the_driver(spark, tmp_path):
     met = search.collisions(kept(spark.createDataFrame([("a",), ("c",), (None,), ("a",)], "q string"), tmp_path, "queries"), keys)
     assert broadcasts(met) == 0
     assert sorted(map(tuple, met.collect()), key=str) == [("a", 750), ("c", 0), (None, 0)]
+
+
+def _submissions(spark, tmp_path, seed=5):
+    """Records and submissions with several accounts and names, of which some are null and many are shared."""
+    r = random.Random(seed)
+    some = lambda kind, n: r.choice([None, *(f"{kind}{i}" for i in range(n))])
+    records = [(r.randrange(40), some("n", 9), some("a", 9)) for _ in range(90)]
+    submissions = [(i, r.choice([None, r.randrange(60)]), some("n", 12), some("a", 12), i % 4 == 1, i * 7 % 11) for i in (r.randrange(50) for _ in range(80))]
+    means = lambda s, t: s[1] == t[0] or (s[2] is not None and s[2] == t[1] and not s[4]) or (s[3] is not None and s[3] == t[2])
+    pairs = {(s[0], t[0]) for s in submissions for t in records if means(s, t)}
+    a = kept(spark.createDataFrame(records, "id long, name_key string, account string"), tmp_path, "records")
+    b = kept(spark.createDataFrame(submissions, "sub_id int, ref_id int, name_key string, account string, by_id_only boolean, size int"), tmp_path, "submissions")
+    return a, b, submissions, pairs
+
+
+def test_submissions_meet_once_and_not_through_the_driver(spark, tmp_path):
+    records, submissions, _, pairs = _submissions(spark, tmp_path)
+    met = identity.matched_submissions(records, submissions)
+    assert broadcasts(met) == 0 and rows(met) == sorted(pairs)
+
+
+def test_greatest_said_makes_no_pairs(spark, tmp_path):
+    records, submissions, said, pairs = _submissions(spark, tmp_path)
+    size = {s[0]: s[5] for s in said}
+    want = {}
+    for s, t in pairs:
+        want[t] = max(want.get(t, 0), size[s])
+    greatest = identity.greatest_said(records, submissions, "size")
+    assert broadcasts(greatest) == 0 and dict(rows(greatest)) == want
+    none = identity.meaning_none(records, submissions)
+    assert broadcasts(none) == 0 and {s for (s,) in rows(none)} == set(size) - {s for s, _ in pairs}
