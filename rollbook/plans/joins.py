@@ -161,24 +161,30 @@ def d10_three_way_merge(spark, sf_dir):
     return out.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.array_join("tags", ",").alias("tags"))
 
 
-def d11_submission_match(spark, sf_dir):
+def _submitted(spark, sf_dir):
     """Every part is a submission and a record: as the record after it, by name and brand, or by account."""
     name = F.concat(t.match_key("p_name", composed=True), t.match_key("p_brand", composed=True)).alias("name_key")
     account = F.concat("p_brand", F.lit(":"), "p_size", F.lit(":"), "p_type").alias("account")
     records = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name, account)
-    submissions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sub_id"), (F.col("p_partkey") + 1).alias("ref_id"), name, account, (F.col("p_partkey") % 4 == 1).alias("by_id_only"))
-    return identity.matched_submissions(records, submissions)
+    submissions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sub_id"), (F.col("p_partkey") + 1).alias("ref_id"), name, account, (F.col("p_partkey") % 4 == 1).alias("by_id_only"), "p_size")
+    return records, submissions
+
+
+def d11_submission_match(spark, sf_dir):
+    return identity.matched_submissions(*_submitted(spark, sf_dir))
 
 
 def d11_submission_overlay(spark, sf_dir):
     """Parts with even keys with the size of the submissions (all others) that mean them, the largest of several; what
     means no record is appended."""
     p = table(spark, sf_dir, "part")
-    matched = d11_submission_match(spark, sf_dir).where("sub_id % 2 = 1 AND id % 2 = 0")
+    records, submissions = _submitted(spark, sf_dir)
+    records, submissions = records.where("id % 2 = 0"), submissions.where("sub_id % 2 = 1")
     sizes = p.select(F.col("p_partkey").alias("sub_id"), "p_brand", "p_size").where("sub_id % 2 = 1")
-    patch = matched.join(sizes, "sub_id").groupBy(F.col("id").alias("p_partkey")).agg(F.max("p_size").alias("size"))
-    base = overlay.patched(p.where("p_partkey % 2 = 0").select("p_partkey", "p_brand", F.lit(-1).alias("size")), patch, "p_partkey")
-    return base.union(sizes.join(matched, "sub_id", "left_anti").select("sub_id", "p_brand", "p_size"))
+    patch = identity.greatest_said(records, submissions, "p_size").withColumnsRenamed({"id": "p_partkey", "p_size": "size"})
+    base = overlay.patched(p.where("p_partkey % 2 = 0").select("p_partkey", "p_brand", F.lit(-1).alias("size")), patch.hint("merge"), "p_partkey")
+    fresh = sizes.hint("merge").join(identity.meaning_none(records, submissions), "sub_id", "left_semi")
+    return base.union(fresh.select("sub_id", "p_brand", "p_size"))
 
 
 def d12_ranked_application(spark, sf_dir):
