@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.operators import overlay
+from rollbook.plans import streams as plans
 from rollbook.sources import versions
 from rollbook.streaming import cooldown, queue
 
@@ -229,3 +230,25 @@ def test_hosts_that_pause(spark, tmp_path, monkeypatch):
     twin = cooldown.paced_batch(prepared(spark.createDataFrame([r for b in batches for r in b], kind)), "ts")
     released = {i: micros(t) for i, s, t in want if s == "released"}
     assert {r["lead"]: (r["deferred"], r["released_at"]) for r in twin.collect()} == {i: (i in released, released.get(i)) for i in (1, 3, 4, 5, 7, 8, 9)}
+
+
+def test_bytes_by_row_hold_for_tables_that_double(spark, tmp_path):
+    made = lambda n, hashes: spark.range(n).selectExpr(f"array_join(transform(sequence(1, {hashes}), i -> sha2(cast(id * 100 + i AS string), 256)), '') AS x")
+    layer = versions.Layer(spark, f"{tmp_path}/layer")
+    gates = (versions.size_within(10**9, least=0, by_row=True),)
+    assert layer.commit(made(1000, 1), gates) == 1
+    with pytest.raises(versions.GateError, match="size"):
+        layer.commit(made(2500, 1), (versions.size_within(10**9, least=0),))
+    assert layer.commit(made(2500, 1), gates) == 2
+    with pytest.raises(versions.GateError, match="size"):
+        layer.commit(made(2600, 7), gates)
+    assert layer.commit(made(0, 1)) == 3 and layer.commit(made(10, 1), (versions.size_within(10**9, by_row=True),)) == 4
+
+
+def test_years_of_orders_pass_the_gate_of_size_whatever_they_come_to(spark, tmp_path, monkeypatch):
+    ours = versions.size_within
+    monkeypatch.setattr(versions, "size_within", lambda most, **more: ours(most, least=0, **more))
+    rows = spark.range(3000).selectExpr("id AS o_orderkey", "sha2(cast(id AS string), 256) AS x", "IF(id % 3 = 0, timestamp'1995-02-03', timestamp'1996-02-03') AS o_orderdate", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, plans.i_observed_gates(spark, str(tmp_path)).collect()))
+    assert got == [(1995, 1, 1000, 1000, 1000, 0, 0, True, "rows added", 3000), (1996, 2, 3000, 3000, 3000, 0, 0, True, "rows added", 3000)]
