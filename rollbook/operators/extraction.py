@@ -9,14 +9,19 @@ several values the first by rank, then place), `many`, `entry` (begins an entry)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RULE = "host string, field string, kind string, scope string, attr string, named string, pattern string, rank int"
-_TOKEN = "array<struct<place:int,element:boolean,path:string,ids:array<int>,attrs:map<string,string>,text:string>>"
+_TOKEN = "place int, element boolean, path string, ids array<int>, attrs map<string,string>, text string"
+_ARROW = (pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string()), pa.string())
+#: Elements and texts that a worker holds at once, and those of one page.
+MOST_HELD = 8192
 #: Rules that are broadcast; more are joined by host.
 MOST_BROADCAST = 50_000
 #: A path names so many of the innermost elements; pages that nest deeper keep all their texts.
@@ -86,11 +91,42 @@ def _tokens(html: str | None) -> list[tuple]:
     return page.out
 
 
+def ended_references(html: Column) -> Column:
+    """html in which only what ends in a semicolon is a reference, so that a text that was cut amid one keeps what it has."""
+    return F.regexp_replace(html, r"&(?=#?[A-Za-z0-9]++(?!;))", "&amp;")
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the last column's pages, in batches that are given out as soon as they have MOST_HELD elements and texts."""
+
+    def piece(batch: pa.RecordBatch, of: list[int], out: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(of, pa.int32())
+        own = [c.take(at) for c in batch.columns[:-1]]
+        columns = [[t[i] for t in out] for i in range(len(_ARROW))]
+        columns[4] = [None if a is None else list(a.items()) for a in columns[4]]
+        names = [*batch.schema.names[:-1], *(f.split(" ")[0] for f in _TOKEN.split(", "))]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, kind) for c, kind in zip(columns, _ARROW))], names=names)
+
+    for batch in batches:
+        of: list[int] = []
+        out: list[tuple] = []
+        for i, page in enumerate(batch.columns[-1]):
+            tokens = _tokens(page.as_py())
+            of += [i] * len(tokens)
+            out += tokens
+            if len(out) >= MOST_HELD:
+                yield piece(batch, of, out)
+                of, out = [], []
+        if out:
+            yield piece(batch, of, out)
+
+
 def elements(pages: DataFrame, key: str, html: str, *more: str) -> DataFrame:
     """key, `more`, place, element (else it is a text), path, ids (places of the elements on the path), attrs and text, a row
     for each element and text of a page. Elements that aren't ended end with what is around them; a null page has none."""
-    parsed = F.udf(_tokens, _TOKEN, useArrow=True)
-    return pages.select(key, *more, F.explode(parsed(html)).alias("t")).select(key, *more, "t.*")
+    rows = pages.select(key, *more, html)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_in_pieces, f"{own}, {_TOKEN}")
 
 
 def found(pages: DataFrame, key: str, html: str, host: Column, rules: DataFrame) -> DataFrame:

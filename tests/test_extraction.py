@@ -92,3 +92,26 @@ def test_a_page_of_a_million_characters(spark):
     html = "<div>" * 2000 + "".join(f"<p>w{i}<a href='/{i}'>x" for i in range(20_000))
     found = _found(spark, _rules(spark, ("", "link", "many", "/a", "href", None, None, 0)), ("", html))
     assert found.agg(F.count("*"), F.countDistinct("value")).first() == (20_000, 20_000)
+
+
+def test_texts_that_were_cut_amid_a_reference_stay(spark):
+    html = "<title>a &amp;&lt;&#39; b&amp c&am &#65 & d &copy=1&AMP</title>"
+    df = spark.createDataFrame([("0", "", html), ("1", "", None)], PAGES).withColumn("html", extraction.ended_references(F.col("html")))
+    assert _values(extraction.found(df, "id", "html", u.host_key("url"), plans.rules(spark).where("field = 'title'"))) == [("0", "title", "a &<' b&amp c&am &#65 & d &copy=1&AMP")]
+
+
+def test_titles_of_pages_that_end_in_a_cut_reference_equal_sql(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(5, "https://a.example/", "<html><title>x &amp;&amp; ver&amp</title></html>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in plans.e1_descriptions(spark, str(tmp_path)).collect()] == duckdb.sql(plans.ORACLES["e1_descriptions"]).fetchall() == [(5, "x && ver&amp", "og 5")]
+
+
+def test_a_worker_holds_few_elements_at_once():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["<b a=1>x<i>y</i></b>"] * 2999 + [None])], names=["id", "html"])
+    pieces = list(extraction._in_pieces(iter([batch])))
+    assert max(p.num_rows for p in pieces) < 2 * extraction.MOST_HELD and sum(p.num_rows for p in pieces) == 4 * 2999 and len(pieces) > 1
+    assert pieces[-1].to_pylist()[-4] == {"id": 2998, "place": 0, "element": True, "path": "/b", "ids": [0], "attrs": [("a", "1")], "text": None}
