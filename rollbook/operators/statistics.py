@@ -113,9 +113,9 @@ def statistic_labels(name: Column, readable: Column, status: Column, reading: Co
     )
 
 
-def sliced(rows: DataFrame, slices: Column, labels: Column, order: str, shown: str, locale: str | None = None) -> DataFrame:
-    """(slice, statistic, label, n, value, shown, rank) of every slice under every statistic, in one pass: rows are counted
-    by slice, statistic and label within tasks before they are shuffled, and tops are cut within tasks before they are
+def sliced(rows: DataFrame, slices: Column, labels: Column, order: str, shown: str, locale: str | None = None, like: tuple[str, ...] | None = None) -> DataFrame:
+    """(slice, statistic, label, n, value, shown, rank) of every slice under every statistic, in one pass: rows that are
+    equal in the columns `like`, from which slices and labels are made, are one with their number, then rows are counted by slice, statistic and label within tasks before they are shuffled, and tops are cut within tasks before they are
     ranked, so that a slice of all rows is no task's.
 
     slices: the slices of a row (each counts once); labels: statistic_labels(). Of each label there is the `shown` text of
@@ -124,9 +124,13 @@ def sliced(rows: DataFrame, slices: Column, labels: Column, order: str, shown: s
     `duplicate` has the top names of several records, and `duplicates` their totals: distinct names, and names (label
     groups) and records (label records) that are repeated.
     """
-    each = rows.select(F.array_distinct(slices).alias("s"), labels.alias("l"), F.col(order).alias("ord"), F.col(shown).alias("shown"))
-    each = each.select(F.explode("s").alias("slice"), "l", "ord", "shown").select("slice", "ord", "shown", F.explode("l").alias("x"))
-    counted = each.groupBy("slice", "x.statistic", "x.label").agg(F.count(F.lit(1)).alias("n"), F.min_by("shown", "ord").alias("shown"))
+    first, many = F.col(order), F.lit(1).cast("long")
+    if like:
+        rows = rows.groupBy(*like).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(F.col(order).alias("ord"), F.col(shown).alias("shown"))).alias("__first"))
+        first, many, shown = F.col("__first.ord"), F.col("__n"), "__first.shown"
+    each = rows.select(F.array_distinct(slices).alias("s"), labels.alias("l"), first.alias("ord"), F.col(shown).alias("shown"), many.alias("many"))
+    each = each.select(F.explode("s").alias("slice"), "l", "ord", "shown", "many").select("slice", "ord", "shown", "many", F.explode("l").alias("x"))
+    counted = each.groupBy("slice", "x.statistic", "x.label").agg(F.sum("many").alias("n"), F.min_by("shown", "ord").alias("shown"))
     counted = written(counted, "counted")
     by = ["slice", "statistic"]
     label = F.collate("label", locale) if locale else F.col("label")

@@ -106,7 +106,7 @@ def f14_all_slices(spark, sf_dir):
     p = _part(spark, sf_dir)
     status = F.when(F.col("p_size") > 25, "verified").when(F.col("p_size") > 10, "inferred").otherwise("none")
     labels = s.statistic_labels(F.col("name"), F.col("p_size") != 11, status, F.col("p_type"))
-    return s.sliced(p, _slices(F.col("p_brand"), F.col("p_type")), labels, "p_partkey", "p_name")
+    return s.sliced(p, _slices(F.col("p_brand"), F.col("p_type")), labels, "p_partkey", "p_name", like=("name", "p_size", "p_type", "p_brand"))
 
 
 #: Digits and the kana that stand for them in made-up names.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from rollbook.operators import identity, search
+from pyspark.sql import functions as F
+
+from rollbook.operators import identity, search, statistics
 
 
 def rows(df):
@@ -66,3 +68,12 @@ def test_greatest_said_makes_no_pairs(spark, tmp_path):
     assert broadcasts(greatest) == 0 and dict(rows(greatest)) == want
     none = identity.meaning_none(records, submissions)
     assert broadcasts(none) == 0 and {s for (s,) in rows(none)} == set(size) - {s for s, _ in pairs}
+
+
+def test_equal_rows_of_slices_are_one(spark, tmp_path):
+    df = spark.range(400).selectExpr("id", "element_at(array('ab cd', 'Ab cd', 'xyz'), int(id % 3) + 1) AS own", "replace(element_at(array('ab cd', 'Ab cd', 'xyz'), int(id % 3) + 1), ' ', '') AS name", "id % 5 AS size", "concat('b', id % 2) AS brand")
+    labels = statistics.statistic_labels(F.col("name"), F.col("size") != 2, F.lit("none"), F.col("brand"))
+    counted = lambda like: statistics.sliced(kept(df, tmp_path, f"rows{like is None}"), F.array(F.lit("all"), F.col("brand")), labels, "id", "own", like=like)
+    key = lambda df: sorted(map(str, df.collect()))
+    once = counted(("name", "size", "brand"))
+    assert key(once) == key(counted(None)) and once.where("statistic = 'total' AND slice = 'all'").first()["n"] == 400
