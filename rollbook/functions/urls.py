@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed values: (platform, hosts, path pattern, whether ids are in lower case), in the order in which they are tried.
 ACCOUNT_RULES = (
@@ -178,12 +179,13 @@ def record_accounts(records: DataFrame, key: str, rules: DataFrame, links: tuple
     handle = F.when(F.col("youtube_handle").rlike(r"(?U)^@[\w.\-]+$"), F.concat(F.lit("https://www.youtube.com/"), "youtube_handle"))
     channel = own_channel(F.col("youtube_channel_id"), F.col(key).cast("string"), F.array().cast("array<string>"))
     every = F.array_compact(F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in links), F.array(*fields, login, handle, F.concat(F.lit("https://www.youtube.com/channel/"), channel)))))
-    each = records.select(F.col(key), F.lower("youtube_handle").alias("__handle"), channel.isNotNull().alias("__own"), F.explode(F.array_distinct(every)).alias("__link"))
+    # a small file of many records is one task's; dealt by key, they need no other shuffle
+    each = records.repartition(F.col(key)).select(F.col(key), F.lower("youtube_handle").alias("__handle"), channel.isNotNull().alias("__own"), F.explode(F.array_distinct(every)).alias("__link"))
     found = with_account(each, "__link", rules).where("platform IS NOT NULL")
     found = found.groupBy(key, "platform", "account_id").agg(F.min("account_url").alias("account_url"), F.first("__handle").alias("__handle"), F.first("__own").alias("__own"))
-    channels = found.groupBy(key).agg(F.count_if((F.col("platform") == "youtube") & F.col("account_id").startswith("channel/")).alias("__channels"))
+    found = found.withColumn("__channels", F.count_if((F.col("platform") == "youtube") & F.col("account_id").startswith("channel/")).over(Window.partitionBy(key)))
     paired = (F.col("platform") == "youtube") & F.col("account_id").eqNullSafe(F.col("__handle")) & F.col("__own") & (F.col("__channels") == 1)
-    return found.join(channels, key).withColumn("paired", F.coalesce(paired, F.lit(False))).drop("__handle", "__own", "__channels")
+    return found.where(F.col(key).isNotNull()).withColumn("paired", F.coalesce(paired, F.lit(False))).drop("__handle", "__own", "__channels")
 
 
 def fragment_accounts(df: DataFrame, key: str, html: str, rules: DataFrame) -> DataFrame:

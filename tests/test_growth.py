@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rollbook.functions import urls
 from rollbook.operators import identity, search, statistics
 
 
@@ -77,3 +78,11 @@ def test_equal_rows_of_slices_are_one(spark, tmp_path):
     key = lambda df: sorted(map(str, df.collect()))
     once = counted(("name", "size", "brand"))
     assert key(once) == key(counted(None)) and once.where("statistic = 'total' AND slice = 'all'").first()["n"] == 400
+
+
+def test_accounts_of_records_are_found_once(spark, tmp_path):
+    shape = "id long, platform_accounts array<string>, twitter_url string, twitch_url string, source_url string, broadcast_url string, youtube_url string, twitch_login string, youtube_handle string, youtube_channel_id string"
+    records = kept(spark.createDataFrame([(1, ["https://x.com/a", "https://twitter.com/A"], *[None] * 8), (None, ["https://x.com/b"], *[None] * 8)], shape), tmp_path, "records")
+    found = urls.record_accounts(records, "id", urls.rule_table(spark))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert rows(found.select("id", "platform", "account_id", "paired")) == [(1, "x", "a", False)]
