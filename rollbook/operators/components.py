@@ -36,7 +36,7 @@ def batch_links(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
     """(a, b): each row's key and the least key that has the same `by`; as many links as rows, however crowded."""
     apart = rows.dropna(subset=by)
     least = apart.groupBy(*by).agg(F.min(key).alias("b"))
-    return apart.join(least, by).select(F.col(key).alias("a"), "b").where("a != b").distinct()
+    return apart.join(least.hint("merge"), by).select(F.col(key).alias("a"), "b").where("a != b").distinct()
 
 
 def batch_entities(incoming: DataFrame, resolution: DataFrame, by: tuple[str, ...] = ("account",)) -> DataFrame:
@@ -44,7 +44,7 @@ def batch_entities(incoming: DataFrame, resolution: DataFrame, by: tuple[str, ..
     entity: rows that share an account (`by`, with a name key perhaps), directly or in a chain of new rows. Other rows
     have none. incoming: in_id and `by`, a row for each account; without an account a row is an entity of its own."""
     new = resolution.where("status = 'new'").select("in_id").distinct()
-    roots = components(batch_links(incoming.join(new, "in_id", "left_semi").select("in_id", *by), "in_id", list(by)))
-    out = resolution.join(roots.withColumnRenamed("node", "in_id"), "in_id", "left")
+    roots = components(batch_links(incoming.join(new.hint("merge"), "in_id", "left_semi").select("in_id", *by), "in_id", list(by)))
+    out = resolution.join(roots.withColumnRenamed("node", "in_id").hint("merge"), "in_id", "left")
     fresh = F.when(F.col("status") == "new", F.coalesce("root", "in_id"))
     return out.select(*resolution.columns, F.when(F.col("status") == "matched", F.col("target")).otherwise(fresh).alias("entity"))

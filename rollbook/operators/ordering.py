@@ -36,7 +36,7 @@ def places(rows: DataFrame, by: str, order: list[str], n_buckets: int = 64, over
     before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(by).alias("__by"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(by, "__range").orderBy(*order)))
-    return inside.join(counts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))).withColumn("place", F.col("__before") + F.col("__k")).drop("__by", "__r", "__range", "__before", "__k")
+    return inside.join(counts.hint("merge"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))).withColumn("place", F.col("__before") + F.col("__k")).drop("__by", "__r", "__range", "__before", "__k")
 
 
 def named(rows: DataFrame, by: str, reading: str, name: str, key: str, locale: str = "ja") -> DataFrame:

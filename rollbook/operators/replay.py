@@ -21,13 +21,13 @@ def _first_two(held: DataFrame, by: list[str]) -> DataFrame:
     """held: by, owner, at. Of each `by` the owner that had it first (one, at_one) and when a second had it (at_two)."""
     spans = held.groupBy(*by, "owner").agg(F.min("at").alias("at"))
     first = spans.groupBy(*by).agg(F.min(F.struct("at", "owner")).alias("x")).select(*by, F.col("x.owner").alias("one"), F.col("x.at").alias("at_one"))
-    second = spans.join(first, by).where("owner != one").groupBy(*by).agg(F.min("at").alias("at_two"))
-    return first.join(second, by, "left")
+    second = spans.join(first.hint("merge"), by).where("owner != one").groupBy(*by).agg(F.min("at").alias("at_two"))
+    return first.join(second.hint("merge"), by, "left")
 
 
 def _found(rows: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
     """rows: ord and by. ord, lo and hi (the least and greatest owner that was there before), several."""
-    met = rows.join(known, by).withColumn("one", F.when(F.col("at_one") < F.col("ord"), F.col("one")))
+    met = rows.join(known.hint("merge"), by).withColumn("one", F.when(F.col("at_one") < F.col("ord"), F.col("one")))
     out = met.groupBy("ord").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.bool_or(F.coalesce(F.col("at_two") < F.col("ord"), F.lit(False))).alias("several"))
     return out.select("ord", "lo", "hi", (F.col("several") | F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))).alias("several"))
 
@@ -62,7 +62,7 @@ def replayed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         found = _found(accounts, _first_two(held, ["account"]), ["account"])
         ids = known.select(F.col("id").alias("in_id"), F.expr(_BEFORE).alias("since")).union(kept.where("status = 'new'").select(F.col("target").alias("in_id"), F.col("ord").alias("since")))
         ids = ids.groupBy("in_id").agg(F.min("since").alias("since"))
-        out = rows.join(found, "ord", "left").join(ids, "in_id", "left")
+        out = rows.join(found, "ord", "left").join(ids.hint("merge"), "in_id", "left")
         own = F.coalesce(F.col("since") < F.col("ord"), F.lit(False))
         status = F.when(own, "own").when(F.coalesce("several", F.lit(False)), "ambiguous").when(F.col("lo").isNotNull(), "matched").otherwise("new")
         return out.select("ord", "in_id", status.alias("status"), F.when(status == "matched", F.col("lo")).when(status != "ambiguous", F.col("in_id")).alias("target"))
@@ -72,7 +72,7 @@ def replayed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     alone = better(nobody)
     roots = components(batch_links(accounts, "ord", ["account"])).withColumnRenamed("node", "ord")
     first = alone.select(F.col("ord").alias("root"), F.col("target").alias("of_root"))
-    spread = alone.join(roots, "ord", "left").join(first, "root", "left")
+    spread = alone.join(roots.hint("merge"), "ord", "left").join(first.hint("merge"), "root", "left")
     later = (F.col("status") == "new") & (F.col("root") != F.col("ord")) & F.col("of_root").isNotNull()
     guess = spread.select("ord", "in_id", F.when(later, "matched").otherwise(F.col("status")).alias("status"), F.when(later, F.col("of_root")).otherwise(F.col("target")).alias("target"))
     return _settled(guess, better).select("ord", "in_id", "target", "status")
@@ -105,13 +105,15 @@ def replayed_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         new = rows.join(told.where("status = 'new'"), "ord").select("owner", (F.col("owner") == F.col("stub_id")).alias("stub"), "account", F.col("ord").alias("at")).where("account IS NOT NULL")
         holders = had_account.select("owner", "stub", "account", F.expr(_BEFORE).alias("at")).union(new)
         names = had_name.union(keys.join(told.select("ord", "owner").union(listed.join(guess.where("status = 'listed'"), "ord").select("ord", F.col("id").alias("owner"))), "ord").select("owner", "key", F.col("ord").alias("named")))
-        pairs = holders.where("NOT stub").groupBy("owner", "account").agg(F.min("at").alias("at")).join(names.groupBy("owner", "key").agg(F.min("named").alias("named")), "owner")
+        pairs = holders.where("NOT stub").groupBy("owner", "account").agg(F.min("at").alias("at")).join(names.groupBy("owner", "key").agg(F.min("named").alias("named")).hint("merge"), "owner")
         found = _found(asked, _first_two(pairs.select("account", "key", "owner", F.greatest("at", "named").alias("at")), ["account", "key"]), ["account", "key"])
         seen = holders.groupBy("account").agg(F.min("at").alias("since"))
         # of the previous ones: another than the compatible record and the row's own stub
         other = listed.join(found, "ord", "left").where("id != stub_id AND NOT (id <=> lo)").select("ord").distinct().withColumn("other", F.lit(True))
         stubs = listed.groupBy("ord").agg(F.bool_or(F.col("id") == F.col("stub_id")).alias("has_stub"))
-        out = rows.join(found, "ord", "left").join(seen, "account", "left").join(other, "ord", "left").join(stubs, "ord", "left")
+        out = rows.join(found, "ord", "left")
+        for more, by in ((seen, "account"), (other, "ord"), (stubs, "ord")):
+            out = out.join(more.hint("merge"), by, "left")
         one = F.col("lo").isNotNull() & ~F.col("several") & F.col("other").isNull()
         status = F.when(one, "matched").when(F.col("has_stub").isNotNull(), "listed").when(F.col("active"), "new").otherwise("inactive")
         unheld = F.col("account").isNotNull() & ~F.coalesce(F.col("since") < F.col("ord"), F.lit(False))

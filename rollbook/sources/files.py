@@ -25,10 +25,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read from there: computed once, without the lineage before it."""
+    """df, written as Parquet to the shared folder and read from there: computed once, without the lineage before it.
+    What is written grows with the input while its file may be small (copies, short runs), so that its joins are merge joins
+    and none of it is sent to the driver to be broadcast."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def load_layer(rows: DataFrame, key: str) -> DataFrame:

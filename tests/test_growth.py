@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from rollbook.functions import urls
-from rollbook.operators import identity, search, statistics
+from rollbook.operators import identity, replay, search, statistics
 
 
 def rows(df):
@@ -86,3 +86,26 @@ def test_accounts_of_records_are_found_once(spark, tmp_path):
     found = urls.record_accounts(records, "id", urls.rule_table(spark))
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     assert rows(found.select("id", "platform", "account_id", "paired")) == [(1, "x", "a", False)]
+
+
+def unsent(monkeypatch, module):
+    """Lets a module's steps be written, and gives the names of those whose plan broadcasts a side of a join."""
+    sent, write = [], module.written
+
+    def look(df, name):
+        if "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString():
+            sent.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(module, "written", look)
+    return sent
+
+
+def test_rounds_of_a_replay_send_nothing_to_the_driver(spark, tmp_path, monkeypatch):
+    sent = unsent(monkeypatch, replay)
+    shape = "ord long, in_id string, stub_id string, account string, account_id string, names array<string>, active boolean"
+    existing = kept(spark.createDataFrame([("r1", False, ["a"], ["n"], ["4"]), ("stub:2", True, ["a"], ["n"], ["2"])], "id string, stub boolean, accounts array<string>, names array<string>, listed array<string>"), tmp_path, "existing")
+    incoming = kept(spark.createDataFrame([(2, "2", "stub:2", "a", "c:a", ["n"], True), (3, "3", "stub:3", "b", "c:b", ["m"], True), (4, "4", "stub:4", "b", "c:b", ["k"], True), (5, "5", "stub:5", "b", "c:b", ["m"], False)], shape), tmp_path, "incoming")
+    out = replay.replayed_by_name(existing, incoming)
+    assert sent == [] and broadcasts(out) == 0
+    assert rows(out.drop("retired")) == [(2, "2", "r1", "matched"), (3, "3", "c:b", "new"), (4, "4", "r1", "listed"), (5, "5", "c:b", "matched")]
