@@ -131,4 +131,4 @@ def replayed_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def without_retired(registry: DataFrame, replay: DataFrame, key: str) -> DataFrame:
     """registry without the stubs that replayed_by_name() retired."""
     gone = replay.where("retired IS NOT NULL").select(F.col("retired").alias(key)).distinct()
-    return registry.join(gone, key, "left_anti")
+    return registry.join(gone.hint("merge"), key, "left_anti")

@@ -109,3 +109,5 @@ def test_rounds_of_a_replay_send_nothing_to_the_driver(spark, tmp_path, monkeypa
     out = replay.replayed_by_name(existing, incoming)
     assert sent == [] and broadcasts(out) == 0
     assert rows(out.drop("retired")) == [(2, "2", "r1", "matched"), (3, "3", "c:b", "new"), (4, "4", "r1", "listed"), (5, "5", "c:b", "matched")]
+    left = replay.without_retired(existing.select("id", "stub"), out, "id")
+    assert broadcasts(left) == 0 and rows(left) == [("r1", False)]
