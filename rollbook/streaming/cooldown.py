@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 LIMITED, PAUSES, OTHER_PAUSE = 429, {429: 3600}, 86_400
 
 OUT = "lead long, host string, state string, at long"
+_out = Row("lead", "host", "state", "at")
 
 
 def pause_until(at: Column, code: Column, retry_after: Column) -> Column:
@@ -28,46 +29,57 @@ def pause_until(at: Column, code: Column, retry_after: Column) -> Column:
 
 
 class _Host(StatefulProcessor):
-    """Of a host: the time until which it is left alone, and the leads that wait for it."""
+    """Of a host: the time until which it is left alone, and the leads that wait for it. Both are read and written once for
+    all of a host's rows of a batch, as each access goes to another process and back."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", "until long")
         self.waiting = handle.getListState("waiting", "lead long")
 
-    def _end(self) -> int:
-        return self.until.get()[0] if self.until.exists() else 0
+    def _end(self) -> int | None:
+        return self.until.get()[0] if self.until.exists() else None
 
-    def _released(self, host: str) -> Iterator[Row]:
-        if self.until.exists():
-            end = self._end()
-            for (lead,) in self.waiting.get():
-                yield Row(lead=lead, host=host, state="released", at=end)
-            self.waiting.clear()
-            self.until.clear()
+    def _released(self, host: str, end: int) -> Iterator[Row]:
+        """The leads that waited before this batch; the pause is over."""
+        for (lead,) in self.waiting.get():
+            yield _out(lead, host, "released", end)
+        self.waiting.clear()
+        self.until.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (host,) = key
-        before = self._end()
-        for r in sorted(rows, key=lambda r: (r["at"], r["until"] is None, r["lead"])):
-            if r["at"] >= self._end():
-                yield from self._released(host)
-            if r["until"] is not None:
-                self.until.update((max(self._end(), r["until"]),))
-            elif r["at"] < self._end():
-                self.waiting.appendValue((r["lead"],))
-                yield Row(lead=r["lead"], host=host, state="deferred", at=r["at"])
+        end = before = self._end()
+        kept, waiting = before is not None, []  # whether the state still has what it had, and who else waits
+        for at, no_refusal, lead, until in sorted((r["at"], r["until"] is None, r["lead"], r["until"]) for r in rows):
+            if end is not None and at >= end:
+                if kept:
+                    yield from self._released(host, end)
+                for x in waiting:
+                    yield _out(x, host, "released", end)
+                end, kept, waiting = None, False, []
+            if not no_refusal:
+                end = until if end is None else max(end, until)
+            elif end is not None and at < end:
+                waiting.append(lead)
+                yield _out(lead, host, "deferred", at)
             else:
-                yield Row(lead=r["lead"], host=host, state="passed", at=r["at"])
-        if (end := self._end()) != before:
+                yield _out(lead, host, "passed", at)
+        if waiting:
+            self.waiting.appendList([(x,) for x in waiting])
+        if end != before:
+            self.until.clear() if end is None else self.until.update((end,))
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            if end:
+            if end is not None:
                 self.handle.registerTimer(-(-end // 1000))
+        elif end is not None and not kept:
+            self.until.update((end,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._end() <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            yield from self._released(key[0])
+        end = self._end()
+        if end is not None and end <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            yield from self._released(key[0], end)
 
     def close(self) -> None:
         pass

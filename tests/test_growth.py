@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import urls
 from rollbook.operators import identity, replay, search, statistics
+from rollbook.streaming import cooldown
 
 
 def rows(df):
@@ -111,3 +114,56 @@ def test_rounds_of_a_replay_send_nothing_to_the_driver(spark, tmp_path, monkeypa
     assert rows(out.drop("retired")) == [(2, "2", "r1", "matched"), (3, "3", "c:b", "new"), (4, "4", "r1", "listed"), (5, "5", "c:b", "matched")]
     left = replay.without_retired(existing.select("id", "stub"), out, "id")
     assert broadcasts(left) == 0 and rows(left) == [("r1", False)]
+
+
+class _State:
+    """State of one host, as a processor sees it; counts how often it is asked or told."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = {}, 0, set()
+
+    def of(self, name):
+        def said(act):
+            def run(*args):
+                self.calls += 1
+                return act(*args)
+
+            return run
+
+        put = lambda v: self.rows.__setitem__(name, [v])
+        add = lambda vs: self.rows.setdefault(name, []).extend(vs)
+        one = lambda: self.rows[name][0]
+        get = one if name == "until" else lambda: iter(self.rows.get(name, []))
+        acts = {"exists": lambda: name in self.rows, "get": get, "update": put, "appendValue": lambda v: add([v]), "appendList": add, "clear": lambda: self.rows.pop(name, None)}
+        return SimpleNamespace(**{k: said(f) for k, f in acts.items()})
+
+    def handle(self):
+        return SimpleNamespace(getValueState=lambda n, _: self.of(n), getListState=lambda n, _: self.of(n), listTimers=lambda: list(self.timers), deleteTimer=self.timers.discard, registerTimer=self.timers.add)
+
+
+@pytest.mark.parametrize("start", [0, -10_000_000])
+def test_state_of_a_host_is_asked_for_batches_and_not_for_rows(start):
+    r = random.Random(3)
+    state, host = _State(), cooldown._Host()
+    host.init(state.handle())
+    got, end, waiting, want = [], None, [], []
+    for batch in range(6):
+        rows = [(start + batch * 5_000_000 + r.randrange(5_000_000), batch * 300 + i, r.random() < 0.05) for i in range(300)]
+        rows = [{"at": at, "lead": lead, "until": at + r.randrange(1, 900_000) if refused else None} for at, lead, refused in rows]
+        before = state.calls
+        got += map(tuple, host.handleInputRows(("h",), iter(rows), None))
+        assert state.calls - before < 20
+        for x in sorted(rows, key=lambda x: (x["at"], x["until"] is None, x["lead"])):
+            if end is not None and x["at"] >= end:
+                want += [(lead, "h", "released", end) for lead in waiting]
+                end, waiting = None, []
+            if x["until"] is not None:
+                end = max(x["until"], x["until"] if end is None else end)
+            elif end is not None:
+                waiting.append(x["lead"])
+                want.append((x["lead"], "h", "deferred", x["at"]))
+            else:
+                want.append((x["lead"], "h", "passed", x["at"]))
+        assert state.timers == (set() if end is None else {-(-end // 1000)})
+    assert got == want and {state for _, _, state, _ in got} == {"passed", "deferred", "released"}
+    assert [lead for (lead,) in state.rows.get("waiting", [])] == waiting
