@@ -34,28 +34,34 @@ def resolve(existing: DataFrame, incoming: DataFrame, policy: Policy = Policy())
     existing: id, account, name_key; incoming: in_id, account, name_key (a row for each account). Matches are made
     against the registry as it stood before the batch. The registry is aggregated to the least and greatest id of each
     account (and name) before it meets the batch, so that an account with many records and many rows makes no pairs; only
-    the policy `all`, whose result they are, makes them.
+    the policy `all`, whose result they are, makes them: each once, as they come from the join (see _pairs).
     """
     names = ["account", "name_key"]
     ways = [(existing, names if policy.require_name else names[:1])]
     if policy.named_need_name and not policy.require_name:
         ways = [(existing.where("named"), names), (existing.where("NOT coalesce(named, false)"), names[:1])]
-    met = [incoming.join(df.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), keys).select("in_id", "lo", "hi") for df, keys in ways]
+    met = [incoming.join(df.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).hint("merge"), keys).select("in_id", "lo", "hi") for df, keys in ways]
     found = reduce(DataFrame.union, met).groupBy("in_id").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-    rows = incoming.select("in_id").distinct().join(found, "in_id", "left")
+    rows = incoming.select("in_id").distinct().join(found.hint("merge"), "in_id", "left")
     none = F.lit("new" if policy.allow_new else "unmatched")
     if policy.guard and (policy.require_name or policy.named_need_name):
-        shared = incoming.join(existing.select("account").distinct(), "account", "left_semi").select("in_id").distinct()
-        rows = rows.join(shared.withColumn("shared", F.lit(True)), "in_id", "left")
+        shared = incoming.join(existing.select("account").distinct().hint("merge"), "account", "left_semi").select("in_id").distinct()
+        rows = rows.join(shared.withColumn("shared", F.lit(True)).hint("merge"), "in_id", "left")
         none = F.when(F.col("shared"), "guarded").otherwise(none)
     own = F.lit(None)
     if policy.own_id_first:
-        rows = rows.join(existing.select(F.col("id").alias("in_id")).distinct().withColumn("own", F.lit(True)), "in_id", "left")
+        rows = rows.join(existing.select(F.col("id").alias("in_id")).distinct().withColumn("own", F.lit(True)).hint("merge"), "in_id", "left")
         own = F.when(F.col("own"), F.col("in_id"))
     if policy.on_multi == "all":
-        pairs = reduce(DataFrame.union, [incoming.join(df.select(*keys, F.col("id").alias("target")).distinct(), keys).select("in_id", "target") for df, keys in ways]).distinct()
-        each = rows.join(pairs, "in_id", "left").withColumn("target", F.coalesce(own, "target")).withColumn("status", F.when(F.col("target").isNull(), none).otherwise("matched"))
-        return each.select("in_id", "target", "status").distinct()
+        mark = lambda keys: F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in map(F.col, keys)), F.lit(f"/{len(keys)}"))
+        theirs = reduce(DataFrame.union, [df.select("id", mark(keys).alias("mark")) for df, keys in ways])
+        asked = incoming.select("in_id", F.explode(F.array(*(mark(keys) for _, keys in ways))).alias("mark"))
+        if policy.own_id_first:
+            asked = asked.join(existing.select(F.col("id").alias("in_id")).distinct().hint("merge"), "in_id", "left_anti")
+        pairs = _pairs(_gathered(theirs, "id"), _gathered(asked, "in_id")).select("in_id", F.col("id").alias("target"), F.lit("matched").alias("status"))
+        # rows with an id that a record has, and those that meet none
+        rest = rows.select("in_id", own.cast(existing.schema["id"].dataType).alias("target"), F.when(own.isNotNull(), "matched").otherwise(none).alias("status"), F.col("first").isNotNull().alias("met"))
+        return pairs.union(rest.where("target IS NOT NULL OR NOT met").drop("met"))
     several = (F.col("first") != F.col("last")) & F.lit(policy.on_multi == "skip")
     target = F.coalesce(own, {"skip": F.when(~several, F.col("first")), "first": F.col("first"), "last": F.col("last")}[policy.on_multi])
     status = F.when(target.isNotNull(), "matched").when(several, "ambiguous").otherwise(none)
@@ -69,7 +75,7 @@ def applied(registry: DataFrame, rows: DataFrame, resolution: DataFrame, key: st
     second batch is resolved with own_id_first."""
     fields = [c for c in registry.columns if c != key and c in rows.columns]
     said = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
-    joined = rows.join(resolution.where("status IN ('matched', 'new')"), "in_id").withColumn("__to", F.coalesce("target", "in_id"))
+    joined = rows.join(resolution.where("status IN ('matched', 'new')").hint("merge"), "in_id").withColumn("__to", F.coalesce("target", "in_id"))
     agg = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("in_id", F.col(c).alias("v")))), lambda x: x["v"]))).alias(f"__{c}") if c in lists else F.min_by(c, F.when(said(c).isNotNull(), F.col("in_id"))).alias(f"__{c}") for c in fields]
     patch = joined.groupBy(F.col("__to").alias(key)).agg(*agg)
     empty = {c: F.array().cast(registry.schema[c].dataType) for c in lists}
@@ -83,10 +89,10 @@ def rechecked(registry: DataFrame, rows: DataFrame, resolution: DataFrame, key:
     registry: key, name, reading and fields; rows: in_id, name and fields."""
     fields = [c for c in registry.columns if c in rows.columns and c != key]
     said = [F.max_by(c, F.when(F.col(c).cast("string") != "", F.col("in_id"))).alias(f"__{c}") for c in fields]
-    patch = rows.join(resolution.where("status = 'matched'").select("in_id", "target"), "in_id").groupBy(F.col("target").alias(key)).agg(*said)
+    patch = rows.join(resolution.where("status = 'matched'").select("in_id", "target").hint("merge"), "in_id").groupBy(F.col("target").alias(key)).agg(*said)
     stale = F.coalesce(F.col("__name") != F.col("name"), F.lit(False))
     out = {**{c: F.coalesce(f"__{c}", c) for c in fields}, "reading": F.when(~stale, F.col("reading"))}
-    return registry.join(patch, key, "left").withColumns(out).select(*registry.columns)
+    return registry.join(patch.hint("merge"), key, "left").withColumns(out).select(*registry.columns)
 
 
 def consolidated(rows: DataFrame) -> DataFrame:
@@ -117,8 +123,8 @@ def one_candidate(rows: DataFrame) -> DataFrame:
     while True:
         spans = keyed.join(guess, "id").groupBy(*by, "owner").agg(F.min("ord").alias("at"))
         first = spans.groupBy(*by).agg(F.min_by("owner", "at").alias("one"), F.min("at").alias("at_one"))
-        second = spans.join(first, by).where("owner != one").groupBy(*by).agg(F.min("at").alias("at_two"))
-        known = keyed.join(first, by).join(second, by, "left").withColumn("one", F.when(F.col("ord") > F.col("at_one"), F.col("one")))
+        second = spans.join(first.hint("merge"), by).where("owner != one").groupBy(*by).agg(F.min("at").alias("at_two"))
+        known = keyed.join(first, by).join(second.hint("merge"), by, "left").withColumn("one", F.when(F.col("ord") > F.col("at_one"), F.col("one")))
         told = known.groupBy("id").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.bool_or(F.coalesce(F.col("ord") > F.col("at_two"), F.lit(False)) | F.col("fixed")).alias("apart"))
         owner = F.when(~F.col("apart") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("id"))
         better = written(told.select("id", owner.alias("owner")), "owners")
@@ -131,7 +137,7 @@ def merged_duplicates(records: DataFrame, kept: DataFrame, key: str, name: str,
     """records with those that have another kept_id (kept: id, kept_id) merged into it: its blank fields are filled, lists
     become ordered unions, and names of merged records are aliases, but never a record's own name."""
     gone = kept.where("id != kept_id").select(F.col("id").alias("in_id"), F.col("kept_id").alias("target"), F.lit("matched").alias("status"))
-    registry = records.join(gone.select(F.col("in_id").alias(key)), key, "left_anti")
+    registry = records.join(gone.select(F.col("in_id").alias(key)).hint("merge"), key, "left_anti")
     others = F.concat(F.coalesce(aliases, F.array().cast(records.schema[aliases].dataType)), F.array_compact(F.array(name)))
     out = applied(registry, records.withColumn(aliases, others).withColumnRenamed(key, "in_id"), gone, key, lists=(aliases, *lists))
     return out.withColumn(aliases, F.filter(aliases, lambda x: ~x.eqNullSafe(F.col(name))))
@@ -207,24 +213,33 @@ def attached_metrics(accounts: DataFrame, metrics: DataFrame, rows: DataFrame, p
     return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*account, "x.count", "x.source"))).alias("metrics"))
 
 
+def _gathered(rows: DataFrame, key: str) -> DataFrame:
+    """(key, marks): the marks of each key, each once, in one order; null ones are none."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set("mark")).alias("marks"))
+
+
+def _pairs(theirs: DataFrame, meant: DataFrame) -> DataFrame:
+    """Pairs of rows of meant and theirs (a key and marks) with a mark in common. A pair is told by the first mark that both
+    have and by no other, so that pairs come from one join and are neither kept, sorted nor shuffled to be distinct."""
+    key, other = meant.columns[0], theirs.columns[0]
+    said = meant.select(key, F.col("marks").alias("__all"), F.explode("marks").alias("__mark")).select(key, "__mark", F.filter("__all", lambda x: x < F.col("__mark")).alias("__before"))
+    pairs = said.hint("merge").join(theirs.select(other, "marks", F.explode("marks").alias("__mark")), "__mark")
+    return pairs.where((F.size("__before") == 0) | ~F.arrays_overlap("__before", "marks")).select(key, other)
+
+
 def _marks(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, marks) and (sub_id, marks): by what records can be meant and what submissions mean, each once, in one order for
     all: accounts, names (not if by_id_only), ids."""
     own_id = F.col("ref_id").cast(records.schema["id"].dataType)
     of = lambda account, name, key: F.explode(F.array_compact(F.array(F.concat(F.lit("0"), account), F.concat(F.lit("1"), name), F.concat(F.lit("2"), key.cast("string")))))
-    gathered = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set("mark")).alias("marks"))
     names = F.when(~F.col("by_id_only"), F.col("name_key"))
-    return gathered(records.select("id", of(F.col("account"), F.col("name_key"), F.col("id")).alias("mark")), "id"), gathered(submissions.select("sub_id", of(F.col("account"), names, own_id).alias("mark")), "sub_id")
+    return _gathered(records.select("id", of(F.col("account"), F.col("name_key"), F.col("id")).alias("mark")), "id"), _gathered(submissions.select("sub_id", of(F.col("account"), names, own_id).alias("mark")), "sub_id")
 
 
 def matched_submissions(records: DataFrame, submissions: DataFrame) -> DataFrame:
     """(sub_id, id): records that a submission means by id, or by name unless by_id_only, or by account. Names and accounts
-    that many records and submissions share make many pairs, which are the result: a pair is told by the first mark that
-    both have and by no other, so that pairs come from one join and are neither kept, sorted nor shuffled to be distinct."""
-    theirs, meant = _marks(records, submissions)
-    said = meant.select("sub_id", F.col("marks").alias("__all"), F.explode("marks").alias("__mark")).select("sub_id", "__mark", F.filter("__all", lambda x: x < F.col("__mark")).alias("__before"))
-    pairs = said.hint("merge").join(theirs.select("id", "marks", F.explode("marks").alias("__mark")), "__mark")
-    return pairs.where((F.size("__before") == 0) | ~F.arrays_overlap("__before", "marks")).select("sub_id", "id")
+    that many records and submissions share make many pairs, which are the result (see _pairs)."""
+    return _pairs(*_marks(records, submissions))
 
 
 def greatest_said(records: DataFrame, submissions: DataFrame, value: str) -> DataFrame:

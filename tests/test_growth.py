@@ -167,3 +167,24 @@ def test_state_of_a_host_is_asked_for_batches_and_not_for_rows(start):
         assert state.timers == (set() if end is None else {-(-end // 1000)})
     assert got == want and {state for _, _, state, _ in got} == {"passed", "deferred", "released"}
     assert [lead for (lead,) in state.rows.get("waiting", [])] == waiting
+
+
+@pytest.mark.parametrize("policy", [identity.Policy("all"), identity.Policy("all", require_name=True, guard=True), identity.Policy("all", named_need_name=True, own_id_first=True, allow_new=False)])
+def test_pairs_of_the_policy_all_are_not_made_distinct(spark, tmp_path, policy):
+    r = random.Random(9)
+    some = lambda kind: r.choice([None, *(f"{kind}{i}" for i in range(6))])
+    records = [(r.randrange(0, 60, 2), some("a"), some("n")) for _ in range(60)]
+    batch = [(r.randrange(60), some("a"), some("n")) for _ in range(60)]
+    named = lambda i: policy.require_name or (policy.named_need_name and i % 4 == 0)
+    same = lambda s, t: s[1] is not None and s[1] == t[1] and (not named(t[0]) or (s[2] is not None and s[2] == t[2]))
+    want, ids = set(), {t[0] for t in records}
+    for i in {s[0] for s in batch}:
+        mine = [s for s in batch if s[0] == i]
+        met = {i} if policy.own_id_first and i in ids else {t[0] for s in mine for t in records if same(s, t)}
+        shared = policy.guard and any(s[1] is not None and s[1] == t[1] for s in mine for t in records)
+        want |= {(i, t, "matched") for t in met} or {(i, None, "guarded" if shared else "new" if policy.allow_new else "unmatched")}
+    existing = kept(spark.createDataFrame(records, "id long, account string, name_key string").withColumn("named", F.col("id") % 4 == 0), tmp_path, "existing")
+    out = identity.resolve(existing, kept(spark.createDataFrame(batch, "in_id long, account string, name_key string"), tmp_path, "incoming"), policy)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert broadcasts(out) == 0
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # nothing is done with pairs
