@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.files import written
 from .overlay import latest_fields
@@ -104,18 +106,50 @@ def consolidated(rows: DataFrame) -> DataFrame:
     return out.select("id", F.when(own, F.col("id")).otherwise(F.col("kept_id")).alias("kept_id"), F.when(own, F.lit(1)).otherwise(F.col("n_merged")).alias("n_merged"))
 
 
+#: Keys of a channel's rows up to which one task takes them in their order (some MB of memory).
+AT_ONCE = 50_000
+
+
+def _owners(channel: pd.DataFrame) -> pd.DataFrame:
+    """id and owner of a channel's rows (id, ord, fixed, keys), taken in their order."""
+    held, several, owners = {}, set(), []
+    rows = channel.sort_values("ord")
+    for own, fixed, keys in zip(rows["id"], rows["fixed"], rows["keys"]):
+        met = {held[k] for k in keys if k in held}
+        owner = met.pop() if len(met) == 1 and not fixed and several.isdisjoint(keys) else own
+        several.update(k for k in keys if held.setdefault(k, owner) != owner)
+        owners.append(owner)
+    return pd.DataFrame({"id": rows["id"], "owner": owners})
+
+
 def one_candidate(rows: DataFrame) -> DataFrame:
     """id and kept_id: in the order of `ord`, a row joins the record of its channel with which it has a name key in common,
     if there is exactly one; else it is a record of its own, as are fixed rows (of an immutable base), protected ones
     (characters, say, that share a channel) and those with no channel or several. A row's keys become its record's keys.
 
     rows: id, ord (each once), channels and keys (lists), fixed, protected. It is enough to know of each key the record
-    that has it first, and when a second one has it too. Both are taken from a guess of all records, which gives the next
-    guess, until it stays as it is. That is the result row by row, as the first k rows are right after k rounds; a few
-    rounds do unless rows hang together in long chains. Keys are aggregated, so that no group is in one task.
+    that has it first, and whether a second one has it too. Channels don't meet, so that a task takes one with AT_ONCE keys
+    or fewer row by row; larger ones, of which there are few, go in rounds without any group in one task.
     """
     able = rows.where("NOT protected").withColumn("channels", F.array_distinct(F.array_compact("channels"))).where("size(channels) = 1")
-    keyed = written(able.select("id", "ord", "fixed", F.col("channels")[0].alias("channel"), F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"), "keyed")
+    keys = F.filter(F.array_distinct("keys"), lambda k: k != "").alias("keys")
+    able = written(able.select("id", "ord", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.col("channels")[0].alias("channel"), keys).where("size(keys) > 0"), "keyed")
+    sizes = able.groupBy("channel").agg(F.sum(F.size("keys")).alias("n"))
+    crowded = written(sizes.where(F.col("n") > AT_ONCE).select("channel"), "crowded")
+    kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("owner", rows.schema["id"].dataType)])
+    owners = able.join(F.broadcast(crowded), "channel", "left_anti").groupBy("channel").applyInPandas(_owners, kind)
+    if not crowded.isEmpty():
+        owners = owners.union(_owners_in_rounds(able.join(F.broadcast(crowded), "channel", "left_semi")))
+    owners = written(owners, "owners")
+    return rows.select("id").join(owners, "id", "left").select("id", F.coalesce("owner", "id").alias("kept_id"))
+
+
+def _owners_in_rounds(rows: DataFrame) -> DataFrame:
+    """(id, owner) of rows (id, ord, fixed, channel, keys): the first record that has a key and when a second one has it too
+    are taken from a guess of all records, which gives the next guess, until it stays as it is. That is the result row by
+    row, as the first k rows are right after k rounds; a few rounds do unless rows hang together in long chains. Keys are
+    aggregated, so that no group is in one task."""
+    keyed = written(rows.select("id", "ord", "fixed", "channel", F.explode("keys").alias("key")), "keyed")
     by = ["channel", "key"]
     firsts = keyed.groupBy(*by).agg(F.min(F.struct("ord", "id")).alias("x"))
     guess = keyed.join(firsts, by).groupBy("id").agg(F.when(F.bool_or("fixed"), F.col("id")).otherwise(F.min("x")["id"]).alias("owner"))
@@ -129,7 +163,7 @@ def one_candidate(rows: DataFrame) -> DataFrame:
         owner = F.when(~F.col("apart") & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("id"))
         better = written(told.select("id", owner.alias("owner")), "owners")
         if better.join(guess.withColumnRenamed("owner", "before"), "id").where("owner != before").isEmpty():
-            return rows.select("id").join(better, "id", "left").select("id", F.coalesce("owner", "id").alias("kept_id"))
+            return better
         guess = better
 
 

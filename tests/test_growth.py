@@ -188,3 +188,24 @@ def test_pairs_of_the_policy_all_are_not_made_distinct(spark, tmp_path, policy):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert broadcasts(out) == 0
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # nothing is done with pairs
+
+
+def test_channels_are_taken_in_their_order_at_once(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    data = [(i + 1000, i, [f"c{r.randrange(3)}"] if r.random() < 0.9 else ["c0", "c1"], [r.choice(["", None, *(f"k{n}" for n in range(i // 4, i // 4 + 6))]) for _ in range(2)], r.random() < 0.1, r.random() < 0.1) for i in range(160)]
+    held, want = {}, []
+    for i, _, channels, keys, fixed, protected in data:
+        mine = [] if protected or len(channels) > 1 else [held.setdefault((channels[0], k), set()) for k in keys if k]
+        met = set().union(*mine)
+        want.append((i, met.pop() if len(met) == 1 and not fixed else i))
+        for owners in mine:
+            owners.add(want[-1][1])
+    df = kept(spark.createDataFrame(data, "id long, ord long, channels array<string>, keys array<string>, fixed boolean, protected boolean").repartition(3), tmp_path, "rows")
+    names, write = [], identity.written
+    monkeypatch.setattr(identity, "written", lambda df, name: names.append(name) or write(df, name))
+    assert rows(identity.one_candidate(df)) == want
+    assert names.count("owners") == 1
+    monkeypatch.setattr(identity, "AT_ONCE", 60, raising=False)  # some in rounds
+    sent = unsent(monkeypatch, identity)
+    assert rows(identity.one_candidate(df)) == want
+    assert len(sent) <= 2  # by the names of crowded channels only
