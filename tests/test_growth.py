@@ -209,3 +209,11 @@ def test_channels_are_taken_in_their_order_at_once(spark, tmp_path, monkeypatch)
     sent = unsent(monkeypatch, identity)
     assert rows(identity.one_candidate(df)) == want
     assert len(sent) <= 2  # by the names of crowded channels only
+
+
+def test_merged_records_send_nothing_to_the_driver(spark, tmp_path):
+    records = kept(spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["y"]), (3, "a", [])], "id long, name string, aliases array<string>"), tmp_path, "records")
+    found = kept(spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, kept_id long"), tmp_path, "found")
+    out = identity.merged_duplicates(records, found, "id", "name", "aliases")
+    assert broadcasts(out) == 0
+    assert rows(out) == [(1, "a", ["x", "y", "b"]), (3, "a", [])]
