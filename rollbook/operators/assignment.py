@@ -34,13 +34,13 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     size = F.least(F.char_length("name"), F.lit(RUN))
     p = fine(parts).withColumn("size", size).select("account", F.col("name").alias("part"), "size", F.explode(_runs(F.col("name"), F.col("size"))).alias("run"))
     sizes = p.groupBy("account").agg(F.collect_set("size").alias("sizes"))  # three at most
-    w = fine(wholes).join(sizes, "account").select("account", F.col("name").alias("whole"), F.explode("sizes").alias("size"))
+    w = fine(wholes).join(sizes.hint("merge"), "account").select("account", F.col("name").alias("whole"), F.explode("sizes").alias("size"))
     w = w.select("account", "whole", F.explode(_runs(F.col("whole"), F.col("size"))).alias("run"))
     counts = w.groupBy("account", "run").agg(F.count(F.lit(1)).alias("n"))
     # a run that no name has rules the part out
-    rarest = p.join(counts, ["account", "run"], "left").groupBy("account", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
+    rarest = p.join(counts.hint("merge"), ["account", "run"], "left").groupBy("account", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
     asked = rarest.where("x.n > 0").select("account", "part", F.col("x.run").alias("run"))
-    return asked.join(w, ["account", "run"]).where(F.contains("whole", "part")).select("account", "part", "whole")
+    return asked.join(w.hint("merge"), ["account", "run"]).where(F.contains("whole", "part")).select("account", "part", "whole")
 
 
 def _classed(rows: DataFrame, key: str, by: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +72,8 @@ def candidates(submissions: DataFrame, registry: DataFrame, composites: DataFram
     lone = over.select(F.col("over").alias("id")).distinct().withColumn("__named", F.lit(True))
     plain = lambda c: F.array_sort(F.array_distinct(c)).alias(c)
     own = F.when(F.col("__named"), F.col("id")).alias("own")
-    members_s, subs = _classed(submissions.join(over, "sub_id", "left"), "sub_id", [F.col("name_key"), plain("keys"), plain("accounts"), F.col("over")], "s")
-    members_r, reg = _classed(registry.join(joint, "id", "left").join(lone, "id", "left"), "id", [F.col("name_key"), plain("keys"), plain("accounts"), F.col("ours"), F.coalesce("__joint", F.lit(False)).alias("joint"), own], "r")
+    members_s, subs = _classed(submissions.join(over.hint("merge"), "sub_id", "left"), "sub_id", [F.col("name_key"), plain("keys"), plain("accounts"), F.col("over")], "s")
+    members_r, reg = _classed(registry.join(joint.hint("merge"), "id", "left").join(lone.hint("merge"), "id", "left"), "id", [F.col("name_key"), plain("keys"), plain("accounts"), F.col("ours"), F.coalesce("__joint", F.lit(False)).alias("joint"), own], "r")
 
     on = lambda df, *cs: reduce(lambda d, c: d.withColumn(c[:-1], F.explode(c)), cs, df)
     free = reg.where("NOT joint")
@@ -96,8 +96,8 @@ def candidates(submissions: DataFrame, registry: DataFrame, composites: DataFram
     marks = [F.xxhash64(F.lit(i), "r", "other", "renamed") for i in (1, 2)]
     said = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(marks[0]).alias("x"), F.sum(marks[1].cast("decimal(38,0)")).alias("y"))
     lists = said.join(said.groupBy("n", "x", "y").agg(F.min("s").alias("list")), ["n", "x", "y"]).select("s", "list")
-    content = rows.join(lists.where("s = list").select("s", "list"), "s").join(members_r, "r").select("list", "id", "other", "renamed")
-    return members_s.join(lists, "s").select("sub_id", "list"), content
+    content = rows.join(lists.where("s = list").select("s", "list"), "s").join(members_r.hint("merge"), "r").select("list", "id", "other", "renamed")
+    return members_s.join(lists.hint("merge"), "s").select("sub_id", "list"), content
 
 
 def _numbered(df: DataFrame, by: str, name: str) -> DataFrame:
@@ -155,7 +155,7 @@ def assigned(submissions: DataFrame, lists: DataFrame) -> DataFrame:
         moving = kept.where("NOT content AND NOT joined")
         spans = moving.groupBy("list").agg(F.max("sub_id").alias("most"))
         settled = stay.where("id IS NOT NULL").groupBy("id").agg(F.min("sub_id").alias("by"))
-        free = order.join(spans, "list").join(settled, "id", "left").where("by IS NULL OR by > most").select("list", "pos", "id")
+        free = order.join(spans, "list").join(settled.hint("merge"), "id", "left").where("by IS NULL OR by > most").select("list", "pos", "id")
         moved = _numbered(moving.drop("id"), "sub_id", "turn").join(_numbered(free, "pos", "turn"), ["list", "turn"], "left")
         rows = [stay, anew.select("root", "list", "sub_id", F.when(F.col("at").isNotNull(), F.col("turn")).cast("long").alias("pos"), F.col("at").alias("id")), moved.select("root", "list", "sub_id", "pos", "id")]
         guess = written(reduce(DataFrame.union, rows), "guess")
@@ -172,7 +172,7 @@ def composites(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     apart = lambda df, *cs: df.select(*cs, "name", F.explode("accounts").alias("account"))
     held = contained(subs, reg).join(apart(named, "s", "n").withColumnRenamed("name", "part"), ["account", "part"]).join(apart(joint, "r").withColumnRenamed("name", "whole"), ["account", "whole"])
     each = held.select("r", "whole", "s", "n", "part").distinct().groupBy("r").agg(F.sum("n").alias("children"), F.bool_or(F.col("part") == F.col("whole")).alias("itself"))
-    return members_r.join(each.where("children > 1 AND NOT itself"), "r").select("id", "children")
+    return members_r.join(each.where("children > 1 AND NOT itself").hint("merge"), "r").select("id", "children")
 
 
 def without_sibling_names(aliases: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -181,10 +181,10 @@ def without_sibling_names(aliases: DataFrame, submissions: DataFrame) -> DataFra
     whether it is another's."""
     subs = submissions.select("sub_id", F.col("name_key").alias("name"), F.explode("accounts").alias("account"))
     who = subs.where("name != ''").groupBy("account", F.col("name").alias("part")).agg(F.min("sub_id").alias("lo"), F.max("sub_id").alias("hi"))
-    beside = aliases.join(subs.select("sub_id", "account"), "sub_id").select("sub_id", "alias_key", "account").distinct()
+    beside = aliases.join(subs.select("sub_id", "account").hint("merge"), "sub_id").select("sub_id", "alias_key", "account").distinct()
     keys = beside.select("account", F.col("alias_key").alias("name"))
     found = contained(who.where(F.char_length("part") >= 3).select("account", F.col("part").alias("name")), keys)
     same = who.select("account", "part", F.col("part").alias("whole"))
-    met = found.union(same).distinct().join(who, ["account", "part"]).groupBy("account", "whole").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    hit = beside.join(met.withColumnRenamed("whole", "alias_key"), ["account", "alias_key"]).where("lo != sub_id OR hi != sub_id")
-    return aliases.join(hit.select("sub_id", "alias_key").distinct(), ["sub_id", "alias_key"], "left_anti")
+    met = found.union(same).distinct().join(who.hint("merge"), ["account", "part"]).groupBy("account", "whole").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hit = beside.join(met.withColumnRenamed("whole", "alias_key").hint("merge"), ["account", "alias_key"]).where("lo != sub_id OR hi != sub_id")
+    return aliases.join(hit.select("sub_id", "alias_key").distinct().hint("merge"), ["sub_id", "alias_key"], "left_anti")

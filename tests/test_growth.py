@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import urls
-from rollbook.operators import identity, replay, search, statistics
+from rollbook.operators import assignment, identity, replay, search, statistics
 from rollbook.streaming import cooldown
 
 
@@ -217,3 +217,12 @@ def test_merged_records_send_nothing_to_the_driver(spark, tmp_path):
     out = identity.merged_duplicates(records, found, "id", "name", "aliases")
     assert broadcasts(out) == 0
     assert rows(out) == [(1, "a", ["x", "y", "b"]), (3, "a", [])]
+
+
+def test_candidates_send_nothing_to_the_driver(spark, tmp_path, monkeypatch):
+    sent = unsent(monkeypatch, assignment)
+    subs = kept(spark.createDataFrame([(1, "abcd", ["abcd"], ["x"]), (3, "abcd", ["abcd"], ["x"]), (5, "wxyz", ["wxyz"], ["y"])], "sub_id long, name_key string, keys array<string>, accounts array<string>"), tmp_path, "subs")
+    reg = kept(spark.createDataFrame([(2, "abcd", ["abcd"], ["x"], True), (4, "theabcd", ["theabcd"], ["x"], True), (6, "wxyzq", ["wxyzq"], ["y"], True)], "id long, name_key string, keys array<string>, accounts array<string>, ours boolean"), tmp_path, "reg")
+    lists, content = assignment.candidates(subs, reg)
+    assert sent == [] and broadcasts(lists) == broadcasts(content) == 0
+    assert rows(lists) == [(1, 1), (3, 1), (5, 5)] and rows(content.select("list", "id")) == [(1, 2), (5, 6)]
