@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import urls
 from rollbook.operators import assignment, identity, replay, search, statistics
+from rollbook.plans import records as record_plans
 from rollbook.streaming import cooldown
 
 
@@ -219,6 +221,21 @@ def test_merged_records_send_nothing_to_the_driver(spark, tmp_path):
     assert rows(out) == [(1, "a", ["x", "y", "b"]), (3, "a", [])]
 
 
+@pytest.mark.parametrize("at_once", [50_000, 60])
+def test_merged_parts_send_only_names_of_crowded_channels_to_the_driver(spark, tmp_path, monkeypatch, at_once):
+    names = "element_at(array('Red bolt', 'red-bolt', 'blue ring', 'old nut', 'new nut', ''), int(id * 7 % 13 % 6) + 1)"
+    types = "element_at(array('SMALL', 'large', 'Large', 'blue ring'), int(id * 5 % 17 % 4) + 1)"
+    kept(spark.range(300).selectExpr("id AS p_partkey", f"{names} AS p_name", "concat('B', if(id % 9 = 0, id % 2, 2)) AS p_brand", f"{types} AS p_type", "int(id % 2) AS p_size"), tmp_path, "part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    monkeypatch.setattr(identity, "AT_ONCE", at_once, raising=False)
+    sent = unsent(monkeypatch, identity)
+    out = record_plans.d9_merged_records(spark, str(tmp_path))
+    assert len(sent) <= 2  # rows of one kind and of the other, by the names of crowded channels
+    assert broadcasts(out) == 0
+    assert rows(out) == sorted(duck.execute(record_plans.ORACLES["d9_merged_records"]).fetchall())
+
+
 def test_candidates_send_nothing_to_the_driver(spark, tmp_path, monkeypatch):
     sent = unsent(monkeypatch, assignment)
     subs = kept(spark.createDataFrame([(1, "abcd", ["abcd"], ["x"]), (3, "abcd", ["abcd"], ["x"]), (5, "wxyz", ["wxyz"], ["y"])], "sub_id long, name_key string, keys array<string>, accounts array<string>"), tmp_path, "subs")
