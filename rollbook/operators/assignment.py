@@ -1,12 +1,14 @@
 """Submissions to records, each record once: candidates by class of equal rows, names within names by their rarest run, and
-an assignment that moves whole lists at a time."""
+an assignment in the order of submissions, or of whole lists at a time where very many hang together."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.files import written
@@ -100,6 +102,65 @@ def candidates(submissions: DataFrame, registry: DataFrame, composites: DataFram
     return members_s.join(lists.hint("merge"), "s").select("sub_id", "list"), content
 
 
+#: Rows (submissions and places on their lists) of lists that hang together up to which one task takes them in their order
+#: (some 100 MB of memory).
+AT_ONCE = 1 << 20
+
+
+#: Of places on a list.
+ORDER = ["other", "renamed", "id"]
+
+
+def _taken(choosers: pd.DataFrame, order: pd.DataFrame) -> pd.DataFrame:
+    """sub_id and id of choosers (sub_id, list), taken in their order; order: list, id, other, renamed."""
+    left, used, taken = {}, set(), []
+    order = order.sort_values(ORDER, na_position="first")
+    for name, record in zip(order["list"], order["id"]):
+        left.setdefault(name, []).append(record)
+    # what a list has given, or others have taken from it, is never looked at again
+    left = {name: iter(records) for name, records in left.items()}
+    choosers = choosers.sort_values("sub_id")
+    for sub, name in zip(choosers["sub_id"], choosers["list"]):
+        record = next((r for r in left.get(name, ()) if r not in used), None)
+        if record is not None:
+            used.add(record)
+            taken.append((sub, record))
+    return pd.DataFrame(taken, columns=["sub_id", "id"])
+
+
+def _taken_at_once(order: DataFrame, choosers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sub_id, id) of lists that hang together (sizes: root, n), each root's in one task. Small ones, of which there may be
+    very many, share a task: an eighth of AT_ONCE rows or so."""
+    small = F.col("n") * 64 <= AT_ONCE
+    n_bins = 1 + 8 * (sizes.where(small).agg(F.sum("n")).first()[0] or 0) // AT_ONCE
+    bins = lambda: sizes.select("root", F.when(~small, F.col("root")).alias("own"), F.when(small, F.pmod(F.xxhash64("root"), F.lit(n_bins))).alias("bin"))
+    dealt = lambda df: df.join(bins().hint("merge"), "root").groupBy("own", "bin")
+    kind = T.StructType([T.StructField("sub_id", choosers.schema["sub_id"].dataType), T.StructField("id", order.schema["id"].dataType)])
+    return dealt(choosers).cogroup(dealt(order)).applyInPandas(_taken, kind)
+
+
+def assigned(submissions: DataFrame, lists: DataFrame) -> DataFrame:
+    """(sub_id, id): submissions choose in the order of sub_id, each the first record of its list that is still free.
+
+    submissions: sub_id, list; lists: list, id, other, renamed, in the order of other, renamed and id. On a list that shares
+    no record with another one the k-th submission gets the k-th record; ranks are taken in ranges. Lists that meet, directly
+    or in a chain, hang together: up to AT_ONCE rows of these are one task's, which takes them in their order; larger ones,
+    of which there are few, go in rounds without any of them in one task.
+    """
+    lists = written(lists.distinct(), "lists")
+    subs = written(submissions.select("sub_id", "list").distinct(), "choosers")
+    meeting = written(components(batch_links(lists.select("list", "id"), "list", ["id"])).withColumnRenamed("node", "list"), "meeting")
+    apart = (written(df.join(meeting, "list", "left_anti"), "apart") for df in (subs, lists))
+    straight = reduce(lambda a, b: a.join(b.hint("merge"), ["list", "place"]), (places(df, "list", by) for df, by in zip(apart, (["sub_id"], ORDER)))).select("sub_id", "id")
+    order, choosers = (written(df.join(meeting, "list"), "meeting") for df in (lists, subs))
+    sizes = written(order.select("root").union(choosers.select("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    final = straight.union(_taken_at_once(order, choosers, sizes.where(F.col("n") <= AT_ONCE)))
+    crowded = written(sizes.where(F.col("n") > AT_ONCE).select("root"), "crowded")
+    if not crowded.isEmpty():
+        final = final.union(_taken_in_rounds(*(written(df.join(crowded, "root"), "meeting") for df in (order, choosers))))
+    return written(final, "final")
+
+
 def _numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("list").orderBy(by)))
 
@@ -116,29 +177,26 @@ def _firsts(order: DataFrame, choosers: DataFrame, guess: DataFrame) -> DataFram
     return events.withColumn("best", F.min("pos").over(above)).where("kind = 1").select("list", "sub_id", "best")
 
 
-def assigned(submissions: DataFrame, lists: DataFrame) -> DataFrame:
-    """(sub_id, id): submissions choose in the order of sub_id, each the first record of its list that is still free.
+def _taken_in_rounds(order: DataFrame, choosers: DataFrame) -> DataFrame:
+    """(sub_id, id) of lists that hang together (order: root, list, id, other, renamed; choosers: root, list, sub_id), of
+    which none has to be in one task.
 
-    submissions: sub_id, list; lists: list, id, other, renamed, in the order of other, renamed and id. On a list that shares
-    no record with another one the k-th submission gets the k-th record; ranks are taken in ranges. Where lists meet, that
-    is a guess. A submission is content if it has the first record of its list that no smaller one holds, so of lists that
-    hang together all before the least one that isn't have what they get, and it has its first. They leave with their
-    records; lists of which the same is left are one list from then on, whose members get its records by rank anew, and
-    in others those that aren't content move on together. Each such round is written; its lists are sorted by windows,
-    which spill.
+    That the k-th submission of a list gets its k-th record is a guess. A submission is content if it has the first record
+    of its list that no smaller one holds, so of lists that hang together all before the least one that isn't have what
+    they get, and it has its first. They leave with their records; lists of which the same is left are one list from then
+    on, whose members get its records by rank anew, and in others those that aren't content move on together. Each such
+    round is written; its lists are sorted by windows, which spill.
     """
-    ranked = written(places(written(lists.distinct(), "lists"), "list", ["other", "renamed", "id"]).select("list", "id", F.col("place").alias("pos")), "ranked")
-    subs = written(places(written(submissions.distinct(), "choosers"), "list", ["sub_id"]).select("list", "sub_id", F.col("place").alias("k")), "choosers")
-    straight = written(subs.join(ranked.withColumnRenamed("pos", "k"), ["list", "k"], "left").select("list", "sub_id", F.when(F.col("id").isNotNull(), F.col("k")).alias("pos"), "id"), "guess")
-    meeting = written(components(batch_links(ranked.select("list", "id"), "list", ["id"])).withColumnRenamed("node", "list"), "meeting")
-    final = straight.join(meeting, "list", "left_anti").where("id IS NOT NULL").select("sub_id", "id")
-    order, choosers, guess = (written(df.join(meeting, "list"), "meeting") for df in (ranked, subs.drop("k"), straight))
+    order = written(places(order, "list", ORDER).select("list", "root", F.col("place").alias("pos"), "id"), "ranked")
+    ranked = places(choosers, "list", ["sub_id"]).withColumnRenamed("place", "pos")
+    guess = written(ranked.join(order.select("list", "pos", "id"), ["list", "pos"], "left").select("root", "list", "sub_id", F.when(F.col("id").isNotNull(), F.col("pos")).alias("pos"), "id"), "guess")
+    final = None
     while not choosers.isEmpty():
         told = written(guess.join(_firsts(order, choosers, guess), ["list", "sub_id"]).withColumn("content", F.col("pos").eqNullSafe(F.col("best"))), "told")
         least = told.where("NOT content").groupBy("root").agg(F.min("sub_id").alias("least"))
         known = told.join(least, "root", "left").withColumn("rest", F.coalesce(F.col("sub_id") > F.col("least"), F.lit(False)))
         leave = known.where("NOT rest").select("list", "sub_id", F.col("best").alias("pos")).join(order, ["list", "pos"]).select("sub_id", "id")
-        final = written(final.union(leave), "final")
+        final = written(leave if final is None else final.union(leave), "final")
         # what is left of the lists, and which of them are the same now
         left = written(_numbered(order.join(final.select("id"), "id", "left_anti"), "pos", "now"), "left")
         marks = [F.xxhash64(F.lit(i), "now", "id") for i in (1, 2)]

@@ -71,6 +71,35 @@ def test_contention_takes_few_rounds(spark, monkeypatch, n, meet):
     assert rounds.count("told") <= 10
 
 
+@pytest.mark.parametrize("n", [20, 300])
+def test_copies_on_lists_that_meet_take_no_more_steps(spark, monkeypatch, n):
+    """Two lists of the same records, each with others first: what one has had enough of both take from, in turns."""
+    rng = random.Random(n)
+    kinds = [(f"{i:05}", i % 4 // 2 > 0, i % 2 > 0) for i in range(n)]
+    lists = [(c, i, other, renamed != (c == "a")) for c in "ab" for i, other, renamed in kinds]
+    subs = [(i, rng.choice("aab")) for i in rng.sample(range(9 * n), n + n // 9)]
+    steps = []
+    monkeypatch.setattr(assignment, "written", lambda df, name, f=assignment.written: steps.append(name) or f(df, name))
+    assert _assigned(spark, subs, lists) == _in_order(subs, lists)
+    assert len(steps) <= 12
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 700, 60, 12])
+def test_lists_that_hang_together_are_one_tasks_or_go_in_rounds(spark, monkeypatch, at_once):
+    """Groups of lists of several sizes, some of one list, some of lists that share no record with the next but one; names
+    that are neither there nor not there come first."""
+    rng = random.Random(at_once)
+    monkeypatch.setattr(assignment, "AT_ONCE", at_once, raising=False)
+    lists, subs = [], []
+    for g, (n_lists, n_records) in enumerate([(1, 5), (2, 4), (3, 12), (2, 30), (5, 20), (1, 1)]):
+        for n in range(n_lists):
+            lists += [(f"{g}-{n}", f"{g}-{i:02}", rng.random() < 0.3, rng.choice([None, False, True])) for i in range(n_records) if rng.random() < 0.5 or i == n or i == n + 1 < n_records]
+        subs += [(sub, f"{g}-{rng.randrange(n_lists + 1)}") for sub in range(g, n_records * 9, 7)]
+    said = lambda x: (x is not None, x)
+    want = _in_order(subs, [(name, i, o, said(r)) for name, i, o, r in lists])
+    assert _assigned(spark, subs, lists) == want
+
+
 def test_ten_copies_of_parts_take_few_rounds_and_pairs(spark, monkeypatch, tmp_path):
     part = spark.read.parquet(f"{DATA}/part.parquet")
     n = part.count() + part.count() % 2
