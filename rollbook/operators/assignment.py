@@ -112,9 +112,9 @@ ORDER = ["other", "renamed", "id"]
 
 
 def _taken(choosers: pd.DataFrame, order: pd.DataFrame) -> pd.DataFrame:
-    """sub_id and id of choosers (sub_id, list), taken in their order; order: list, id, other, renamed."""
+    """sub_id and id of choosers (sub_id, list), taken in their order; order: list, id, and pos or else other and renamed."""
     left, used, taken = {}, set(), []
-    order = order.sort_values(ORDER, na_position="first")
+    order = order.sort_values(["pos"] if "pos" in order else ORDER, na_position="first")
     for name, record in zip(order["list"], order["id"]):
         left.setdefault(name, []).append(record)
     # what a list has given, or others have taken from it, is never looked at again
@@ -177,28 +177,55 @@ def _firsts(order: DataFrame, choosers: DataFrame, guess: DataFrame) -> DataFram
     return events.withColumn("best", F.min("pos").over(above)).where("kind = 1").select("list", "sub_id", "best")
 
 
+def _next(order: DataFrame, choosers: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """choosers with place, their turn among those that are left of lists that hang together (it may skip numbers; ranks:
+    sub_id and place as they all were), and (root, most, n): up to which turn, a power of two or the last one, one task can
+    take them. They take that many places of a list at most, so that these and they are n rows, up to AT_ONCE."""
+    turns = written(choosers.join(ranks, "sub_id"), "turns")
+    spans = turns.groupBy("root").agg(F.min("place").alias("least"), F.max("place").alias("last"))
+    turns = turns.join(spans.hint("merge"), "root").select("root", "list", "sub_id", (F.col("place") - F.col("least") + 1).alias("place"), (F.col("last") - F.col("least") + 1).alias("last"))
+    spans = turns.groupBy("root", "list", "last").agg(F.min("place").alias("first")).join(order.groupBy("list").agg(F.count(F.lit(1)).alias("size")).hint("merge"), "list")
+    powers = F.explode(F.array(*(F.lit(1 << k).cast("long") for k in range(AT_ONCE.bit_length()))))
+    spans = spans.withColumn("most", powers).withColumn("most", F.least("most", "last")).distinct()
+    rows = spans.where("first <= most").groupBy("root", "most").agg((F.col("most") + F.sum(F.least("size", "most"))).alias("n"))
+    return turns, written(rows.where(F.col("n") <= AT_ONCE).groupBy("root").agg(F.max(F.struct("most", "n")).alias("x")).select("root", "x.*"), "next")
+
+
 def _taken_in_rounds(order: DataFrame, choosers: DataFrame) -> DataFrame:
     """(sub_id, id) of lists that hang together (order: root, list, id, other, renamed; choosers: root, list, sub_id), of
     which none has to be in one task.
 
-    That the k-th submission of a list gets its k-th record is a guess. A submission is content if it has the first record
-    of its list that no smaller one holds, so of lists that hang together all before the least one that isn't have what
-    they get, and it has its first. They leave with their records; lists of which the same is left are one list from then
-    on, whose members get its records by rank anew, and in others those that aren't content move on together. Each such
-    round is written; its lists are sorted by windows, which spill.
+    In a round a task takes the next submissions of lists that hang together, as many as it can; where these are few long
+    lists, few rounds are enough. Of many long lists a task can't take many, so there is a guess as well: that the k-th
+    submission of a list gets its k-th record. A submission is content if it has the first record of its list that no
+    smaller one holds, so of lists that hang together all before the least one that isn't have what they get, and it has
+    its first. They leave with their records; lists of which the same is left are one list from then on, whose members get
+    its records by rank anew, and in others those that aren't content move on together. Each such round is written; its
+    lists are sorted by windows, which spill.
     """
     order = written(places(order, "list", ORDER).select("list", "root", F.col("place").alias("pos"), "id"), "ranked")
-    ranked = places(choosers, "list", ["sub_id"]).withColumnRenamed("place", "pos")
+    ranks = written(places(choosers, "root", ["sub_id"]).select("sub_id", "place"), "ranks")
+    ranked = _numbered(choosers, "sub_id", "pos").withColumn("pos", F.col("pos").cast("long"))
     guess = written(ranked.join(order.select("list", "pos", "id"), ["list", "pos"], "left").select("root", "list", "sub_id", F.when(F.col("id").isNotNull(), F.col("pos")).alias("pos"), "id"), "guess")
-    final = None
+    final = choosers.select("sub_id", F.lit(None).cast(order.schema["id"].dataType).alias("id")).where("false")
     while not choosers.isEmpty():
+        turns, most = _next(order, choosers, ranks)
+        now = written(turns.join(most, "root").where("place <= most").select("root", "list", "sub_id"), "now")
+        ahead = order.join(most, "root").where("pos <= most").join(now.select("list").distinct().hint("merge"), "list", "left_semi").select("root", "list", "pos", "id")
+        took = written(_taken_at_once(ahead, now, most), "took")
+        final = written(final.union(took), "final")
+        order = written(order.join(took.select("id").hint("merge"), "id", "left_anti"), "meeting")
+        choosers = written(turns.join(most, "root").where("place > most").join(order.select("list").distinct().hint("merge"), "list", "left_semi").select("list", "root", "sub_id"), "meeting")
+        if choosers.isEmpty():
+            break
+        guess = written(guess.join(choosers.select("sub_id").hint("merge"), "sub_id").select(*guess.columns), "guess")
         told = written(guess.join(_firsts(order, choosers, guess), ["list", "sub_id"]).withColumn("content", F.col("pos").eqNullSafe(F.col("best"))), "told")
         least = told.where("NOT content").groupBy("root").agg(F.min("sub_id").alias("least"))
         known = told.join(least, "root", "left").withColumn("rest", F.coalesce(F.col("sub_id") > F.col("least"), F.lit(False)))
         leave = known.where("NOT rest").select("list", "sub_id", F.col("best").alias("pos")).join(order, ["list", "pos"]).select("sub_id", "id")
-        final = written(leave if final is None else final.union(leave), "final")
+        final = written(final.union(leave), "final")
         # what is left of the lists, and which of them are the same now
-        left = written(_numbered(order.join(final.select("id"), "id", "left_anti"), "pos", "now"), "left")
+        left = written(_numbered(order.join(final.select("id").hint("merge"), "id", "left_anti"), "pos", "now"), "left")
         marks = [F.xxhash64(F.lit(i), "now", "id") for i in (1, 2)]
         said = left.groupBy("root", "list").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(marks[0]).alias("x"), F.sum(marks[1].cast("decimal(38,0)")).alias("y"))
         one = said.groupBy("root", "n", "x", "y").agg(F.min("list").alias("to"), F.count(F.lit(1)).alias("lists"))

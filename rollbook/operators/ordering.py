@@ -28,10 +28,13 @@ def places(rows: DataFrame, by: str, order: list[str], n_buckets: int = 64, over
     drawn = rows.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, n_buckets * oversample / 2 / max(n, 1)))))
     keys = [tuple(r) for r in drawn.orderBy(*order).limit(n_buckets * oversample).collect()]
     cuts = list(dict.fromkeys(keys[len(keys) * i // n_buckets] for i in range(1, n_buckets))) if keys else []
-    fields = [rows.schema[c] for c in order]
-    table = rows.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField("__cuts", T.ArrayType(T.StructType(fields)))]))
-    own = F.struct(*order)
-    ranged = rows.join(F.broadcast(table), F.lit(True)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= own))).drop("__cuts")
+    # a row looks for its run of cuts first, and there for its range
+    runs = [cuts[i : i + 8] for i in range(0, len(cuts), 8)]
+    kind = T.ArrayType(T.StructType([rows.schema[c] for c in order]))
+    table = rows.sparkSession.createDataFrame([([run[0] for run in runs], runs)], T.StructType([T.StructField("__heads", kind), T.StructField("__runs", T.ArrayType(kind))]))
+    upto = lambda cs: F.size(F.filter(cs, lambda c: c <= F.struct(*order)))
+    ranged = rows.join(F.broadcast(table), F.lit(True)).withColumn("__run", upto("__heads"))
+    ranged = ranged.withColumn("__range", F.when(F.col("__run") > 0, (F.col("__run") - 1) * 8 + upto(F.col("__runs")[F.col("__run") - 1])).otherwise(0)).drop("__heads", "__runs", "__run")
     counts = ranged.groupBy(by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(by).alias("__by"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

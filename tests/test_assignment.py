@@ -100,6 +100,18 @@ def test_lists_that_hang_together_are_one_tasks_or_go_in_rounds(spark, monkeypat
     assert _assigned(spark, subs, lists) == want
 
 
+def test_lists_too_long_for_a_task_take_few_rounds(spark, monkeypatch):
+    """Two lists of the same records, of which the first ones differ: a round settles 128 submissions or more."""
+    rng = random.Random(3)
+    lists = [(c, f"{i:05}", i % 4 // 2 > 0, (i % 2 > 0) != (c == "a")) for c in "ab" for i in range(300)]
+    subs = [(i, rng.choice("aab")) for i in rng.sample(range(2700), 333)]
+    monkeypatch.setattr(assignment, "AT_ONCE", 600, raising=False)
+    steps = []
+    monkeypatch.setattr(assignment, "written", lambda df, name, f=assignment.written: steps.append(name) or f(df, name))
+    assert _assigned(spark, subs, lists) == _in_order(subs, lists)
+    assert 1 <= steps.count("told") <= 3
+
+
 def test_ten_copies_of_parts_take_few_rounds_and_pairs(spark, monkeypatch, tmp_path):
     part = spark.read.parquet(f"{DATA}/part.parquet")
     n = part.count() + part.count() % 2
